@@ -151,3 +151,15 @@ def gate_view(v: DataFrame) -> DataFrame:
 @query("policy_gate")
 def q_policy_gate(spark, sf_dir):
     return gate_view(gate_job(spark, sf_dir).verdicts)
+
+
+def _load_all() -> None:
+    """Import every query module so its queries and oracles register."""
+    import importlib
+
+    for mod in ("q_features", "q_registry", "q_text", "q_io"):
+        try:
+            importlib.import_module(f"modelgate.plans.{mod}")
+        except ModuleNotFoundError as exc:
+            if exc.name != f"modelgate.plans.{mod}":
+                raise

@@ -148,6 +148,59 @@ class GateJob:
         return P.policy_gate(self.gate_input)
 
 
+    # --- reports, routing, registry inputs -------------------------------------
+    @cached_property
+    def routed(self) -> DataFrame:
+        return P.route_reviews(self.verdicts)
+
+    @cached_property
+    def worst3(self) -> DataFrame:
+        """Three largest relative segment deltas per candidate (any sign)."""
+        from modelgate.operators.common import top_k_per_group
+
+        keys = ["model_name", "model_version"]
+        top = top_k_per_group(self.segment_deltas, keys, [F.col("rmse_delta_pct").desc(), F.col("ord")], 3)
+        seg = F.struct("rank", "segment_column", "segment_value", "rmse_delta_pct")
+        return top.groupBy(*keys).agg(F.array_sort(F.collect_list(seg)).alias("__w")).select(
+            *keys,
+            F.transform("__w", lambda s: F.struct(s["segment_column"].alias("segment_column"),
+                                                  s["segment_value"].alias("segment_value"),
+                                                  s["rmse_delta_pct"].alias("rmse_delta_pct"))).alias("segments_worst3"),
+        )
+
+    @cached_property
+    def report_input(self) -> DataFrame:
+        from modelgate.operators.reports import segment_summary
+
+        keys = ["model_name", "model_version"]
+        s5 = segment_summary(self.segment_deltas, 5)
+        s3 = segment_summary(self.segment_deltas, 3).select(
+            *keys, F.col("segment_prefix").alias("segment_prefix_top3"), F.col("segments").alias("segments_top3")
+        )
+        return self.routed.join(s5, keys, "left").join(s3, keys, "left").join(self.worst3, keys, "left")
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        from modelgate.operators.reports import render_report
+
+        return render_report(self.report_input)
+
+    @cached_property
+    def split_metrics(self) -> DataFrame:
+        """Validation and test rmse/mae of every version in one aggregate."""
+        rows = self.prepared.where(F.col("split").isin("validation", "test"))
+        scored = long_predictions(rows, self.predictions, self.model_name, [TARGET_COLUMN, "split"])
+        err = F.col(TARGET_COLUMN) - F.col("prediction")
+        aggs = []
+        for s in ("validation", "test"):
+            on = F.col("split") == s
+            aggs += [
+                F.sqrt(F.avg(F.when(on, err * err))).alias(f"{s}_rmse"),
+                F.avg(F.when(on, F.abs(err))).alias(f"{s}_mae"),
+            ]
+        return scored.groupBy("model_name", "model_version").agg(*aggs)
+
+
 def champion_alias(spark: SparkSession, model_name: str, version: str) -> DataFrame:
     """Registry state with one alias event naming ``version`` champion."""
     return spark.createDataFrame(

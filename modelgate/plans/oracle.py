@@ -268,33 +268,97 @@ def _list(items: list[str]) -> str:
     return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
 
 
-GATE_SELECT = f"""
-SELECT model_name, model_version,
-  CASE WHEN f_rmse OR f_mae OR f_champ THEN 'REJECT'
-       WHEN f_seg OR f_drift THEN 'MANUAL_REVIEW' ELSE 'PROMOTE' END AS decision,
-  array_to_string({_list([
-    f"CASE WHEN f_rmse THEN 'Test RMSE ' || {thousands('rmse')} || ' exceeds maximum threshold 200,000' END",
-    f"CASE WHEN f_mae THEN 'Test MAE ' || {thousands('mae')} || ' exceeds maximum threshold 170,000' END",
-    f"CASE WHEN f_champ THEN 'Candidate RMSE is ' || {pct('rmse_delta_pct')} || ' worse than champion (threshold: 10%)' END",
-    "CASE WHEN f_seg THEN 'Segment RMSE regressions exceed 20%: ' || labels END",
-    "CASE WHEN NOT has_champion THEN 'No existing champion — only absolute thresholds applied' END",
-    "CASE WHEN f_drift THEN 'Data drift detected in: ' || drifted END",
-  ])}, ' | ') AS reasons,
-  array_to_string({_list([
-    "CASE WHEN NOT f_rmse THEN 'absolute_rmse' END",
-    "CASE WHEN NOT f_mae THEN 'absolute_mae' END",
-    "CASE WHEN has_champion AND NOT f_champ THEN 'champion_rmse_regression' END",
-    "CASE WHEN has_champion AND NOT f_seg THEN 'segment_rmse_regression' END",
-    "CASE WHEN NOT has_champion THEN 'champion_comparison_skipped' END",
-    "CASE WHEN has_drift AND NOT f_drift THEN 'drift_check' END",
-    "CASE WHEN NOT has_drift THEN 'drift_check_skipped' END",
-  ])}, ', ') AS checks_passed,
-  array_to_string({_list([
-    "CASE WHEN f_rmse THEN 'absolute_rmse' END",
-    "CASE WHEN f_mae THEN 'absolute_mae' END",
-    "CASE WHEN f_champ THEN 'champion_rmse_regression' END",
-    "CASE WHEN f_seg THEN 'segment_rmse_regression' END",
-    "CASE WHEN f_drift THEN 'drift_check' END",
-  ])}, ', ') AS checks_failed,
+cte("verdict", ["gate"], f"""
+  SELECT *,
+    CASE WHEN f_rmse OR f_mae OR f_champ THEN 'REJECT'
+         WHEN f_seg OR f_drift THEN 'MANUAL_REVIEW' ELSE 'PROMOTE' END AS decision,
+    {_list([
+        f"CASE WHEN f_rmse THEN 'Test RMSE ' || {thousands('rmse')} || ' exceeds maximum threshold 200,000' END",
+        f"CASE WHEN f_mae THEN 'Test MAE ' || {thousands('mae')} || ' exceeds maximum threshold 170,000' END",
+        f"CASE WHEN f_champ THEN 'Candidate RMSE is ' || {pct('rmse_delta_pct')} || ' worse than champion (threshold: 10%)' END",
+        "CASE WHEN f_seg THEN 'Segment RMSE regressions exceed 20%: ' || labels END",
+        "CASE WHEN NOT has_champion THEN 'No existing champion — only absolute thresholds applied' END",
+        "CASE WHEN f_drift THEN 'Data drift detected in: ' || drifted END",
+    ])} AS reasons_list,
+    {_list([
+        "CASE WHEN NOT f_rmse THEN 'absolute_rmse' END",
+        "CASE WHEN NOT f_mae THEN 'absolute_mae' END",
+        "CASE WHEN has_champion AND NOT f_champ THEN 'champion_rmse_regression' END",
+        "CASE WHEN has_champion AND NOT f_seg THEN 'segment_rmse_regression' END",
+        "CASE WHEN NOT has_champion THEN 'champion_comparison_skipped' END",
+        "CASE WHEN has_drift AND NOT f_drift THEN 'drift_check' END",
+        "CASE WHEN NOT has_drift THEN 'drift_check_skipped' END",
+    ])} AS passed_list,
+    {_list([
+        "CASE WHEN f_rmse THEN 'absolute_rmse' END",
+        "CASE WHEN f_mae THEN 'absolute_mae' END",
+        "CASE WHEN f_champ THEN 'champion_rmse_regression' END",
+        "CASE WHEN f_seg THEN 'segment_rmse_regression' END",
+        "CASE WHEN f_drift THEN 'drift_check' END",
+    ])} AS failed_list
+  FROM gate""")
+
+GATE_SELECT = """
+SELECT model_name, model_version, decision,
+  array_to_string(reasons_list, ' | ') AS reasons,
+  array_to_string(passed_list, ', ') AS checks_passed,
+  array_to_string(failed_list, ', ') AS checks_failed,
   round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(rmse_delta_pct, 6) AS rmse_delta_pct
-FROM gate"""
+FROM verdict"""
+
+
+# --- reusable scalar fragments -------------------------------------------------
+def sql_lease(col: str) -> str:
+    t = f"lower(trim({col}))"
+    y = rf"regexp_extract({t}, '(\d+)\s+year', 1)"
+    m = rf"regexp_extract({t}, '(\d+)\s+month', 1)"
+    return (
+        f"CASE WHEN {t} IS NULL OR {t} = '' THEN NULL "
+        f"WHEN {y} <> '' OR {m} <> '' THEN coalesce(TRY_CAST(NULLIF({y}, '') AS DOUBLE), 0.0) "
+        f"+ coalesce(TRY_CAST(NULLIF({m}, '') AS DOUBLE), 0.0) / 12.0 "
+        f"ELSE TRY_CAST({t} AS DOUBLE) END"
+    )
+
+
+def sql_storey(col: str) -> str:
+    b = rf"regexp_extract_all(upper(trim({col})), '(\d+)', 1)"
+    return (
+        f"CASE WHEN len({b}) >= 2 THEN (CAST({b}[1] AS DOUBLE) + CAST({b}[2] AS DOUBLE)) / 2.0 "
+        f"WHEN len({b}) = 1 THEN CAST({b}[1] AS DOUBLE) END"
+    )
+
+
+def sql_age(month: str, lease_start: str) -> str:
+    return (
+        f"(year(strptime({month}, '%Y-%m')) + (month(strptime({month}, '%Y-%m')) - 1) / 12.0) "
+        f"- TRY_CAST({lease_start} AS DOUBLE)"
+    )
+
+
+def sql_sanitize(col: str, lower: bool) -> str:
+    if lower:
+        c = rf"regexp_replace(regexp_replace(lower({col}), '[^\p{{L}}\p{{N}}]', '-', 'g'), '^-+|-+$', '', 'g')"
+    else:
+        c = (rf"regexp_replace(regexp_replace(regexp_replace({col}, '^\s+|\s+$', '', 'g'), '[^\p{{L}}\p{{N}}_-]', '-', 'g'), "
+             rf"'^[-_]+|[-_]+$', '', 'g')")
+    return f"coalesce(NULLIF({c}, ''), 'review')"
+
+
+def sql_strip(col: str) -> str:
+    return rf"regexp_replace({col}, '^\s+|\s+$', '', 'g')"
+
+
+CHECK_LABEL_SQL = (
+    "CASE x WHEN 'absolute_rmse' THEN 'absolute RMSE threshold' "
+    "WHEN 'absolute_mae' THEN 'absolute MAE threshold' "
+    "WHEN 'champion_rmse_regression' THEN 'champion RMSE comparison' "
+    "WHEN 'champion_comparison_skipped' THEN 'incumbent baseline comparison skipped for first candidate' "
+    "WHEN 'segment_rmse_regression' THEN 'segment RMSE regression threshold' "
+    "WHEN 'drift_check' THEN 'drift check' WHEN 'drift_check_skipped' THEN 'drift check skipped' "
+    "WHEN 'promotion_evidence_unavailable' THEN 'promotion evidence availability' "
+    "ELSE replace(x, '_', ' ') END"
+)
+
+
+def sql_humanize(list_expr: str) -> str:
+    return f"array_to_string(list_transform({list_expr}, lambda x: {CHECK_LABEL_SQL}), ', ')"

@@ -57,4 +57,4 @@ oracle("categorical_drift", ["drift_rows"], _DRIFT + " WHERE drift_type = 'psi'"
 oracle("numeric_drift", ["drift_rows"], _DRIFT + " WHERE drift_type = 'ks'")
 oracle("drift_report", ["drift_rows"], _DRIFT)
 
-oracle("policy_gate", ["gate"], GATE_SELECT)
+oracle("policy_gate", ["verdict"], GATE_SELECT)

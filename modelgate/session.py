@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,8 +74,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return configured
 
 
+def local_fallback(spark: SparkSession) -> str | None:
+    """A scratch folder for local-mode runs only (tests, single machine);
+    on a cluster the shared ``spark.checkpoint.dir`` must be configured."""
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    return os.environ.get("MODELGATE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="modelgate-ckpt-")
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Reliable checkpoint into the shared checkpoint folder (never a
+    local checkpoint: the data must survive the loss of an executor)."""
     spark = spark or df.sparkSession
-    checkpoint_dir(spark, fallback=os.environ.get("MODELGATE_TEST_CHECKPOINT_DIR"))
+    checkpoint_dir(spark, fallback=local_fallback(spark))
     return df.checkpoint(eager=True)
