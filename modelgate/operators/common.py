@@ -70,7 +70,10 @@ def top_k_per_group(
     """
     from pyspark.sql import Window
 
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    from pyspark.sql.types import MapType
+
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets))
     staged = df.withColumn("__salt", salt)
     w1 = Window.partitionBy(*keys, "__salt").orderBy(*order)
     survivors = staged.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= k)

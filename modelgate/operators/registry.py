@@ -232,10 +232,8 @@ def apply_decisions(decisions: DataFrame) -> dict[str, DataFrame]:
         F.col("decided_at").alias("ts"),
         (F.col("seq") * 100 + F.when(F.col("pos") == 0, F.lit(1)).otherwise(F.lit(50))).cast("bigint").alias("seq"),
     )
-    audit_input = decisions.withColumn(
-        "reasons", F.when(promoted, F.col("reasons")).otherwise(reasons)
-    )
-    tags = status_events.unionByName(decision_audit(audit_input))
+    # Audit tags carry the verdict's own reasons (no default line).
+    tags = status_events.unionByName(decision_audit(decisions))
     return {"alias_events": alias, "tag_events": tags}
 
 

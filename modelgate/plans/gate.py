@@ -53,6 +53,17 @@ class GateJob:
     segment_columns: tuple[str, ...] = DEFAULT_SEGMENT_COLUMNS
     thresholds: dict | None = None
     with_drift: bool = True
+    materialize: bool = True
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Model-level results (versions x segments, columns) are tiny and
+        feed many later steps: checkpoint them into the shared checkpoint
+        folder so no later plan re-inlines the source joins."""
+        if not self.materialize:
+            return df
+        from modelgate.session import cut_lineage
+
+        return cut_lineage(df)
 
     @property
     def spark(self) -> SparkSession:
@@ -75,7 +86,7 @@ class GateJob:
 
     @cached_property
     def evaluation(self) -> DataFrame:
-        return E.evaluate_grouping_sets(self.scored, self.segment_columns)
+        return self._cut(E.evaluate_grouping_sets(self.scored, self.segment_columns))
 
     @cached_property
     def overall(self) -> DataFrame:
@@ -117,14 +128,14 @@ class GateJob:
 
     @cached_property
     def segment_deltas(self) -> DataFrame:
-        return C.segment_deltas(self.segments, self.segments, self.pairs, self.segment_columns)
+        return self._cut(C.segment_deltas(self.segments, self.segments, self.pairs, self.segment_columns))
 
     @cached_property
     def drift_rows(self) -> DataFrame:
         keys = ["model_name"]
         ref = self.prepared.where(F.col("split") == "train")
         cur = self.prepared.where(F.col("split") == "test")
-        return D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys)
+        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys))
 
     @cached_property
     def drift(self) -> DataFrame:
@@ -145,7 +156,7 @@ class GateJob:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return P.policy_gate(self.gate_input)
+        return self._cut(P.policy_gate(self.gate_input))
 
 
     # --- reports, routing, registry inputs -------------------------------------
@@ -177,7 +188,7 @@ class GateJob:
         s3 = segment_summary(self.segment_deltas, 3).select(
             *keys, F.col("segment_prefix").alias("segment_prefix_top3"), F.col("segments").alias("segments_top3")
         )
-        return self.routed.join(s5, keys, "left").join(s3, keys, "left").join(self.worst3, keys, "left")
+        return self._cut(self.routed.join(s5, keys, "left").join(s3, keys, "left").join(self.worst3, keys, "left"))
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -198,7 +209,7 @@ class GateJob:
                 F.sqrt(F.avg(F.when(on, err * err))).alias(f"{s}_rmse"),
                 F.avg(F.when(on, F.abs(err))).alias(f"{s}_mae"),
             ]
-        return scored.groupBy("model_name", "model_version").agg(*aggs)
+        return self._cut(scored.groupBy("model_name", "model_version").agg(*aggs))
 
 
 def champion_alias(spark: SparkSession, model_name: str, version: str) -> DataFrame:
