@@ -267,38 +267,55 @@ def _list_items(lines: Column) -> Column:
     )
 
 
-def parse_report_text(text: Column) -> Column:
+# A heading is a whole line that, stripped, is an alias; or '#'s then an
+# alias; or an alias then ':' (case-insensitive).
+_HWS = r"[^\S\n\r]"
+_ALT = "|".join(sorted(SECTION_ALIASES, key=len, reverse=True))
+HEADING = rf"(?im)^{_HWS}*(?:#+{_HWS}*(?:{_ALT})|(?:{_ALT}){_HWS}*:|(?:{_ALT})){_HWS}*$"
+
+
+def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> DataFrame:
     """Markdown report -> struct(summary, evidence[], risk_flags[],
-    market_context, recommendation, citations[]). Lines before the first
-    heading become the summary when no summary section exists."""
-    lines = split_lines(text)
-    init = F.struct(
-        F.lit(None).cast("string").alias("cur"),
-        *[_empty().alias(s) for s in ["intro", *_SECTIONS]],
-    )
-
-    def step(acc, line):
-        k = section_key(line)
-        fields = {}
-        for s in ["intro", *_SECTIONS]:
-            target = F.lit("intro") if s == "intro" else F.lit(s)
-            append = k.isNull() & (F.coalesce(acc["cur"], F.lit("intro")) == target)
-            fields[s] = F.when(append, F.array_append(acc[s], line)).otherwise(acc[s])
-        return F.struct(F.coalesce(k, acc["cur"]).alias("cur"), *[fields[s].alias(s) for s in ["intro", *_SECTIONS]])
-
-    folded = F.aggregate(lines, init, step)
-    summary_lines = F.when(F.size(_stripped_nonempty(folded["summary"])) > 0, _stripped_nonempty(folded["summary"])).otherwise(
-        _stripped_nonempty(folded["intro"])
+    market_context, recommendation, citations[]) for every row.
+
+    Linear in the text: one regex pass finds the heading lines (section
+    names, in order), one split cuts the bodies between them; each body's
+    lines go to its section. Lines before the first heading become the
+    summary when no summary section exists. Staged columns keep each regex
+    pass to one evaluation per row; no shuffle.
+    """
+    t = F.col(text_col)
+    heads = F.transform(
+        F.regexp_extract_all(t, F.lit(HEADING), 0),
+        lambda h: F.try_element_at(_ALIASES, F.lower(strip_text(F.regexp_replace(strip_text(h), r"^#+|:$", "")))),
+    )
+    staged = df.withColumn("__heads", heads).withColumn("__bodies", F.split(t, HEADING, -1))
+    pairs = F.zip_with("__heads", F.slice("__bodies", 2, 1 << 30), lambda n, b: F.struct(n.alias("n"), b.alias("b")))
+    staged = staged.withColumn("__pairs", pairs)
+
+    def lines_of(section: str) -> Column:
+        return F.flatten(F.transform(F.filter("__pairs", lambda p: p["n"] == section), lambda p: split_lines(p["b"])))
+
+    intro = split_lines(F.coalesce(F.element_at("__bodies", 1), F.lit("")))
+    staged = staged.select(
+        "*",
+        *[lines_of(sec).alias(f"__l_{sec}") for sec in _SECTIONS],
+        intro.alias("__l_intro"),
+    )
+    summary_lines = F.when(F.size(_stripped_nonempty(F.col("__l_summary"))) > 0, _stripped_nonempty(F.col("__l_summary"))).otherwise(
+        _stripped_nonempty(F.col("__l_intro"))
     )
     summary = strip_text(F.array_join(summary_lines, " "))
-    return F.struct(
-        F.when(summary != "", summary).otherwise(strip_text(text)).alias("summary"),
-        _list_items(folded["evidence"]).alias("evidence"),
-        _list_items(folded["risk_flags"]).alias("risk_flags"),
-        F.array_join(_stripped_nonempty(folded["market_context"]), "\n").alias("market_context"),
-        strip_text(F.array_join(_stripped_nonempty(folded["recommendation"]), " ")).alias("recommendation"),
-        _list_items(folded["citations"]).alias("citations"),
+    parsed = F.struct(
+        F.when(summary != "", summary).otherwise(strip_text(t)).alias("summary"),
+        _list_items(F.col("__l_evidence")).alias("evidence"),
+        _list_items(F.col("__l_risk_flags")).alias("risk_flags"),
+        F.array_join(_stripped_nonempty(F.col("__l_market_context")), "\n").alias("market_context"),
+        strip_text(F.array_join(_stripped_nonempty(F.col("__l_recommendation")), " ")).alias("recommendation"),
+        _list_items(F.col("__l_citations")).alias("citations"),
     )
+    helper = ["__heads", "__bodies", "__pairs", "__l_intro", *[f"__l_{sec}" for sec in _SECTIONS]]
+    return staged.withColumn(out_col, parsed).drop(*helper)
 
 
 _JSON_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
@@ -358,15 +375,16 @@ def report_from_json(payload: Column) -> Column:
     )
 
 
-def coerce_report(text: Column) -> Column:
+def coerce_reports(df: DataFrame, text_col: str, out_col: str = "structured") -> DataFrame:
     """JSON payload when it carries any content, else markdown sections."""
-    payload = extract_json(text)
-    from_json = report_from_json(payload)
-    useful = payload.isNotNull() & (
-        (from_json["summary"] != "") | (F.size(from_json["evidence"]) > 0)
-        | (F.size(from_json["risk_flags"]) > 0) | (from_json["recommendation"] != "")
+    staged = df.withColumn("__payload", extract_json(F.col(text_col)))
+    staged = staged.withColumn("__from_json", report_from_json(F.col("__payload")))
+    staged = parse_reports(staged, text_col, "__parsed")
+    j = F.col("__from_json")
+    useful = F.col("__payload").isNotNull() & (
+        (j["summary"] != "") | (F.size(j["evidence"]) > 0) | (F.size(j["risk_flags"]) > 0) | (j["recommendation"] != "")
     )
-    return F.when(useful, from_json).otherwise(parse_report_text(text))
+    return staged.withColumn(out_col, F.when(useful, j).otherwise(F.col("__parsed"))).drop("__payload", "__from_json", "__parsed")
 
 
 # ---------------------------------------------------------------------------
@@ -387,10 +405,15 @@ def append_unique(lines: Column, new: Column) -> Column:
     )
 
 
-def enrich_report(report: Column) -> Column:
-    """Back-fill the deterministic evidence of the row's verdict into a
-    structured report; 'champion' wording becomes 'baseline' for first
-    candidates."""
+def enrich_reports(df: DataFrame, report_col: str, out_col: str = "enriched") -> DataFrame:
+    """Back-fill the deterministic evidence of each row's verdict into its
+    structured report (unique lines only); 'champion' wording becomes
+    'baseline' for first candidates. Rows need the verdict columns and
+    ``segments_top3``/``segment_prefix_top3`` (see the gate plan)."""
+    df = with_report_defaults(df)
+    for name, dtype in (("segments_top3", f"array<{SEGMENT_STRUCT}>"), ("segment_prefix_top3", "string")):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(dtype))
     champ = F.coalesce(F.col("has_champion"), F.lit(False))
     rmse = F.coalesce(F.col("rmse"), F.lit(0.0))
     mae = F.coalesce(F.col("mae"), F.lit(0.0))
@@ -420,21 +443,24 @@ def enrich_report(report: Column) -> Column:
         _when_arr(F.size("checks_failed") > 0, _arr(F.concat(F.lit("Checks failed: "), humanize_checks(F.col("checks_failed"))))),
         F.coalesce(F.col("reasons"), _empty()),
     )
-    evidence = append_unique(report["evidence"], new_evidence)
-    risks = append_unique(report["risk_flags"], new_risks)
-    risks = F.when(F.size(risks) > 0, risks).otherwise(_arr(F.lit(NO_MAJOR_RISKS)))
+    rep = F.col(report_col)
+    staged = df.withColumn("__evidence", append_unique(rep["evidence"], new_evidence)).withColumn(
+        "__risks", append_unique(rep["risk_flags"], new_risks)
+    )
+    risks = F.when(F.size("__risks") > 0, F.col("__risks")).otherwise(_arr(F.lit(NO_MAJOR_RISKS)))
 
     def wording(x):
         return F.when(champ, x).otherwise(baseline_wording(x))
 
-    return F.struct(
-        wording(report["summary"]).alias("summary"),
-        F.transform(evidence, wording).alias("evidence"),
+    out = F.struct(
+        wording(rep["summary"]).alias("summary"),
+        F.transform("__evidence", wording).alias("evidence"),
         F.transform(risks, wording).alias("risk_flags"),
-        wording(report["market_context"]).alias("market_context"),
-        wording(report["recommendation"]).alias("recommendation"),
-        report["citations"].alias("citations"),
+        wording(rep["market_context"]).alias("market_context"),
+        wording(rep["recommendation"]).alias("recommendation"),
+        rep["citations"].alias("citations"),
     )
+    return staged.withColumn(out_col, out).drop("__evidence", "__risks")
 
 
 def render_markdown(report: Column) -> Column:

@@ -19,10 +19,10 @@ MODEL_NAME = "resale_price_model"
 # Stand-in "models": price predictions as fixed formulas of the source
 # columns, one per model version. Version 1 is registered as champion.
 PREDICTION_FORMULAS = {
-    "1": "l_extendedprice * CAST(0.95 + 0.01 * (c_nationkey % 10) AS DOUBLE)",
-    "2": "l_extendedprice * CAST(0.97 + 0.006 * (c_nationkey % 10) AS DOUBLE)",
-    "3": "l_extendedprice * CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1.25 ELSE 0.97 + 0.006 * (c_nationkey % 10) END AS DOUBLE)",
-    "4": "l_extendedprice * CAST(CASE WHEN c_nationkey = 0 THEN 1.15 ELSE 0.97 + 0.006 * (c_nationkey % 10) END AS DOUBLE)",
+    "1": "l_extendedprice * CAST(0.95 + 0.0097 * (c_nationkey % 10) AS DOUBLE)",
+    "2": "l_extendedprice * CAST(0.97 + 0.0011 * (c_nationkey % 7) AS DOUBLE)",
+    "3": "l_extendedprice * CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1.2 + 0.01 * (c_nationkey % 3) ELSE 0.97 + 0.0011 * (c_nationkey % 7) END AS DOUBLE)",
+    "4": "l_extendedprice * CAST(CASE WHEN c_nationkey = 0 THEN 1.15 ELSE 0.97 + 0.0011 * (c_nationkey % 7) END AS DOUBLE)",
 }
 
 
