@@ -228,7 +228,8 @@ def render_report(report_input: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K2-K4: structured reports from text
 # ---------------------------------------------------------------------------
-_ALIASES = F.create_map(*[F.lit(x) for kv in SECTION_ALIASES.items() for x in kv])
+def _aliases() -> Column:
+    return F.create_map(*[F.lit(x) for kv in SECTION_ALIASES.items() for x in kv])
 _SECTIONS = ["summary", "evidence", "risk_flags", "market_context", "recommendation", "citations"]
 
 
@@ -241,9 +242,9 @@ def section_key(line: Column) -> Column:
     return F.when(
         s != "",
         F.coalesce(
-            F.try_element_at(_ALIASES, F.lower(s)),
-            F.when(s.startswith("#"), F.try_element_at(_ALIASES, F.lower(hashless))),
-            F.when(s.endswith(":"), F.try_element_at(_ALIASES, F.lower(colonless))),
+            F.try_element_at(_aliases(), F.lower(s)),
+            F.when(s.startswith("#"), F.try_element_at(_aliases(), F.lower(hashless))),
+            F.when(s.endswith(":"), F.try_element_at(_aliases(), F.lower(colonless))),
         ),
     )
 
@@ -287,7 +288,7 @@ def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> Data
     t = F.col(text_col)
     heads = F.transform(
         F.regexp_extract_all(t, F.lit(HEADING), 0),
-        lambda h: F.try_element_at(_ALIASES, F.lower(strip_text(F.regexp_replace(strip_text(h), r"^#+|:$", "")))),
+        lambda h: F.try_element_at(_aliases(), F.lower(strip_text(F.regexp_replace(strip_text(h), r"^#+|:$", "")))),
     )
     staged = df.withColumn("__heads", heads).withColumn("__bodies", F.split(t, HEADING, -1))
     pairs = F.zip_with("__heads", F.slice("__bodies", 2, 1 << 30), lambda n, b: F.struct(n.alias("n"), b.alias("b")))

@@ -20,9 +20,9 @@ MODEL_NAME = "resale_price_model"
 # columns, one per model version. Version 1 is registered as champion.
 PREDICTION_FORMULAS = {
     "1": "l_extendedprice * CAST(0.95 + 0.0097 * (c_nationkey % 10) AS DOUBLE)",
-    "2": "l_extendedprice * CAST(0.97 + 0.0011 * (c_nationkey % 7) AS DOUBLE)",
-    "3": "l_extendedprice * CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1.2 + 0.01 * (c_nationkey % 3) ELSE 0.97 + 0.0011 * (c_nationkey % 7) END AS DOUBLE)",
-    "4": "l_extendedprice * CAST(CASE WHEN c_nationkey = 0 THEN 1.15 ELSE 0.97 + 0.0011 * (c_nationkey % 7) END AS DOUBLE)",
+    "2": "l_extendedprice * CAST(1.0 - (0.05 - 0.0097 * (c_nationkey % 10)) * (0.85 + 0.001 * c_nationkey) AS DOUBLE)",
+    "3": "l_extendedprice * CAST(CASE WHEN c_nationkey % 5 = 0 THEN 1.2 + 0.01 * (c_nationkey % 3) ELSE 1.0 - (0.05 - 0.0097 * (c_nationkey % 10)) * (0.85 + 0.001 * c_nationkey) END AS DOUBLE)",
+    "4": "l_extendedprice * CAST(CASE WHEN c_nationkey = 0 THEN 1.08 ELSE 1.0 - (0.05 - 0.0097 * (c_nationkey % 10)) * (0.85 + 0.001 * c_nationkey) END AS DOUBLE)",
 }
 
 
