@@ -85,11 +85,17 @@ def materialize_snapshot(
     return latest_snapshot(spark.read.parquet(manifest_path), name)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster's file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(ddl).parquet(path)
-    except Exception:  # noqa: BLE001 - no manifest yet
-        return spark.createDataFrame([], ddl)
+    return spark.createDataFrame([], ddl)
 
 
 # ---------------------------------------------------------------------------
