@@ -14,12 +14,15 @@ _NUMBER_PATTERN = (
     r"|inf|infinity|nan"
     r")\s*$"
 )
-_OUTER_SPACE = r"^\s+|\s+$"
+# Every character Python's str.strip() removes (derived from the rule, not
+# listed by hand).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (not just spaces)."""
-    return F.regexp_replace(c, _OUTER_SPACE, "")
+    """Remove leading and trailing whitespace of any kind (not just spaces);
+    a character-set trim, no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def to_number(c: Column) -> Column:
@@ -40,7 +43,11 @@ def parse_month(c: Column) -> Column:
 def lease_years(c: Column) -> Column:
     """Remaining lease text ("61 years 04 months", "72 years", "5 months",
     "61.5") to years; unparseable or blank text gives null."""
-    text = F.lower(strip(c.cast("string")))
+    return lease_years_normalized(F.lower(strip(c.cast("string"))))
+
+
+def lease_years_normalized(text: Column) -> Column:
+    """``lease_years`` of text already lower-cased and stripped."""
     years = F.regexp_extract(text, r"(\d+)\s+year", 1)
     months = F.regexp_extract(text, r"(\d+)\s+month", 1)
     has_unit = (years != "") | (months != "")
@@ -57,7 +64,11 @@ def lease_years(c: Column) -> Column:
 def storey_midpoint(c: Column) -> Column:
     """Storey range text ("04 TO 06") to the midpoint of its first two numbers;
     one number gives itself, none gives null."""
-    text = F.upper(strip(c.cast("string")))
+    return storey_midpoint_normalized(F.upper(strip(c.cast("string"))))
+
+
+def storey_midpoint_normalized(text: Column) -> Column:
+    """``storey_midpoint`` of text already upper-cased and stripped."""
     bounds = F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)
     first = F.try_element_at(bounds, F.lit(1)).try_cast("double")
     second = F.try_element_at(bounds, F.lit(2)).try_cast("double")

@@ -123,5 +123,7 @@ def baseline_wording(x: Column) -> Column:
 
 
 def strip_text(x: Column) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(x, f"^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()`` (character-set trim, no regex)."""
+    from modelgate.functions.parse import WHITESPACE
+
+    return F.btrim(x, F.lit(WHITESPACE))

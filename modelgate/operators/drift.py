@@ -18,7 +18,20 @@ from modelgate.functions.stats import ks_pvalue, psi_term
 from modelgate.schema import DEFAULT_KS_ALPHA, DEFAULT_PSI_THRESHOLD, PSI_EPSILON
 
 SIDE = "__is_reference"
-DEFAULT_KS_BUCKETS = 256
+KS_BUCKET_BITS = 8
+DEFAULT_KS_BUCKETS = 1 << KS_BUCKET_BITS
+
+
+def bucket_of(bounds: Column, value: Column, bits: int) -> Column:
+    """Number of ``bounds`` (sorted ascending, at most 2**bits - 1 of them)
+    strictly below ``value``: a binary search in ``bits`` steps, monotone
+    in ``value``."""
+    steps = F.array(*[F.lit(1 << e) for e in reversed(range(bits))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda pos, step: F.when(F.try_element_at(bounds, pos + step) < value, pos + step).otherwise(pos),
+    )
 
 
 def _present(reference: DataFrame, current: DataFrame, columns) -> list[str]:
@@ -100,66 +113,107 @@ def categorical_drift(
     )
 
 
-def ks_statistics(
-    reference: DataFrame,
-    current: DataFrame,
-    columns,
-    keys: list[str] = (),
+def _value_long(reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str],
+                keys: list[str]) -> DataFrame:
+    """Both samples, every monitored column, one row per non-missing value:
+    (keys, side, column, sval, dval). Categorical values go to ``sval``,
+    numeric ones to ``dval`` (NaN counts as missing)."""
+    def side(df: DataFrame, is_ref: bool) -> DataFrame:
+        vals = [F.struct(F.col(c).cast("string").alias("s"), F.lit(None).cast("double").alias("d")).alias(c) for c in categorical]
+        vals += [F.struct(F.lit(None).cast("string").alias("s"), F.col(c).cast("double").alias("d")).alias(c) for c in numeric]
+        return df.select(*keys, *vals, F.lit(is_ref).alias(SIDE))
+
+    both = side(reference, True).unionByName(side(current, False))
+    long = both.unpivot([*keys, SIDE], [*categorical, *numeric], "column", "v").select(
+        *keys, SIDE, "column", F.col("v.s").alias("sval"), F.col("v.d").alias("dval"))
+    valid = F.col("sval").isNotNull() | (F.col("dval").isNotNull() & ~F.isnan("dval"))
+    return long.where(valid)
+
+
+def value_counts(
+    reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str], keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
 ) -> DataFrame:
-    """(keys, column, statistic, n_reference, n_current): the largest gap
-    between the two empirical CDFs, for every column in one job.
-
-    No global sort: distinct values are cut into ``buckets`` value ranges at
-    approximate quantiles of each column; bucket totals are prefix-summed (a
-    few hundred rows per column) and added to a running sum inside each
-    bucket. The bucket of a value is monotone in the value, so the result
-    is exact however rough the quantiles are. Ties are merged before the
-    running sum, so the gap is read only after all equal values.
+    """(keys, column, n_reference, n_current, bucket, sval, dval, r, c).
+
+    Two passes over the samples: a small statistics aggregate (non-missing
+    totals and ``buckets`` approximate quantile bounds per column, a few
+    hundred numbers per column) and the value-count aggregate itself, which
+    is combined map-side so a value holding a third of all rows is one row
+    per task before the shuffle. Numeric values carry the index of their
+    value range (monotone in the value), categorical ones bucket null.
     """
     keys = list(keys)
-    long = _tagged_long(reference, current, list(columns), keys, "double")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy(*keys, "column", "value").agg(
-        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
+    bits = max(1, (buckets - 1).bit_length())
+    long = _value_long(reference, current, categorical, numeric, keys)
+    probs = [i / (1 << bits) for i in range(1, 1 << bits)]
+    stats = long.groupBy(*keys, "column").agg(
+        F.count_if(F.col(SIDE)).alias("n_reference"),
+        F.count_if(~F.col(SIDE)).alias("n_current"),
+        F.percentile_approx("dval", probs, 10 * (1 << bits)).alias("bounds"),
     )
-    probs = [i / buckets for i in range(1, buckets)]
-    per_column = counts.groupBy(*keys, "column").agg(
-        F.sum("r").alias("n_reference"),
-        F.sum("c").alias("n_current"),
-        F.percentile_approx("value", probs, 10 * buckets).alias("bounds"),
+    bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
+    tagged = long.join(stats.select(*keys, "column", "bounds"), [*keys, "column"]).select(
+        *keys, "column", SIDE, "sval", "dval", bucket.alias("bucket"))
+    counts = tagged.groupBy(*keys, "column", "bucket", "sval", "dval").agg(
+        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
     )
-    bucketed = counts.join(per_column, [*keys, "column"]).withColumn(
-        "bucket", F.size(F.filter("bounds", lambda b: b < F.col("value")))
+    return counts.join(stats.select(*keys, "column", "n_reference", "n_current"), [*keys, "column"])
+
+
+def psi_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """PSI per (keys, column) from categorical value counts."""
+    ref_pct = F.greatest(F.col("r") / F.col("n_reference"), F.lit(PSI_EPSILON))
+    cur_pct = F.greatest(F.col("c") / F.col("n_current"), F.lit(PSI_EPSILON))
+    usable = (F.col("n_reference") > 0) & (F.col("n_current") > 0)
+    return counts.where(F.col("sval").isNotNull()).groupBy(*keys, "column").agg(
+        F.coalesce(F.sum(F.when(usable, psi_term(ref_pct, cur_pct))), F.lit(0.0)).alias("statistic")
     )
+
+
+def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Largest CDF gap per (keys, column) from numeric value counts.
+
+    Within each value range the running counts give the gap up to the
+    range's start; each range reports its largest and smallest in-range gap
+    and its totals (one row per range); the ranges' offsets are prefix sums
+    over those few rows, so no data row is revisited after the window.
+    """
     part = [*keys, "column"]
-    bucket_totals = bucketed.groupBy(*part, "bucket").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))
+    num = counts.where(F.col("dval").isNotNull() & (F.col("n_reference") > 0) & (F.col("n_current") > 0))
+    within = Window.partitionBy(*part, "bucket").orderBy("dval").rowsBetween(Window.unboundedPreceding, 0)
+    gap = (F.sum("r").over(within) / F.col("n_reference")) - (F.sum("c").over(within) / F.col("n_current"))
+    per_bucket = num.select(*part, "n_reference", "n_current", "bucket", "r", "c", gap.alias("gap")).groupBy(
+        *part, "n_reference", "n_current", "bucket"
+    ).agg(F.max("gap").alias("gmax"), F.min("gap").alias("gmin"), F.sum("r").alias("br"), F.sum("c").alias("bc"))
     before = Window.partitionBy(*part).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_totals.select(
-        *part,
-        "bucket",
-        F.coalesce(F.sum("br").over(before), F.lit(0)).alias("off_r"),
-        F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off_c"),
-    )
-    within = Window.partitionBy(*part, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = bucketed.join(offsets, [*part, "bucket"]).select(
-        *part,
-        "n_reference",
-        "n_current",
-        ((F.col("off_r") + F.sum("r").over(within)) / F.col("n_reference")).alias("cdf_r"),
-        ((F.col("off_c") + F.sum("c").over(within)) / F.col("n_current")).alias("cdf_c"),
-    )
-    return (
-        cdf.where((F.col("n_reference") > 0) & (F.col("n_current") > 0))
-        .groupBy(*part)
-        .agg(
-            F.max(F.abs(F.col("cdf_r") - F.col("cdf_c"))).alias("statistic"),
-            F.first("n_reference").alias("n_reference"),
-            F.first("n_current").alias("n_current"),
-        )
+    offset = (F.coalesce(F.sum("br").over(before), F.lit(0)) / F.col("n_reference")) - (
+        F.coalesce(F.sum("bc").over(before), F.lit(0)) / F.col("n_current"))
+    with_offset = per_bucket.select(*part, "n_reference", "n_current", "gmax", "gmin", offset.alias("off"))
+    return with_offset.groupBy(*part).agg(
+        F.max(F.greatest(F.abs(F.col("off") + F.col("gmax")), F.abs(F.col("off") + F.col("gmin")))).alias("statistic"),
+        F.first("n_reference").alias("n_reference"),
+        F.first("n_current").alias("n_current"),
     )
 
 
+def ks_statistics(
+    reference: DataFrame,
+    current: DataFrame,
+    columns,
+    keys: list[str] = (),
+    buckets: int = DEFAULT_KS_BUCKETS,
+) -> DataFrame:
+    """(keys, column, statistic, n_reference, n_current): the largest gap
+    between the two empirical CDFs, for every column in one job, without a
+    global sort (see ``value_counts`` and ``ks_from_counts``). Exact: ties
+    are merged before the running sums, and range boundaries only cut
+    between distinct values."""
+    keys = list(keys)
+    counts = value_counts(reference, current, [], list(columns), keys, buckets)
+    return ks_from_counts(counts, keys)
+
+
 def numeric_drift(
     reference: DataFrame,
     current: DataFrame,
@@ -208,12 +262,38 @@ def drift_report(
     keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
 ) -> DataFrame:
-    """Categorical rows then numeric rows (``ord`` gives report order)."""
+    """Categorical (PSI) rows then numeric (KS) rows; ``ord`` gives report
+    order. Both come from one shared value-count aggregate. Columns missing
+    from either sample are skipped; a numeric column with no values on a
+    side gives no row; a categorical one gives PSI 0.0 (without keys)."""
     keys = list(keys)
-    cat = categorical_drift(reference, current, categorical_columns, psi_threshold, keys)
-    n_cat = len(_present(reference, current, categorical_columns))
-    num = numeric_drift(reference, current, numeric_columns, ks_alpha, keys, buckets, ord_offset=n_cat)
-    return cat.unionByName(num)
+    cat = _present(reference, current, categorical_columns)
+    num = _present(reference, current, numeric_columns)
+    if not cat and not num:
+        return _empty_drift(reference, keys)
+    counts = value_counts(reference, current, cat, num, keys, buckets)
+    psi = psi_from_counts(counts, keys)
+    if not keys and cat:
+        spark = reference.sparkSession
+        present = spark.createDataFrame([(c,) for c in cat], "column string")
+        psi = present.join(psi, "column", "left").select("column", F.coalesce("statistic", F.lit(0.0)).alias("statistic"))
+    psi_rows = psi.select(
+        *keys, "column", F.lit("psi").alias("drift_type"), "statistic", F.lit(float(psi_threshold)).alias("threshold"),
+        F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > psi_threshold).alias("is_drifted"),
+        _ordinal(cat).alias("ord") if cat else F.lit(0).alias("ord"),
+    )
+    ks = ks_from_counts(counts, keys)
+    p = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    ks_rows = ks.select(
+        *keys, "column", F.lit("ks").alias("drift_type"), "statistic", F.lit(float(ks_alpha)).alias("threshold"),
+        p.alias("p_value"), (p < ks_alpha).alias("is_drifted"),
+        _ordinal(num, len(cat)).alias("ord") if num else F.lit(0).alias("ord"),
+    )
+    if not cat:
+        return ks_rows
+    if not num:
+        return psi_rows
+    return psi_rows.unionByName(ks_rows)
 
 
 def drift_summary(report: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -1,6 +1,6 @@
 """Feature preparation: raw string rows -> typed model features.
 
-One ``select`` plus one ``na.drop``: a single code-generated stage, no shuffle.
+Staged projections plus one null filter: a single narrow stage, no shuffle.
 """
 
 from __future__ import annotations
@@ -32,8 +32,40 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return P.to_number(F.col(name))
 
 
+def _normalized_columns(df: DataFrame) -> dict[str, Column]:
+    """Stage 1: coerce numbers, parse the month, normalise free text."""
+    require_columns(df, ["month"], "raw dataset")
+    lease = F.lower(P.strip(F.col("remaining_lease").cast("string"))) if "remaining_lease" in df.columns \
+        else F.lit(None).cast("string")
+    return {
+        DATE_COLUMN: P.parse_month(F.col("month")),
+        TARGET_COLUMN: _numeric(df, TARGET_COLUMN),
+        **{c: F.col(c).cast("string") for c in CATEGORICAL_FEATURES},
+        "floor_area_sqm": _numeric(df, "floor_area_sqm"),
+        "__lease_start": _numeric(df, "lease_commence_date"),
+        "__lease_text": lease,
+        "__storey_text": F.upper(P.strip(F.col("storey_range").cast("string"))),
+    }
+
+
+def _derived_columns() -> dict[str, Column]:
+    """Stage 2: features from the stage-1 values."""
+    age = P.year_fraction(F.col(DATE_COLUMN)) - F.col("__lease_start")
+    lease = P.nan_to_null(P.lease_years_normalized(F.col("__lease_text")))
+    return {
+        DATE_COLUMN: F.col(DATE_COLUMN),
+        TARGET_COLUMN: F.col(TARGET_COLUMN),
+        **{c: F.col(c) for c in CATEGORICAL_FEATURES},
+        "floor_area_sqm": F.col("floor_area_sqm"),
+        "flat_age_years": age,
+        "remaining_lease_years": F.coalesce(lease, F.lit(DEFAULT_LEASE_YEARS) - age),
+        "storey_midpoint": P.storey_midpoint_normalized(F.col("__storey_text")),
+    }
+
+
 def feature_columns(df: DataFrame) -> dict[str, Column]:
-    """Typed feature expressions (before the null filter), by output name."""
+    """Typed feature expressions over raw columns in one projection (for
+    per-feature queries and tests)."""
     require_columns(df, ["month"], "raw dataset")
     sale_month = P.parse_month(F.col("month"))
     age = P.year_fraction(sale_month) - _numeric(df, "lease_commence_date")
@@ -52,14 +84,32 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
     }
 
 
+def _stage(df: DataFrame, cols: dict[str, Column], carry: list[str]) -> DataFrame:
+    """Project through a one-row Generate so later operators read computed
+    values (predicate push-down cannot re-inline the expressions)."""
+    row = F.struct(*[e.alias(n) for n, e in cols.items()], *[F.col(c) for c in carry])
+    return df.select(F.inline(F.array(row)))
+
+
 def prepare_features(raw: DataFrame, passthrough: list[str] | None = None) -> DataFrame:
     """Raw rows -> prepared schema, dropping rows whose target or any feature
     is null or NaN. ``passthrough`` columns (split label, keys, predictions)
-    are carried after the prepared columns."""
-    exprs = feature_columns(raw)
-    passthrough = [c for c in (passthrough or []) if c not in exprs]
-    typed = raw.select(*[e.alias(n) for n, e in exprs.items()], *passthrough)
-    return typed.na.drop(subset=[TARGET_COLUMN, *FEATURE_COLUMNS]).select(*PREPARED_COLUMNS, *passthrough)
+    are carried after the prepared columns.
+
+    Two staged projections (normalise, then derive) keep every generated
+    method small enough to be JIT-compiled and compute shared inputs once;
+    the whole preparation is one narrow stage, no shuffle.
+    """
+    passthrough = [c for c in (passthrough or []) if c not in PREPARED_COLUMNS]
+    stage1 = _stage(raw, _normalized_columns(raw), passthrough)
+    typed = _stage(stage1, _derived_columns(), passthrough)
+    keep = F.lit(True)
+    for c in [TARGET_COLUMN, *FEATURE_COLUMNS]:
+        ok = F.col(c).isNotNull()
+        if c == TARGET_COLUMN or c in NUMERIC_FEATURES:
+            ok = ok & ~F.isnan(c)
+        keep = keep & ok
+    return typed.where(keep).select(*PREPARED_COLUMNS, *passthrough)
 
 
 def split_features_and_target(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:

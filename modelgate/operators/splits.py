@@ -18,14 +18,14 @@ def _month_bounds(months: DataFrame, validation_months: int, test_months: int):
     driver (bounded by the arguments, not by the data).
     """
     holdout = validation_months + test_months
-    stats = months.agg(F.count("m").alias("n"), F.count_if(F.col("m").isNull()).alias("nulls")).first()
-    if stats["nulls"]:
+    # One action: the newest holdout+1 months, a null month sorted first.
+    newest = [r["m"] for r in months.orderBy(F.col("m").desc_nulls_first()).limit(holdout + 1).collect()]
+    if newest and newest[0] is None:
         raise ValueError("The month column holds null values; cannot place them in a split.")
-    if stats["n"] <= holdout:
+    if len(newest) <= holdout:
         raise ValueError(
             f"Need more than {holdout} unique months to create train, validation, and test splits."
         )
-    newest = [r["m"] for r in months.orderBy(F.col("m").desc()).limit(holdout).collect()]
     return newest[test_months - 1], newest[holdout - 1]
 
 
