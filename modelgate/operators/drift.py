@@ -150,7 +150,7 @@ def value_counts(
     stats = long.groupBy(*keys, "column").agg(
         F.count_if(F.col(SIDE)).alias("n_reference"),
         F.count_if(~F.col(SIDE)).alias("n_current"),
-        F.percentile_approx("dval", probs, 10 * (1 << bits)).alias("bounds"),
+        F.percentile_approx("dval", probs, 2 * (1 << bits)).alias("bounds"),
     )
     bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
     tagged = long.join(stats.select(*keys, "column", "bounds"), [*keys, "column"]).select(

@@ -75,9 +75,20 @@ class GateJob:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return prepare_features(self.split, passthrough=["split", *self.predictions.values()]).withColumn(
+        """Prepared rows of every split. Scoring, drift and split metrics all
+        read them, so they are written once as a table partitioned by
+        ``split`` in the shared checkpoint folder (source joins and parsing
+        run once; readers prune to their splits and columns)."""
+        prepared = prepare_features(self.split, passthrough=["split", *self.predictions.values()]).withColumn(
             "model_name", F.lit(self.model_name)
         )
+        if not self.materialize:
+            return prepared
+        from modelgate.sources.io import scratch_path
+
+        path = scratch_path(self.spark, "prepared")
+        prepared.write.mode("overwrite").partitionBy("split").parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def scored(self) -> DataFrame:

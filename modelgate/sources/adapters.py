@@ -47,8 +47,11 @@ def sales_source(t: Tables) -> DataFrame:
     p = t.part.select("p_partkey", "p_type", "p_size", "p_retailprice")
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = bounded_broadcast(t.nation.select("n_nationkey", "n_name"), max_rows=10_000)
+    # lineitem and orders are both fact-sized: a shuffle (sort-merge) join
+    # on the order key, which also spreads the per-row work over the
+    # shuffle partitions; part and customer are left to AQE.
     return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
+        li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
         .join(c, o.o_custkey == c.c_custkey)
         .join(n, c.c_nationkey == n.n_nationkey)
