@@ -168,7 +168,7 @@ def json_safe(df: DataFrame) -> list[Column]:
 def rows_to_json(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One JSON record per row (``record``), optionally keeping key columns."""
     keep = keep or []
-    return df.select(*keep, F.to_json(F.struct(*json_safe(df))).alias("record"))
+    return df.select(*keep, F.to_json(F.struct(*json_safe(df)), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def json_to_rows(df: DataFrame, column: str, schema: str | T.DataType, keep: list[str] | None = None) -> DataFrame:
