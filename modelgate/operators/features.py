@@ -91,14 +91,17 @@ def _stage(df: DataFrame, cols: dict[str, Column], carry: list[str]) -> DataFram
     return df.select(F.inline(F.array(row)))
 
 
-def prepare_features(raw: DataFrame, passthrough: list[str] | None = None) -> DataFrame:
-    """Raw rows -> prepared schema, dropping rows whose target or any feature
-    is null or NaN. ``passthrough`` columns (split label, keys, predictions)
-    are carried after the prepared columns.
+VALID = "__valid"
+
+
+def typed_features(raw: DataFrame, passthrough: list[str] | None = None) -> DataFrame:
+    """Every raw row typed (prepared columns + passthrough) with a ``__valid``
+    flag: target and all features present and not NaN. Rows are not yet
+    dropped, so month statistics still see every raw row.
 
     Two staged projections (normalise, then derive) keep every generated
     method small enough to be JIT-compiled and compute shared inputs once;
-    the whole preparation is one narrow stage, no shuffle.
+    this is one narrow stage, no shuffle.
     """
     passthrough = [c for c in (passthrough or []) if c not in PREPARED_COLUMNS]
     stage1 = _stage(raw, _normalized_columns(raw), passthrough)
@@ -109,7 +112,14 @@ def prepare_features(raw: DataFrame, passthrough: list[str] | None = None) -> Da
         if c == TARGET_COLUMN or c in NUMERIC_FEATURES:
             ok = ok & ~F.isnan(c)
         keep = keep & ok
-    return typed.where(keep).select(*PREPARED_COLUMNS, *passthrough)
+    return typed.select(*PREPARED_COLUMNS, *passthrough, keep.alias(VALID))
+
+
+def prepare_features(raw: DataFrame, passthrough: list[str] | None = None) -> DataFrame:
+    """Raw rows -> prepared schema, dropping rows whose target or any feature
+    is null or NaN. ``passthrough`` columns (split label, keys, predictions)
+    are carried after the prepared columns."""
+    return typed_features(raw, passthrough).where(F.col(VALID)).drop(VALID)
 
 
 def split_features_and_target(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelgate.functions.parse import parse_month
@@ -29,6 +29,46 @@ def _month_bounds(months: DataFrame, validation_months: int, test_months: int):
     return newest[test_months - 1], newest[holdout - 1]
 
 
+def split_bounds(
+    df: DataFrame,
+    month: Column,
+    validation_months: int = DEFAULT_VALIDATION_MONTHS,
+    test_months: int = DEFAULT_TEST_MONTHS,
+) -> tuple:
+    """(test_start, validation_start) month of the distinct months of
+    ``month`` (a date column or expression) over all rows of ``df``."""
+    if validation_months < 1 or test_months < 1:
+        raise ValueError("validation_months and test_months must both be at least 1.")
+    months = df.select(F.trunc(month, "month").alias("m")).distinct()
+    return _month_bounds(months, validation_months, test_months)
+
+
+def split_label(month: Column, bounds: tuple) -> Column:
+    """'test' / 'validation' / 'train' from a month and the split bounds."""
+    test_start, validation_start = bounds
+    m = F.trunc(month, "month")
+    return (
+        F.when(m >= F.lit(test_start), F.lit("test"))
+        .when(m >= F.lit(validation_start), F.lit("validation"))
+        .otherwise(F.lit("train"))
+    )
+
+
+def split_predicate(month: Column, bounds: tuple, splits) -> Column:
+    """Month-range predicate selecting ``splits``: plain comparisons on the
+    month column, so they reach the parquet scan as pushed filters."""
+    test_start, validation_start = bounds
+    ranges = {
+        "test": month >= F.lit(test_start),
+        "validation": (month >= F.lit(validation_start)) & (month < F.lit(test_start)),
+        "train": month < F.lit(validation_start),
+    }
+    pred = F.lit(False)
+    for s in splits:
+        pred = pred | ranges[s]
+    return pred
+
+
 def chrono_split(
     raw: DataFrame,
     validation_months: int = DEFAULT_VALIDATION_MONTHS,

@@ -24,10 +24,12 @@ from modelgate.operators import evaluate as E
 from modelgate.operators import policy as P
 from modelgate.operators import registry as R
 from modelgate.operators.common import long_predictions
-from modelgate.operators.features import prepare_features
-from modelgate.operators.splits import chrono_split
+from modelgate.functions.parse import parse_month
+from modelgate.operators.features import VALID, typed_features
+from modelgate.operators.splits import split_bounds, split_label, split_predicate
 from modelgate.schema import (
     CATEGORICAL_FEATURES,
+    DATE_COLUMN,
     DEFAULT_SEGMENT_COLUMNS,
     NUMERIC_FEATURES,
     TARGET_COLUMN,
@@ -70,29 +72,50 @@ class GateJob:
         return self.raw.sparkSession
 
     @cached_property
-    def split(self) -> DataFrame:
-        return chrono_split(self.raw)
+    def typed(self) -> DataFrame:
+        """Every raw row typed once (features, predictions, validity flag).
 
-    @cached_property
-    def prepared(self) -> DataFrame:
-        """Prepared rows of every split. Scoring, drift and split metrics all
-        read them, so they are written once as a table partitioned by
-        ``split`` in the shared checkpoint folder (source joins and parsing
-        run once; readers prune to their splits and columns)."""
-        prepared = prepare_features(self.split, passthrough=["split", *self.predictions.values()]).withColumn(
+        This is the only pass over the source joins: it is written to the
+        shared checkpoint folder, sorted by month within each file so that
+        parquet row-group statistics prune month ranges, and everything
+        below (split bounds, scoring, drift, split metrics) reads it.
+        """
+        typed = typed_features(self.raw, passthrough=list(self.predictions.values())).withColumn(
             "model_name", F.lit(self.model_name)
         )
         if not self.materialize:
-            return prepared
+            return typed
         from modelgate.sources.io import scratch_path
 
-        path = scratch_path(self.spark, "prepared")
-        prepared.write.mode("overwrite").partitionBy("split").parquet(path)
+        path = scratch_path(self.spark, "typed")
+        typed.sortWithinPartitions(DATE_COLUMN).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def bounds(self) -> tuple:
+        """(test start, validation start) over the months of all raw rows
+        (rows later dropped by the feature filter still count)."""
+        return split_bounds(self.typed, F.col(DATE_COLUMN))
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """Raw rows with their split label (for raw-level consumers)."""
+        return self.raw.withColumn("split", split_label(parse_month(F.col("month")), self.bounds))
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """Prepared rows of every split, with the ``split`` label."""
+        valid = self.typed.where(F.col(VALID)).drop(VALID)
+        return valid.withColumn("split", split_label(F.col(DATE_COLUMN), self.bounds))
+
+    def rows_of(self, *splits: str) -> DataFrame:
+        """Prepared rows of the given splits, selected by a month range that
+        reaches the scan as a pushed filter."""
+        return self.prepared.where(split_predicate(F.col(DATE_COLUMN), self.bounds, splits))
+
     @cached_property
     def scored(self) -> DataFrame:
-        test = self.prepared.where(F.col("split") == "test")
+        test = self.rows_of("test")
         return long_predictions(test, self.predictions, self.model_name, [TARGET_COLUMN, *self.segment_columns])
 
     @cached_property
@@ -144,8 +167,8 @@ class GateJob:
     @cached_property
     def drift_rows(self) -> DataFrame:
         keys = ["model_name"]
-        ref = self.prepared.where(F.col("split") == "train")
-        cur = self.prepared.where(F.col("split") == "test")
+        ref = self.rows_of("train")
+        cur = self.rows_of("test")
         return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys))
 
     @cached_property
@@ -210,7 +233,7 @@ class GateJob:
     @cached_property
     def split_metrics(self) -> DataFrame:
         """Validation and test rmse/mae of every version in one aggregate."""
-        rows = self.prepared.where(F.col("split").isin("validation", "test"))
+        rows = self.rows_of("validation", "test")
         scored = long_predictions(rows, self.predictions, self.model_name, [TARGET_COLUMN, "split"])
         err = F.col(TARGET_COLUMN) - F.col("prediction")
         aggs = []
