@@ -323,15 +323,25 @@ def q_evidence_lookup(spark, sf_dir):
     """Evidence a reviewer or tool queries per candidate: candidate metrics,
     champion metrics (or the no-champion text) and the verdict, as JSON."""
     v = gate_job(spark, sf_dir).verdicts
-    cand = F.to_json(F.struct(F.col("rmse").alias("rmse"), F.col("mae").alias("mae")))
-    champ = F.when(F.col("has_champion"), F.to_json(F.struct(F.col("champion_rmse").alias("rmse"),
-                                                              F.col("champion_mae").alias("mae")))).otherwise(
+    cand = F.to_json(F.struct(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae")))
+    champ = F.when(F.col("has_champion"), F.to_json(F.struct(F.round("champion_rmse", 4).alias("rmse"),
+                                                              F.round("champion_mae", 4).alias("mae")))).otherwise(
         F.lit("No champion model exists yet. This is the first candidate."))
     verdict = F.to_json(F.struct("decision", "reasons", "checks_passed", "checks_failed"))
     return v.select("model_name", "model_version", cand.alias("candidate_metrics"), champ.alias("champion_metrics"),
                     verdict.alias("policy_verdict"))
 
 
+oracle("evidence_lookup", ["verdict"], """
+SELECT model_name, model_version,
+  CAST(to_json({'rmse': round(rmse, 4), 'mae': round(mae, 4)}) AS VARCHAR) AS candidate_metrics,
+  CASE WHEN has_champion THEN CAST(to_json({'rmse': round(champion_rmse, 4), 'mae': round(champion_mae, 4)}) AS VARCHAR)
+       ELSE 'No champion model exists yet. This is the first candidate.' END AS champion_metrics,
+  CAST(to_json({'decision': decision, 'reasons': reasons_list, 'checks_passed': passed_list,
+                'checks_failed': failed_list}) AS VARCHAR) AS policy_verdict
+FROM verdict""")
+
+
 # --- judge scores (stand-in judge responses from conversation rows) -------------------------
 def judge_responses(spark, sf_dir):
     """Stand-in judge answers in the four shapes a judge produces: a JSON
@@ -590,3 +600,75 @@ FROM (
                page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)
   GROUP BY lang, provider)
 GROUP BY lang""")
+
+
+# --- oracles for the back-fill (K5) and markdown rendering (K6) ------------------------------
+def _unique_append(existing: str, new: str) -> str:
+    return (f"{existing} || list_filter({new}, lambda x: trim(x) <> '' AND NOT list_contains("
+            f"list_transform({existing}, lambda e: lower(trim(e))), lower(trim(x))))")
+
+
+def _lines(col: str) -> str:
+    return f"list_filter(string_split(coalesce({col}, ''), chr(10)), lambda x: x <> '')"
+
+
+_NEW_EVIDENCE = f"""
+  ['Candidate test RMSE: ' || {thousands('v.rmse')}, 'Candidate test MAE: ' || {thousands('v.mae')}]
+  || CASE WHEN v.has_champion THEN
+       ['Champion test RMSE: ' || {thousands('v.champion_rmse')}, 'Champion test MAE: ' || {thousands('v.champion_mae')},
+        'RMSE delta vs champion: ' || {_DELTA}]
+       || CASE WHEN s3.inline IS NOT NULL THEN
+            [CASE WHEN s3.any_regress THEN 'Worst segment regressions' ELSE 'Best segment improvements' END || ': ' || s3.inline]
+          ELSE {E} END
+     ELSE [{q(NO_CHAMPION_EVIDENCE)}] END
+  || CASE WHEN db.model_name IS NULL THEN [{q(NO_DRIFT_REPORT)}]
+          WHEN db.n_drifted > 0 THEN ['Drift status: detected in ' || db.names || '.']
+          ELSE [{q(NO_DRIFT_FOUND)}] END
+  || CASE WHEN len(v.passed_list) > 0 THEN ['Checks passed: ' || {sql_humanize('v.passed_list')}] ELSE {E} END"""
+_NEW_RISKS = f"""
+  CASE WHEN len(v.failed_list) > 0 THEN ['Checks failed: ' || {sql_humanize('v.failed_list')}] ELSE {E} END || v.reasons_list"""
+
+cte("enriched", ["report_sections", "verdict", "seg_top3", "drift_block"], f"""
+  SELECT v.model_name, v.model_version, v.has_champion,
+    coalesce(nullif(trim(coalesce(rs.summary_s, '')), ''), nullif(trim(coalesce(rs.intro_s, '')), ''), {sql_strip('rs.src_text')}) AS summary,
+    {_unique_append(_lines('rs.evidence'), _NEW_EVIDENCE)} AS evidence_list,
+    {_unique_append(_lines('rs.risk_flags'), _NEW_RISKS)} AS risk_list,
+    coalesce(rs.market_context, '') AS market_context, trim(coalesce(rs.recommendation, '')) AS recommendation,
+    {_lines('rs.citations')} AS citation_list
+  FROM verdict v
+  JOIN report_sections rs ON rs.rid = v.model_name || chr(1) || v.model_version
+  LEFT JOIN seg_top3 s3 ON s3.model_name = v.model_name AND s3.model_version = v.model_version
+  LEFT JOIN drift_block db ON db.model_name = v.model_name""")
+
+
+def _wording(x: str) -> str:
+    return (f"CASE WHEN has_champion THEN {x} ELSE regexp_replace(regexp_replace({x}, 'C(?i:hampion)', 'Baseline', 'g'), "
+            f"'(?i)champion', 'baseline', 'g') END")
+
+
+cte("enriched_final", ["enriched"], f"""
+  SELECT model_name, model_version, {_wording('summary')} AS summary,
+    list_transform(evidence_list, lambda x: {_wording('x')}) AS evidence_list,
+    list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE [{q('No major risk flags identified.')}] END,
+                   lambda x: {_wording('x')}) AS risk_list,
+    {_wording('market_context')} AS market_context, {_wording('recommendation')} AS recommendation, citation_list
+  FROM enriched""")
+
+oracle("enrich_reports", ["enriched_final"], """
+SELECT model_name, model_version, summary, array_to_string(evidence_list, chr(10)) AS evidence,
+  array_to_string(risk_list, chr(10)) AS risk_flags, market_context, recommendation,
+  array_to_string(citation_list, chr(10)) AS citations
+FROM enriched_final""")
+
+oracle("render_markdown", ["enriched_final"], f"""
+SELECT model_name, model_version, array_to_string(
+  ['## Summary', CASE WHEN summary <> '' THEN summary ELSE 'No summary provided.' END, '', '## Evidence']
+  || list_transform(CASE WHEN len(evidence_list) > 0 THEN evidence_list ELSE ['No evidence items captured.'] END, lambda x: '- ' || x)
+  || ['', '## Risk Flags']
+  || list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE ['No major risk flags identified.'] END, lambda x: '- ' || x)
+  || ['', '## Market Context', CASE WHEN market_context <> '' THEN market_context ELSE 'No external market context provided.' END,
+      '', '## Recommendation',
+      CASE WHEN recommendation <> '' THEN recommendation ELSE 'Use this report as input to the final human decision.' END]
+  || CASE WHEN len(citation_list) > 0 THEN ['', '## Sources'] || list_transform(citation_list, lambda x: '- ' || x) ELSE {E} END,
+  chr(10)) AS markdown
+FROM enriched_final""")

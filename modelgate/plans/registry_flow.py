@@ -30,7 +30,9 @@ BOOTSTRAP_CHAMPION = "1"
 
 
 def _ts(value: dt.datetime):
-    return F.lit(value).cast("timestamp")
+    """Timestamp from wall-clock text (read and rendered in the session time
+    zone, so results do not depend on the Python process's zone)."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
 
 @dataclass
