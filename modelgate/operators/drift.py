@@ -153,12 +153,12 @@ def value_counts(
         F.percentile_approx("dval", probs, 2 * (1 << bits)).alias("bounds"),
     )
     bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
-    tagged = long.join(stats.select(*keys, "column", "bounds"), [*keys, "column"]).select(
-        *keys, "column", SIDE, "sval", "dval", bucket.alias("bucket"))
-    counts = tagged.groupBy(*keys, "column", "bucket", "sval", "dval").agg(
-        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
+    tagged = long.join(stats, [*keys, "column"]).select(
+        *keys, "column", SIDE, "sval", "dval", bucket.alias("bucket"), "n_reference", "n_current")
+    return tagged.groupBy(*keys, "column", "bucket", "sval", "dval").agg(
+        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c"),
+        F.first("n_reference").alias("n_reference"), F.first("n_current").alias("n_current"),
     )
-    return counts.join(stats.select(*keys, "column", "n_reference", "n_current"), [*keys, "column"])
 
 
 def psi_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -614,14 +614,14 @@ def trace_events(messages: DataFrame) -> DataFrame:
         "conv_id", "pos", "tool_call_id", "name", message_text(F.col("content")).alias("content")
     )
     named_calls = calls.where(F.col("tool_call_id").isNotNull() & F.col("tool_name").isNotNull()).select(
-        "conv_id", F.col("tool_call_id").alias("cid"), F.col("message_index").alias("call_pos"), F.col("k").alias("call_k"),
-        F.col("tool_name").alias("call_name"),
+        F.col("conv_id").alias("call_conv"), F.col("tool_call_id").alias("cid"), F.col("message_index").alias("call_pos"),
+        F.col("k").alias("call_k"), F.col("tool_name").alias("call_name"),
     )
     joined = results.join(
         named_calls,
-        (results.conv_id == named_calls.conv_id) & (results.tool_call_id == named_calls.cid) & (named_calls.call_pos <= results.pos),
+        (F.col("conv_id") == F.col("call_conv")) & (F.col("tool_call_id") == F.col("cid")) & (F.col("call_pos") <= F.col("pos")),
         "left",
-    ).groupBy(results.conv_id, results.pos, results.tool_call_id, results.name, results.content).agg(
+    ).groupBy("conv_id", "pos", "tool_call_id", "name", "content").agg(
         F.max_by("call_name", F.struct("call_pos", "call_k")).alias("call_name")
     )
     res_events = joined.select(

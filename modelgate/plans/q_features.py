@@ -204,8 +204,8 @@ def q_ks_statistic(spark, sf_dir):
     from modelgate.schema import NUMERIC_FEATURES
 
     j = gate_job(spark, sf_dir)
-    ref = j.prepared.where(F.col("split") == "train")
-    cur = j.prepared.where(F.col("split") == "test")
+    ref = j.rows_of("train")
+    cur = j.rows_of("test")
     ks = ks_statistics(ref, cur, NUMERIC_FEATURES, ["model_name"])
     return ks.select("model_name", "column", r("statistic", 9), "n_reference", "n_current")
 
@@ -295,8 +295,8 @@ def q_one_hot(spark, sf_dir):
 
     j = gate_job(spark, sf_dir)
     stages = one_hot_stages()[:2]
-    train = j.prepared.where(F.col("split") == "train")
-    test = j.prepared.where(F.col("split") == "test")
+    train = j.rows_of("train")
+    test = j.rows_of("test")
     model = Pipeline(stages=stages).fit(train)
     out = model.transform(test)
     parts = []

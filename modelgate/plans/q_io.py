@@ -139,8 +139,7 @@ def trained_model(spark, sf_dir):
 
     key = (id(spark), sf_dir)
     if key not in _MODELS:
-        prepared = gate_job(spark, sf_dir).prepared
-        _MODELS[key] = fit(prepared.where(F.col("split") == "train"), random_seed=7, overrides=TRAIN_OVERRIDES)
+        _MODELS[key] = fit(gate_job(spark, sf_dir).rows_of("train"), random_seed=7, overrides=TRAIN_OVERRIDES)
     return _MODELS[key]
 
 
@@ -152,7 +151,7 @@ def q_train_gbt(spark, sf_dir):
     from modelgate.operators.train import score
 
     model = trained_model(spark, sf_dir)
-    prepared = gate_job(spark, sf_dir).prepared.where(F.col("split").isin("validation", "test"))
+    prepared = gate_job(spark, sf_dir).rows_of("validation", "test")
     scored = score(model, prepared, keep=["split", "resale_price", "town", "flat_type"])
     ev = evaluate_grouping_sets(scored, ("town", "flat_type"), keys=["split"])
     return ev.select("split", "segment_column", "segment", "count", r("rmse", 2), r("mae", 2))

@@ -240,7 +240,7 @@ FROM reviews""")
 
 @query("input_example")
 def q_input_example(spark, sf_dir):
-    test = gate_job(spark, sf_dir).prepared.where(F.col("split") == "test")
+    test = gate_job(spark, sf_dir).rows_of("test")
     return R.input_example(test, 5)
 
 

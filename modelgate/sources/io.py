@@ -38,7 +38,7 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "csv", recursive: bool =
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if fmt == "csv":
-        df = reader.option("header", "true").option("nullValue", None).option("emptyValue", "") \
+        df = reader.option("header", "true").option("emptyValue", "") \
             .option("mode", "PERMISSIVE").csv(path)
         df = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     else:
