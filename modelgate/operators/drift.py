@@ -134,31 +134,31 @@ def value_counts(
     reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str], keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
 ) -> DataFrame:
-    """(keys, column, n_reference, n_current, bucket, sval, dval, r, c).
-
-    Two passes over the samples: a small statistics aggregate (non-missing
-    totals and ``buckets`` approximate quantile bounds per column, a few
-    hundred numbers per column) and the value-count aggregate itself, which
-    is combined map-side so a value holding a third of all rows is one row
-    per task before the shuffle. Numeric values carry the index of their
-    value range (monotone in the value), categorical ones bucket null.
+    """(keys, column, bucket, sval, dval, r, c, n_reference, n_current).
+
+    One pass over the samples: the value-count aggregate is combined
+    map-side, so a value holding a third of all rows is one row per task
+    before the shuffle. Totals and ``buckets`` approximate quantile bounds
+    per column are then taken from those distinct-value counts (a small
+    table), and each numeric value gets the index of its value range
+    (binary search; monotone in the value). Categorical values have bucket
+    null.
     """
     keys = list(keys)
     bits = max(1, (buckets - 1).bit_length())
     long = _value_long(reference, current, categorical, numeric, keys)
+    distinct = long.groupBy(*keys, "column", "sval", "dval").agg(
+        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
+    )
     probs = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = long.groupBy(*keys, "column").agg(
-        F.count_if(F.col(SIDE)).alias("n_reference"),
-        F.count_if(~F.col(SIDE)).alias("n_current"),
+    stats = distinct.groupBy(*keys, "column").agg(
+        F.sum("r").alias("n_reference"),
+        F.sum("c").alias("n_current"),
         F.percentile_approx("dval", probs, 2 * (1 << bits)).alias("bounds"),
     )
     bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
-    tagged = long.join(stats, [*keys, "column"]).select(
-        *keys, "column", SIDE, "sval", "dval", bucket.alias("bucket"), "n_reference", "n_current")
-    return tagged.groupBy(*keys, "column", "bucket", "sval", "dval").agg(
-        F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c"),
-        F.first("n_reference").alias("n_reference"), F.first("n_current").alias("n_current"),
-    )
+    return distinct.join(stats, [*keys, "column"]).select(
+        *keys, "column", bucket.alias("bucket"), "sval", "dval", "r", "c", "n_reference", "n_current")
 
 
 def psi_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
