@@ -22,6 +22,16 @@ KS_BUCKET_BITS = 8
 DEFAULT_KS_BUCKETS = 1 << KS_BUCKET_BITS
 
 
+def ks_buckets_for(rows: int, rows_per_bucket: int = 50_000, min_bits: int = 8, max_bits: int = 13) -> int:
+    """Number of KS value ranges for a sample of ``rows`` values: enough that
+    one range's window partition stays around ``rows_per_bucket`` rows,
+    between 2**min_bits and 2**max_bits."""
+    import math
+
+    bits = math.ceil(math.log2(max(rows, 1) / rows_per_bucket)) if rows > rows_per_bucket else 0
+    return 1 << min(max(bits, min_bits), max_bits)
+
+
 def bucket_of(bounds: Column, value: Column, bits: int) -> Column:
     """Number of ``bounds`` (sorted ascending, at most 2**bits - 1 of them)
     strictly below ``value``: a binary search in ``bits`` steps, monotone

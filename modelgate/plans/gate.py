@@ -91,6 +91,11 @@ class GateJob:
         typed.sortWithinPartitions(DATE_COLUMN).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def typed_rows(self) -> int:
+        """Row count of the typed table (parquet footers only when written)."""
+        return self.typed.count()
+
     @cached_property
     def bounds(self) -> tuple:
         """(test start, validation start) over the months of all raw rows
@@ -169,7 +174,8 @@ class GateJob:
         keys = ["model_name"]
         ref = self.rows_of("train")
         cur = self.rows_of("test")
-        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys))
+        buckets = D.ks_buckets_for(self.typed_rows)
+        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys, buckets=buckets))
 
     @cached_property
     def drift(self) -> DataFrame:
