@@ -556,7 +556,8 @@ def judge_context(df: DataFrame) -> DataFrame:
     worst = F.coalesce(F.col("segments_worst3"), F.array().cast(f"array<{SEGMENT_STRUCT}>"))
     lines = F.concat(
         _arr(F.lit("## Scenario Context\n"),
-             F.concat(F.lit("**Candidate Metrics**: RMSE="), thousands(F.col("rmse")), F.lit(", MAE="), thousands(F.col("mae")))),
+             F.concat(F.lit("**Candidate Metrics**: RMSE="), F.coalesce(thousands(F.col("rmse")), F.lit("N/A")),
+                      F.lit(", MAE="), F.coalesce(thousands(F.col("mae")), F.lit("N/A")))),
         F.when(champ, _arr(F.concat(F.lit("**Champion Metrics**: RMSE="), F.coalesce(thousands(F.col("champion_rmse")), F.lit("N/A")),
                                     F.lit(", MAE="), F.coalesce(thousands(F.col("champion_mae")), F.lit("N/A")))))
         .otherwise(_arr(F.lit("**Champion**: No champion exists"))),

@@ -69,7 +69,8 @@ def q_rows_to_json(spark, sf_dir):
 
 
 oracle("rows_to_json", [], """
-SELECT event_id, CAST(to_json({'event_id': event_id, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'user_id': user_id,
+SELECT event_id, CAST(to_json({'event_id': event_id, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END, 'user_id': user_id,
   'event_type': event_type, 'value': CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END, 'props': props}) AS VARCHAR) AS record
 FROM events""")
 

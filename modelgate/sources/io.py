@@ -158,7 +158,10 @@ def json_safe(df: DataFrame) -> list[Column]:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
         elif isinstance(f.dataType, T.TimestampType) or isinstance(f.dataType, T.TimestampNTZType):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            # isoformat(): the fraction is printed only when it is not zero
+            micros = F.date_format(c, "SSSSSS")
+            c = F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
+                         F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(f.name))
