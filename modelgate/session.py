@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -94,3 +95,30 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or df.sparkSession
     checkpoint_dir(spark, fallback=local_fallback(spark))
     return df.checkpoint(eager=True)
+
+
+def scale_conf(
+    input_bytes: int,
+    total_cores: int,
+    target_partition_bytes: int = 256 << 20,
+    max_shuffle_partitions: int = 100_000,
+) -> dict[str, str]:
+    """Partition settings for a run over ``input_bytes`` of parquet on
+    ``total_cores`` executor cores.
+
+    Scan splits are ``target_partition_bytes`` so a task's input fits in
+    executor memory. Shuffle partitions assume the shuffled bytes are about a
+    quarter of the scanned bytes (column pruning, map-side combining), i.e.
+    one partition per ~1 GB of input, at least two waves of the cluster and
+    at most ``max_shuffle_partitions`` (beyond that the map x reduce block
+    count dominates). AQE coalesces the small shuffles of model-level steps
+    and splits skewed join partitions above 4x the target.
+    """
+    wanted = -(-input_bytes // (4 * target_partition_bytes))
+    partitions = min(max_shuffle_partitions, max(2 * total_cores, wanted))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
