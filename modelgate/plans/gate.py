@@ -57,15 +57,15 @@ class GateJob:
     with_drift: bool = True
     materialize: bool = True
 
-    def _cut(self, df: DataFrame) -> DataFrame:
+    def _cut(self, df: DataFrame, name: str = "model_level") -> DataFrame:
         """Model-level results (versions x segments, columns) are tiny and
-        feed many later steps: checkpoint them into the shared checkpoint
+        feed many later steps: write them once to the shared checkpoint
         folder so no later plan re-inlines the source joins."""
         if not self.materialize:
             return df
         from modelgate.session import cut_lineage
 
-        return cut_lineage(df)
+        return cut_lineage(df, name=name)
 
     @property
     def spark(self) -> SparkSession:

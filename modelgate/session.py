@@ -89,12 +89,22 @@ def local_fallback(spark: SparkSession) -> str | None:
     return os.environ.get("MODELGATE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="modelgate-ckpt-")
 
 
-def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    local checkpoint: the data must survive the loss of an executor)."""
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None, name: str = "cut") -> DataFrame:
+    """Cut lineage by writing ``df`` as a parquet table in the shared
+    checkpoint folder and reading it back.
+
+    One job computes the rows once (an eager ``Dataset.checkpoint`` would run
+    the plan twice: once to count, once to write the checkpoint files). The
+    table lives on shared storage, so a lost executor only costs a re-read;
+    never a machine-local or in-memory-only checkpoint.
+    """
+    import uuid
+
     spark = spark or df.sparkSession
-    checkpoint_dir(spark, fallback=local_fallback(spark))
-    return df.checkpoint(eager=True)
+    base = checkpoint_dir(spark, fallback=local_fallback(spark))
+    path = os.path.join(base, "modelgate", name, uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scale_conf(
