@@ -90,3 +90,24 @@ def test_training_fits_and_scores(spark):
         F.sqrt(F.avg((F.col("resale_price") - F.lit(mean)) ** 2)).alias("mean"),
     ).first()
     assert 0 < on_train["model"] < on_train["mean"]
+
+
+def test_evaluation_tables_and_required_segments(spark, tmp_path):
+    j = gate_job(spark, SF0001)
+    paths = IO.persist_evaluation(j.scored.withColumn("split", F.lit("test")), j.overall, j.segments, str(tmp_path / "ev"))
+    segs = IO.load_segments(spark, paths["segments"], ["town", "flat_type"], required=True)
+    assert segs.select("segment_column").distinct().count() == 2
+    with pytest.raises(ValueError, match="missing for: storey_range"):
+        IO.load_segments(spark, paths["segments"], ["town", "storey_range"], required=True)
+
+
+def test_model_save_and_load(spark, tmp_path):
+    from modelgate.operators.train import load, save
+
+    prepared = train40(spark)
+    model = fit(prepared, overrides={"n_estimators": 3, "max_depth": 2}, checkpoint=False)
+    save(model, str(tmp_path / "model"))
+    again = load(str(tmp_path / "model"))
+    a = [r["prediction"] for r in score(model, prepared, keep=["sale_month"]).orderBy("sale_month").collect()]
+    b = [r["prediction"] for r in score(again, prepared, keep=["sale_month"]).orderBy("sale_month").collect()]
+    assert a == b
