@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelgate.functions.stats import ks_pvalue, psi_term
+from modelgate.functions.stats import ks_exact_pvalue, ks_pvalue, psi_term
 from modelgate.schema import DEFAULT_KS_ALPHA, DEFAULT_PSI_THRESHOLD, PSI_EPSILON
 
 SIDE = "__is_reference"
@@ -207,6 +207,15 @@ def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def with_ks_pvalue(ks: DataFrame) -> DataFrame:
+    """Add ``p_value``: exact two-sample distribution when both samples have
+    at most 10 000 values (lattice-path count, one evaluation per drift row),
+    else the asymptotic Kolmogorov series."""
+    exact = ks_exact_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    series = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    return ks.withColumn("p_value", F.coalesce(exact, series))
+
+
 def ks_statistics(
     reference: DataFrame,
     current: DataFrame,
@@ -239,16 +248,15 @@ def numeric_drift(
     columns = _present(reference, current, columns)
     if not columns:
         return _empty_drift(reference, keys)
-    ks = ks_statistics(reference, current, columns, keys, buckets)
-    p = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    ks = with_ks_pvalue(ks_statistics(reference, current, columns, keys, buckets))
     return ks.select(
         *keys,
         "column",
         F.lit("ks").alias("drift_type"),
         "statistic",
         F.lit(float(ks_alpha)).alias("threshold"),
-        p.alias("p_value"),
-        (p < ks_alpha).alias("is_drifted"),
+        "p_value",
+        (F.col("p_value") < ks_alpha).alias("is_drifted"),
         _ordinal(columns, ord_offset).alias("ord"),
     )
 
@@ -292,11 +300,10 @@ def drift_report(
         F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > psi_threshold).alias("is_drifted"),
         _ordinal(cat).alias("ord") if cat else F.lit(0).alias("ord"),
     )
-    ks = ks_from_counts(counts, keys)
-    p = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    ks = with_ks_pvalue(ks_from_counts(counts, keys))
     ks_rows = ks.select(
         *keys, "column", F.lit("ks").alias("drift_type"), "statistic", F.lit(float(ks_alpha)).alias("threshold"),
-        p.alias("p_value"), (p < ks_alpha).alias("is_drifted"),
+        "p_value", (F.col("p_value") < ks_alpha).alias("is_drifted"),
         _ordinal(num, len(cat)).alias("ord") if num else F.lit(0).alias("ord"),
     )
     if not cat:

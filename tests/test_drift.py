@@ -101,3 +101,25 @@ def test_combined_report_order_and_flag(spark):
     summary = drift_summary(rep).first()
     assert summary["overall_drift_detected"] is False
     assert [c["column"] for c in summary["column_results"]] == ["town", "floor_area_sqm"]
+
+
+def test_exact_pvalue_small_samples_matches_permutations(spark):
+    import itertools
+
+    from modelgate.functions.stats import ks_exact_pvalue_py
+
+    a, b = [1.0, 2.5, 3.1, 7.0], [0.5, 4.0, 4.2, 8.0, 9.5]
+    x = a + b
+
+    def d_of(idx):
+        s1 = sorted(x[i] for i in idx)
+        s2 = sorted(x[i] for i in range(len(x)) if i not in idx)
+        return brute_ks(s1, s2)
+
+    d0 = brute_ks(a, b)
+    combos = list(itertools.combinations(range(len(x)), len(a)))
+    perm_p = sum(d_of(c) >= d0 - 1e-12 for c in combos) / len(combos)
+    assert ks_exact_pvalue_py(d0, len(a), len(b)) == pytest.approx(perm_p)
+    row = numeric_drift(frame(spark, "x", a, "double"), frame(spark, "x", b, "double"), ["x"]).first()
+    assert row["p_value"] == pytest.approx(perm_p)
+    assert ks_exact_pvalue_py(0.1, 20000, 5) is None
