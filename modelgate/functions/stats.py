@@ -81,9 +81,16 @@ def ks_exact_pvalue(d: Column, n: Column, m: Column) -> Column:
     """Arrow-batched exact p-value; null when a sample exceeds
     EXACT_KS_MAX_N (the caller then uses the asymptotic series). Meant for
     drift rows (one row per column), never for data rows."""
+    import sys
+
     import pandas as pd
+    from pyspark import cloudpickle
     from pyspark.sql.functions import pandas_udf
 
+    # Ship this module's code with the UDF: executors need numpy and pandas,
+    # not an installed copy of this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
     def _exact(d, n, m):
         return pd.Series([ks_exact_pvalue_py(float(a), int(b), int(c)) if pd.notna(a) else None
                           for a, b, c in zip(d, n, m)], dtype="float64")
