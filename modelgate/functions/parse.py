@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,19 @@ _NUMBER_PATTERN = (
 # Every character Python's str.strip() removes (derived from the rule, not
 # listed by hand).
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+# The same set as a Java regex class (\uXXXX escapes).
+WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE) + "]"
+# Unicode decimal digits (Python's \d and float() accept them) and their
+# ASCII values, generated from the Unicode database.
+_UNICODE_DIGITS = "".join(
+    ch for ch in map(chr, range(0x80, 0x10000)) if unicodedata.category(ch) == "Nd" and unicodedata.digit(ch, None) is not None
+)
+_ASCII_DIGITS = "".join(str(unicodedata.digit(ch)) for ch in _UNICODE_DIGITS)
+
+
+def ascii_digits(c: Column) -> Column:
+    """Map every Unicode decimal digit to its ASCII digit."""
+    return F.translate(c, _UNICODE_DIGITS, _ASCII_DIGITS)
 
 
 def strip(c: Column) -> Column:
@@ -43,13 +58,13 @@ def parse_month(c: Column) -> Column:
 def lease_years(c: Column) -> Column:
     """Remaining lease text ("61 years 04 months", "72 years", "5 months",
     "61.5") to years; unparseable or blank text gives null."""
-    return lease_years_normalized(F.lower(strip(c.cast("string"))))
+    return lease_years_normalized(ascii_digits(F.lower(strip(c.cast("string")))))
 
 
 def lease_years_normalized(text: Column) -> Column:
     """``lease_years`` of text already lower-cased and stripped."""
-    years = F.regexp_extract(text, r"(\d+)\s+year", 1)
-    months = F.regexp_extract(text, r"(\d+)\s+month", 1)
+    years = F.regexp_extract(text, rf"(\d+){WS_CLASS}+year", 1)
+    months = F.regexp_extract(text, rf"(\d+){WS_CLASS}+month", 1)
     has_unit = (years != "") | (months != "")
     by_unit = F.coalesce(F.nullif(years, F.lit("")).try_cast("double"), F.lit(0.0)) + (
         F.coalesce(F.nullif(months, F.lit("")).try_cast("double"), F.lit(0.0)) / 12.0
@@ -57,14 +72,14 @@ def lease_years_normalized(text: Column) -> Column:
     return (
         F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
         .when(has_unit, by_unit)
-        .otherwise(to_number(text))
+        .otherwise(to_number(F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")))
     )
 
 
 def storey_midpoint(c: Column) -> Column:
     """Storey range text ("04 TO 06") to the midpoint of its first two numbers;
     one number gives itself, none gives null."""
-    return storey_midpoint_normalized(F.upper(strip(c.cast("string"))))
+    return storey_midpoint_normalized(ascii_digits(F.upper(strip(c.cast("string")))))
 
 
 def storey_midpoint_normalized(text: Column) -> Column:

@@ -35,8 +35,8 @@ def _numeric(df: DataFrame, name: str) -> Column:
 def _normalized_columns(df: DataFrame) -> dict[str, Column]:
     """Stage 1: coerce numbers, parse the month, normalise free text."""
     require_columns(df, ["month"], "raw dataset")
-    lease = F.lower(P.strip(F.col("remaining_lease").cast("string"))) if "remaining_lease" in df.columns \
-        else F.lit(None).cast("string")
+    lease = P.ascii_digits(F.lower(P.strip(F.col("remaining_lease").cast("string")))) \
+        if "remaining_lease" in df.columns else F.lit(None).cast("string")
     return {
         DATE_COLUMN: P.parse_month(F.col("month")),
         TARGET_COLUMN: _numeric(df, TARGET_COLUMN),
@@ -44,7 +44,7 @@ def _normalized_columns(df: DataFrame) -> dict[str, Column]:
         "floor_area_sqm": _numeric(df, "floor_area_sqm"),
         "__lease_start": _numeric(df, "lease_commence_date"),
         "__lease_text": lease,
-        "__storey_text": F.upper(P.strip(F.col("storey_range").cast("string"))),
+        "__storey_text": P.ascii_digits(F.upper(P.strip(F.col("storey_range").cast("string")))),
     }
 
 

@@ -118,3 +118,26 @@ def test_feature_schema_roles(spark):
     assert roles["sale_month"] == "date"
     assert roles["town"] == "categorical_feature"
     assert roles["storey_midpoint"] == "numeric_feature"
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("６１ years ０４ months", 61 + 4 / 12),
+        ("61 years", 61.0),
+        ("1_000", 1000.0),
+        ("1__000", None),
+        ("_1000", None),
+    ],
+)
+def test_lease_years_unicode_and_underscores(spark, text, expected):
+    got = one(spark, P.lease_years, text)
+    if expected is None:
+        assert got is None
+    else:
+        assert got == pytest.approx(expected)
+
+
+def test_storey_unicode_digits_and_numbers_keep_pandas_rules(spark):
+    assert one(spark, P.storey_midpoint, "０４ TO ０６") == 5.0
+    assert one(spark, P.to_number, "1_000") is None
