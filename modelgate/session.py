@@ -24,7 +24,19 @@ DEFAULT_CONF = {
     "spark.ui.retainedJobs": "100",
     "spark.ui.retainedStages": "100",
 }
-LOCAL_DRIVER_MEMORY = "12g"
+def local_driver_memory(cap_gb: int = 12) -> str:
+    """Heap for a local-mode driver: half of the machine's (or container's)
+    memory, at least 2 GB and at most ``cap_gb``."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    try:
+        with open("/sys/fs/cgroup/memory.max") as f:
+            limit = f.read().strip()
+        if limit.isdigit():
+            total = min(total, int(limit))
+    except OSError:
+        pass
+    gb = max(2, min(cap_gb, int(total / 2 / (1 << 30))))
+    return f"{gb}g"
 
 
 def get_spark(
@@ -43,7 +55,7 @@ def get_spark(
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", LOCAL_DRIVER_MEMORY)
+        conf.setdefault("spark.driver.memory", local_driver_memory())
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

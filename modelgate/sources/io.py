@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.schema import CSV_NA_TOKENS, RAW_COLUMNS, RAW_SCHEMA
+from modelgate.schema import CSV_NA_TOKENS, RAW_COLUMNS
 
 MANIFEST_DDL = "name string, path string, record_count bigint, pulled_at timestamp, source string"
 
