@@ -28,7 +28,7 @@ def _special(x: Column, text: Column) -> Column:
 
 
 def _signed(text: Column) -> Column:
-    return F.when(text.startswith("-") | text.isin("nan"), text).otherwise(F.concat(F.lit("+"), text))
+    return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text))
 
 
 def thousands(x: Column) -> Column:

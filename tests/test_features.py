@@ -141,3 +141,35 @@ def test_lease_years_unicode_and_underscores(spark, text, expected):
 def test_storey_unicode_digits_and_numbers_keep_pandas_rules(spark):
     assert one(spark, P.storey_midpoint, "０４ TO ０６") == 5.0
     assert one(spark, P.to_number, "1_000") is None
+
+
+def test_python_number_formats(spark):
+    from modelgate.functions import text as X
+
+    vals = [1234567.5, 2.5, -0.4, 0.125, float("nan"), float("inf"), -1234.4, 0.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(X.thousands(F.col("x")), X.signed_thousands(F.col("x")), X.percent(F.col("x")),
+                    X.signed_percent(F.col("x")), X.percent(F.col("x"), 0), X.fixed(F.col("x"), 4)).collect()
+    for v, row in zip(vals, got):
+        assert tuple(row) == (f"{v:,.0f}", f"{v:+,.0f}", f"{v:.1%}", f"{v:+.1%}", f"{v:.0%}", f"{v:.4f}"), v
+
+
+def test_number_formats_match_python_on_random_doubles(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from modelgate.functions import text as X
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.one_of(st.floats(-1e9, 1e9, allow_nan=False),
+                              st.integers(-10**6, 10**6).map(lambda i: i / 8),
+                              st.integers(-10**5, 10**5).map(lambda i: i / 1000 + 0.0005)), min_size=50, max_size=50))
+    def check(vals):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        rows = df.select("x", X.thousands(F.col("x")), X.signed_thousands(F.col("x")), X.percent(F.col("x")),
+                         X.signed_percent(F.col("x")), X.fixed(F.col("x"), 4)).collect()
+        for r in rows:
+            v = r[0]
+            assert tuple(r[1:]) == (f"{v:,.0f}", f"{v:+,.0f}", f"{v:.1%}", f"{v:+.1%}", f"{v:.4f}")
+
+    check()
