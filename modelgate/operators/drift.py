@@ -142,7 +142,7 @@ def _value_long(reference: DataFrame, current: DataFrame, categorical: list[str]
 
 def value_counts(
     reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str], keys: list[str] = (),
-    buckets: int = DEFAULT_KS_BUCKETS,
+    buckets: int = DEFAULT_KS_BUCKETS, materialize: bool = False,
 ) -> DataFrame:
     """(keys, column, bucket, sval, dval, r, c, n_reference, n_current).
 
@@ -160,6 +160,12 @@ def value_counts(
     distinct = long.groupBy(*keys, "column", "sval", "dval").agg(
         F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
     )
+    if materialize:
+        # Written once to the shared checkpoint folder: the statistics and the
+        # range windows below both read it, so the samples are read once.
+        from modelgate.session import cut_lineage
+
+        distinct = cut_lineage(distinct, name="drift_value_counts")
     probs = [i / (1 << bits) for i in range(1, 1 << bits)]
     stats = distinct.groupBy(*keys, "column").agg(
         F.sum("r").alias("n_reference"),
@@ -279,6 +285,7 @@ def drift_report(
     ks_alpha: float = DEFAULT_KS_ALPHA,
     keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
+    materialize: bool = False,
 ) -> DataFrame:
     """Categorical (PSI) rows then numeric (KS) rows; ``ord`` gives report
     order. Both come from one shared value-count aggregate. Columns missing
@@ -289,7 +296,7 @@ def drift_report(
     num = _present(reference, current, numeric_columns)
     if not cat and not num:
         return _empty_drift(reference, keys)
-    counts = value_counts(reference, current, cat, num, keys, buckets)
+    counts = value_counts(reference, current, cat, num, keys, buckets, materialize)
     psi = psi_from_counts(counts, keys)
     if not keys and cat:
         spark = reference.sparkSession

@@ -175,7 +175,8 @@ class GateJob:
         ref = self.rows_of("train")
         cur = self.rows_of("test")
         buckets = D.ks_buckets_for(self.typed_rows)
-        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys, buckets=buckets))
+        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys, buckets=buckets,
+                                        materialize=self.materialize))
 
     @cached_property
     def drift(self) -> DataFrame:
