@@ -1,9 +1,9 @@
 """Distribution drift between a reference and a current sample.
 
 Categorical columns: Population Stability Index. Numeric columns: two-sample
-Kolmogorov-Smirnov statistic and p-value. All columns of a kind are measured
+Kolmogorov-Smirnov statistic and p-value. All monitored columns are measured
 in one job: both samples are tagged with a side flag, unioned (no shuffle),
-unpivoted to ``(keys, column, value, side)`` and aggregated once per
+unpivoted to ``(keys, column, value, side)`` and counted once per distinct
 ``(keys, column, value)``. A value that holds a third of all rows is
 pre-aggregated map-side into one row per task, so skew never reaches a
 single reducer.
@@ -49,34 +49,10 @@ def _present(reference: DataFrame, current: DataFrame, columns) -> list[str]:
     return [c for c in columns if c in reference.columns and c in current.columns]
 
 
-def _tagged_long(
-    reference: DataFrame, current: DataFrame, columns: list[str], keys: list[str], value_type: str
-) -> DataFrame:
-    def side(df: DataFrame, is_ref: bool) -> DataFrame:
-        return df.select(*keys, *[F.col(c).cast(value_type).alias(c) for c in columns], F.lit(is_ref).alias(SIDE))
-
-    both = side(reference, True).unionByName(side(current, False))
-    return both.unpivot([*keys, SIDE], columns, "column", "value")
-
-
 def _ordinal(columns: list[str], offset: int = 0) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int") + offset - 1
 
 
-def category_counts(
-    reference: DataFrame, current: DataFrame, columns: list[str], keys: list[str] = ()
-) -> DataFrame:
-    """(keys, column, value, ref_count, cur_count) over the union of
-    categories; nulls are not categories but keep the column present."""
-    keys = list(keys)
-    long = _tagged_long(reference, current, columns, keys, "string")
-    nn = F.col("value").isNotNull()
-    return long.groupBy(*keys, "column", "value").agg(
-        F.count_if(F.col(SIDE) & nn).alias("ref_count"),
-        F.count_if(~F.col(SIDE) & nn).alias("cur_count"),
-    )
-
-
 def categorical_drift(
     reference: DataFrame,
     current: DataFrame,
@@ -87,40 +63,7 @@ def categorical_drift(
     """One PSI row per column: sum over categories of (cur% - ref%) ln(cur%/ref%)
     with each % floored at 1e-4 (not renormalised); 0.0 when either side has
     no values; drifted when psi > threshold."""
-    keys = list(keys)
-    columns = _present(reference, current, columns)
-    if not columns:
-        return _empty_drift(reference, keys)
-    counts = category_counts(reference, current, columns, keys)
-    if not keys:
-        # A column present in both samples gets a row even with no rows at all.
-        spark = reference.sparkSession
-        sentinel = spark.createDataFrame([(c,) for c in columns], "column string").select(
-            "column", F.lit(None).cast("string").alias("value"),
-            F.lit(0).cast("long").alias("ref_count"), F.lit(0).cast("long").alias("cur_count"),
-        )
-        counts = counts.unionByName(sentinel)
-    totals = counts.groupBy(*keys, "column").agg(
-        F.sum("ref_count").alias("ref_total"), F.sum("cur_count").alias("cur_total")
-    )
-    ref_pct = F.greatest(F.col("ref_count") / F.col("ref_total"), F.lit(PSI_EPSILON))
-    cur_pct = F.greatest(F.col("cur_count") / F.col("cur_total"), F.lit(PSI_EPSILON))
-    usable = F.col("value").isNotNull() & (F.col("ref_total") > 0) & (F.col("cur_total") > 0)
-    psi = (
-        counts.join(totals, [*keys, "column"])
-        .groupBy(*keys, "column")
-        .agg(F.coalesce(F.sum(F.when(usable, psi_term(ref_pct, cur_pct))), F.lit(0.0)).alias("statistic"))
-    )
-    return psi.select(
-        *keys,
-        "column",
-        F.lit("psi").alias("drift_type"),
-        "statistic",
-        F.lit(float(psi_threshold)).alias("threshold"),
-        F.lit(None).cast("double").alias("p_value"),
-        (F.col("statistic") > psi_threshold).alias("is_drifted"),
-        _ordinal(columns).alias("ord"),
-    )
+    return drift_report(reference, current, columns, [], psi_threshold=psi_threshold, keys=keys)
 
 
 def _value_long(reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str],
@@ -246,25 +189,10 @@ def numeric_drift(
     ks_alpha: float = DEFAULT_KS_ALPHA,
     keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
-    ord_offset: int = 0,
 ) -> DataFrame:
     """One KS row per column with values on both sides; drifted when
     p < alpha. ``threshold`` holds alpha."""
-    keys = list(keys)
-    columns = _present(reference, current, columns)
-    if not columns:
-        return _empty_drift(reference, keys)
-    ks = with_ks_pvalue(ks_statistics(reference, current, columns, keys, buckets))
-    return ks.select(
-        *keys,
-        "column",
-        F.lit("ks").alias("drift_type"),
-        "statistic",
-        F.lit(float(ks_alpha)).alias("threshold"),
-        "p_value",
-        (F.col("p_value") < ks_alpha).alias("is_drifted"),
-        _ordinal(columns, ord_offset).alias("ord"),
-    )
+    return drift_report(reference, current, [], columns, ks_alpha=ks_alpha, keys=keys, buckets=buckets)
 
 
 def _empty_drift(like: DataFrame, keys: list[str]) -> DataFrame:
