@@ -494,17 +494,39 @@ def render_markdown(report: Column) -> Column:
 SCORE_PATTERN = r"\b(completeness|accuracy|actionability|safety)\s*[:=]\s*(\d+)\b"
 
 
+def _json_kind(text: Column) -> Column:
+    """Python type name of a whole-text JSON value ('dict', 'list', 'int',
+    'float', 'bool', 'NoneType', 'str'), or null when the text is not JSON."""
+    t = strip_text(text)
+    as_map = F.from_json(text, "map<string,string>", _JSON_OPTS)
+    as_list = F.from_json(text, "array<string>", _JSON_OPTS)
+    return (
+        F.when(as_map.isNotNull() & t.startswith("{"), F.lit("dict"))
+        .when(as_list.isNotNull() & t.startswith("["), F.lit("list"))
+        .when(t.rlike(r"^-?(0|[1-9]\d*)$"), F.lit("int"))
+        .when(t.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$") | t.isin("NaN", "Infinity", "-Infinity"), F.lit("float"))
+        .when(t.isin("true", "false"), F.lit("bool"))
+        .when(t == "null", F.lit("NoneType"))
+        .when(t.rlike(r'^"([^"\\]|\\.)*"$'), F.lit("str"))
+    )
+
+
 def judge_scores(text: Column) -> Column:
     """struct(completeness, accuracy, actionability, safety (ints), average,
-    error). Accepts a JSON object (numbers, integral floats or digit
-    strings) or ``name: n`` / ``name=n`` text; all four are required."""
+    error). A JSON object (numbers, integral floats or digit strings) is read
+    directly; any other JSON value is an error naming its type; text that is
+    not JSON is scanned for ``name: n`` / ``name=n`` (last one wins). All
+    four scores are required."""
+    from modelgate.functions.parse import ascii_digits
+
     keys = JUDGE_SCORE_KEYS
+    kind = _json_kind(text)
     as_map = F.from_json(text, "map<string,string>", _JSON_OPTS)
     as_num = F.from_json(text, "struct<" + ", ".join(f"{k}: double" for k in keys) + ">", _JSON_OPTS)
     names = F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 1)
     values = F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 2)
     pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-    is_json = as_map.isNotNull()
+    is_json = kind == "dict"
     any_match = F.size(names) > 0
 
     def last_match(k):
@@ -515,17 +537,30 @@ def judge_scores(text: Column) -> Column:
     for k in keys:
         raw = F.try_element_at(as_map, F.lit(k))
         num = as_num[k]
+        digits = ascii_digits(strip_text(raw))
         from_json_ok = F.when(num.isNotNull(), F.when(num == F.floor(num), num.cast("bigint")))
-        from_json_ok = F.coalesce(from_json_ok, F.when(num.isNull() & strip_text(raw).rlike(r"^\d+$"), strip_text(raw).cast("bigint")))
+        from_json_ok = F.coalesce(from_json_ok, F.when(num.isNull() & digits.rlike(r"^\d+$"), digits.cast("bigint")))
         value = F.when(is_json, from_json_ok).otherwise(last_match(k).cast("bigint"))
-        present = F.when(is_json, raw.isNotNull() | F.lit(False)).otherwise(last_match(k).isNotNull())
+        present = F.when(is_json, F.map_contains_key(as_map, F.lit(k))).otherwise(last_match(k).isNotNull())
         fields.append(value.cast("int").alias(k))
-        kind = F.when(F.lower(raw).isin("true", "false") & num.isNull(), F.lit("bool")).otherwise(F.lit("str"))
+        raw_text = strip_text(raw)
+        value_kind = (
+            F.when(raw.isNull(), F.lit("NoneType"))
+            .when(num.isNotNull(), F.lit("float"))
+            .when(F.lower(raw).isin("true", "false"), F.lit("bool"))
+            .when(raw_text.startswith("{"), F.lit("dict"))
+            .when(raw_text.startswith("["), F.lit("list"))
+            .otherwise(F.lit("str"))
+        )
         errors.append(
             F.when(~present, F.lit(f"Judge feedback missing required key '{k}'"))
-            .when(value.isNull(), F.concat(F.lit(f"Judge score for '{k}' must be an integer, got "), kind))
+            .when(value.isNull(), F.concat(F.lit(f"Judge score for '{k}' must be an integer, got "), value_kind))
         )
-    shape_error = F.when(~is_json & ~any_match, F.lit("Judge feedback value must be a dict or JSON object string, got str"))
+    shape_error = (
+        F.when(kind.isNotNull() & (kind != "dict"),
+               F.concat(F.lit("Judge feedback value must be a dict or JSON object string, got "), kind))
+        .when(kind.isNull() & ~any_match, F.lit("Judge feedback value must be a dict or JSON object string, got str"))
+    )
     error = F.coalesce(shape_error, *errors)
     s = F.struct(*fields)
     average = (s["completeness"] + s["accuracy"] + s["actionability"] + s["safety"]) / 4.0

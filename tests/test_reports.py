@@ -162,3 +162,23 @@ def test_final_message_and_trace(spark):
 def test_message_text_parts(spark):
     df = spark.createDataFrame([('["a", {"type": "text", "text": "b"}, {"type": "image"}]',), ("  plain ",)], "c string")
     assert [r[0] for r in df.select(K.message_text(F.col("c"))).collect()] == ["ab", "plain"]
+
+
+@pytest.mark.parametrize(
+    "text,error",
+    [
+        ('["completeness: 4", "accuracy: 4", "actionability: 4", "safety: 4"]',
+         "Judge feedback value must be a dict or JSON object string, got list"),
+        ("5", "Judge feedback value must be a dict or JSON object string, got int"),
+        ("true", "Judge feedback value must be a dict or JSON object string, got bool"),
+        ('{"completeness": 4.5, "accuracy": 5, "actionability": 3, "safety": 5}',
+         "Judge score for 'completeness' must be an integer, got float"),
+        ('{"completeness": null, "accuracy": 5, "actionability": 3, "safety": 5}',
+         "Judge score for 'completeness' must be an integer, got NoneType"),
+        ('{"completeness": "four", "accuracy": 5, "actionability": 3, "safety": 5}',
+         "Judge score for 'completeness' must be an integer, got str"),
+    ],
+)
+def test_judge_non_object_json_is_an_error(spark, text, error):
+    r = spark.createDataFrame([(text,)], "t string").select(K.judge_scores(F.col("t")).alias("s")).first()["s"]
+    assert r["error"] == error
