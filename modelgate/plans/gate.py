@@ -4,10 +4,12 @@ raw rows -> chronological split -> features -> scored rows per version ->
 one grouping-sets evaluation -> champion from the registry -> overall and
 segment comparison -> drift (train vs test) -> policy verdict per candidate.
 
-All observation-level work happens in three scans of the source: scoring
-(test months only; the split bound reaches the scan), drift (train and test
-months) and the distinct-month list. Everything after the aggregates is
-model-level (versions x segments) and small.
+The source joins and feature parsing run once: typed rows are written to
+the shared checkpoint folder, and every observation-level step reads that
+table — the month list for the split bounds, scoring (test months only, as a
+pushed month-range filter), drift (train and test months) and per-split
+metrics. Everything after those aggregates is model-level (versions x
+segments) and small, and is written once before later steps reuse it.
 """
 
 from __future__ import annotations

@@ -138,3 +138,23 @@ def test_queries_run_on_smallest_scale(spark, name):
     import __spark_entry__ as E
 
     assert E.queries()[name](spark, SF0001).count() >= 0
+
+
+def test_gate_with_registry_runs_overrides_and_no_drift(spark):
+    from modelgate.plans.gate import GateJob, champion_alias
+    from modelgate.sources import adapters as A
+    from modelgate.sources.tables import Tables
+
+    t = Tables(spark, SF0001)
+    runs = spark.createDataFrame(
+        [(A.MODEL_NAME, "1", "r1", T0, {}, {"test_rmse": 1.0, "test_mae": 1.0})], R.RUNS_DDL)
+    job = GateJob(raw=A.raw_sales_with_predictions(t), predictions=A.prediction_columns(), model_name=A.MODEL_NAME,
+                  alias_events=champion_alias(spark, A.MODEL_NAME, "1"), runs=runs,
+                  thresholds={"max_rmse_regression_pct": 1e9, "max_segment_rmse_regression_pct": 1e9}, with_drift=False)
+    v = {r["model_version"]: r for r in job.verdicts.collect()}
+    assert set(v) == {"2", "3", "4"}
+    for r in v.values():
+        assert r["champion_rmse"] == 1.0 and r["has_champion"]
+        assert "drift_check_skipped" in r["checks_passed"]
+        assert "champion_rmse_regression" in r["checks_passed"]
+        assert r["decision"] == "PROMOTE"
