@@ -11,7 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from modelgate.schema import CHECK_LABELS
+import re
+
+from modelgate.fixed import CHECK_LABELS
+
+_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A fixed-text template with ``{name}`` placeholders filled by columns
+    (null if any filled value is null)."""
+    parts, pos = [], 0
+    for m in _PLACEHOLDER.finditer(template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(values[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 # Whitespace as Python's str.split() sees it.
 _WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"

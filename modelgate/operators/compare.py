@@ -13,12 +13,8 @@ from pyspark.sql import functions as F
 
 from modelgate.schema import DEFAULT_SEGMENT_COLUMNS
 
-MISSING_SEGMENTS_ERROR = (
-    "Promotion blocked because candidate segment metrics are unavailable for champion comparison."
-)
-CHAMPION_LOOKUP_ERROR = (
-    "Promotion blocked because champion evidence could not be loaded from MLflow: {detail}"
-)
+from modelgate.fixed import CHAMPION_LOOKUP_ERROR, MISSING_SEGMENTS_ERROR  # noqa: E402
+from modelgate.functions.text import fill  # noqa: E402
 
 
 def metric_deltas(candidate: Column, champion: Column) -> tuple[Column, Column]:
@@ -102,10 +98,7 @@ def evidence_errors(
     lookup_msg = F.lit(None).cast("string")
     if lookup_errors is not None:
         out = out.join(lookup_errors.select("model_name", F.col("detail").alias("__lookup")), "model_name", "left")
-        lookup_msg = F.when(
-            F.col("__lookup").isNotNull(),
-            F.concat(F.lit(CHAMPION_LOOKUP_ERROR.split("{detail}")[0]), F.col("__lookup")),
-        )
+        lookup_msg = F.when(F.col("__lookup").isNotNull(), fill(CHAMPION_LOOKUP_ERROR, detail=F.col("__lookup")))
     missing = F.when(F.col("has_champion") & F.col("__has_seg").isNull(), F.lit(MISSING_SEGMENTS_ERROR))
     errors = F.filter(F.array(lookup_msg, missing), lambda x: x.isNotNull())
     return out.select(*pairs.columns, errors.alias("evidence_errors"))

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelgate.functions.text import percent, signed_percent, thousands
+from modelgate import fixed as T
+from modelgate.functions.text import fill, percent, signed_percent, thousands
 from modelgate.operators.common import top_k_per_group
-from modelgate.schema import (
+from modelgate.fixed import (
     DECISION_MANUAL_REVIEW,
     DECISION_PROMOTE,
     DECISION_REJECT,
     DEFAULT_THRESHOLDS,
-    NO_CHAMPION_REASON,
     REVIEW_STATUS_AUTO_REJECTED,
     REVIEW_STATUS_PENDING,
 )
@@ -56,7 +56,7 @@ def segment_regressions(deltas: DataFrame, thresholds: DataFrame) -> DataFrame:
     first = top_k_per_group(
         offenders, ["model_name", "model_version"], [F.col("ord")], MAX_LISTED_SEGMENTS
     )
-    label = F.concat(F.col("segment_column"), F.lit("="), F.col("segment_value"), F.lit(" ("), signed_percent(pct), F.lit(")"))
+    label = fill(T.SEGMENT_REASON_ITEM, column=F.col("segment_column"), value=F.col("segment_value"), pct=signed_percent(pct))
     labels = first.groupBy("model_name", "model_version").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))), lambda s: s["label"]).alias(
             "segment_regression_labels"
@@ -100,16 +100,16 @@ def verdict_columns() -> dict[str, Column]:
 
     reasons = F.concat(
         _present(
-            F.when(fail_rmse, F.concat(F.lit("Test RMSE "), thousands(rmse), F.lit(" exceeds maximum threshold "), thousands(t_rmse))),
-            F.when(fail_mae, F.concat(F.lit("Test MAE "), thousands(mae), F.lit(" exceeds maximum threshold "), thousands(t_mae))),
+            F.when(fail_rmse, fill(T.REASON_RMSE, rmse=thousands(rmse), limit=thousands(t_rmse))),
+            F.when(fail_mae, fill(T.REASON_MAE, mae=thousands(mae), limit=thousands(t_mae))),
         ),
         issues,
         _present(
-            F.when(fail_champ, F.concat(F.lit("Candidate RMSE is "), percent(pct, 1), F.lit(" worse than champion (threshold: "), percent(t_reg, 0), F.lit(")"))),
-            F.when(fail_seg, F.concat(F.lit("Segment RMSE regressions exceed "), percent(t_seg, 0), F.lit(": "),
-                                      F.array_join(F.col("segment_regression_labels"), ", "))),
-            F.when(skipped, F.lit(NO_CHAMPION_REASON)),
-            F.when(fail_drift, F.concat(F.lit("Data drift detected in: "), F.array_join(F.col("drifted_columns"), ", "))),
+            F.when(fail_champ, fill(T.REASON_CHAMPION, pct=percent(pct, 1), limit=percent(t_reg, 0))),
+            F.when(fail_seg, fill(T.REASON_SEGMENTS, limit=percent(t_seg, 0),
+                                  segments=F.array_join(F.col("segment_regression_labels"), ", "))),
+            F.when(skipped, F.lit(T.NO_CHAMPION_REASON)),
+            F.when(fail_drift, fill(T.REASON_DRIFT, columns=F.array_join(F.col("drifted_columns"), ", "))),
         ),
     )
     failed = _present(

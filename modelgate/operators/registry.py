@@ -13,6 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelgate.fixed import (
+    AUTO_REJECT_ACTION,
+    BAD_DECISION_ERROR,
+    CHAMPION_RUN_ERROR,
+    DEFAULT_REJECT_REASON,
+    PENDING_ACTION,
+    REVIEW_COMPLETED,
+    REVIEW_NOT_FOUND,
+)
+from modelgate.functions.text import fill
 from modelgate.functions.text import review_id as review_id_expr
 from modelgate.operators.common import top_k_per_group
 from modelgate.schema import (
@@ -33,14 +43,6 @@ ALIAS_EVENTS_DDL = "model_name string, alias string, model_version string, ts ti
 TAG_EVENTS_DDL = "model_name string, model_version string, key string, value string, ts timestamp, seq bigint"
 
 HISTORY_TAGS = ["promotion_status", "policy_verdict", "decision_source", "rejection_reasons"]
-CHAMPION_RUN_ERROR = "MLflow could not load the backing run for champion model '{name}' version {version}."
-AUTO_REJECT_ACTION = (
-    "Policy already rejected this candidate. Optionally confirm or override with "
-    "resume_promotion_review(review_id, 'approve'|'reject')."
-)
-PENDING_ACTION = "Resume this review with approve or reject."
-DEFAULT_REJECT_REASON = "Rejected by human reviewer"
-BAD_DECISION_ERROR = "Decision must be either 'approve' or 'reject'."
 
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
@@ -90,10 +92,7 @@ def current_champion(alias_events: DataFrame, runs: DataFrame) -> DataFrame:
                     test_metrics(F.col("metrics")).alias("m"))
     joined = champ.join(r, ["model_name", "champion_version"], "left")
     missing = F.col("run_id").isNull()
-    err = F.concat(
-        F.lit("MLflow could not load the backing run for champion model '"), F.col("model_name"),
-        F.lit("' version "), F.col("champion_version"), F.lit("."),
-    )
+    err = fill(CHAMPION_RUN_ERROR, model=F.col("model_name"), version=F.col("champion_version"))
     return joined.select(
         "model_name",
         "champion_version",
@@ -315,9 +314,8 @@ def resume_reviews(reviews: DataFrame, decisions: DataFrame) -> dict[str, DataFr
     valid_word = F.col("human_decision").isin("approve", "reject")
     error = (
         F.when(~valid_word, F.lit(BAD_DECISION_ERROR))
-        .when(F.col("status").isNull(), F.concat(F.lit("Review '"), F.col("review_id"), F.lit("' was not found.")))
-        .when((F.col("status") == REVIEW_STATUS_COMPLETED) | (F.col("__n") > 1),
-              F.concat(F.lit("Review '"), F.col("review_id"), F.lit("' is already completed.")))
+        .when(F.col("status").isNull(), fill(REVIEW_NOT_FOUND, review_id=F.col("review_id")))
+        .when((F.col("status") == REVIEW_STATUS_COMPLETED) | (F.col("__n") > 1), fill(REVIEW_COMPLETED, review_id=F.col("review_id")))
     )
     j = j.withColumn("error", error)
     ok = j.where(F.col("error").isNull())

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelgate import fixed as T
 from modelgate.functions.text import (
     baseline_wording,
+    fill,
     fixed,
     humanize_checks,
     signed_percent,
@@ -22,22 +24,7 @@ from modelgate.functions.text import (
     thousands,
 )
 from modelgate.operators.common import top_k_per_group
-from modelgate.schema import (
-    DECISION_MANUAL_REVIEW,
-    DECISION_REJECT,
-    FIRST_CANDIDATE_LINE,
-    JUDGE_SCORE_KEYS,
-    NO_CHAMPION_EVIDENCE,
-    NO_DRIFT_FOUND,
-    NO_DRIFT_REPORT,
-    NO_MAJOR_RISKS,
-    NO_POLICY_RISKS,
-    NO_SEGMENT_REGRESSIONS,
-    RECOMMENDATION_TAIL,
-    SECTION_ALIASES,
-    SUMMARY_TAIL,
-    TEMPLATE_FOOTER,
-)
+from modelgate.schema import JUDGE_SCORE_KEYS, SECTION_ALIASES
 
 STRING_ARRAY = "array<string>"
 # Line breaks as Python's str.splitlines() sees them.
@@ -79,8 +66,8 @@ def segment_summary(deltas: DataFrame, limit: int = 5) -> DataFrame:
     out = top.groupBy(*keys).agg(F.first("any_regress").alias("any_regress"), F.array_sort(F.collect_list(seg)).alias("__s"))
     return out.select(
         *keys,
-        F.when(F.col("any_regress"), F.lit("Worst Segment Regressions")).otherwise(F.lit("Best Segment Improvements")).alias("segment_heading"),
-        F.when(F.col("any_regress"), F.lit("Worst segment regressions")).otherwise(F.lit("Best segment improvements")).alias("segment_prefix"),
+        F.when(F.col("any_regress"), F.lit(T.WORST_HEADING)).otherwise(F.lit(T.BEST_HEADING)).alias("segment_heading"),
+        F.when(F.col("any_regress"), F.lit(T.WORST_PREFIX)).otherwise(F.lit(T.BEST_PREFIX)).alias("segment_prefix"),
         F.transform("__s", lambda s: F.struct(s["segment_column"].alias("segment_column"),
                                               s["segment_value"].alias("segment_value"),
                                               s["rmse_delta_pct"].alias("rmse_delta_pct"))).alias("segments"),
@@ -90,8 +77,8 @@ def segment_summary(deltas: DataFrame, limit: int = 5) -> DataFrame:
 def _seg_inline(segments: Column) -> Column:
     """'col=value (+x.x%); ...'"""
     return F.array_join(
-        F.transform(segments, lambda s: F.concat(s["segment_column"], F.lit("="), s["segment_value"], F.lit(" ("),
-                                                 signed_percent(s["rmse_delta_pct"]), F.lit(")"))),
+        F.transform(segments, lambda s: fill(T.EVIDENCE_SEGMENT_ITEM, column=s["segment_column"], value=s["segment_value"],
+                                             pct=signed_percent(s["rmse_delta_pct"]))),
         "; ",
     )
 
@@ -121,101 +108,108 @@ def with_report_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
+def _bullet(text: Column) -> Column:
+    return F.concat(F.lit("- "), text)
+
+
 def _drift_lines(results: Column) -> tuple[Column, Column]:
     """(report block lines, evidence line) for a non-null drift report."""
     drifted = F.filter(results, lambda r: r["is_drifted"])
     stat = F.transform(
         drifted,
         lambda r: F.concat(
-            F.lit("- "), r["column"], F.lit(": "), F.upper(r["drift_type"]), F.lit("="), fixed(r["statistic"], 4),
-            F.when(r["p_value"].isNotNull(), F.concat(F.lit(" (p="), fixed(r["p_value"], 4), F.lit(")"))).otherwise(F.lit("")),
+            fill(T.REPORT_DRIFT_LINE, column=r["column"], kind=F.upper(r["drift_type"]), statistic=fixed(r["statistic"], 4)),
+            F.when(r["p_value"].isNotNull(), fill(T.REPORT_DRIFT_P, p=fixed(r["p_value"], 4))).otherwise(F.lit("")),
         ),
     )
     names = F.array_join(F.transform(drifted, lambda r: r["column"]), ", ")
     has = F.size(drifted) > 0
     block = F.concat(
-        _arr(F.lit("## Drift Detection")),
-        F.when(has, F.concat(_arr(F.concat(F.lit("Drift detected in "), F.size(drifted).cast("string"), F.lit(" feature(s):"))), stat))
-        .otherwise(_arr(F.lit("No significant drift detected."))),
+        _arr(F.lit(T.H_DRIFT)),
+        F.when(has, F.concat(_arr(fill(T.REPORT_DRIFT_COUNT, count=F.size(drifted).cast("string"))), stat))
+        .otherwise(_arr(F.lit(T.REPORT_NO_DRIFT))),
         _arr(F.lit("")),
     )
-    evidence = F.when(has, F.concat(F.lit("- Drift status: detected in "), names, F.lit("."))).otherwise(F.lit("- " + NO_DRIFT_FOUND))
+    evidence = _bullet(F.when(has, fill(T.DRIFT_FOUND, columns=names)).otherwise(F.lit(T.NO_DRIFT_FOUND)))
     return block, evidence
 
 
+def _recommendation(decision: Column) -> Column:
+    advice = (
+        F.when(decision == T.DECISION_REJECT, F.lit(T.RECOMMENDATION_ADVICE["REJECT"]))
+        .when(decision == T.DECISION_MANUAL_REVIEW, F.lit(T.RECOMMENDATION_ADVICE["MANUAL_REVIEW"]))
+        .otherwise(F.lit(T.RECOMMENDATION_ADVICE["PROMOTE"]))
+    )
+    return fill(T.RECOMMENDATION, decision=decision, advice=advice)
+
+
 def report_lines(model_version: Column | None = None) -> Column:
     """Array of template-report lines for a report-input row (see
     ``render_report``)."""
     v = F.col("model_version") if model_version is None else model_version
     champ = F.coalesce(F.col("has_champion"), F.lit(False))
-    rmse = F.coalesce(F.col("rmse"), F.lit(0.0))
-    mae = F.coalesce(F.col("mae"), F.lit(0.0))
-    c_rmse = F.coalesce(F.col("champion_rmse"), F.lit(0.0))
-    c_mae = F.coalesce(F.col("champion_mae"), F.lit(0.0))
-    delta = F.concat(signed_thousands(F.coalesce(F.col("rmse_delta"), F.lit(0.0))), F.lit(" ("),
-                     signed_percent(F.coalesce(F.col("rmse_delta_pct"), F.lit(0.0))), F.lit(")"))
+    rmse = thousands(F.coalesce(F.col("rmse"), F.lit(0.0)))
+    mae = thousands(F.coalesce(F.col("mae"), F.lit(0.0)))
+    c_rmse = thousands(F.coalesce(F.col("champion_rmse"), F.lit(0.0)))
+    c_mae = thousands(F.coalesce(F.col("champion_mae"), F.lit(0.0)))
+    delta = signed_thousands(F.coalesce(F.col("rmse_delta"), F.lit(0.0)))
+    delta_pct = signed_percent(F.coalesce(F.col("rmse_delta_pct"), F.lit(0.0)))
     segs = F.coalesce(F.col("segments"), F.array().cast(f"array<{SEGMENT_STRUCT}>"))
     has_segs = F.size(segs) > 0
     seg_block = F.concat(
-        _arr(F.concat(F.lit("## "), F.col("segment_heading"))),
-        F.transform(segs, lambda s: F.concat(F.lit("- "), s["segment_column"], F.lit("="), s["segment_value"], F.lit(": "),
-                                             signed_percent(s["rmse_delta_pct"]))),
+        _arr(fill(T.H_SEGMENTS, heading=F.col("segment_heading"))),
+        F.transform(segs, lambda s: fill(T.REPORT_SEGMENT_LINE, column=s["segment_column"], value=s["segment_value"],
+                                         pct=signed_percent(s["rmse_delta_pct"]))),
         _arr(F.lit("")),
     )
     champion_block = F.when(
         champ,
         F.concat(
-            _arr(F.lit("## Champion Comparison"),
-                 F.concat(F.lit("- Champion RMSE: "), thousands(c_rmse)),
-                 F.concat(F.lit("- Champion MAE: "), thousands(c_mae)),
-                 F.concat(F.lit("- RMSE delta: "), delta),
+            _arr(F.lit(T.H_CHAMPION),
+                 fill(T.REPORT_CHAMPION_RMSE, rmse=c_rmse),
+                 fill(T.REPORT_CHAMPION_MAE, mae=c_mae),
+                 fill(T.REPORT_RMSE_DELTA, delta=delta, pct=delta_pct),
                  F.lit("")),
             _when_arr(has_segs, seg_block),
         ),
-    ).otherwise(_arr(F.lit("## Champion Comparison"), F.lit(FIRST_CANDIDATE_LINE), F.lit("")))
+    ).otherwise(_arr(F.lit(T.H_CHAMPION), F.lit(T.FIRST_CANDIDATE_LINE), F.lit("")))
     has_drift = F.coalesce(F.col("has_drift_report"), F.lit(False))
     drift_block, drift_evidence = _drift_lines(F.coalesce(F.col("column_results"), F.array().cast(REPORT_INPUT_DEFAULTS["column_results"])))
     evidence = F.concat(
-        _arr(F.concat(F.lit("- Candidate test RMSE: "), thousands(rmse)),
-             F.concat(F.lit("- Candidate test MAE: "), thousands(mae))),
+        _arr(_bullet(fill(T.EVIDENCE_CANDIDATE_RMSE, rmse=rmse)), _bullet(fill(T.EVIDENCE_CANDIDATE_MAE, mae=mae))),
         F.when(
             champ,
             F.concat(
-                _arr(F.concat(F.lit("- Champion test RMSE: "), thousands(c_rmse)),
-                     F.concat(F.lit("- Champion test MAE: "), thousands(c_mae)),
-                     F.concat(F.lit("- RMSE delta vs champion: "), delta)),
-                F.when(has_segs, _arr(F.concat(F.lit("- "), F.col("segment_prefix"), F.lit(": "), _seg_inline(segs))))
-                .otherwise(_arr(F.lit("- " + NO_SEGMENT_REGRESSIONS))),
+                _arr(_bullet(fill(T.EVIDENCE_CHAMPION_RMSE, rmse=c_rmse)),
+                     _bullet(fill(T.EVIDENCE_CHAMPION_MAE, mae=c_mae)),
+                     _bullet(fill(T.EVIDENCE_RMSE_DELTA, delta=delta, pct=delta_pct))),
+                F.when(has_segs, _arr(_bullet(fill(T.EVIDENCE_SEGMENTS, prefix=F.col("segment_prefix"), segments=_seg_inline(segs)))))
+                .otherwise(_arr(_bullet(F.lit(T.NO_SEGMENT_REGRESSIONS)))),
             ),
-        ).otherwise(_arr(F.lit("- " + NO_CHAMPION_EVIDENCE))),
-        F.when(has_drift, _arr(drift_evidence)).otherwise(_arr(F.lit("- " + NO_DRIFT_REPORT))),
-        _when_arr(F.size("checks_passed") > 0, _arr(F.concat(F.lit("- Checks passed: "), humanize_checks(F.col("checks_passed"))))),
+        ).otherwise(_arr(_bullet(F.lit(T.NO_CHAMPION_EVIDENCE)))),
+        F.when(has_drift, _arr(drift_evidence)).otherwise(_arr(_bullet(F.lit(T.NO_DRIFT_REPORT)))),
+        _when_arr(F.size("checks_passed") > 0, _arr(_bullet(fill(T.CHECKS_PASSED, checks=humanize_checks(F.col("checks_passed")))))),
     )
     reasons = F.coalesce(F.col("reasons"), _empty())
     risk = F.concat(
-        _when_arr(F.size("checks_failed") > 0, _arr(F.concat(F.lit("- Checks failed: "), humanize_checks(F.col("checks_failed"))))),
-        F.transform(reasons, lambda x: F.concat(F.lit("- "), x)),
+        _when_arr(F.size("checks_failed") > 0, _arr(_bullet(fill(T.CHECKS_FAILED, checks=humanize_checks(F.col("checks_failed")))))),
+        F.transform(reasons, _bullet),
     )
-    risk = F.when(F.size(risk) > 0, risk).otherwise(_arr(F.lit("- " + NO_POLICY_RISKS)))
+    risk = F.when(F.size(risk) > 0, risk).otherwise(_arr(_bullet(F.lit(T.NO_POLICY_RISKS))))
     decision = F.col("decision")
-    tail = (
-        F.when(decision == DECISION_REJECT, F.lit(RECOMMENDATION_TAIL["REJECT"]))
-        .when(decision == DECISION_MANUAL_REVIEW, F.lit(RECOMMENDATION_TAIL["MANUAL_REVIEW"]))
-        .otherwise(F.lit(RECOMMENDATION_TAIL["PROMOTE"]))
-    )
     note = F.col("fallback_note")
     return F.concat(
-        _arr(F.concat(F.lit("# Model Promotion Report — Version "), v), F.lit(""), F.lit("## Summary"),
-             F.concat(F.lit("Policy verdict: **"), decision, F.lit("**. " + SUMMARY_TAIL)), F.lit(""),
-             F.lit("## Candidate Metrics"), F.concat(F.lit("- Test RMSE: "), thousands(rmse)),
-             F.concat(F.lit("- Test MAE: "), thousands(mae)), F.lit("")),
+        _arr(fill(T.REPORT_TITLE, version=v), F.lit(""), F.lit(T.H_SUMMARY),
+             fill(T.REPORT_SUMMARY, decision=decision), F.lit(""),
+             F.lit(T.H_CANDIDATE), fill(T.REPORT_CANDIDATE_RMSE, rmse=rmse),
+             fill(T.REPORT_CANDIDATE_MAE, mae=mae), F.lit("")),
         champion_block,
         _when_arr(has_drift, drift_block),
-        _arr(F.lit("## Evidence")), evidence, _arr(F.lit(""), F.lit("## Risk Flags")), risk, _arr(F.lit("")),
-        _arr(F.lit("## Policy Reasons")), F.transform(reasons, lambda x: F.concat(F.lit("- "), x)),
-        _arr(F.lit(""), F.lit("## Recommendation"), F.concat(F.lit("Policy engine recommends: **"), decision, F.lit("**. "), tail)),
+        _arr(F.lit(T.H_EVIDENCE)), evidence, _arr(F.lit(""), F.lit(T.H_RISKS)), risk, _arr(F.lit("")),
+        _arr(F.lit(T.H_REASONS)), F.transform(reasons, _bullet),
+        _arr(F.lit(""), F.lit(T.H_RECOMMENDATION), _recommendation(decision)),
         F.when(note.isNotNull() & (note != ""), _arr(F.lit(""), F.concat(F.lit("*"), note, F.lit("*"))))
-        .otherwise(_arr(F.lit(""), F.lit(TEMPLATE_FOOTER))),
+        .otherwise(_arr(F.lit(""), F.lit(T.TEMPLATE_FOOTER))),
     )
 
 
@@ -418,37 +412,37 @@ def enrich_reports(df: DataFrame, report_col: str, out_col: str = "enriched") ->
     champ = F.coalesce(F.col("has_champion"), F.lit(False))
     rmse = F.coalesce(F.col("rmse"), F.lit(0.0))
     mae = F.coalesce(F.col("mae"), F.lit(0.0))
-    delta = F.concat(signed_thousands(F.coalesce(F.col("rmse_delta"), F.lit(0.0))), F.lit(" ("),
-                     signed_percent(F.coalesce(F.col("rmse_delta_pct"), F.lit(0.0))), F.lit(")"))
+    delta_abs = signed_thousands(F.coalesce(F.col("rmse_delta"), F.lit(0.0)))
+    delta_pct = signed_percent(F.coalesce(F.col("rmse_delta_pct"), F.lit(0.0)))
     segs = F.coalesce(F.col("segments_top3"), F.array().cast(f"array<{SEGMENT_STRUCT}>"))
     drifted = F.filter(F.coalesce(F.col("column_results"), F.array().cast(REPORT_INPUT_DEFAULTS["column_results"])),
                        lambda r: r["is_drifted"])
     new_evidence = F.concat(
-        _arr(F.concat(F.lit("Candidate test RMSE: "), thousands(rmse)), F.concat(F.lit("Candidate test MAE: "), thousands(mae))),
+        _arr(fill(T.EVIDENCE_CANDIDATE_RMSE, rmse=thousands(rmse)), fill(T.EVIDENCE_CANDIDATE_MAE, mae=thousands(mae))),
         F.when(
             champ,
             F.concat(
-                _arr(F.concat(F.lit("Champion test RMSE: "), thousands(F.coalesce(F.col("champion_rmse"), F.lit(0.0)))),
-                     F.concat(F.lit("Champion test MAE: "), thousands(F.coalesce(F.col("champion_mae"), F.lit(0.0)))),
-                     F.concat(F.lit("RMSE delta vs champion: "), delta)),
-                _when_arr(F.size(segs) > 0, _arr(F.concat(F.col("segment_prefix_top3"), F.lit(": "), _seg_inline(segs)))),
+                _arr(fill(T.EVIDENCE_CHAMPION_RMSE, rmse=thousands(F.coalesce(F.col("champion_rmse"), F.lit(0.0)))),
+                     fill(T.EVIDENCE_CHAMPION_MAE, mae=thousands(F.coalesce(F.col("champion_mae"), F.lit(0.0)))),
+                     fill(T.EVIDENCE_RMSE_DELTA, delta=delta_abs, pct=delta_pct)),
+                _when_arr(F.size(segs) > 0, _arr(fill(T.EVIDENCE_SEGMENTS, prefix=F.col("segment_prefix_top3"),
+                                                      segments=_seg_inline(segs)))),
             ),
-        ).otherwise(_arr(F.lit(NO_CHAMPION_EVIDENCE))),
-        F.when(~F.coalesce(F.col("has_drift_report"), F.lit(False)), _arr(F.lit(NO_DRIFT_REPORT)))
-        .when(F.size(drifted) > 0, _arr(F.concat(F.lit("Drift status: detected in "),
-                                                 F.array_join(F.transform(drifted, lambda r: r["column"]), ", "), F.lit("."))))
-        .otherwise(_arr(F.lit(NO_DRIFT_FOUND))),
-        _when_arr(F.size("checks_passed") > 0, _arr(F.concat(F.lit("Checks passed: "), humanize_checks(F.col("checks_passed"))))),
+        ).otherwise(_arr(F.lit(T.NO_CHAMPION_EVIDENCE))),
+        F.when(~F.coalesce(F.col("has_drift_report"), F.lit(False)), _arr(F.lit(T.NO_DRIFT_REPORT)))
+        .when(F.size(drifted) > 0, _arr(fill(T.DRIFT_FOUND, columns=F.array_join(F.transform(drifted, lambda r: r["column"]), ", "))))
+        .otherwise(_arr(F.lit(T.NO_DRIFT_FOUND))),
+        _when_arr(F.size("checks_passed") > 0, _arr(fill(T.CHECKS_PASSED, checks=humanize_checks(F.col("checks_passed"))))),
     )
     new_risks = F.concat(
-        _when_arr(F.size("checks_failed") > 0, _arr(F.concat(F.lit("Checks failed: "), humanize_checks(F.col("checks_failed"))))),
+        _when_arr(F.size("checks_failed") > 0, _arr(fill(T.CHECKS_FAILED, checks=humanize_checks(F.col("checks_failed"))))),
         F.coalesce(F.col("reasons"), _empty()),
     )
     rep = F.col(report_col)
     staged = df.withColumn("__evidence", append_unique(rep["evidence"], new_evidence)).withColumn(
         "__risks", append_unique(rep["risk_flags"], new_risks)
     )
-    risks = F.when(F.size("__risks") > 0, F.col("__risks")).otherwise(_arr(F.lit(NO_MAJOR_RISKS)))
+    risks = F.when(F.size("__risks") > 0, F.col("__risks")).otherwise(_arr(F.lit(T.NO_MAJOR_RISKS)))
 
     def wording(x):
         return F.when(champ, x).otherwise(baseline_wording(x))
@@ -476,14 +470,14 @@ def render_markdown(report: Column) -> Column:
 
     cites = F.coalesce(report["citations"], _empty())
     lines = F.concat(
-        _arr(F.lit("## Summary"), or_default(report["summary"], "No summary provided."), F.lit(""), F.lit("## Evidence")),
-        items(report["evidence"], "No evidence items captured."),
-        _arr(F.lit(""), F.lit("## Risk Flags")),
-        items(report["risk_flags"], "No major risk flags identified."),
-        _arr(F.lit(""), F.lit("## Market Context"), or_default(report["market_context"], "No external market context provided."),
-             F.lit(""), F.lit("## Recommendation"),
-             or_default(report["recommendation"], "Use this report as input to the final human decision.")),
-        _when_arr(F.size(cites) > 0, F.concat(_arr(F.lit(""), F.lit("## Sources")), F.transform(cites, lambda x: F.concat(F.lit("- "), x)))),
+        _arr(F.lit(T.H_SUMMARY), or_default(report["summary"], T.MARKDOWN_DEFAULTS["summary"]), F.lit(""), F.lit(T.H_EVIDENCE)),
+        items(report["evidence"], T.MARKDOWN_DEFAULTS["evidence"]),
+        _arr(F.lit(""), F.lit(T.H_RISKS)),
+        items(report["risk_flags"], T.MARKDOWN_DEFAULTS["risk_flags"]),
+        _arr(F.lit(""), F.lit(T.H_MARKET), or_default(report["market_context"], T.MARKDOWN_DEFAULTS["market_context"]),
+             F.lit(""), F.lit(T.H_RECOMMENDATION),
+             or_default(report["recommendation"], T.MARKDOWN_DEFAULTS["recommendation"])),
+        _when_arr(F.size(cites) > 0, F.concat(_arr(F.lit(""), F.lit(T.H_SOURCES)), F.transform(cites, lambda x: F.concat(F.lit("- "), x)))),
     )
     return F.array_join(lines, "\n")
 
@@ -491,7 +485,7 @@ def render_markdown(report: Column) -> Column:
 # ---------------------------------------------------------------------------
 # K7: judge scores, K8: judge context, D7: judge average
 # ---------------------------------------------------------------------------
-SCORE_PATTERN = r"\b(completeness|accuracy|actionability|safety)\s*[:=]\s*(\d+)\b"
+SCORE_PATTERN = T.JUDGE_SCORE_PATTERN
 
 
 def _json_kind(text: Column) -> Column:
@@ -553,13 +547,12 @@ def judge_scores(text: Column) -> Column:
             .otherwise(F.lit("str"))
         )
         errors.append(
-            F.when(~present, F.lit(f"Judge feedback missing required key '{k}'"))
-            .when(value.isNull(), F.concat(F.lit(f"Judge score for '{k}' must be an integer, got "), value_kind))
+            F.when(~present, fill(T.JUDGE_MISSING_KEY, key=F.lit(k)))
+            .when(value.isNull(), fill(T.JUDGE_NOT_INTEGER, key=F.lit(k), kind=value_kind))
         )
     shape_error = (
-        F.when(kind.isNotNull() & (kind != "dict"),
-               F.concat(F.lit("Judge feedback value must be a dict or JSON object string, got "), kind))
-        .when(kind.isNull() & ~any_match, F.lit("Judge feedback value must be a dict or JSON object string, got str"))
+        F.when(kind.isNotNull() & (kind != "dict"), fill(T.JUDGE_NOT_OBJECT, kind=kind))
+        .when(kind.isNull() & ~any_match, fill(T.JUDGE_NOT_OBJECT, kind=F.lit("str")))
     )
     error = F.coalesce(shape_error, *errors)
     s = F.struct(*fields)
@@ -589,27 +582,27 @@ def judge_context(df: DataFrame) -> DataFrame:
     drifted = F.filter(F.coalesce(F.col("column_results"), F.array().cast(REPORT_INPUT_DEFAULTS["column_results"])),
                        lambda r: r["is_drifted"])
     worst = F.coalesce(F.col("segments_worst3"), F.array().cast(f"array<{SEGMENT_STRUCT}>"))
+    def metric(c):
+        return F.coalesce(thousands(F.col(c)), F.lit(T.NOT_A_NUMBER))
+
     lines = F.concat(
-        _arr(F.lit("## Scenario Context\n"),
-             F.concat(F.lit("**Candidate Metrics**: RMSE="), F.coalesce(thousands(F.col("rmse")), F.lit("N/A")),
-                      F.lit(", MAE="), F.coalesce(thousands(F.col("mae")), F.lit("N/A")))),
-        F.when(champ, _arr(F.concat(F.lit("**Champion Metrics**: RMSE="), F.coalesce(thousands(F.col("champion_rmse")), F.lit("N/A")),
-                                    F.lit(", MAE="), F.coalesce(thousands(F.col("champion_mae")), F.lit("N/A")))))
-        .otherwise(_arr(F.lit("**Champion**: No champion exists"))),
-        _arr(F.concat(F.lit("**Policy Verdict**: "), F.col("decision"))),
-        _when_arr(F.size("reasons") > 0, _arr(F.concat(F.lit("**Reasons**: "), F.array_join("reasons", "; ")))),
-        _arr(F.concat(F.lit("**Checks Passed**: "), F.array_join("checks_passed", ", ")),
-             F.concat(F.lit("**Checks Failed**: "), F.array_join("checks_failed", ", "))),
+        _arr(F.lit(T.JUDGE_CONTEXT_TITLE), fill(T.JUDGE_CONTEXT_CANDIDATE, rmse=metric("rmse"), mae=metric("mae"))),
+        F.when(champ, _arr(fill(T.JUDGE_CONTEXT_CHAMPION, rmse=metric("champion_rmse"), mae=metric("champion_mae"))))
+        .otherwise(_arr(F.lit(T.JUDGE_CONTEXT_NO_CHAMPION))),
+        _arr(fill(T.JUDGE_CONTEXT_VERDICT, decision=F.col("decision"))),
+        _when_arr(F.size("reasons") > 0, _arr(fill(T.JUDGE_CONTEXT_REASONS, reasons=F.array_join("reasons", "; ")))),
+        _arr(fill(T.JUDGE_CONTEXT_PASSED, checks=F.array_join("checks_passed", ", ")),
+             fill(T.JUDGE_CONTEXT_FAILED, checks=F.array_join("checks_failed", ", "))),
         _when_arr(has_drift, F.concat(
-            _arr(F.concat(F.lit("**Drift Detected**: "),
-                          F.when(F.coalesce(F.col("overall_drift_detected"), F.lit(False)), F.lit("True")).otherwise(F.lit("False")))),
-            _when_arr(F.size(drifted) > 0, _arr(F.concat(F.lit("**Drifted Columns**: "),
-                                                         F.array_join(F.transform(drifted, lambda r: r["column"]), ", ")))),
+            _arr(fill(T.JUDGE_CONTEXT_DRIFT, flag=F.when(F.coalesce(F.col("overall_drift_detected"), F.lit(False)), F.lit("True"))
+                      .otherwise(F.lit("False")))),
+            _when_arr(F.size(drifted) > 0, _arr(fill(T.JUDGE_CONTEXT_DRIFTED,
+                                                     columns=F.array_join(F.transform(drifted, lambda r: r["column"]), ", ")))),
         )),
         _when_arr(F.size(worst) > 0, F.concat(
-            _arr(F.lit("**Worst Segments**:")),
-            F.transform(worst, lambda s: F.concat(F.lit("  - "), s["segment_column"], F.lit("="), s["segment_value"], F.lit(": "),
-                                                  signed_percent(s["rmse_delta_pct"]))),
+            _arr(F.lit(T.JUDGE_CONTEXT_WORST)),
+            F.transform(worst, lambda s: fill(T.JUDGE_CONTEXT_SEGMENT, column=s["segment_column"], value=s["segment_value"],
+                                              pct=signed_percent(s["rmse_delta_pct"]))),
         )),
     )
     return df.withColumn("judge_context", F.array_join(lines, "\n"))

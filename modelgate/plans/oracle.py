@@ -14,6 +14,7 @@ from modelgate.schema import (
     NUMERIC_FEATURES,
     PSI_EPSILON,
 )
+from modelgate import fixed as T
 from modelgate.sources.adapters import MODEL_NAME, PREDICTION_FORMULAS
 
 CHAMPION_VERSION = "1"
@@ -44,6 +45,26 @@ def with_ctes(needed: list[str], select: str) -> str:
     return f"WITH {body}\n{select}"
 
 
+# --- fixed-text templates in SQL ---------------------------------------------
+def sql_str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_fill(template: str, **exprs: str) -> str:
+    """SQL concatenation of a fixed-text template with ``{name}`` slots."""
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(sql_str(template[pos:m.start()]))
+        parts.append(f"({exprs[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(sql_str(template[pos:]))
+    return " || ".join(parts)
+
+
 # --- formatting helpers (Python format-spec equivalents) -------------------
 def thousands(x: str) -> str:
     return f"printf('%,.0f', {x})"
@@ -182,7 +203,7 @@ cte("deltas", ["pairs", "evaluation"], f"""
 
 cte("seg_regressions", ["deltas"], f"""
   SELECT model_name, model_version, count(*) AS n_seg,
-    string_agg(CASE WHEN rn <= 5 THEN segment_column || '=' || segment_value || ' (' || {signed_pct('rmse_delta_pct')} || ')' END,
+    string_agg(CASE WHEN rn <= 5 THEN {sql_fill(T.SEGMENT_REASON_ITEM, column='segment_column', value='segment_value', pct=signed_pct('rmse_delta_pct'))} END,
                ', ' ORDER BY rn) AS labels
   FROM (SELECT *, row_number() OVER (PARTITION BY model_name, model_version
                                      ORDER BY pos, candidate_rmse, segment_value) AS rn
@@ -273,12 +294,12 @@ cte("verdict", ["gate"], f"""
     CASE WHEN f_rmse OR f_mae OR f_champ THEN 'REJECT'
          WHEN f_seg OR f_drift THEN 'MANUAL_REVIEW' ELSE 'PROMOTE' END AS decision,
     {_list([
-        f"CASE WHEN f_rmse THEN 'Test RMSE ' || {thousands('rmse')} || ' exceeds maximum threshold 200,000' END",
-        f"CASE WHEN f_mae THEN 'Test MAE ' || {thousands('mae')} || ' exceeds maximum threshold 170,000' END",
-        f"CASE WHEN f_champ THEN 'Candidate RMSE is ' || {pct('rmse_delta_pct')} || ' worse than champion (threshold: 10%)' END",
-        "CASE WHEN f_seg THEN 'Segment RMSE regressions exceed 20%: ' || labels END",
-        "CASE WHEN NOT has_champion THEN 'No existing champion — only absolute thresholds applied' END",
-        "CASE WHEN f_drift THEN 'Data drift detected in: ' || drifted END",
+        f"CASE WHEN f_rmse THEN {sql_fill(T.REASON_RMSE, rmse=thousands('rmse'), limit=thousands('200000.0'))} END",
+        f"CASE WHEN f_mae THEN {sql_fill(T.REASON_MAE, mae=thousands('mae'), limit=thousands('170000.0'))} END",
+        f"CASE WHEN f_champ THEN {sql_fill(T.REASON_CHAMPION, pct=pct('rmse_delta_pct'), limit=pct('0.1', 0))} END",
+        f"CASE WHEN f_seg THEN {sql_fill(T.REASON_SEGMENTS, limit=pct('0.2', 0), segments='labels')} END",
+        f"CASE WHEN NOT has_champion THEN {sql_str(T.NO_CHAMPION_REASON)} END",
+        f"CASE WHEN f_drift THEN {sql_fill(T.REASON_DRIFT, columns='drifted')} END",
     ])} AS reasons_list,
     {_list([
         "CASE WHEN NOT f_rmse THEN 'absolute_rmse' END",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from modelgate.operators import registry as R
 from modelgate.plans import registry_flow as RF
 from modelgate.plans.catalog import gate_job, query, r
-from modelgate.plans.oracle import cte, sql_sanitize
+from modelgate import fixed as T
+from modelgate.plans.oracle import cte, sql_fill, sql_sanitize, sql_str
 from modelgate.plans.oracles import oracle
 from modelgate.schema import FEATURE_COLUMNS
 from modelgate.sources.adapters import MODEL_NAME, PREDICTION_FORMULAS
@@ -70,7 +71,7 @@ def _decision_tags(src: str, ts: str, source_expr: str, reviewer: bool) -> str:
              for x in rows]
     parts.append(
         "SELECT model_name, model_version, 'rejection_reasons', CASE WHEN len(reasons_list) > 0 "
-        f"THEN array_to_string(reasons_list, '; ') ELSE 'Rejected by human reviewer' END FROM {src} WHERE outcome = 'rejected'"
+        f"THEN array_to_string(reasons_list, '; ') ELSE {sql_str(T.DEFAULT_REJECT_REASON)} END FROM {src} WHERE outcome = 'rejected'"
     )
     parts.append(
         f"SELECT model_name, model_version, 'policy_reasons', array_to_string(reasons_list, '; ') FROM {src} "
@@ -196,7 +197,7 @@ cte("reviews", ["verdict"], f"""
     CASE WHEN decision = 'REJECT' THEN 'auto_rejected' ELSE 'pending_review' END AS status,
     CASE WHEN decision = 'REJECT' THEN 'rejected' ELSE 'pending_review' END AS outcome,
     CASE WHEN decision = 'REJECT' THEN 'auto_reject' ELSE '' END AS human_decision,
-    CASE WHEN decision = 'REJECT' THEN '{R.AUTO_REJECT_ACTION.replace("'", "''")}' ELSE '{R.PENDING_ACTION}' END AS action_required,
+    CASE WHEN decision = 'REJECT' THEN {sql_str(T.AUTO_REJECT_ACTION)} ELSE {sql_str(T.PENDING_ACTION)} END AS action_required,
     CASE WHEN decision = 'REJECT' THEN '{_T1}' END AS completed_at
   FROM verdict""")
 oracle("open_reviews", ["reviews"], "SELECT * FROM reviews")
@@ -234,7 +235,7 @@ SELECT review_id, '{_T2}' AS decided_at,
   'false' AS rejection_overridden, CAST(NULL AS VARCHAR) AS error
 FROM reviews
 UNION ALL
-SELECT review_id, '{_T3}', 'approve', NULL, NULL, NULL, 'Review ''' || review_id || ''' is already completed.'
+SELECT review_id, '{_T3}', 'approve', NULL, NULL, NULL, {sql_fill(T.REVIEW_COMPLETED, review_id='review_id')}
 FROM reviews""")
 
 

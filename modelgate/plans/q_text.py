@@ -10,20 +10,10 @@ from modelgate.operators import reports as K
 from modelgate.operators import sets as S
 from modelgate.operators import registry as R
 from modelgate.plans.catalog import gate_job, query, r
-from modelgate.plans.oracle import cte, signed_pct, signed_thousands, sql_humanize, sql_strip, thousands
+from modelgate import fixed as T
+from modelgate.plans.oracle import cte, signed_pct, signed_thousands, sql_fill, sql_humanize, sql_strip, thousands
 from modelgate.plans.oracles import oracle
-from modelgate.schema import (
-    FIRST_CANDIDATE_LINE,
-    NO_CHAMPION_EVIDENCE,
-    NO_DRIFT_FOUND,
-    NO_DRIFT_REPORT,
-    NO_POLICY_RISKS,
-    NO_SEGMENT_REGRESSIONS,
-    RECOMMENDATION_TAIL,
-    SECTION_ALIASES,
-    SUMMARY_TAIL,
-    TEMPLATE_FOOTER,
-)
+from modelgate.schema import SECTION_ALIASES
 from modelgate.sources.tables import Tables
 
 
@@ -41,8 +31,8 @@ cte("seg_flags", ["deltas"], """
 def _seg_top(n: int) -> str:
     return f"""
   SELECT model_name, model_version, bool_or(any_regress) AS any_regress,
-    list('- ' || segment_column || '=' || segment_value || ': ' || {signed_pct('rmse_delta_pct')} ORDER BY rk) AS lines,
-    string_agg(segment_column || '=' || segment_value || ' (' || {signed_pct('rmse_delta_pct')} || ')', '; ' ORDER BY rk) AS inline
+    list({sql_fill(T.REPORT_SEGMENT_LINE, column='segment_column', value='segment_value', pct=signed_pct('rmse_delta_pct'))} ORDER BY rk) AS lines,
+    string_agg({sql_fill(T.EVIDENCE_SEGMENT_ITEM, column='segment_column', value='segment_value', pct=signed_pct('rmse_delta_pct'))}, '; ' ORDER BY rk) AS inline
   FROM (SELECT d.*, f.any_regress,
           row_number() OVER (PARTITION BY d.model_name, d.model_version
             ORDER BY CASE WHEN f.any_regress THEN -d.rmse_delta_pct ELSE d.rmse_delta_pct END, pos, candidate_rmse, segment_value) AS rk
@@ -54,54 +44,64 @@ def _seg_top(n: int) -> str:
 cte("seg_top5", ["deltas", "seg_flags"], _seg_top(5))
 cte("seg_top3", ["deltas", "seg_flags"], _seg_top(3))
 
-cte("drift_block", ["drift_rows"], """
+cte("drift_block", ["drift_rows"], f"""
   SELECT model_name, count(*) FILTER (WHERE is_drifted) AS n_drifted,
-    coalesce(list('- ' || "column" || ': ' || upper(drift_type) || '=' || printf('%.4f', statistic)
-       || CASE WHEN p_value IS NOT NULL THEN ' (p=' || printf('%.4f', p_value) || ')' ELSE '' END ORDER BY ord)
+    coalesce(list({sql_fill(T.REPORT_DRIFT_LINE, column='"column"', kind='upper(drift_type)', statistic="printf('%.4f', statistic)")}
+       || CASE WHEN p_value IS NOT NULL THEN {sql_fill(T.REPORT_DRIFT_P, p="printf('%.4f', p_value)")} ELSE '' END ORDER BY ord)
        FILTER (WHERE is_drifted), []::VARCHAR[]) AS lines,
     string_agg("column", ', ' ORDER BY ord) FILTER (WHERE is_drifted) AS names,
     bool_or(is_drifted) AS any_drift
   FROM drift_rows GROUP BY model_name""")
 
-_DELTA = f"{signed_thousands('coalesce(rmse_delta, 0.0)')} || ' (' || {signed_pct('coalesce(rmse_delta_pct, 0.0)')} || ')'"
+_DELTA_ABS = signed_thousands('coalesce(rmse_delta, 0.0)')
+_DELTA_PCT = signed_pct('coalesce(rmse_delta_pct, 0.0)')
+
+
+def _b(x: str) -> str:
+    return f"'- ' || {x}"
+
+
+_HEADING = "CASE WHEN {a} THEN " + q(T.WORST_HEADING) + " ELSE " + q(T.BEST_HEADING) + " END"
+_PREFIX = "CASE WHEN {a} THEN " + q(T.WORST_PREFIX) + " ELSE " + q(T.BEST_PREFIX) + " END"
+_ADVICE = ("CASE v.decision WHEN 'REJECT' THEN " + q(T.RECOMMENDATION_ADVICE["REJECT"]) + " WHEN 'MANUAL_REVIEW' THEN "
+           + q(T.RECOMMENDATION_ADVICE["MANUAL_REVIEW"]) + " ELSE " + q(T.RECOMMENDATION_ADVICE["PROMOTE"]) + " END")
 _REPORT_LINES = f"""
-  ['# Model Promotion Report — Version ' || v.model_version, '', '## Summary',
-   'Policy verdict: **' || v.decision || '**. ' || {q(SUMMARY_TAIL)}, '', '## Candidate Metrics',
-   '- Test RMSE: ' || {thousands('v.rmse')}, '- Test MAE: ' || {thousands('v.mae')}, '']
+  [{sql_fill(T.REPORT_TITLE, version='v.model_version')}, '', {q(T.H_SUMMARY)},
+   {sql_fill(T.REPORT_SUMMARY, decision='v.decision')}, '', {q(T.H_CANDIDATE)},
+   {sql_fill(T.REPORT_CANDIDATE_RMSE, rmse=thousands('v.rmse'))}, {sql_fill(T.REPORT_CANDIDATE_MAE, mae=thousands('v.mae'))}, '']
   || CASE WHEN v.has_champion THEN
-       ['## Champion Comparison', '- Champion RMSE: ' || {thousands('v.champion_rmse')},
-        '- Champion MAE: ' || {thousands('v.champion_mae')}, '- RMSE delta: ' || {_DELTA}, '']
+       [{q(T.H_CHAMPION)}, {sql_fill(T.REPORT_CHAMPION_RMSE, rmse=thousands('v.champion_rmse'))},
+        {sql_fill(T.REPORT_CHAMPION_MAE, mae=thousands('v.champion_mae'))},
+        {sql_fill(T.REPORT_RMSE_DELTA, delta=_DELTA_ABS, pct=_DELTA_PCT)}, '']
        || CASE WHEN s5.lines IS NOT NULL THEN
-            ['## ' || CASE WHEN s5.any_regress THEN 'Worst Segment Regressions' ELSE 'Best Segment Improvements' END]
-            || s5.lines || [''] ELSE {E} END
-     ELSE ['## Champion Comparison', {q(FIRST_CANDIDATE_LINE)}, ''] END
+            [{sql_fill(T.H_SEGMENTS, heading=_HEADING.format(a='s5.any_regress'))}] || s5.lines || [''] ELSE {E} END
+     ELSE [{q(T.H_CHAMPION)}, {q(T.FIRST_CANDIDATE_LINE)}, ''] END
   || CASE WHEN db.model_name IS NOT NULL THEN
-       ['## Drift Detection']
-       || CASE WHEN db.n_drifted > 0 THEN ['Drift detected in ' || db.n_drifted || ' feature(s):'] || db.lines
-               ELSE ['No significant drift detected.'] END
+       [{q(T.H_DRIFT)}]
+       || CASE WHEN db.n_drifted > 0 THEN [{sql_fill(T.REPORT_DRIFT_COUNT, count='db.n_drifted')}] || db.lines
+               ELSE [{q(T.REPORT_NO_DRIFT)}] END
        || [''] ELSE {E} END
-  || ['## Evidence', '- Candidate test RMSE: ' || {thousands('v.rmse')}, '- Candidate test MAE: ' || {thousands('v.mae')}]
+  || [{q(T.H_EVIDENCE)}, {_b(sql_fill(T.EVIDENCE_CANDIDATE_RMSE, rmse=thousands('v.rmse')))},
+      {_b(sql_fill(T.EVIDENCE_CANDIDATE_MAE, mae=thousands('v.mae')))}]
   || CASE WHEN v.has_champion THEN
-       ['- Champion test RMSE: ' || {thousands('v.champion_rmse')}, '- Champion test MAE: ' || {thousands('v.champion_mae')},
-        '- RMSE delta vs champion: ' || {_DELTA}]
+       [{_b(sql_fill(T.EVIDENCE_CHAMPION_RMSE, rmse=thousands('v.champion_rmse')))},
+        {_b(sql_fill(T.EVIDENCE_CHAMPION_MAE, mae=thousands('v.champion_mae')))},
+        {_b(sql_fill(T.EVIDENCE_RMSE_DELTA, delta=_DELTA_ABS, pct=_DELTA_PCT))}]
        || CASE WHEN s5.lines IS NOT NULL THEN
-            ['- ' || CASE WHEN s5.any_regress THEN 'Worst segment regressions' ELSE 'Best segment improvements' END || ': ' || s5.inline]
-          ELSE [{q('- ' + NO_SEGMENT_REGRESSIONS)}] END
-     ELSE [{q('- ' + NO_CHAMPION_EVIDENCE)}] END
-  || CASE WHEN db.model_name IS NULL THEN [{q('- ' + NO_DRIFT_REPORT)}]
-          WHEN db.n_drifted > 0 THEN ['- Drift status: detected in ' || db.names || '.']
-          ELSE [{q('- ' + NO_DRIFT_FOUND)}] END
-  || CASE WHEN len(v.passed_list) > 0 THEN ['- Checks passed: ' || {sql_humanize('v.passed_list')}] ELSE {E} END
-  || ['', '## Risk Flags']
-  || CASE WHEN len(v.failed_list) + len(v.reasons_list) = 0 THEN [{q('- ' + NO_POLICY_RISKS)}]
-          ELSE CASE WHEN len(v.failed_list) > 0 THEN ['- Checks failed: ' || {sql_humanize('v.failed_list')}] ELSE {E} END
+            [{_b(sql_fill(T.EVIDENCE_SEGMENTS, prefix=_PREFIX.format(a='s5.any_regress'), segments='s5.inline'))}]
+          ELSE [{q('- ' + T.NO_SEGMENT_REGRESSIONS)}] END
+     ELSE [{q('- ' + T.NO_CHAMPION_EVIDENCE)}] END
+  || CASE WHEN db.model_name IS NULL THEN [{q('- ' + T.NO_DRIFT_REPORT)}]
+          WHEN db.n_drifted > 0 THEN [{_b(sql_fill(T.DRIFT_FOUND, columns='db.names'))}]
+          ELSE [{q('- ' + T.NO_DRIFT_FOUND)}] END
+  || CASE WHEN len(v.passed_list) > 0 THEN [{_b(sql_fill(T.CHECKS_PASSED, checks=sql_humanize('v.passed_list')))}] ELSE {E} END
+  || ['', {q(T.H_RISKS)}]
+  || CASE WHEN len(v.failed_list) + len(v.reasons_list) = 0 THEN [{q('- ' + T.NO_POLICY_RISKS)}]
+          ELSE CASE WHEN len(v.failed_list) > 0 THEN [{_b(sql_fill(T.CHECKS_FAILED, checks=sql_humanize('v.failed_list')))}] ELSE {E} END
                || list_transform(v.reasons_list, lambda x: '- ' || x) END
-  || ['', '## Policy Reasons'] || list_transform(v.reasons_list, lambda x: '- ' || x)
-  || ['', '## Recommendation', 'Policy engine recommends: **' || v.decision || '**. ' ||
-      CASE v.decision WHEN 'REJECT' THEN {q(RECOMMENDATION_TAIL['REJECT'])}
-                      WHEN 'MANUAL_REVIEW' THEN {q(RECOMMENDATION_TAIL['MANUAL_REVIEW'])}
-                      ELSE {q(RECOMMENDATION_TAIL['PROMOTE'])} END,
-      '', {q(TEMPLATE_FOOTER)}]"""
+  || ['', {q(T.H_REASONS)}] || list_transform(v.reasons_list, lambda x: '- ' || x)
+  || ['', {q(T.H_RECOMMENDATION)}, {sql_fill(T.RECOMMENDATION, decision='v.decision', advice=_ADVICE)},
+      '', {q(T.TEMPLATE_FOOTER)}]"""
 
 cte("reports", ["verdict", "seg_top5", "drift_block"], f"""
   SELECT v.model_name, v.model_version, array_to_string({_REPORT_LINES}, chr(10)) AS report
@@ -138,10 +138,8 @@ def q_segment_summary(spark, sf_dir):
 
 
 oracle("segment_summary", ["seg_top5"], """
-SELECT model_name, model_version,
-  CASE WHEN any_regress THEN 'Worst Segment Regressions' ELSE 'Best Segment Improvements' END AS segment_heading,
-  CASE WHEN any_regress THEN 'Worst segment regressions' ELSE 'Best segment improvements' END AS segment_prefix,
-  inline AS segments
+SELECT model_name, model_version, """ + _HEADING.format(a="any_regress") + """ AS segment_heading,
+  """ + _PREFIX.format(a="any_regress") + """ AS segment_prefix, inline AS segments
 FROM seg_top5""")
 
 
@@ -181,23 +179,24 @@ def q_judge_context(spark, sf_dir):
 
 cte("worst3", ["deltas"], f"""
   SELECT model_name, model_version,
-    list('  - ' || segment_column || '=' || segment_value || ': ' || {signed_pct('rmse_delta_pct')} ORDER BY rk) AS lines
+    list({sql_fill(T.JUDGE_CONTEXT_SEGMENT, column='segment_column', value='segment_value', pct=signed_pct('rmse_delta_pct'))} ORDER BY rk) AS lines
   FROM (SELECT *, row_number() OVER (PARTITION BY model_name, model_version ORDER BY rmse_delta_pct DESC, pos, candidate_rmse, segment_value) AS rk
         FROM deltas) WHERE rk <= 3 GROUP BY ALL""")
 
 oracle("judge_context", ["verdict", "drift_block", "worst3"], f"""
 SELECT v.model_name AS model_name, v.model_version AS model_version, array_to_string(
-  ['## Scenario Context' || chr(10), '**Candidate Metrics**: RMSE=' || {thousands('v.rmse')} || ', MAE=' || {thousands('v.mae')}]
-  || CASE WHEN v.has_champion THEN ['**Champion Metrics**: RMSE=' || {thousands('v.champion_rmse')} || ', MAE=' || {thousands('v.champion_mae')}]
-          ELSE ['**Champion**: No champion exists'] END
-  || ['**Policy Verdict**: ' || v.decision]
-  || CASE WHEN len(v.reasons_list) > 0 THEN ['**Reasons**: ' || array_to_string(v.reasons_list, '; ')] ELSE {E} END
-  || ['**Checks Passed**: ' || array_to_string(v.passed_list, ', '), '**Checks Failed**: ' || array_to_string(v.failed_list, ', ')]
+  [{q(T.JUDGE_CONTEXT_TITLE)}, {sql_fill(T.JUDGE_CONTEXT_CANDIDATE, rmse=thousands('v.rmse'), mae=thousands('v.mae'))}]
+  || CASE WHEN v.has_champion THEN [{sql_fill(T.JUDGE_CONTEXT_CHAMPION, rmse=thousands('v.champion_rmse'), mae=thousands('v.champion_mae'))}]
+          ELSE [{q(T.JUDGE_CONTEXT_NO_CHAMPION)}] END
+  || [{sql_fill(T.JUDGE_CONTEXT_VERDICT, decision='v.decision')}]
+  || CASE WHEN len(v.reasons_list) > 0 THEN [{sql_fill(T.JUDGE_CONTEXT_REASONS, reasons="array_to_string(v.reasons_list, '; ')")}] ELSE {E} END
+  || [{sql_fill(T.JUDGE_CONTEXT_PASSED, checks="array_to_string(v.passed_list, ', ')")},
+      {sql_fill(T.JUDGE_CONTEXT_FAILED, checks="array_to_string(v.failed_list, ', ')")}]
   || CASE WHEN db.model_name IS NOT NULL THEN
-       ['**Drift Detected**: ' || CASE WHEN db.any_drift THEN 'True' ELSE 'False' END]
-       || CASE WHEN db.n_drifted > 0 THEN ['**Drifted Columns**: ' || db.names] ELSE {E} END
+       [{sql_fill(T.JUDGE_CONTEXT_DRIFT, flag="CASE WHEN db.any_drift THEN 'True' ELSE 'False' END")}]
+       || CASE WHEN db.n_drifted > 0 THEN [{sql_fill(T.JUDGE_CONTEXT_DRIFTED, columns='db.names')}] ELSE {E} END
      ELSE {E} END
-  || CASE WHEN w.lines IS NOT NULL THEN ['**Worst Segments**:'] || w.lines ELSE {E} END,
+  || CASE WHEN w.lines IS NOT NULL THEN [{q(T.JUDGE_CONTEXT_WORST)}] || w.lines ELSE {E} END,
   chr(10)) AS judge_context
 FROM verdict v LEFT JOIN drift_block db ON db.model_name = v.model_name
 LEFT JOIN worst3 w ON w.model_name = v.model_name AND w.model_version = v.model_version""")
@@ -326,7 +325,7 @@ def q_evidence_lookup(spark, sf_dir):
     cand = F.to_json(F.struct(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae")))
     champ = F.when(F.col("has_champion"), F.to_json(F.struct(F.round("champion_rmse", 4).alias("rmse"),
                                                               F.round("champion_mae", 4).alias("mae")))).otherwise(
-        F.lit("No champion model exists yet. This is the first candidate."))
+        F.lit(T.NO_CHAMPION_LOOKUP))
     verdict = F.to_json(F.struct("decision", "reasons", "checks_passed", "checks_failed"))
     return v.select("model_name", "model_version", cand.alias("candidate_metrics"), champ.alias("champion_metrics"),
                     verdict.alias("policy_verdict"))
@@ -336,7 +335,7 @@ oracle("evidence_lookup", ["verdict"], """
 SELECT model_name, model_version,
   CAST(to_json({'rmse': round(rmse, 4), 'mae': round(mae, 4)}) AS VARCHAR) AS candidate_metrics,
   CASE WHEN has_champion THEN CAST(to_json({'rmse': round(champion_rmse, 4), 'mae': round(champion_mae, 4)}) AS VARCHAR)
-       ELSE 'No champion model exists yet. This is the first candidate.' END AS champion_metrics,
+       ELSE """ + q(T.NO_CHAMPION_LOOKUP) + """ END AS champion_metrics,
   CAST(to_json({'decision': decision, 'reasons': reasons_list, 'checks_passed': passed_list,
                 'checks_failed': failed_list}) AS VARCHAR) AS policy_verdict
 FROM verdict""")
@@ -383,7 +382,7 @@ cte("judge_responses", [], f"""
   FROM conversations""")
 
 _KEYS = ["completeness", "accuracy", "actionability", "safety"]
-_PAT = r"\b(completeness|accuracy|actionability|safety)\s*[:=]\s*(\d+)\b"
+_PAT = T.JUDGE_SCORE_PATTERN
 
 
 def _sql_score(k: str) -> str:
@@ -399,8 +398,8 @@ cte("judge_parsed", ["judge_responses"], f"""
   FROM judge_responses""")
 
 cte("judge_scored", ["judge_parsed"], f"""
-  SELECT *, CASE WHEN NOT is_json AND NOT any_match THEN 'Judge feedback value must be a dict or JSON object string, got str'
-    {' '.join(f"WHEN {k} IS NULL THEN 'Judge feedback missing required key ''{k}''' " for k in _KEYS)} END AS error
+  SELECT *, CASE WHEN NOT is_json AND NOT any_match THEN {q(T.JUDGE_NOT_OBJECT.format(kind='str'))}
+    {' '.join(f"WHEN {k} IS NULL THEN {q(T.JUDGE_MISSING_KEY.format(key=k))} " for k in _KEYS)} END AS error
   FROM judge_parsed""")
 
 oracle("judge_scores", ["judge_scored"], f"""
@@ -613,20 +612,21 @@ def _lines(col: str) -> str:
 
 
 _NEW_EVIDENCE = f"""
-  ['Candidate test RMSE: ' || {thousands('v.rmse')}, 'Candidate test MAE: ' || {thousands('v.mae')}]
+  [{sql_fill(T.EVIDENCE_CANDIDATE_RMSE, rmse=thousands('v.rmse'))}, {sql_fill(T.EVIDENCE_CANDIDATE_MAE, mae=thousands('v.mae'))}]
   || CASE WHEN v.has_champion THEN
-       ['Champion test RMSE: ' || {thousands('v.champion_rmse')}, 'Champion test MAE: ' || {thousands('v.champion_mae')},
-        'RMSE delta vs champion: ' || {_DELTA}]
+       [{sql_fill(T.EVIDENCE_CHAMPION_RMSE, rmse=thousands('v.champion_rmse'))},
+        {sql_fill(T.EVIDENCE_CHAMPION_MAE, mae=thousands('v.champion_mae'))},
+        {sql_fill(T.EVIDENCE_RMSE_DELTA, delta=_DELTA_ABS, pct=_DELTA_PCT)}]
        || CASE WHEN s3.inline IS NOT NULL THEN
-            [CASE WHEN s3.any_regress THEN 'Worst segment regressions' ELSE 'Best segment improvements' END || ': ' || s3.inline]
+            [{sql_fill(T.EVIDENCE_SEGMENTS, prefix=_PREFIX.format(a='s3.any_regress'), segments='s3.inline')}]
           ELSE {E} END
-     ELSE [{q(NO_CHAMPION_EVIDENCE)}] END
-  || CASE WHEN db.model_name IS NULL THEN [{q(NO_DRIFT_REPORT)}]
-          WHEN db.n_drifted > 0 THEN ['Drift status: detected in ' || db.names || '.']
-          ELSE [{q(NO_DRIFT_FOUND)}] END
-  || CASE WHEN len(v.passed_list) > 0 THEN ['Checks passed: ' || {sql_humanize('v.passed_list')}] ELSE {E} END"""
+     ELSE [{q(T.NO_CHAMPION_EVIDENCE)}] END
+  || CASE WHEN db.model_name IS NULL THEN [{q(T.NO_DRIFT_REPORT)}]
+          WHEN db.n_drifted > 0 THEN [{sql_fill(T.DRIFT_FOUND, columns='db.names')}]
+          ELSE [{q(T.NO_DRIFT_FOUND)}] END
+  || CASE WHEN len(v.passed_list) > 0 THEN [{sql_fill(T.CHECKS_PASSED, checks=sql_humanize('v.passed_list'))}] ELSE {E} END"""
 _NEW_RISKS = f"""
-  CASE WHEN len(v.failed_list) > 0 THEN ['Checks failed: ' || {sql_humanize('v.failed_list')}] ELSE {E} END || v.reasons_list"""
+  CASE WHEN len(v.failed_list) > 0 THEN [{sql_fill(T.CHECKS_FAILED, checks=sql_humanize('v.failed_list'))}] ELSE {E} END || v.reasons_list"""
 
 cte("enriched", ["report_sections", "verdict", "seg_top3", "drift_block"], f"""
   SELECT v.model_name, v.model_version, v.has_champion,
@@ -649,7 +649,7 @@ def _wording(x: str) -> str:
 cte("enriched_final", ["enriched"], f"""
   SELECT model_name, model_version, {_wording('summary')} AS summary,
     list_transform(evidence_list, lambda x: {_wording('x')}) AS evidence_list,
-    list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE [{q('No major risk flags identified.')}] END,
+    list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE [{q(T.NO_MAJOR_RISKS)}] END,
                    lambda x: {_wording('x')}) AS risk_list,
     {_wording('market_context')} AS market_context, {_wording('recommendation')} AS recommendation, citation_list
   FROM enriched""")
@@ -662,13 +662,13 @@ FROM enriched_final""")
 
 oracle("render_markdown", ["enriched_final"], f"""
 SELECT model_name, model_version, array_to_string(
-  ['## Summary', CASE WHEN summary <> '' THEN summary ELSE 'No summary provided.' END, '', '## Evidence']
-  || list_transform(CASE WHEN len(evidence_list) > 0 THEN evidence_list ELSE ['No evidence items captured.'] END, lambda x: '- ' || x)
-  || ['', '## Risk Flags']
-  || list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE ['No major risk flags identified.'] END, lambda x: '- ' || x)
-  || ['', '## Market Context', CASE WHEN market_context <> '' THEN market_context ELSE 'No external market context provided.' END,
-      '', '## Recommendation',
-      CASE WHEN recommendation <> '' THEN recommendation ELSE 'Use this report as input to the final human decision.' END]
-  || CASE WHEN len(citation_list) > 0 THEN ['', '## Sources'] || list_transform(citation_list, lambda x: '- ' || x) ELSE {E} END,
+  [{q(T.H_SUMMARY)}, CASE WHEN summary <> '' THEN summary ELSE {q(T.MARKDOWN_DEFAULTS['summary'])} END, '', {q(T.H_EVIDENCE)}]
+  || list_transform(CASE WHEN len(evidence_list) > 0 THEN evidence_list ELSE [{q(T.MARKDOWN_DEFAULTS['evidence'])}] END, lambda x: '- ' || x)
+  || ['', {q(T.H_RISKS)}]
+  || list_transform(CASE WHEN len(risk_list) > 0 THEN risk_list ELSE [{q(T.MARKDOWN_DEFAULTS['risk_flags'])}] END, lambda x: '- ' || x)
+  || ['', {q(T.H_MARKET)}, CASE WHEN market_context <> '' THEN market_context ELSE {q(T.MARKDOWN_DEFAULTS['market_context'])} END,
+      '', {q(T.H_RECOMMENDATION)},
+      CASE WHEN recommendation <> '' THEN recommendation ELSE {q(T.MARKDOWN_DEFAULTS['recommendation'])} END]
+  || CASE WHEN len(citation_list) > 0 THEN ['', {q(T.H_SOURCES)}] || list_transform(citation_list, lambda x: '- ' || x) ELSE {E} END,
   chr(10)) AS markdown
 FROM enriched_final""")

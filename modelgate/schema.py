@@ -4,116 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------------------
-# Fixed values. These must equal the values of the system being rebuilt for
-# results to agree: feature lists, defaults of the gate and of drift, check
-# names, and the literal wording of reasons and report lines.
-# ---------------------------------------------------------------------------
-CATEGORICAL_FEATURES = ["town", "flat_type", "flat_model", "storey_range"]
-NUMERIC_FEATURES = [
-    "floor_area_sqm",
-    "flat_age_years",
-    "remaining_lease_years",
-    "storey_midpoint",
-]
+# Fixed values live in modelgate.fixed; re-exported here for the schemas.
+from modelgate.fixed import *  # noqa: E402,F401,F403
+from modelgate.fixed import (  # noqa: E402
+    CATEGORICAL_FEATURES,
+    DATE_COLUMN,
+    NUMERIC_FEATURES,
+    RAW_COLUMNS,
+    TARGET_COLUMN,
+)
+
 FEATURE_COLUMNS = CATEGORICAL_FEATURES + NUMERIC_FEATURES
-TARGET_COLUMN = "resale_price"
-DATE_COLUMN = "sale_month"
 PREPARED_COLUMNS = [DATE_COLUMN, TARGET_COLUMN, *FEATURE_COLUMNS]
-RAW_COLUMNS = [
-    "month",
-    "town",
-    "flat_type",
-    "flat_model",
-    "storey_range",
-    "floor_area_sqm",
-    "lease_commence_date",
-    "remaining_lease",
-    "resale_price",
-]
-DEFAULT_SEGMENT_COLUMNS = ("town", "flat_type")
-DEFAULT_VALIDATION_MONTHS = 12
-DEFAULT_TEST_MONTHS = 12
-DEFAULT_LEASE_YEARS = 99.0
-
-DEFAULT_THRESHOLDS = {
-    "max_test_rmse": 200_000.0,
-    "max_test_mae": 170_000.0,
-    "max_rmse_regression_pct": 0.10,
-    "max_segment_rmse_regression_pct": 0.20,
-    "drift_blocks_promotion": True,
-}
-DEFAULT_PSI_THRESHOLD = 0.2
-DEFAULT_KS_ALPHA = 0.05
-PSI_EPSILON = 1e-4
-
-DECISION_PROMOTE = "PROMOTE"
-DECISION_REJECT = "REJECT"
-DECISION_MANUAL_REVIEW = "MANUAL_REVIEW"
-
-CHECK_LABELS = {
-    "absolute_rmse": "absolute RMSE threshold",
-    "absolute_mae": "absolute MAE threshold",
-    "champion_rmse_regression": "champion RMSE comparison",
-    "champion_comparison_skipped": "incumbent baseline comparison skipped for first candidate",
-    "segment_rmse_regression": "segment RMSE regression threshold",
-    "drift_check": "drift check",
-    "drift_check_skipped": "drift check skipped",
-    "promotion_evidence_unavailable": "promotion evidence availability",
-}
-NO_CHAMPION_REASON = "No existing champion — only absolute thresholds applied"
-NO_CHAMPION_EVIDENCE = "Baseline comparison: first candidate; no incumbent baseline available."
-NO_SEGMENT_REGRESSIONS = "Segment comparison: no segment regressions reported."
-NO_DRIFT_REPORT = "Drift status: no drift report provided."
-NO_DRIFT_FOUND = "Drift status: no significant drift detected."
-NO_POLICY_RISKS = "No policy risk flags were identified."
-NO_MAJOR_RISKS = "No major risk flags identified."
-FIRST_CANDIDATE_LINE = "First model candidate — no incumbent baseline is available."
-SUMMARY_TAIL = (
-    "This report is an assessment for the human reviewer; "
-    "the final promotion decision remains human-controlled."
-)
-RECOMMENDATION_TAIL = {
-    "REJECT": (
-        "A human reviewer should confirm the rejection, inspect the failed "
-        "checks, verify data quality and split integrity, and require "
-        "retraining or feature changes before reconsidering promotion."
-    ),
-    "MANUAL_REVIEW": (
-        "A human reviewer should inspect the flagged drift or segment "
-        "regressions, validate whether the degradation is operationally "
-        "acceptable, and document the final decision."
-    ),
-    "PROMOTE": (
-        "A human reviewer should confirm the passed checks, spot-check "
-        "segment behaviour, and then approve or hold promotion."
-    ),
-}
-TEMPLATE_FOOTER = (
-    "*(This is a template-based report. Set OPENAI_API_KEY for AI-generated analysis.)*"
-)
-REPORT_SECTIONS = ["summary", "evidence", "risk_flags", "market_context", "recommendation", "citations"]
-# Heading text (lower-cased) recognised when parsing a report into sections.
-SECTION_ALIASES = {
-    "summary": "summary",
-    "evidence": "evidence",
-    "risk flags": "risk_flags",
-    "market context": "market_context",
-    "recommendation": "recommendation",
-    "sources": "citations",
-    "citations": "citations",
-}
-JUDGE_SCORE_KEYS = ["completeness", "accuracy", "actionability", "safety"]
-REVIEW_STATUS_PENDING = "pending_review"
-REVIEW_STATUS_AUTO_REJECTED = "auto_rejected"
-REVIEW_STATUS_COMPLETED = "completed"
-DEFAULT_HISTORY_DEPTH = 10
-# Values treated as missing when a delimited file is read (pandas defaults).
-CSV_NA_TOKENS = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
-    "nan", "null",
-]
 
 # ---------------------------------------------------------------------------
 # Schemas

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modelgate.functions.text import review_id
-from modelgate.operators.registry import AUTO_REJECT_ACTION, PENDING_ACTION
+from modelgate.fixed import AUTO_REJECT_ACTION, PENDING_ACTION
 from modelgate.schema import REVIEW_STATUS_AUTO_REJECTED, REVIEW_STATUS_PENDING
 from modelgate.sources.io import HANDOFF_DDL
 
