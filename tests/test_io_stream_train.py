@@ -111,3 +111,18 @@ def test_model_save_and_load(spark, tmp_path):
     a = [r["prediction"] for r in score(model, prepared, keep=["sale_month"]).orderBy("sale_month").collect()]
     b = [r["prediction"] for r in score(again, prepared, keep=["sale_month"]).orderBy("sale_month").collect()]
     assert a == b
+
+
+def test_score_with_a_python_model_through_map_in_pandas(spark):
+    from modelgate.operators.train import score_with_pandas
+
+    prepared = train40(spark)
+
+    def predict(features):
+        return features["floor_area_sqm"] * 1000.0 + features["storey_midpoint"]
+
+    out = score_with_pandas(prepared, predict, ["floor_area_sqm", "storey_midpoint"], keep=["sale_month", "floor_area_sqm"])
+    rows = out.collect()
+    assert len(rows) == 40
+    for r in rows:
+        assert r["prediction"] > r["floor_area_sqm"] * 1000.0
