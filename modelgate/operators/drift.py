@@ -89,13 +89,14 @@ def value_counts(
 ) -> DataFrame:
     """(keys, column, bucket, sval, dval, r, c, n_reference, n_current).
 
-    One pass over the samples: the value-count aggregate is combined
-    map-side, so a value holding a third of all rows is one row per task
-    before the shuffle. Totals and ``buckets`` approximate quantile bounds
-    per column are then taken from those distinct-value counts (a small
-    table), and each numeric value gets the index of its value range
-    (binary search; monotone in the value). Categorical values have bucket
-    null.
+    The value-count aggregate is combined map-side, so a value holding a
+    third of all rows is one row per task before the shuffle. Totals and
+    ``buckets`` approximate quantile bounds per column are then taken from
+    those distinct-value counts, and each numeric value gets the index of
+    its value range (binary search; monotone in the value). Categorical
+    values have bucket null. With ``materialize`` the counts are written
+    once and the samples are read once; without it Spark may read the
+    samples a second time for the statistics.
     """
     keys = list(keys)
     bits = max(1, (buckets - 1).bit_length())
