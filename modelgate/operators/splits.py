@@ -80,7 +80,8 @@ def chrono_split(
 
     Months are ranked on the raw rows (before any feature filtering). Since
     the three splits are contiguous month ranges, the label is two literal
-    comparisons on the row's month: no join back, no shuffle, and a later
+    comparisons on the row's month (only the small distinct-month list is
+    aggregated; no join back to the rows), and a later
     ``where(split = ...)`` becomes a month range that reaches the scan.
     """
     if validation_months < 1 or test_months < 1:
