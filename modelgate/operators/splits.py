@@ -81,8 +81,9 @@ def chrono_split(
     Months are ranked on the raw rows (before any feature filtering). Since
     the three splits are contiguous month ranges, the label is two literal
     comparisons on the row's month (only the small distinct-month list is
-    aggregated; no join back to the rows), and a later
-    ``where(split = ...)`` becomes a month range that reaches the scan.
+    aggregated; no join back to the rows). To read one split, filter with
+    ``split_predicate`` (a month range that reaches the scan as a pushed
+    filter) rather than on the label.
     """
     if validation_months < 1 or test_months < 1:
         raise ValueError("validation_months and test_months must both be at least 1.")
