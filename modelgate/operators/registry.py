@@ -238,23 +238,20 @@ def apply_decisions(decisions: DataFrame) -> dict[str, DataFrame]:
 
 def judge_metrics(payloads: DataFrame, payload_column: str = "judge_evaluation") -> DataFrame:
     """Judge scores to log: only for status 'scored', numeric (not boolean)
-    values, keys prefixed 'judge_'. One row per (row keys, metric)."""
+    values, keys prefixed 'judge_'. One row per (row keys, metric).
+
+    One typed JSON parse: a score field typed double is null unless the
+    JSON value is a number, so booleans and strings drop out by themselves.
+    """
     keys = ["completeness", "accuracy", "actionability", "safety", "average"]
     schema = "status string, scores struct<" + ", ".join(f"{k}: double" for k in keys) + ">"
-    raw_scores = "scores map<string,string>"
-    parsed = payloads.withColumn("__j", F.from_json(F.col(payload_column), schema)).withColumn(
-        "__raw", F.from_json(F.col(payload_column), raw_scores)["scores"]
-    )
+    parsed = payloads.withColumn("__j", F.from_json(F.col(payload_column), schema))
     others = [c for c in payloads.columns if c != payload_column]
     entries = F.array(*[
-        F.struct(F.lit(f"judge_{k}").alias("metric"), F.col("__j.scores")[k].alias("value"),
-                 F.lower(F.col("__raw")[k]).isin("true", "false").alias("is_bool"))
-        for k in keys
+        F.struct(F.lit(f"judge_{k}").alias("metric"), F.col("__j.scores")[k].alias("value")) for k in keys
     ])
     out = parsed.where(F.col("__j.status") == "scored").select(*others, F.explode(entries).alias("e"))
-    return out.where(F.col("e.value").isNotNull() & ~F.col("e.is_bool")).select(
-        *others, F.col("e.metric").alias("metric"), F.col("e.value").alias("value")
-    )
+    return out.where(F.col("e.value").isNotNull()).select(*others, F.col("e.metric").alias("metric"), F.col("e.value").alias("value"))
 
 
 def input_example(scored: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:

@@ -505,30 +505,32 @@ def _json_kind(text: Column) -> Column:
     )
 
 
-def judge_scores(text: Column) -> Column:
-    """struct(completeness, accuracy, actionability, safety (ints), average,
-    error). A JSON object (numbers, integral floats or digit strings) is read
-    directly; any other JSON value is an error naming its type; text that is
-    not JSON is scanned for ``name: n`` / ``name=n`` (last one wins). All
-    four scores are required."""
+def _judge_inputs(text: Column) -> dict[str, Column]:
+    """Parses of a judge answer every score needs: JSON kind, JSON as a map
+    and as numbers, and the ``name: n`` matches."""
+    keys = JUDGE_SCORE_KEYS
+    return {
+        "kind": _json_kind(text),
+        "map": F.from_json(text, "map<string,string>", _JSON_OPTS),
+        "num": F.from_json(text, "struct<" + ", ".join(f"{k}: double" for k in keys) + ">", _JSON_OPTS),
+        "names": F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 1),
+        "values": F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 2),
+    }
+
+
+def _judge_fields(kind: Column, as_map: Column, as_num: Column, names: Column, values: Column) -> dict[str, Column]:
+    """Per score: value (int) and error text; plus the whole-answer error."""
     from modelgate.functions.parse import ascii_digits
 
-    keys = JUDGE_SCORE_KEYS
-    kind = _json_kind(text)
-    as_map = F.from_json(text, "map<string,string>", _JSON_OPTS)
-    as_num = F.from_json(text, "struct<" + ", ".join(f"{k}: double" for k in keys) + ">", _JSON_OPTS)
-    names = F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 1)
-    values = F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 2)
     pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
     is_json = kind == "dict"
     any_match = F.size(names) > 0
 
     def last_match(k):
-        hits = F.filter(pairs, lambda p: p["n"] == k)
-        return F.try_element_at(hits, F.lit(-1))["v"]
+        return F.try_element_at(F.filter(pairs, lambda p: p["n"] == k), F.lit(-1))["v"]
 
-    fields, errors = [], []
-    for k in keys:
+    out = {}
+    for k in JUDGE_SCORE_KEYS:
         raw = F.try_element_at(as_map, F.lit(k))
         num = as_num[k]
         digits = ascii_digits(strip_text(raw))
@@ -536,7 +538,6 @@ def judge_scores(text: Column) -> Column:
         from_json_ok = F.coalesce(from_json_ok, F.when(num.isNull() & digits.rlike(r"^\d+$"), digits.cast("bigint")))
         value = F.when(is_json, from_json_ok).otherwise(last_match(k).cast("bigint"))
         present = F.when(is_json, F.map_contains_key(as_map, F.lit(k))).otherwise(last_match(k).isNotNull())
-        fields.append(value.cast("int").alias(k))
         raw_text = strip_text(raw)
         value_kind = (
             F.when(raw.isNull(), F.lit("NoneType"))
@@ -546,24 +547,66 @@ def judge_scores(text: Column) -> Column:
             .when(raw_text.startswith("["), F.lit("list"))
             .otherwise(F.lit("str"))
         )
-        errors.append(
+        out[f"value_{k}"] = value.cast("int")
+        out[f"error_{k}"] = (
             F.when(~present, fill(T.JUDGE_MISSING_KEY, key=F.lit(k)))
             .when(value.isNull(), fill(T.JUDGE_NOT_INTEGER, key=F.lit(k), kind=value_kind))
         )
-    shape_error = (
+    out["error_shape"] = (
         F.when(kind.isNotNull() & (kind != "dict"), fill(T.JUDGE_NOT_OBJECT, kind=kind))
         .when(kind.isNull() & ~any_match, fill(T.JUDGE_NOT_OBJECT, kind=F.lit("str")))
     )
-    error = F.coalesce(shape_error, *errors)
-    s = F.struct(*fields)
-    average = (s["completeness"] + s["accuracy"] + s["actionability"] + s["safety"]) / 4.0
+    return out
+
+
+def _judge_error(get) -> Column:
+    return F.coalesce(get("error_shape"), *[get(f"error_{k}") for k in JUDGE_SCORE_KEYS])
+
+
+def _judge_struct(get, error: Column | None = None) -> Column:
+    """struct(scores..., average, error) from staged field columns."""
+    keys = JUDGE_SCORE_KEYS
+    error = _judge_error(get) if error is None else error
+    average = (get("value_completeness") + get("value_accuracy") + get("value_actionability") + get("value_safety")) / 4.0
     return F.struct(
-        *[F.when(error.isNull(), s[k]).alias(k) for k in keys],
+        *[F.when(error.isNull(), get(f"value_{k}")).alias(k) for k in keys],
         F.when(error.isNull(), average).alias("average"),
         error.alias("error"),
     )
 
 
+def judge_scores(text: Column) -> Column:
+    """struct(completeness, accuracy, actionability, safety (ints), average,
+    error). A JSON object (numbers, integral floats or digit strings) is read
+    directly; any other JSON value is an error naming its type; text that is
+    not JSON is scanned for ``name: n`` / ``name=n`` (last one wins). All
+    four scores are required. For many rows use ``score_judgements``, which
+    evaluates each parse once per row."""
+    i = _judge_inputs(text)
+    fields = _judge_fields(i["kind"], i["map"], i["num"], i["names"], i["values"])
+    return _judge_struct(lambda name: fields[name])
+
+
+def score_judgements(df: DataFrame, text_col: str, out_col: str = "scores") -> DataFrame:
+    """``judge_scores`` for every row, staged: the JSON and pattern parses are
+    columns computed once, then the per-score fields, then the struct."""
+    def stage(frame: DataFrame, cols: dict[str, Column]) -> DataFrame:
+        # A one-row Generate between stages: the optimizer cannot fold the
+        # staged parses back into their consumers (which would evaluate
+        # them once per reference).
+        row = F.struct(*[F.col(f"`{c}`") for c in frame.columns], *[v.alias(k) for k, v in cols.items()])
+        return frame.select(F.inline(F.array(row)))
+
+    inputs = {f"__ji_{k}": v for k, v in _judge_inputs(F.col(text_col)).items()}
+    staged = stage(df, inputs)
+    fields = _judge_fields(*[F.col(f"__ji_{k}") for k in ("kind", "map", "num", "names", "values")])
+    fields = {f"__jf_{k}": v for k, v in fields.items()}
+    staged = stage(staged, fields).drop(*inputs)
+    staged = stage(staged, {"__jerr": _judge_error(lambda name: F.col(f"__jf_{name}"))})
+    out = staged.withColumn(out_col, _judge_struct(lambda name: F.col(f"__jf_{name}"), F.col("__jerr")))
+    return out.drop(*fields, "__jerr")
+
+
 def judge_average(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Fleet average of judge scores per key (rows with errors excluded)."""
     ok = scores.where(F.col("error").isNull())

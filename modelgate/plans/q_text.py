@@ -361,7 +361,7 @@ def judge_responses(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return judge_responses(spark, sf_dir).select("conv_id", "turn", "role", K.judge_scores(F.col("response")).alias("s"))
+    return K.score_judgements(judge_responses(spark, sf_dir), "response", "s").select("conv_id", "turn", "role", "s")
 
 
 @query("judge_scores")
