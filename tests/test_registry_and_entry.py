@@ -158,3 +158,15 @@ def test_gate_with_registry_runs_overrides_and_no_drift(spark):
         assert "drift_check_skipped" in r["checks_passed"]
         assert "champion_rmse_regression" in r["checks_passed"]
         assert r["decision"] == "PROMOTE"
+
+
+def test_every_query_plan_stays_small(spark):
+    """Guards against expression duplication (a staged parse folded back
+    into every consumer makes plans explode and run many times slower)."""
+    import __spark_entry__ as E
+
+    for name, fn in E.queries().items():
+        if name in ("train_gbt", "score"):
+            continue
+        size = len(fn(spark, SF0001)._jdf.queryExecution().optimizedPlan().toString())
+        assert size < 200_000, (name, size)
