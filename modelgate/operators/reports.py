@@ -693,8 +693,10 @@ def trace_events(messages: DataFrame) -> DataFrame:
         named_calls,
         (F.col("conv_id") == F.col("call_conv")) & (F.col("tool_call_id") == F.col("cid")) & (F.col("call_pos") <= F.col("pos")),
         "left",
-    ).groupBy("conv_id", "pos", "tool_call_id", "name", "content").agg(
-        F.max_by("call_name", F.struct("call_pos", "call_k")).alias("call_name")
+    ).groupBy("conv_id", "pos").agg(
+        # (conv_id, pos) identifies the message; its text is carried, never hashed as a key
+        F.first("tool_call_id").alias("tool_call_id"), F.first("name").alias("name"), F.first("content").alias("content"),
+        F.max_by("call_name", F.struct("call_pos", "call_k")).alias("call_name"),
     )
     res_events = joined.select(
         F.lit("tool_result").alias("event"), "conv_id", F.col("pos").alias("message_index"), F.lit(1 << 20).alias("k"),
