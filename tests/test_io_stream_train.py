@@ -126,3 +126,19 @@ def test_score_with_a_python_model_through_map_in_pandas(spark):
     assert len(rows) == 40
     for r in rows:
         assert r["prediction"] > r["floor_area_sqm"] * 1000.0
+
+
+def test_handoff_stream_is_incremental(spark, tmp_path):
+    from modelgate.sources.io import read_handoff
+
+    j = gate_job(spark, SF0001)
+    first = IO.write_handoff(j.routed, j.segment_deltas, str(tmp_path / "batch1"))
+    inbox = str(tmp_path / "inbox")
+    # packets arrive as files in one folder: first one batch, later another
+    read_handoff(spark, first["packets"]).write.json(inbox)
+    reviews_dir, ckpt = str(tmp_path / "reviews"), str(tmp_path / "ckpt")
+    start_review_stream(spark, inbox, reviews_dir, ckpt, thread_id="t").awaitTermination(120)
+    n1 = spark.read.parquet(reviews_dir).count()
+    read_handoff(spark, first["packets"]).limit(1).write.mode("append").json(inbox)
+    start_review_stream(spark, inbox, reviews_dir, ckpt, thread_id="t").awaitTermination(120)
+    assert spark.read.parquet(reviews_dir).count() == n1 + 1
