@@ -54,6 +54,24 @@ def _latest(events: DataFrame, keys: list[str], value: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.max_by(F.col(value), order).alias(value))
 
 
+def compact_events(events: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Snapshot of an append-only event log: the latest event per key, kept
+    as an event (with its ``ts``/``seq``, deletes included). Folding the
+    snapshot together with newer events gives exactly the fold of the whole
+    history, so long logs can be compacted periodically and current-state
+    reads only touch the snapshot plus the tail."""
+    latest = events.groupBy(*keys).agg(F.max_by(F.struct(value, "ts", "seq"), F.struct("ts", "seq")).alias("__e"))
+    return latest.select(*keys, F.col(f"__e.{value}").alias(value), F.col("__e.ts").alias("ts"), F.col("__e.seq").alias("seq"))
+
+
+def compact_alias_events(alias_events: DataFrame) -> DataFrame:
+    return compact_events(alias_events, ["model_name", "alias"], "model_version")
+
+
+def compact_tag_events(tag_events: DataFrame) -> DataFrame:
+    return compact_events(tag_events, ["model_name", "model_version", "key"], "value")
+
+
 def current_aliases(alias_events: DataFrame) -> DataFrame:
     """(model_name, alias, model_version) for aliases that are set now."""
     return _latest(alias_events, ["model_name", "alias"], "model_version").where(F.col("model_version").isNotNull())

@@ -170,3 +170,14 @@ def test_every_query_plan_stays_small(spark):
             continue
         size = len(fn(spark, SF0001)._jdf.queryExecution().optimizedPlan().toString())
         assert size < 200_000, (name, size)
+
+
+def test_compacted_log_folds_to_the_same_state(spark):
+    rows = [("m", str(v), k, (None if (v + i) % 5 == 0 else f"x{v}{i}"), dt.datetime(2024, 1, 1 + i % 3), i)
+            for v in range(1, 5) for i, k in enumerate(["promotion_status", "policy_verdict", "promotion_status", "rejection_reasons"])]
+    events = spark.createDataFrame(rows, R.TAG_EVENTS_DDL)
+    old, new = events.where("seq < 2"), events.where("seq >= 2")
+    full = {tuple(r) for r in R.fold_tags(events).collect()}
+    compacted = {tuple(r) for r in R.fold_tags(R.compact_tag_events(old).unionByName(new)).collect()}
+    assert compacted == full
+    assert R.compact_tag_events(events).count() == events.select("model_version", "key").distinct().count()
