@@ -119,3 +119,13 @@ def test_gate_monotone_in_rmse(spark):
     v = gate(spark, rows)
     decisions = [v[str(i)]["decision"] for i in range(5)]
     assert decisions == ["PROMOTE", "PROMOTE", "PROMOTE", "REJECT", "REJECT"]
+
+
+def test_threshold_precedence_table_then_override_then_default(spark):
+    df = spark.createDataFrame([("a", "1", 250000.0, 1.0), ("b", "1", 250000.0, 1.0)], CAND)
+    table = spark.createDataFrame([("a", 300000.0)], "model_name string, max_test_rmse double")
+    out = {r["model_name"]: r for r in with_thresholds(df, {"max_test_mae": 5.0}, table).collect()}
+    assert out["a"]["max_test_rmse"] == 300000.0 and out["b"]["max_test_rmse"] == 200000.0
+    assert out["a"]["max_test_mae"] == 5.0 and out["b"]["drift_blocks_promotion"] is True
+    v = {r["model_name"]: r["decision"] for r in policy_gate(with_thresholds(df, None, table)).collect()}
+    assert v == {"a": "PROMOTE", "b": "REJECT"}
