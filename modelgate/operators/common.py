@@ -79,7 +79,7 @@ def top_k_per_group(
     survivors = staged.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= k)
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return (
-        survivors.withColumn(rank_column, F.row_number().over(w2))
+        survivors.withColumn(rank_column, F.row_number().over(w2).cast("long"))
         .where(F.col(rank_column) <= k)
         .drop("__salt", "__rn")
     )

@@ -19,7 +19,7 @@ def worst_segments(deltas: DataFrame, segment_type: str | None = None) -> DataFr
         *MODEL_KEY, "segment_column", F.col("segment_value").alias("segment"),
         F.bround("candidate_rmse", 2).alias("candidate_rmse"), F.bround("champion_rmse", 2).alias("champion_rmse"),
         signed_percent(F.col("rmse_delta_pct")).alias("delta_pct"),
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("long").alias("rank"),
     )
 
 

@@ -247,7 +247,7 @@ def ks_pvalue_sql(d: str, n: str, m: str) -> str:
 
 cte("ks", ["drift_num_long"], """
   SELECT model_name, column_name, ord, max(abs(cr / nr - cc / nc)) AS statistic,
-         max(nr) AS n_reference, max(nc) AS n_current
+         CAST(max(nr) AS BIGINT) AS n_reference, CAST(max(nc) AS BIGINT) AS n_current
   FROM (
     SELECT model_name, column_name, ord,
       sum(r) OVER w AS cr, sum(c) OVER w AS cc,

@@ -305,7 +305,7 @@ def q_one_hot(spark, sf_dir):
         slot = F.coalesce(F.array_position(F.transform(arr, lambda x: x == 1.0), F.lit(True)).cast("int") - 1, F.lit(-1))
         parts.append(out.select(F.lit(c).alias("column"), F.col(c).alias("value"),
                                 F.when(F.size(arr) > 0, F.when(slot >= 0, slot).otherwise(F.lit(-1))).otherwise(F.lit(-1)).alias("slot"),
-                                F.size(arr).alias("width")))
+                                F.size(arr).cast("long").alias("width")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

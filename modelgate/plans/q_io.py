@@ -98,7 +98,8 @@ def q_handoff_packet(spark, sf_dir):
         "model_name", "model_version", "status", F.col("policy_verdict.decision").alias("decision"),
         F.round("candidate_metrics.rmse", 4).alias("rmse"), F.col("comparison.has_champion").alias("has_champion"),
         F.col("drift_report.overall_drift_detected").alias("drift_detected"),
-        F.size("policy_verdict.reasons").alias("n_reasons"), F.size("drift_report.column_results").alias("n_drift_columns"),
+        F.size("policy_verdict.reasons").cast("long").alias("n_reasons"),
+        F.size("drift_report.column_results").cast("long").alias("n_drift_columns"),
     )
 
 

@@ -560,7 +560,8 @@ WHERE url <> '' GROUP BY lang, url""")
 @query("unique_lines")
 def q_unique_lines(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
-    lines = d.select("doc_id", F.posexplode(K.split_lines(F.col("text"))).alias("ord", "line"))
+    lines = d.select("doc_id", F.posexplode(K.split_lines(F.col("text"))).alias("ord", "line")).withColumn(
+        "ord", F.col("ord").cast("long"))
     return S.unique_lines(lines, ["doc_id"], "ord")
 
 
