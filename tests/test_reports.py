@@ -182,3 +182,13 @@ def test_message_text_parts(spark):
 def test_judge_non_object_json_is_an_error(spark, text, error):
     r = spark.createDataFrame([(text,)], "t string").select(K.judge_scores(F.col("t")).alias("s")).first()["s"]
     assert r["error"] == error
+
+
+def test_parse_report_crlf_and_heading_variants(spark):
+    text = "Preface\r\n### EVIDENCE\r\n- a\r\n  - b  \r\nRisk flags :\r\n- r\r\n## Summary:\r\nnot a heading line\r\nRecommendation\r\nGo"
+    p = K.parse_reports(spark.createDataFrame([(text,)], "t string"), "t", "p").first()["p"]
+    assert p["evidence"] == ["a", "b"]
+    # '## Summary:' is neither '#'-heading nor ':'-heading once both marks are kept, so it stays content
+    assert p["risk_flags"] == ["r", "## Summary:", "not a heading line"]
+    assert p["recommendation"] == "Go"
+    assert p["summary"] == "Preface"
