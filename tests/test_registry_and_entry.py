@@ -181,3 +181,23 @@ def test_compacted_log_folds_to_the_same_state(spark):
     compacted = {tuple(r) for r in R.fold_tags(R.compact_tag_events(old).unionByName(new)).collect()}
     assert compacted == full
     assert R.compact_tag_events(events).count() == events.select("model_version", "key").distinct().count()
+
+
+def test_gate_without_champion_gates_every_version(spark):
+    from modelgate.fixed import NO_CHAMPION_REASON
+    from modelgate.plans.gate import GateJob
+    from modelgate.sources import adapters as A
+    from modelgate.sources.tables import Tables
+
+    t = Tables(spark, SF0001)
+    job = GateJob(raw=A.raw_sales_with_predictions(t), predictions=A.prediction_columns(), model_name=A.MODEL_NAME,
+                  alias_events=R.empty(spark, R.ALIAS_EVENTS_DDL))
+    v = {r["model_version"]: r for r in job.verdicts.collect()}
+    assert set(v) == {"1", "2", "3", "4"}
+    for r in v.values():
+        assert not r["has_champion"]
+        assert NO_CHAMPION_REASON in r["reasons"]
+        assert "champion_comparison_skipped" in r["checks_passed"]
+        assert r["decision"] in ("PROMOTE", "MANUAL_REVIEW")
+    reports = {r["model_version"]: r["report"] for r in job.reports.collect()}
+    assert all("First model candidate — no incumbent baseline is available." in x for x in reports.values())
