@@ -40,9 +40,7 @@ def sales_source(t: Tables) -> DataFrame:
     """lineitem ⋈ orders ⋈ part ⋈ customer ⋈ nation with the columns the
     stand-ins need. lineitem ⋈ orders is a shuffle (sort-merge) join on the
     order key — both are fact-sized; part and customer are left to AQE's
-    runtime size check; nation is broadcast after a row-count check."""lineitem ⋈ orders ⋈ part ⋈ customer ⋈ nation with the columns the
-    stand-ins need. The three big joins shuffle on their keys (AQE picks the
-    strategy from runtime sizes); nation is broadcast behind a size check."""
+    runtime size check; nation is broadcast after a row-count check."""
     li = t.lineitem.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
