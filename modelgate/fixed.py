@@ -1,6 +1,7 @@
 """Fixed values.
 
-Everything here must equal the behaviour being rebuilt for results to agree:
+Values that must equal the behaviour being rebuilt for results to agree
+(the one exception is marked where it appears):
 feature lists, gate and drift defaults, booster defaults, check names and
 their wording, and every sentence of reasons, reports, evidence lines, judge
 messages and review records. Text is written as templates in natural order;
@@ -199,5 +200,6 @@ AUTO_REJECT_ACTION = (
 PENDING_ACTION = "Resume this review with approve or reject."
 DEFAULT_REJECT_REASON = "Rejected by human reviewer"
 BAD_DECISION_ERROR = "Decision must be either 'approve' or 'reject'."
+# Own wording (no counterpart to match): a decision for an unknown review.
 REVIEW_NOT_FOUND = "Review '{review_id}' was not found."
 REVIEW_COMPLETED = "Review '{review_id}' is already completed."
