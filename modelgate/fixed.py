@@ -171,6 +171,7 @@ MARKDOWN_DEFAULTS = {
     "recommendation": "Use this report as input to the final human decision.",
 }
 NO_CHAMPION_LOOKUP = "No champion model exists yet. This is the first candidate."
+NO_DRIFT_LOOKUP = "Drift detection was not run."
 
 # --- judge ---------------------------------------------------------------------------------------------
 JUDGE_SCORE_KEYS = ["completeness", "accuracy", "actionability", "safety"]

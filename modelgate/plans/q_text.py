@@ -320,25 +320,47 @@ FROM reports JOIN verdict USING (model_name, model_version)""")
 @query("evidence_lookup")
 def q_evidence_lookup(spark, sf_dir):
     """Evidence a reviewer or tool queries per candidate: candidate metrics,
-    champion metrics (or the no-champion text) and the verdict, as JSON."""
+    champion metrics (or the no-champion text), the verdict and the drift
+    report (4-decimal statistics), as JSON."""
     v = gate_job(spark, sf_dir).verdicts
     cand = F.to_json(F.struct(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae")))
     champ = F.when(F.col("has_champion"), F.to_json(F.struct(F.round("champion_rmse", 4).alias("rmse"),
                                                               F.round("champion_mae", 4).alias("mae")))).otherwise(
         F.lit(T.NO_CHAMPION_LOOKUP))
     verdict = F.to_json(F.struct("decision", "reasons", "checks_passed", "checks_failed"))
+    # drift evidence: statistic and p-value at 4 decimals (half-even), p-value only when there is one
+    columns = F.transform("column_results", lambda r: F.struct(
+        r["column"].alias("column"), r["drift_type"].alias("type"), F.bround(r["statistic"], 4).alias("statistic"),
+        r["threshold"].alias("threshold"), r["is_drifted"].alias("is_drifted"), F.bround(r["p_value"], 4).alias("p_value")))
+    drift_json = F.to_json(F.struct(F.col("overall_drift_detected").alias("overall_drift_detected"), columns.alias("columns")))
+    # After 4-decimal rounding the only numbers the JSON writer puts in
+    # exponent form are k * 1e-4 ("4.0E-4"); write them as plain decimals.
+    drift_json = F.regexp_replace(drift_json, r"(?<=:)([1-9])\.0E-4(?=[,}])", "0.000$1")
+    drift = F.when(F.coalesce(F.col("has_drift_report"), F.lit(False)), drift_json)
+    drift = drift.otherwise(F.lit(T.NO_DRIFT_LOOKUP))
     return v.select("model_name", "model_version", cand.alias("candidate_metrics"), champ.alias("champion_metrics"),
-                    verdict.alias("policy_verdict"))
+                    verdict.alias("policy_verdict"), drift.alias("drift_report"))
 
 
-oracle("evidence_lookup", ["verdict"], """
+cte("drift_json", ["drift_rows"], """
+  SELECT model_name, CAST(json_object('overall_drift_detected', bool_or(is_drifted), 'columns', list(
+    CASE WHEN p_value IS NULL
+      THEN json_object('column', "column", 'type', drift_type, 'statistic', round(statistic, 4),
+                       'threshold', threshold, 'is_drifted', is_drifted)
+      ELSE json_object('column', "column", 'type', drift_type, 'statistic', round(statistic, 4),
+                       'threshold', threshold, 'is_drifted', is_drifted, 'p_value', round(p_value, 4)) END
+    ORDER BY ord)) AS VARCHAR) AS drift_report
+  FROM drift_rows GROUP BY model_name""")
+
+oracle("evidence_lookup", ["verdict", "drift_json"], """
 SELECT model_name, model_version,
   CAST(to_json({'rmse': round(rmse, 4), 'mae': round(mae, 4)}) AS VARCHAR) AS candidate_metrics,
   CASE WHEN has_champion THEN CAST(to_json({'rmse': round(champion_rmse, 4), 'mae': round(champion_mae, 4)}) AS VARCHAR)
        ELSE """ + q(T.NO_CHAMPION_LOOKUP) + """ END AS champion_metrics,
   CAST(to_json({'decision': decision, 'reasons': reasons_list, 'checks_passed': passed_list,
-                'checks_failed': failed_list}) AS VARCHAR) AS policy_verdict
-FROM verdict""")
+                'checks_failed': failed_list}) AS VARCHAR) AS policy_verdict,
+  coalesce(dj.drift_report, """ + q(T.NO_DRIFT_LOOKUP) + """) AS drift_report
+FROM verdict LEFT JOIN drift_json dj USING (model_name)""")
 
 
 # --- judge scores (stand-in judge responses from conversation rows) -------------------------
