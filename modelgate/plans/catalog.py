@@ -8,12 +8,14 @@ in both so that summation order cannot change a hash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelgate.plans.gate import GateJob, champion_alias
+from modelgate.session import size_shuffle_partitions
 from modelgate.sources import adapters as A
 from modelgate.sources.tables import Tables
 
@@ -40,10 +42,24 @@ def r(c: str, digits: int = 6):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_SIZED: set[tuple[int, str]] = set()
+
+
 def query(name: str):
+    """Register a query. Before its first run on a data directory the
+    session's shuffle partitions are sized to that directory's bytes."""
+
     def deco(fn):
-        QUERIES[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            key = (id(spark), sf_dir)
+            if key not in _SIZED:
+                size_shuffle_partitions(spark, [sf_dir])
+                _SIZED.add(key)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
+        return run
 
     return deco
 

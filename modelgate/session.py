@@ -123,7 +123,7 @@ def scale_conf(
     input_bytes: int,
     total_cores: int,
     target_partition_bytes: int = 256 << 20,
-    max_shuffle_partitions: int = 100_000,
+    max_shuffle_partitions: int = 32_768,
 ) -> dict[str, str]:
     """Partition settings for a run over ``input_bytes`` of parquet on
     ``total_cores`` executor cores.
@@ -133,7 +133,7 @@ def scale_conf(
     quarter of the scanned bytes (column pruning, map-side combining), i.e.
     one partition per ~1 GB of input, at least two waves of the cluster and
     at most ``max_shuffle_partitions`` (beyond that the map x reduce block
-    count dominates). AQE coalesces the small shuffles of model-level steps
+    count dominates; AQE splits skewed partitions instead). AQE coalesces the small shuffles of model-level steps
     and splits skewed join partitions above 4x the target.
     """
     wanted = -(-input_bytes // (4 * target_partition_bytes))
@@ -144,3 +144,28 @@ def scale_conf(
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
     }
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths``, from a distributed file
+    listing (the ``binaryFile`` source with only its ``length`` column, so no
+    file content is read)."""
+    from pyspark.sql import functions as F
+
+    row = spark.read.format("binaryFile").load(paths).agg(F.sum("length").alias("n")).first()
+    return int(row["n"] or 0)
+
+
+def size_shuffle_partitions(spark: SparkSession, paths: list[str]) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` to what ``scale_conf`` asks for
+    the input under ``paths``; a larger value set by the cluster is kept.
+    Returns the setting in effect."""
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on a remote session
+        cores = int(spark.conf.get("spark.default.parallelism", "8"))
+    wanted = int(scale_conf(input_bytes(spark, paths), cores)["spark.sql.shuffle.partitions"])
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return max(wanted, current)

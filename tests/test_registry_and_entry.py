@@ -201,3 +201,32 @@ def test_gate_without_champion_gates_every_version(spark):
         assert r["decision"] in ("PROMOTE", "MANUAL_REVIEW")
     reports = {r["model_version"]: r["report"] for r in job.reports.collect()}
     assert all("First model candidate — no incumbent baseline is available." in x for x in reports.values())
+
+
+def test_scale_conf_partitions_grow_with_input_and_are_capped():
+    from modelgate.session import scale_conf
+
+    small = scale_conf(40 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    tb = scale_conf(10 << 40, 1000)
+    assert tb["spark.sql.shuffle.partitions"] == str(10 * 1024)
+    assert scale_conf(10 << 40, 8000)["spark.sql.shuffle.partitions"] == "16000"  # two waves
+    assert scale_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "32768"
+
+
+def test_size_shuffle_partitions_only_raises(spark):
+    from modelgate.session import input_bytes, size_shuffle_partitions
+    from tests.conftest import SF0001
+
+    assert input_bytes(spark, [SF0001]) > 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        assert size_shuffle_partitions(spark, [SF0001]) == 1000
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1000"
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        got = size_shuffle_partitions(spark, [SF0001])
+        assert got == 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
