@@ -19,11 +19,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
-def non_null(c: str | Column) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.isNotNull()
-
-
 def require_columns(df: DataFrame, columns, what: str = "input") -> None:
     """Driver-side guard on the schema (no data is read)."""
     present = {c.lower() for c in df.columns}

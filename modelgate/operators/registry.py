@@ -82,14 +82,6 @@ def fold_tags(tag_events: DataFrame) -> DataFrame:
     return _latest(tag_events, ["model_name", "model_version", "key"], "value").where(F.col("value").isNotNull())
 
 
-def tag_map(tag_events: DataFrame) -> DataFrame:
-    """Current tags folded into one ``tags`` map per version (bounded by the
-    number of distinct tag keys, a small fixed vocabulary)."""
-    return fold_tags(tag_events).groupBy("model_name", "model_version").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("tags")
-    )
-
-
 def test_metrics(metrics: Column) -> Column:
     """Keep keys starting with 'test_' and drop that prefix (every occurrence)."""
     kept = F.map_filter(metrics, lambda k, v: k.startswith("test_"))

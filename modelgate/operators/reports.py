@@ -227,22 +227,6 @@ def _aliases() -> Column:
 _SECTIONS = ["summary", "evidence", "risk_flags", "market_context", "recommendation", "citations"]
 
 
-def section_key(line: Column) -> Column:
-    """Section named by a heading line ('## Evidence', 'Evidence:',
-    'Risk Flags'), else null."""
-    s = strip_text(line)
-    hashless = strip_text(F.regexp_replace(s, "^#+", ""))
-    colonless = strip_text(F.substring(s, F.lit(1), F.length(s) - 1))
-    return F.when(
-        s != "",
-        F.coalesce(
-            F.try_element_at(_aliases(), F.lower(s)),
-            F.when(s.startswith("#"), F.try_element_at(_aliases(), F.lower(hashless))),
-            F.when(s.endswith(":"), F.try_element_at(_aliases(), F.lower(colonless))),
-        ),
-    )
-
-
 def split_lines(text: Column) -> Column:
     """``str.splitlines()``: no trailing empty element after a final break."""
     parts = F.split(text, LINE_BREAK)

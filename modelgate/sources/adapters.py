@@ -78,11 +78,6 @@ def raw_columns() -> list[Column]:
     ]
 
 
-def raw_sales(t: Tables) -> DataFrame:
-    """Raw transactions (strings, as read from a delimited file)."""
-    return sales_source(t).select(*raw_columns())
-
-
 def raw_sales_with_predictions(t: Tables, versions: list[str] | None = None) -> DataFrame:
     """Raw transactions plus one ``prediction_<v>`` column per stand-in model."""
     src = sales_source(t)

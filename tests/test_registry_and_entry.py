@@ -183,6 +183,19 @@ def test_compacted_log_folds_to_the_same_state(spark):
     assert R.compact_tag_events(events).count() == events.select("model_version", "key").distinct().count()
 
 
+def test_compacted_alias_log_keeps_current_aliases(spark):
+    rows = [("m", "champion", "1", dt.datetime(2024, 1, 1), 0), ("m", "candidate", "2", dt.datetime(2024, 1, 2), 1),
+            ("m", "champion", "2", dt.datetime(2024, 1, 3), 2), ("m", "candidate", None, dt.datetime(2024, 1, 3), 3),
+            ("m", "candidate", "3", dt.datetime(2024, 1, 4), 4)]
+    events = spark.createDataFrame(rows, R.ALIAS_EVENTS_DDL)
+    old, new = events.where("seq < 4"), events.where("seq >= 4")
+    full = {tuple(r) for r in R.current_aliases(events).collect()}
+    assert full == {("m", "champion", "2"), ("m", "candidate", "3")}
+    compacted = R.compact_alias_events(old)
+    assert compacted.count() == 2
+    assert {tuple(r) for r in R.current_aliases(compacted.unionByName(new)).collect()} == full
+
+
 def test_gate_without_champion_gates_every_version(spark):
     from modelgate.fixed import NO_CHAMPION_REASON
     from modelgate.plans.gate import GateJob

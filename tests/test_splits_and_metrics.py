@@ -7,7 +7,7 @@ from modelgate.operators.evaluate import (
     segment_metrics,
     split_evaluation,
 )
-from modelgate.operators.splits import chrono_split, split_summary
+from modelgate.operators.splits import chrono_split, split_summary, split_summary_wide
 from modelgate.schema import RAW_SCHEMA
 
 
@@ -28,6 +28,11 @@ def test_chronological_split_48_months(spark):
     assert (summary["train"]["first_month"], summary["train"]["last_month"]) == ("2021-01", "2022-12")
     assert (summary["validation"]["first_month"], summary["validation"]["last_month"]) == ("2023-01", "2023-12")
     assert (summary["test"]["first_month"], summary["test"]["last_month"]) == ("2024-01", "2024-12")
+    wide = split_summary_wide(s).collect()
+    assert len(wide) == 1
+    w = wide[0]
+    assert (w["train_rows"], w["validation_rows"], w["test_rows"]) == (24, 12, 12)
+    assert (w["validation_month_start"], w["validation_month_end"]) == ("2023-01", "2023-12")
 
 
 def test_split_counts_observed_months_only(spark):
