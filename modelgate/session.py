@@ -147,12 +147,14 @@ def scale_conf(
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of the files under ``paths``, from a distributed file
-    listing (the ``binaryFile`` source with only its ``length`` column, so no
-    file content is read)."""
+    """Total size of the files under ``paths`` (recursively, so tables
+    stored as folders of part files count), from a distributed file listing:
+    the ``binaryFile`` source with only its ``length`` column, so no file
+    content is read."""
     from pyspark.sql import functions as F
 
-    row = spark.read.format("binaryFile").load(paths).agg(F.sum("length").alias("n")).first()
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    row = listing.agg(F.sum("length").alias("n")).first()
     return int(row["n"] or 0)
 
 
