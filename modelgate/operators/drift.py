@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelgate.functions.stats import ks_exact_pvalue, ks_pvalue, psi_term
+from modelgate.functions.stats import ks_distribution_pvalue, ks_pvalue, psi_term
 from modelgate.schema import DEFAULT_KS_ALPHA, DEFAULT_PSI_THRESHOLD, PSI_EPSILON
 
 SIDE = "__is_reference"
@@ -159,9 +159,11 @@ def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_ks_pvalue(ks: DataFrame) -> DataFrame:
     """Add ``p_value``: exact two-sample distribution when both samples have
-    at most 10 000 values (lattice-path count, one evaluation per drift row),
-    else the asymptotic Kolmogorov series."""
-    exact = ks_exact_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
+    at most 10 000 values (lattice-path count), else the finite-n
+    distribution at the effective size n m / (n + m) (one evaluation per
+    drift row); the Kolmogorov limit series only below an effective size of
+    141."""
+    exact = ks_distribution_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
     series = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
     return ks.withColumn("p_value", F.coalesce(exact, series))
 

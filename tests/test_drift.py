@@ -123,3 +123,60 @@ def test_exact_pvalue_small_samples_matches_permutations(spark):
     row = numeric_drift(frame(spark, "x", a, "double"), frame(spark, "x", b, "double"), ["x"]).first()
     assert row["p_value"] == pytest.approx(perm_p)
     assert ks_exact_pvalue_py(0.1, 20000, 5) is None
+
+
+def _durbin_cdf(n, d):
+    """Exact P(D_n < d), one-sample two-sided (Marsaglia, Tsang and Wang
+    2003): n!/n^n times an entry of H^n, powered with log scaling."""
+    import math
+
+    import numpy as np
+
+    k = int(math.floor(n * d)) + 1
+    m = 2 * k - 1
+    h = k - n * d
+    lf = [math.lgamma(i + 1) for i in range(m + 2)]
+    H = np.zeros((m, m))
+    for i in range(m):
+        for j in range(max(0, i - m), min(m, i + 2)):
+            H[i, j] = math.exp(-lf[i - j + 1])
+    for i in range(m):
+        H[i, 0] -= h ** (i + 1) * math.exp(-lf[i + 1])
+        H[m - 1, i] -= h ** (m - i) * math.exp(-lf[m - i])
+    if 2 * h - 1 > 0:
+        H[m - 1, 0] += (2 * h - 1) ** m * math.exp(-lf[m])
+    result, rlog, base, blog, e = np.eye(m), 0.0, H, 0.0, n
+    while e:
+        if e & 1:
+            result = result @ base
+            s = np.abs(result).max()
+            result, rlog = result / s, rlog + blog + math.log(s)
+        e >>= 1
+        if e:
+            base = base @ base
+            s = np.abs(base).max()
+            base, blog = base / s, 2 * blog + math.log(s)
+    return math.exp(math.lgamma(n + 1) - n * math.log(n) + rlog) * result[k - 1, k - 1]
+
+
+def test_durbin_reference_value():
+    # published example: K(10, 0.274) = 0.6284796154565043
+    assert _durbin_cdf(10, 0.274) == pytest.approx(0.6284796154565043, abs=1e-12)
+
+
+@pytest.mark.parametrize("n,tol", [(150, 5e-6), (2000, 1e-7), (6719, 1e-8)])
+def test_finite_n_tail_matches_exact_distribution(n, tol):
+    import math
+
+    from modelgate.functions.stats import kolmogorov_sf_py
+
+    for z in [0.6, 0.9, 1.2, 1.45, 1.8, 2.5]:
+        x = z / math.sqrt(n)
+        assert kolmogorov_sf_py(n, x) == pytest.approx(1 - _durbin_cdf(n, x), abs=tol), (n, z)
+
+
+def test_two_sample_pvalue_uses_effective_size_above_exact_range():
+    from modelgate.functions.stats import kolmogorov_sf_py, ks_pvalue_py
+
+    assert ks_pvalue_py(0.00798, 41406, 8021) == kolmogorov_sf_py(6719, 0.00798)
+    assert ks_pvalue_py(0.3, 20000, 100) is None  # effective size 100: limit series
