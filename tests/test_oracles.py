@@ -12,13 +12,13 @@ from tests.conftest import SF0001
 NAMES = ["policy_gate", "evaluate_grouping_sets", "segment_deltas", "categorical_drift", "ks_statistic",
          "render_report", "fold_tags", "parse_reports", "judge_scores", "format_metrics"]
 # evidence_lookup carries KS p-values: at this scale the samples are small
-# enough for the exact distribution, while the oracle has the limit series,
-# so it is compared at sf0.01 by scripts/check_oracles.py instead.
+# enough for the exact two-sample distribution, which the oracle does not
+# have, so it is compared at sf0.01 below and by scripts/check_oracles.py.
 
 
 SF001 = "/root/testdata/sf0.01"
 # Queries carrying KS p-values, checked where the samples exceed the exact
-# range, so the limit series is used on both sides.
+# range, so the finite-n distribution is used on both sides.
 PVALUE_NAMES = ["numeric_drift", "drift_report", "evidence_lookup"]
 
 
