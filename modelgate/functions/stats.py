@@ -77,7 +77,38 @@ def ks_exact_pvalue_py(d: float, n: int, m: int) -> float | None:
     return min(1.0, max(0.0, p))
 
 
-FINITE_N_MIN = 141  # effective sizes below this use the limit series
+def durbin_cdf_py(n: int, x: float) -> float:
+    """Exact P(D_n < x) of the one-sample two-sided statistic by Durbin's
+    matrix (Marsaglia, Tsang and Wang 2003): n!/n^n times the central entry
+    of H^n, powered by squaring with log scaling. The matrix has
+    2 floor(n x) + 1 rows, so this is used only where n x is small."""
+    import math
+
+    import numpy as np
+
+    k = int(math.floor(n * x)) + 1
+    m = 2 * k - 1
+    h = k - n * x
+    lf = np.array([math.lgamma(i + 1.0) for i in range(m + 2)])
+    i, j = np.indices((m, m))
+    H = np.where(i - j + 1 >= 0, np.exp(-lf[np.clip(i - j + 1, 0, None)]), 0.0)
+    r = np.arange(m)
+    H[:, 0] -= h ** (r + 1) * np.exp(-lf[r + 1])
+    H[m - 1, :] -= h ** (m - r) * np.exp(-lf[m - r])
+    if 2.0 * h - 1.0 > 0:
+        H[m - 1, 0] += (2.0 * h - 1.0) ** m * math.exp(-lf[m])
+    result, rlog, base, blog, e = np.eye(m), 0.0, H, 0.0, n
+    while e:
+        if e & 1:
+            result = result @ base
+            top = np.abs(result).max()
+            result, rlog = result / top, rlog + blog + math.log(top)
+        e >>= 1
+        if e:
+            base = base @ base
+            top = np.abs(base).max()
+            base, blog = base / top, 2.0 * blog + math.log(top)
+    return float(math.exp(math.lgamma(n + 1.0) - n * math.log(n) + rlog) * result[k - 1, k - 1])
 
 
 def smirnov_sf_py(n: int, x: float) -> float:
@@ -121,15 +152,18 @@ def pelz_good_cdf_py(n: int, x: float) -> float:
     return float(k0 + k1 / math.sqrt(n) + k2 / n + k3 / n ** 1.5)
 
 
-def kolmogorov_sf_py(n: int, x: float) -> float | None:
-    """P(D_n >= x) of the one-sample two-sided statistic for n >=
-    FINITE_N_MIN (None below): the scheme of Simard and L'Ecuyer (2011) for
-    large n — exact tails where they are closed-form, twice the one-sided
-    Smirnov sum where n x^2 >= 2.2, else one minus the Pelz-Good expansion."""
+def kolmogorov_sf_py(n: int, x: float) -> float:
+    """P(D_n >= x) of the one-sample two-sided statistic, by the scheme of
+    Simard and L'Ecuyer (2011): closed-form tails where they exist; for
+    n <= 140 the exact Durbin matrix up to n x^2 = 4 and twice the one-sided
+    Smirnov sum beyond; for larger n twice the Smirnov sum where
+    n x^2 >= 2.2, the Durbin matrix where n x^1.5 <= 1.4 (n <= 100 000),
+    else one minus the Pelz-Good expansion."""
     import math
 
-    if n < FINITE_N_MIN:
-        return None
+    def clip(p: float) -> float:
+        return min(1.0, max(0.0, p))
+
     if x >= 1.0:
         return 0.0
     if x <= 0.0:
@@ -144,17 +178,23 @@ def kolmogorov_sf_py(n: int, x: float) -> float | None:
     if x >= 0.5:
         return min(1.0, 2.0 * smirnov_sf_py(n, x))
     nx2 = t * x
+    if n <= 140:
+        if nx2 <= 4.0:
+            return clip(1.0 - durbin_cdf_py(n, x))
+        return clip(2.0 * smirnov_sf_py(n, x))
     if nx2 >= 370.0:
         return 0.0
     if nx2 >= 2.2:
-        return min(1.0, max(0.0, 2.0 * smirnov_sf_py(n, x)))
-    return min(1.0, max(0.0, 1.0 - pelz_good_cdf_py(n, x)))
+        return clip(2.0 * smirnov_sf_py(n, x))
+    if n <= 100_000 and n * x ** 1.5 <= 1.4:
+        return clip(1.0 - durbin_cdf_py(n, x))
+    return clip(1.0 - pelz_good_cdf_py(n, x))
 
 
-def ks_pvalue_py(d: float, n: int, m: int) -> float | None:
+def ks_pvalue_py(d: float, n: int, m: int) -> float:
     """Two-sample p-value: exact when both samples have at most
     EXACT_KS_MAX_N values, else the finite-n distribution at the effective
-    size round(n m / (n + m)); None when that is below FINITE_N_MIN."""
+    size round(n m / (n + m))."""
     exact = ks_exact_pvalue_py(d, n, m)
     if exact is not None:
         return exact
@@ -163,9 +203,8 @@ def ks_pvalue_py(d: float, n: int, m: int) -> float | None:
 
 def ks_distribution_pvalue(d: Column, n: Column, m: Column) -> Column:
     """Arrow-batched ``ks_pvalue_py``: exact for small samples, finite-n
-    distribution for large ones; null when the effective size is below
-    FINITE_N_MIN (the caller then uses the limit series). Meant for drift
-    rows (one row per column), never for data rows."""
+    distribution for large ones. Meant for drift rows (one row per column),
+    never for data rows."""
     import sys
 
     import pandas as pd

@@ -161,8 +161,8 @@ def with_ks_pvalue(ks: DataFrame) -> DataFrame:
     """Add ``p_value``: exact two-sample distribution when both samples have
     at most 10 000 values (lattice-path count), else the finite-n
     distribution at the effective size n m / (n + m) (one evaluation per
-    drift row); the Kolmogorov limit series only below an effective size of
-    141."""
+    drift row). The Kolmogorov limit series stands in only if that
+    evaluation yields no value."""
     exact = ks_distribution_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
     series = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
     return ks.withColumn("p_value", F.coalesce(exact, series))

@@ -160,11 +160,15 @@ def _durbin_cdf(n, d):
 
 
 def test_durbin_reference_value():
+    from modelgate.functions.stats import durbin_cdf_py
+
     # published example: K(10, 0.274) = 0.6284796154565043
     assert _durbin_cdf(10, 0.274) == pytest.approx(0.6284796154565043, abs=1e-12)
+    assert durbin_cdf_py(10, 0.274) == pytest.approx(0.6284796154565043, abs=1e-12)
+    assert durbin_cdf_py(5000, 0.004) == pytest.approx(_durbin_cdf(5000, 0.004), rel=1e-12)
 
 
-@pytest.mark.parametrize("n,tol", [(150, 5e-6), (2000, 1e-7), (6719, 1e-8)])
+@pytest.mark.parametrize("n,tol", [(20, 1e-9), (140, 1e-9), (150, 5e-6), (2000, 1e-7), (6719, 1e-8)])
 def test_finite_n_tail_matches_exact_distribution(n, tol):
     import math
 
@@ -179,4 +183,5 @@ def test_two_sample_pvalue_uses_effective_size_above_exact_range():
     from modelgate.functions.stats import kolmogorov_sf_py, ks_pvalue_py
 
     assert ks_pvalue_py(0.00798, 41406, 8021) == kolmogorov_sf_py(6719, 0.00798)
-    assert ks_pvalue_py(0.3, 20000, 100) is None  # effective size 100: limit series
+    # effective size 100: the exact Durbin matrix
+    assert ks_pvalue_py(0.1, 20000, 100) == pytest.approx(1 - _durbin_cdf(100, 0.1), abs=1e-12)
