@@ -243,3 +243,22 @@ def test_size_shuffle_partitions_only_raises(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == str(got)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_registered_query_sizes_the_session_once_per_folder(spark):
+    import __spark_entry__ as E
+    from modelgate.plans import catalog
+    from tests.conftest import SF0001
+
+    run = E.queries()["split_summary"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    catalog._SIZED.clear()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        run(spark, SF0001)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(2 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        run(spark, SF0001)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
