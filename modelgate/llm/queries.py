@@ -26,6 +26,25 @@ def query(name: str):
     return register
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole document. The classifier learns from the
+    labels whose crc32 remainder is not 0; the others are held out."""
+    from modelgate.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    remainder = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), allowed=remainder(F.col("id__")) != 0)
+    scored = toxicity.score(documents, model, keep=["doc_id", "lang"])
+    return scored.select(
+        "doc_id",
+        (remainder(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.threshold_column(model, F.col("lang"))).alias("flagged"),
+    )
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition and base counts of every document."""
