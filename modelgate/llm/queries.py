@@ -18,6 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, which every executor has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(name: str):
     def register(fn):
         QUERIES[name] = fn
@@ -26,6 +33,33 @@ def query(name: str):
     return register
 
 
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in the packed sequences."""
+    from modelgate.llm.packing import pack
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(documents, tokenizer_path("word_bpe_49k.json"), with_ids=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query("op7_minhash_dedup")
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, one row per document: class_id
+    is the smallest doc_id of its class, kept says whether that is its own."""
+    from modelgate.llm.dartminhash import near_duplicates
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = near_duplicates(documents).withColumnRenamed("id", "doc_id")
+    ids = documents.select("doc_id")
+    return ids.join(classes, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        (F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+    )
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole document. The classifier learns from the
