@@ -33,6 +33,14 @@ def query(name: str):
     return register
 
 
+@query("op2_embedding_dedup")
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings, compared within equal labels."""
+    from modelgate.llm.cosine import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in the packed sequences."""
