@@ -52,6 +52,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_url_filters")
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rule or by its path template."""
+    from modelgate.llm.url_templates import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 @query("op7_minhash_dedup")
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, one row per document: class_id
