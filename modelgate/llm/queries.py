@@ -41,6 +41,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences whose whole texts stand in each document."""
+    from modelgate.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in the packed sequences."""
@@ -101,3 +109,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelgate.llm.repetition import repetition_stats
 
     return repetition_stats(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "quality.*")
+
+
+def _oracles() -> None:
+    from modelgate.llm import licences
+
+    ORACLES["op4_license_scan"] = licences.oracle_sql()
+
+
+_oracles()
