@@ -111,6 +111,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learned without true labels."""
+    from modelgate.llm import weak_quality
+
+    documents = table(spark, sf_dir, "documents")
+    scored = weak_quality.score(documents, weak_quality.fit(documents), keep=["doc_id"])
+    return scored.withColumn("kept", F.col("score") >= 0.5)
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition and base counts of every document."""
