@@ -33,6 +33,15 @@ def query(name: str):
     return register
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every whole document, and whether
+    decoding them gives its text back."""
+    from modelgate.llm.nbest import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
+
+
 @query("op2_embedding_dedup")
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings, compared within equal labels."""
