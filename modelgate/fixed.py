@@ -83,6 +83,7 @@ REASON_DRIFT = "Data drift detected in: {columns}"
 MISSING_SEGMENTS_ERROR = "Promotion blocked because candidate segment metrics are unavailable for champion comparison."
 CHAMPION_LOOKUP_ERROR = "Promotion blocked because champion evidence could not be loaded from MLflow: {detail}"
 CHAMPION_RUN_ERROR = "MLflow could not load the backing run for champion model '{model}' version {version}."
+CHAMPION_SEGMENTS_ERROR = "Champion run '{run}' is missing required segment metric artifacts for: {columns}."
 
 # --- template report ------------------------------------------------------------------------
 H_SUMMARY = "## Summary"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from modelgate.schema import DEFAULT_SEGMENT_COLUMNS
 
-from modelgate.fixed import CHAMPION_LOOKUP_ERROR, MISSING_SEGMENTS_ERROR  # noqa: E402
+from modelgate.fixed import CHAMPION_LOOKUP_ERROR, CHAMPION_SEGMENTS_ERROR, MISSING_SEGMENTS_ERROR  # noqa: E402
 from modelgate.functions.text import fill  # noqa: E402
 
 
@@ -23,7 +23,8 @@ def metric_deltas(candidate: Column, champion: Column) -> tuple[Column, Column]:
     cand = F.coalesce(candidate, F.lit(0.0))
     champ = F.coalesce(champion, F.lit(0.0))
     delta = cand - champ
-    pct = F.when(champ > 0, delta / champ).otherwise(F.lit(0.0))
+    # Spark holds NaN > 0 true; here a NaN champion value is not positive
+    pct = F.when((champ > 0) & ~F.isnan(champ), delta / champ).otherwise(F.lit(0.0))
     return delta, pct
 
 
@@ -41,6 +42,14 @@ def pair_with_champion(candidates: DataFrame, champions: DataFrame) -> DataFrame
     return joined.select(*out)
 
 
+def _last_rows(segments: DataFrame) -> DataFrame:
+    """One row per segment: of rows that repeat one, the last in table order
+    (column ``ord``, where the table has it; else as read)."""
+    keys = ["model_name", "model_version", "segment_column", "segment"]
+    rmse = F.max_by("rmse", "ord") if "ord" in segments.columns else F.last("rmse")
+    return segments.where(F.col("segment").isNotNull() & F.col("rmse").isNotNull()).groupBy(*keys).agg(rmse.alias("rmse"))
+
+
 def segment_deltas(
     candidate_segments: DataFrame,
     champion_segments: DataFrame,
@@ -57,20 +66,20 @@ def segment_deltas(
     """
     segment_columns = list(segment_columns)
     cand = (
-        candidate_segments.where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
+        _last_rows(candidate_segments).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
         .where(F.col("segment_column").isin(segment_columns))
         .select("model_name", "model_version", "segment_column",
                 F.col("segment").cast("string").alias("segment_value"), F.col("rmse").alias("candidate_rmse"))
     )
     champ = (
-        champion_segments.where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
+        _last_rows(champion_segments).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
         .select("model_name", F.col("model_version").alias("champion_version"), "segment_column",
                 F.col("segment").cast("string").alias("segment_value"), F.col("rmse").alias("champion_rmse"))
     )
     p = pairs.select("model_name", "model_version", "champion_version").where(F.col("champion_version").isNotNull())
     joined = cand.join(p, ["model_name", "model_version"]).join(
         champ, ["model_name", "champion_version", "segment_column", "segment_value"]
-    ).where(F.col("champion_rmse") > 0)
+    ).where((F.col("champion_rmse") > 0) & ~F.isnan("champion_rmse"))
     delta = F.col("candidate_rmse") - F.col("champion_rmse")
     position = F.array_position(F.array(*[F.lit(c) for c in segment_columns]), F.col("segment_column")).cast("int")
     return joined.select(
@@ -88,17 +97,36 @@ def segment_deltas(
 
 
 def evidence_errors(
-    pairs: DataFrame, candidate_segments: DataFrame, lookup_errors: DataFrame | None = None
+    pairs: DataFrame, candidate_segments: DataFrame, lookup_errors: DataFrame | None = None,
+    champion_segments: DataFrame | None = None, segment_columns=DEFAULT_SEGMENT_COLUMNS,
 ) -> DataFrame:
     """Per candidate: ``evidence_errors`` array. A champion exists but the
     candidate has no segment rows -> missing-segments error; a failed
-    champion lookup (``lookup_errors``: model_name, detail) -> lookup error."""
-    seg_keys = candidate_segments.select("model_name", "model_version").distinct().withColumn("__has_seg", F.lit(True))
+    champion lookup (``lookup_errors``: model_name, detail) -> lookup error; a
+    champion without rows for a segment column (``champion_segments``, where
+    given, with ``champion_run_id`` in ``pairs`` or the version as its name)
+    -> lookup error naming the columns."""
+    has_rows = candidate_segments
+    if "segment_column" in has_rows.columns:  # the overall row of an evaluation is no segment
+        has_rows = has_rows.where(F.col("segment_column").isNotNull())
+    seg_keys = has_rows.select("model_name", "model_version").distinct().withColumn("__has_seg", F.lit(True))
     out = pairs.join(seg_keys, ["model_name", "model_version"], "left")
     lookup_msg = F.lit(None).cast("string")
     if lookup_errors is not None:
         out = out.join(lookup_errors.select("model_name", F.col("detail").alias("__lookup")), "model_name", "left")
         lookup_msg = F.when(F.col("__lookup").isNotNull(), fill(CHAMPION_LOOKUP_ERROR, detail=F.col("__lookup")))
+    champion_msg = F.lit(None).cast("string")
+    if champion_segments is not None:
+        seen = champion_segments.where(F.col("segment_column").isin(list(segment_columns))).groupBy(
+            "model_name", F.col("model_version").alias("champion_version")
+        ).agg(F.collect_set("segment_column").alias("__seen"))
+        out = out.join(seen, ["model_name", "champion_version"], "left")
+        lacking = F.array_except(
+            F.array(*[F.lit(c) for c in segment_columns]), F.coalesce("__seen", F.array().cast("array<string>"))
+        )
+        run = F.col("champion_run_id") if "champion_run_id" in pairs.columns else F.col("champion_version")
+        detail = fill(CHAMPION_SEGMENTS_ERROR, run=run, columns=F.array_join(lacking, ", "))
+        champion_msg = F.when(F.col("has_champion") & (F.size(lacking) > 0), fill(CHAMPION_LOOKUP_ERROR, detail=detail))
     missing = F.when(F.col("has_champion") & F.col("__has_seg").isNull(), F.lit(MISSING_SEGMENTS_ERROR))
-    errors = F.filter(F.array(lookup_msg, missing), lambda x: x.isNotNull())
+    errors = F.filter(F.array(lookup_msg, champion_msg, missing), lambda x: x.isNotNull())
     return out.select(*pairs.columns, errors.alias("evidence_errors"))

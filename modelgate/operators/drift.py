@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelgate.functions.stats import ks_distribution_pvalue, ks_pvalue, psi_term
+from modelgate.functions.stats import ks_pvalue, psi_term
 from modelgate.schema import DEFAULT_KS_ALPHA, DEFAULT_PSI_THRESHOLD, PSI_EPSILON
 
 SIDE = "__is_reference"
@@ -22,14 +22,14 @@ KS_BUCKET_BITS = 8
 DEFAULT_KS_BUCKETS = 1 << KS_BUCKET_BITS
 
 
-def ks_buckets_for(rows: int, rows_per_bucket: int = 50_000, min_bits: int = 8, max_bits: int = 13) -> int:
+def ks_buckets_for(rows: int, rows_per_bucket: int = 50_000, min_bits: int = 8) -> int:
     """Number of KS value ranges for a sample of ``rows`` values: enough that
-    one range's window partition stays around ``rows_per_bucket`` rows,
-    between 2**min_bits and 2**max_bits."""
+    one range's window partition stays around ``rows_per_bucket`` rows, at
+    least 2**min_bits. The statistic does not depend on it."""
     import math
 
     bits = math.ceil(math.log2(max(rows, 1) / rows_per_bucket)) if rows > rows_per_bucket else 0
-    return 1 << min(max(bits, min_bits), max_bits)
+    return 1 << max(bits, min_bits)
 
 
 def bucket_of(bounds: Column, value: Column, bits: int) -> Column:
@@ -158,14 +158,8 @@ def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_ks_pvalue(ks: DataFrame) -> DataFrame:
-    """Add ``p_value``: exact two-sample distribution when both samples have
-    at most 10 000 values (lattice-path count), else the finite-n
-    distribution at the effective size n m / (n + m) (one evaluation per
-    drift row). The Kolmogorov limit series stands in only if that
-    evaluation yields no value."""
-    exact = ks_distribution_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
-    series = ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current"))
-    return ks.withColumn("p_value", F.coalesce(exact, series))
+    """Add ``p_value`` (see ``functions.stats.ks_pvalue``)."""
+    return ks.withColumn("p_value", ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current")))
 
 
 def ks_statistics(
@@ -221,7 +215,7 @@ def drift_report(
     """Categorical (PSI) rows then numeric (KS) rows; ``ord`` gives report
     order. Both come from one shared value-count aggregate. Columns missing
     from either sample are skipped; a numeric column with no values on a
-    side gives no row; a categorical one gives PSI 0.0 (without keys)."""
+    side gives no row; a categorical one gives PSI 0.0."""
     keys = list(keys)
     cat = _present(reference, current, categorical_columns)
     num = _present(reference, current, numeric_columns)
@@ -229,10 +223,17 @@ def drift_report(
         return _empty_drift(reference, keys)
     counts = value_counts(reference, current, cat, num, keys, buckets, materialize)
     psi = psi_from_counts(counts, keys)
-    if not keys and cat:
-        spark = reference.sparkSession
-        present = spark.createDataFrame([(c,) for c in cat], "column string")
-        psi = present.join(psi, "column", "left").select("column", F.coalesce("statistic", F.lit(0.0)).alias("statistic"))
+    if cat:
+        # every configured column has a row, also one without a single value
+        if keys:
+            known = reference.select(*keys).unionByName(current.select(*keys)).distinct()
+        else:
+            known = reference.sparkSession.range(1).select()
+        present = known.withColumn("column", F.explode(F.array(*[F.lit(c) for c in cat])))
+        joined = present.alias("p").join(psi.alias("s"), F.expr(
+            " AND ".join([f"p.`{k}` <=> s.`{k}`" for k in keys] + ["p.column = s.column"])), "left")
+        psi = joined.select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.column").alias("column"),
+                            F.coalesce("s.statistic", F.lit(0.0)).alias("statistic"))
     psi_rows = psi.select(
         *keys, "column", F.lit("psi").alias("drift_type"), "statistic", F.lit(float(psi_threshold)).alias("threshold"),
         F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > psi_threshold).alias("is_drifted"),

@@ -24,7 +24,7 @@ from modelgate.fixed import (
 )
 from modelgate.functions.text import fill
 from modelgate.functions.text import review_id as review_id_expr
-from modelgate.operators.common import top_k_per_group
+from modelgate.operators.common import rank_per_group, top_k_per_group
 from modelgate.schema import (
     DECISION_REJECT,
     DEFAULT_HISTORY_DEPTH,
@@ -130,12 +130,10 @@ def register_candidates(candidates: DataFrame, runs: DataFrame) -> dict[str, Dat
     ``runs``, ``alias_events`` (alias ``candidate``) and ``tag_events``
     (``promotion_status=candidate``).
     """
-    from pyspark.sql import Window
-
     base = runs.groupBy("model_name").agg(F.max(F.col("model_version").cast("bigint")).alias("__max"))
-    w = Window.partitionBy("model_name").orderBy("registered_at", "candidate_id")
-    numbered = candidates.join(base, "model_name", "left").withColumn(
-        "model_version", (F.coalesce(F.col("__max"), F.lit(0)) + F.row_number().over(w)).cast("string")
+    ranked = rank_per_group(candidates, ["model_name"], "registered_at", [F.col("candidate_id")], "__rank")
+    numbered = ranked.join(base, "model_name", "left").withColumn(
+        "model_version", (F.coalesce(F.col("__max"), F.lit(0)) + F.col("__rank")).cast("string")
     )
     metrics = F.map_from_arrays(
         F.array(*[F.lit(k) for k in ("validation_rmse", "validation_mae", "test_rmse", "test_mae")]),
@@ -147,7 +145,7 @@ def register_candidates(candidates: DataFrame, runs: DataFrame) -> dict[str, Dat
         "registered_at", F.col("params").cast("map<string,string>").alias("params"), metrics.alias("metrics"),
     )
     alias = numbered.select("model_name", F.lit("candidate").alias("alias"), "model_version",
-                            F.col("registered_at").alias("ts"), F.lit(0).cast("bigint").alias("seq"))
+                            F.col("registered_at").alias("ts"), F.col("model_version").cast("bigint").alias("seq"))
     tags = numbered.select("model_name", "model_version", F.lit("promotion_status").alias("key"),
                            F.lit("candidate").alias("value"), F.col("registered_at").alias("ts"),
                            F.lit(1).cast("bigint").alias("seq"))
@@ -307,25 +305,27 @@ def resume_reviews(reviews: DataFrame, decisions: DataFrame) -> dict[str, DataFr
     ``reviews``: latest states (``review_id, status, model_name,
     model_version, decision, reasons``). ``decisions``: ``review_id,
     decision_text, reviewer, decided_at, seq``. Per review only the earliest
-    decision applies; later ones, unknown reviews, bad decision words and
-    completed reviews go to ``errors``. Returns ``completed`` (review rows),
+    valid decision applies; later ones, unknown reviews, bad decision words
+    (which leave the review open) and completed reviews go to ``errors``. Returns ``completed`` (review rows),
     ``registry`` (input for ``apply_decisions``) and ``errors``.
     """
-    from pyspark.sql import Window
-
     norm = F.lower(F.trim(F.col("decision_text")))
-    w = Window.partitionBy("review_id").orderBy("decided_at", "seq")
-    d = decisions.withColumn("human_decision", norm).withColumn("__n", F.row_number().over(w))
+    valid_word = F.coalesce(F.col("human_decision").isin("approve", "reject"), F.lit(False))
+    order = F.struct("decided_at", "seq", "human_decision", "reviewer")
+    d = decisions.withColumn("human_decision", norm).withColumn("__order", order)
+    # the valid decision that counts, as a partial aggregate: no review's
+    # decisions meet in one window
+    first = d.where(valid_word).groupBy("review_id").agg(F.min("__order").alias("__first"))
+    d = d.join(first, "review_id", "left")
     r = reviews.select("review_id", "status", "model_name", "model_version", "decision", "reasons")
     j = d.join(r, "review_id", "left")
-    valid_word = F.col("human_decision").isin("approve", "reject")
     error = (
         F.when(~valid_word, F.lit(BAD_DECISION_ERROR))
         .when(F.col("status").isNull(), fill(REVIEW_NOT_FOUND, review_id=F.col("review_id")))
-        .when((F.col("status") == REVIEW_STATUS_COMPLETED) | (F.col("__n") > 1), fill(REVIEW_COMPLETED, review_id=F.col("review_id")))
+        .when((F.col("status") == REVIEW_STATUS_COMPLETED) | (F.col("__order") != F.col("__first")), fill(REVIEW_COMPLETED, review_id=F.col("review_id")))
     )
     j = j.withColumn("error", error)
-    ok = j.where(F.col("error").isNull())
+    ok = j.where(F.col("error").isNull()).dropDuplicates(["review_id"])  # a decision sent twice counts once
     approve = F.col("human_decision") == "approve"
     pending = F.col("status") == REVIEW_STATUS_PENDING
     source = (

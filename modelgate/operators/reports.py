@@ -23,6 +23,7 @@ from modelgate.functions.text import (
     strip_text,
     thousands,
 )
+from modelgate.functions.parse import WHITESPACE
 from modelgate.operators.common import top_k_per_group
 from modelgate.schema import JUDGE_SCORE_KEYS, SECTION_ALIASES
 
@@ -53,8 +54,10 @@ def segment_summary(deltas: DataFrame, limit: int = 5) -> DataFrame:
     none regress, the best improvements by pct asc; ties keep comparison
     order. Exact top-k without gathering a model's segments in one task."""
     keys = ["model_name", "model_version"]
-    flags = deltas.groupBy(*keys).agg(F.max(F.col("rmse_delta_pct") > 0).alias("any_regress"))
-    d = deltas.join(flags, keys).where(~F.col("any_regress") | (F.col("rmse_delta_pct") > 0))
+    # NaN is not greater than anything here, though Spark orders it last
+    worse = (F.col("rmse_delta_pct") > 0) & ~F.isnan("rmse_delta_pct")
+    flags = deltas.groupBy(*keys).agg(F.max(worse).alias("any_regress"))
+    d = deltas.join(flags, keys).where(~F.col("any_regress") | worse)
     sort_key = F.when(F.col("any_regress"), -F.col("rmse_delta_pct")).otherwise(F.col("rmse_delta_pct"))
     top = top_k_per_group(d.withColumn("__k", sort_key), keys, [F.col("__k"), F.col("ord")], limit)
     seg = F.struct(
@@ -248,9 +251,9 @@ def _list_items(lines: Column) -> Column:
 
 # A heading is a whole line that, stripped, is an alias; or '#'s then an
 # alias; or an alias then ':' (case-insensitive).
-_HWS = r"[^\S\n\r]"
+_HWS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE if c != "\n") + "]"
 _ALT = "|".join(sorted(SECTION_ALIASES, key=len, reverse=True))
-HEADING = rf"(?im)^{_HWS}*(?:#+{_HWS}*(?:{_ALT})|(?:{_ALT}){_HWS}*:|(?:{_ALT})){_HWS}*$"
+HEADING = rf"(?imd)^{_HWS}*(?:#+{_HWS}*(?:{_ALT})|(?:{_ALT}){_HWS}*:|(?:{_ALT})){_HWS}*$"
 
 
 def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> DataFrame:
@@ -264,11 +267,13 @@ def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> Data
     pass to one evaluation per row; no shuffle.
     """
     t = F.col(text_col)
+    # one kind of line end, so that the pattern sees the same lines as split_lines
+    unix = F.regexp_replace(t, LINE_BREAK, "\n")
     heads = F.transform(
-        F.regexp_extract_all(t, F.lit(HEADING), 0),
+        F.regexp_extract_all(unix, F.lit(HEADING), 0),
         lambda h: F.try_element_at(_aliases(), F.lower(strip_text(F.regexp_replace(strip_text(h), r"^#+|:$", "")))),
     )
-    staged = df.withColumn("__heads", heads).withColumn("__bodies", F.split(t, HEADING, -1))
+    staged = df.withColumn("__heads", heads).withColumn("__bodies", F.split(unix, HEADING, -1))
     pairs = F.zip_with("__heads", F.slice("__bodies", 2, 1 << 30), lambda n, b: F.struct(n.alias("n"), b.alias("b")))
     staged = staged.withColumn("__pairs", pairs)
 
@@ -300,6 +305,16 @@ def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> Data
 _JSON_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 
 
+def parse_whole(text: Column, schema: str, opening: str = "{", closing: str = "}") -> Column:
+    """A text that is one JSON value from its first to its last character,
+    else null. ``from_json`` alone would stop after the first value; as the only
+    element of a list, a value with anything after it does not parse."""
+    t = strip_text(text)
+    listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<{schema}>", _JSON_OPTS)
+    alone = t.startswith(opening) & t.endswith(closing) & (F.size(listed) == 1)
+    return F.when(alone, F.try_element_at(listed, F.lit(1)))
+
+
 def json_candidates(text: Column, brace_span: bool = False) -> Column:
     """Texts to try as a JSON object: the stripped text; the inside of a
     ```json fence (or of a bare ``` fence); optionally first '{' to last '}'."""
@@ -326,9 +341,7 @@ def extract_json(text: Column, brace_span: bool = False) -> Column:
     """First candidate that parses as a JSON object, as map<string,string>
     (nested values keep their JSON text); null when none does."""
     cands = json_candidates(text, brace_span)
-    parsed = F.transform(
-        cands, lambda c: F.when((c.isNotNull()) & (c != ""), F.from_json(c, "map<string,string>", _JSON_OPTS))
-    )
+    parsed = F.transform(cands, lambda c: parse_whole(c, "map<string,string>"))
     return F.try_element_at(F.filter(parsed, lambda m: m.isNotNull()), F.lit(1))
 
 
@@ -476,11 +489,11 @@ def _json_kind(text: Column) -> Column:
     """Python type name of a whole-text JSON value ('dict', 'list', 'int',
     'float', 'bool', 'NoneType', 'str'), or null when the text is not JSON."""
     t = strip_text(text)
-    as_map = F.from_json(text, "map<string,string>", _JSON_OPTS)
-    as_list = F.from_json(text, "array<string>", _JSON_OPTS)
+    as_map = parse_whole(text, "map<string,string>")
+    as_list = parse_whole(text, "array<string>", "[", "]")
     return (
-        F.when(as_map.isNotNull() & t.startswith("{"), F.lit("dict"))
-        .when(as_list.isNotNull() & t.startswith("["), F.lit("list"))
+        F.when(as_map.isNotNull(), F.lit("dict"))
+        .when(as_list.isNotNull(), F.lit("list"))
         .when(t.rlike(r"^-?(0|[1-9]\d*)$"), F.lit("int"))
         .when(t.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$") | t.isin("NaN", "Infinity", "-Infinity"), F.lit("float"))
         .when(t.isin("true", "false"), F.lit("bool"))
@@ -495,8 +508,8 @@ def _judge_inputs(text: Column) -> dict[str, Column]:
     keys = JUDGE_SCORE_KEYS
     return {
         "kind": _json_kind(text),
-        "map": F.from_json(text, "map<string,string>", _JSON_OPTS),
-        "num": F.from_json(text, "struct<" + ", ".join(f"{k}: double" for k in keys) + ">", _JSON_OPTS),
+        "map": parse_whole(text, "map<string,string>"),
+        "num": parse_whole(text, "struct<" + ", ".join(f"{k}: double" for k in keys) + ">"),
         "names": F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 1),
         "values": F.regexp_extract_all(text, F.lit(SCORE_PATTERN), 2),
     }

@@ -189,7 +189,7 @@ class GateJob:
         errors = self.champion.where(F.col("lookup_error").isNotNull()).select(
             "model_name", F.col("lookup_error").alias("detail")
         )
-        with_errors = C.evidence_errors(self.pairs, self.segments, errors)
+        with_errors = C.evidence_errors(self.pairs, self.segments, errors, self.segments, self.segment_columns)
         thresholds = P.with_thresholds(with_errors, self.thresholds)
         seg = P.segment_regressions(self.segment_deltas, thresholds)
         out = thresholds.join(seg, ["model_name", "model_version"], "left")

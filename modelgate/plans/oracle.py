@@ -237,12 +237,15 @@ cte("drift_num_long", ["prepared"], "\n  UNION ALL\n".join(
 
 
 def ks_pvalue_sql(d: str, n: str, m: str) -> str:
-    lam = f"(({d}) * sqrt(({n}) * ({m}) / (({n}) + ({m}))))"
-    series = (
-        f"list_sum(list_transform(range(1, 101), lambda k: "
-        f"2.0 * power(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})))"
-    )
-    return f"least(greatest(CASE WHEN {lam} < 0.2 THEN 1.0 ELSE {series} END, 0.0), 1.0)"
+    """KS p-value from the theta-function form of the Kolmogorov
+    distribution, P(K <= z) = sqrt(2 pi) / z * sum exp(-((2k - 1) pi / z)^2 / 8),
+    where the library sums the alternating form."""
+    e = f"(CAST({n} AS DOUBLE) * ({m}) / (({n}) + ({m})))"
+    x = f"(({d}) * sqrt({e}))"
+    z = f"({x} + 1.0 / (6.0 * sqrt({e})) + ({x} - 1.0) / (4.0 * {e}))"
+    series = f"list_sum(list_transform(range(1, 201), lambda k: exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8.0 * {z} * {z}))))"
+    return (f"CASE WHEN {z} < 0.2 OR ({d}) <= 0 THEN 1.0 ELSE "
+            f"least(greatest(1.0 - sqrt(2.0 * pi()) / {z} * {series}, 0.0), 1.0) END")
 
 
 cte("ks", ["drift_num_long"], """
@@ -259,62 +262,8 @@ cte("ks", ["drift_num_long"], """
   WHERE nr > 0 AND nc > 0
   GROUP BY model_name, column_name, ord""")
 
-def _smirnov_sql(n: str, x: str) -> str:
-    """One-sided Smirnov tail, Birnbaum-Tingey sum in log space."""
-    return (f"({x}) * list_sum(list_transform(list_filter(range(0, CAST(floor({n} * (1.0 - {x})) AS BIGINT) + 1), "
-            f"lambda j: 1.0 - {x} - j / {n} > 0), lambda j: exp(lgamma({n} + 1.0) - lgamma(j + 1.0) - lgamma({n} - j + 1.0) "
-            f"+ (j - 1.0) * ln({x} + j / {n}) + ({n} - j) * ln(1.0 - {x} - j / {n}))))")
-
-
-def _pelz_good_sql(n: str, x: str) -> str:
-    """Pelz-Good expansion of P(D_n <= x), z = x sqrt(n)."""
-    z = f"({x} * sqrt({n}))"
-    ks = f"range(1, CAST(ceil(16.0 * {z} / pi()) AS BIGINT) + 2)"
-    eh = f"exp(-(pi() * pi()) * (k - 0.5) * (k - 0.5) / (2.0 * {z} * {z}))"
-    ek = f"exp(-(pi() * pi()) * k * k / (2.0 * {z} * {z}))"
-    h2 = "((pi() * pi()) * (k - 0.5) * (k - 0.5))"
-
-    def s(term: str) -> str:
-        return f"list_sum(list_transform({ks}, lambda k: {term}))"
-
-    r2p = "sqrt(2.0 * pi())"
-    k0 = f"{r2p} / {z} * {s(eh)}"
-    k1 = f"{r2p} / (6.0 * power({z}, 4)) * {s(f'({h2} - power({z}, 2)) * {eh}')}"
-    k2 = (f"({r2p} / (72.0 * power({z}, 7)) * {s(f'(6.0 * power({z}, 6) + 2.0 * power({z}, 4) + (2.0 * power({z}, 4) - 5.0 * power({z}, 2)) * {h2} + (1.0 - 2.0 * power({z}, 2)) * power({h2}, 2)) * {eh}')}"
-          f" - {r2p} * (pi() * pi()) / (36.0 * power({z}, 3)) * {s(f'k * k * {ek}')})")
-    k3 = (f"({r2p} / (6480.0 * power({z}, 10)) * {s(f'(-30.0 * power({z}, 6) - 90.0 * power({z}, 8) + (135.0 * power({z}, 4) - 96.0 * power({z}, 6)) * {h2} + (212.0 * power({z}, 4) - 60.0 * power({z}, 2)) * power({h2}, 2) + (5.0 - 30.0 * power({z}, 2)) * power({h2}, 3)) * {eh}')}"
-          f" + {r2p} * (pi() * pi()) / (216.0 * power({z}, 6)) * {s(f'(3.0 * power({z}, 2) - (pi() * pi()) * k * k) * k * k * {ek}')})")
-    return f"({k0} + {k1} / sqrt({n}) + {k2} / {n} + {k3} / power({n}, 1.5))"
-
-
-def _kolmogorov_sf_sql(n: str, x: str) -> str:
-    """P(D_n >= x) for n >= 141: the scheme of functions.stats except its
-    Durbin-matrix region (n x^1.5 <= 1.4, p near 1), which SQL cannot power;
-    the Pelz-Good expansion stands in there (within 5e-6 at n = 150, 1e-8
-    from n of a few thousand). No drift row of the test data falls there."""
-    sm = _smirnov_sql(n, x)
-    return f"""CASE
-      WHEN {x} >= 1.0 THEN 0.0
-      WHEN {x} <= 0.0 THEN 1.0
-      WHEN {n} * {x} <= 0.5 THEN 1.0
-      WHEN {n} * {x} <= 1.0 THEN 1.0 - exp(lgamma({n} + 1.0) - {n} * ln({n}) + {n} * ln(2.0 * ({n} * {x}) - 1.0))
-      WHEN {n} * {x} >= {n} - 1 THEN 2.0 * power(1.0 - {x}, {n})
-      WHEN {x} >= 0.5 THEN least(1.0, 2.0 * {sm})
-      WHEN {n} * {x} * {x} >= 370.0 THEN 0.0
-      WHEN {n} * {x} * {x} >= 2.2 THEN least(1.0, greatest(0.0, 2.0 * {sm}))
-      ELSE least(1.0, greatest(0.0, 1.0 - {_pelz_good_sql(n, x)})) END"""
-
-
-# KS p-value for samples above the exact range: finite-n distribution at the
-# effective size. Below an effective size of 141 (one sample of at most 140
-# values next to one over 10 000) the library uses the Durbin matrix, which
-# SQL cannot express; the oracle has the limit series there, so such rows
-# would not match (none occur in the test data).
 cte("ks_p", ["ks"], f"""
-  SELECT *, CASE WHEN n_eff < 141 THEN {ks_pvalue_sql('statistic', 'n_reference', 'n_current')}
-                 ELSE {_kolmogorov_sf_sql('n_eff', 'statistic')} END AS p_value
-  FROM (SELECT *, CAST(round_even(CAST(n_reference AS DOUBLE) * n_current / (n_reference + n_current), 0) AS BIGINT) AS n_eff
-        FROM ks)""")
+  SELECT *, {ks_pvalue_sql('statistic', 'n_reference', 'n_current')} AS p_value FROM ks""")
 
 cte("drift_rows", ["psi", "ks_p"], f"""
   SELECT model_name, column_name AS "column", 'psi' AS drift_type, statistic, CAST({DEFAULT_PSI_THRESHOLD} AS DOUBLE) AS threshold,
@@ -426,14 +375,8 @@ def sql_strip(col: str) -> str:
 
 
 CHECK_LABEL_SQL = (
-    "CASE x WHEN 'absolute_rmse' THEN 'absolute RMSE threshold' "
-    "WHEN 'absolute_mae' THEN 'absolute MAE threshold' "
-    "WHEN 'champion_rmse_regression' THEN 'champion RMSE comparison' "
-    "WHEN 'champion_comparison_skipped' THEN 'incumbent baseline comparison skipped for first candidate' "
-    "WHEN 'segment_rmse_regression' THEN 'segment RMSE regression threshold' "
-    "WHEN 'drift_check' THEN 'drift check' WHEN 'drift_check_skipped' THEN 'drift check skipped' "
-    "WHEN 'promotion_evidence_unavailable' THEN 'promotion evidence availability' "
-    "ELSE replace(x, '_', ' ') END"
+    "CASE x " + " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in T.CHECK_LABELS.items())
+    + " ELSE replace(x, '_', ' ') END"
 )
 
 

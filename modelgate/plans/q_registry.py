@@ -226,6 +226,7 @@ def q_resume_reviews(spark, sf_dir):
     return done.unionByName(errors)
 
 
+_T1 = RF.EARLY_DECISION_AT.strftime("%Y-%m-%d %H:%M:%S")
 _T3 = RF.LATE_DECISION_AT.strftime("%Y-%m-%d %H:%M:%S")
 oracle("resume_reviews", ["reviews"], f"""
 SELECT review_id, '{_T2}' AS decided_at,
@@ -236,7 +237,12 @@ SELECT review_id, '{_T2}' AS decided_at,
 FROM reviews
 UNION ALL
 SELECT review_id, '{_T3}', 'approve', NULL, NULL, NULL, {sql_fill(T.REVIEW_COMPLETED, review_id='review_id')}
-FROM reviews""")
+FROM reviews
+UNION ALL
+SELECT review_id, '{_T1}', 'maybe', NULL, NULL, NULL, {sql_str(T.BAD_DECISION_ERROR)} FROM reviews
+UNION ALL
+SELECT 'unknown-' || review_id, '{_T3}', 'approve', NULL, NULL, NULL,
+  {sql_fill(T.REVIEW_NOT_FOUND, review_id="('unknown-' || review_id)")} FROM reviews""")
 
 
 @query("input_example")

@@ -24,6 +24,7 @@ REGISTERED_AT = dt.datetime(2024, 1, 1, 8, 0, 0)
 REVIEW_OPENED_AT = dt.datetime(2024, 1, 2, 9, 30, 0)
 DECIDED_AT = dt.datetime(2024, 1, 3, 14, 15, 30)
 LATE_DECISION_AT = dt.datetime(2024, 1, 4, 10, 0, 0)
+EARLY_DECISION_AT = DECIDED_AT - dt.timedelta(hours=1)
 REVIEWER = "fleet-reviewer"
 THREAD_ID = "fleet"
 BOOTSTRAP_CHAMPION = "1"
@@ -105,7 +106,10 @@ class RegistryFlow:
         )
         late = r.select("review_id", F.lit("approve").alias("decision_text"), F.lit(REVIEWER).alias("reviewer"),
                         _ts(LATE_DECISION_AT).alias("decided_at"), F.col("model_version").cast("bigint").alias("seq"))
-        return first.unionByName(late)
+        # a word that is no decision, sent before: the review stays open
+        early = late.withColumn("decision_text", F.lit("maybe")).withColumn("decided_at", _ts(EARLY_DECISION_AT))
+        unknown = late.withColumn("review_id", F.concat(F.lit("unknown-"), F.col("review_id")))
+        return first.unionByName(late).unionByName(early).unionByName(unknown)
 
     @cached_property
     def resumed(self) -> dict[str, DataFrame]:

@@ -48,6 +48,30 @@ def test_evidence_error_when_champion_but_no_candidate_segments(spark):
     ]
 
 
+SEGS = "model_name string, model_version string, segment_column string, segment string, rmse double"
+
+
+def test_champion_without_segment_rows_is_an_evidence_error(spark):
+    c = spark.createDataFrame([("m", "2", 1.0, 1.0)], CAND)
+    h = spark.createDataFrame([("m", "1", 1.0, 1.0)], CHAMP)
+    pairs = pair_with_champion(c, h)
+    segs = spark.createDataFrame([("m", "2", "town", "A", 1.0), ("m", "1", "town", "A", 1.0)], SEGS)
+    [error] = evidence_errors(pairs, segs, champion_segments=segs).first()["evidence_errors"]
+    assert error.endswith("Champion run '1' is missing required segment metric artifacts for: flat_type.")
+
+
+def test_nan_champion_segment_is_skipped_and_last_duplicate_wins(spark):
+    c = spark.createDataFrame([("m", "2", 1.0, 1.0)], CAND)
+    h = spark.createDataFrame([("m", "1", float("nan"), 2.0)], CHAMP)
+    pairs = pair_with_champion(c, h)
+    assert pairs.first()["rmse_delta_pct"] == 0.0
+    segs = spark.createDataFrame(
+        [("m", "2", "town", "A", 3.0, 1), ("m", "2", "town", "B", 3.0, 2), ("m", "1", "town", "A", 1.0, 1),
+         ("m", "1", "town", "A", 2.0, 2), ("m", "1", "town", "B", float("nan"), 3)], SEGS + ", ord int")
+    rows = segment_deltas(segs, segs, pairs).collect()
+    assert [(r["segment_value"], r["rmse_delta_pct"]) for r in rows] == [("A", 0.5)]
+
+
 GATE = ("model_name string, model_version string, rmse double, mae double, has_champion boolean, "
         "rmse_delta_pct double, evidence_errors array<string>, has_drift_report boolean, "
         "overall_drift_detected boolean, drifted_columns array<string>")

@@ -80,8 +80,22 @@ def test_resume_rules(spark):
     assert "Review 'r3' is already completed." in errors
     assert "Review 'r4' was not found." in errors
     assert "Review 'r1' is already completed." in errors
-    # r2's first decision by time is the invalid word; the valid one is then a second decision
-    assert "r2" not in applied
+    # r2's first decision by time is no decision word: the review stays open for the valid one
+    assert applied["r2"]["outcome"] == "promoted"
+    assert applied["r2"]["decision_source"] == "human_override_after_policy_reject"
+
+
+def test_candidate_alias_is_the_newest_version(spark):
+    cands = spark.createDataFrame(
+        [("m", f"c{i}", T1, {}, 1.0, 1.0, 1.0, 1.0) for i in range(12)],
+        "model_name string, candidate_id string, registered_at timestamp, params map<string,string>, "
+        "validation_rmse double, validation_mae double, test_rmse double, test_mae double",
+    )
+    out = R.register_candidates(cands, R.empty(spark, R.RUNS_DDL))
+    versions = sorted(int(r["model_version"]) for r in out["runs"].collect())
+    assert versions == list(range(1, 13))
+    current = R.current_aliases(out["alias_events"]).collect()
+    assert [(r["alias"], r["model_version"]) for r in current] == [("candidate", "12")]
 
 
 def test_apply_decisions_tags(spark):

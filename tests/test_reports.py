@@ -192,3 +192,25 @@ def test_parse_report_crlf_and_heading_variants(spark):
     assert p["risk_flags"] == ["r", "## Summary:", "not a heading line"]
     assert p["recommendation"] == "Go"
     assert p["summary"] == "Preface"
+
+
+def test_json_with_anything_after_it_is_no_json(spark):
+    texts = ['{"a": 1} tail', '{"a": 1}{"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1}]', ' {"a": 1} ', '```json\n{"a": 1}\n```']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", K.extract_json(F.col("t")).alias("m")).collect()}
+    assert [got[i] for i in range(4)] == [None] * 4
+    assert got[4] == {"a": "1"} and got[5] == {"a": "1"}
+
+
+def test_judge_answer_with_text_after_json_scans_names(spark):
+    text = '{"completeness": 1, "accuracy": 2, "actionability": 3, "safety": 4} and safety: 5'
+    row = spark.createDataFrame([(text,)], "t string").select(K.judge_scores(F.col("t")).alias("s")).first()["s"]
+    assert row["average"] is None and row["error"]
+
+
+def test_headings_beside_other_line_ends_and_spaces(spark):
+    text = "Summary\x0cfirst\x0b## Evidence\u00a0\n- one\x1c Recommendation: \u2003\ndo it"
+    row = K.parse_reports(spark.createDataFrame([(text,)], "t string"), "t").first()["parsed"]
+    assert row["summary"] == "first"
+    assert row["evidence"] == ["one"]
+    assert row["recommendation"] == "do it"
