@@ -8,7 +8,7 @@ map-side and never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgate.schema import DEFAULT_SEGMENT_COLUMNS, MODEL_KEY, TARGET_COLUMN
@@ -55,15 +55,17 @@ def segment_metrics(
     prediction: str = "prediction",
 ) -> DataFrame:
     """count, rmse, mae, mean_actual, mean_prediction per segment value of one
-    column (null segments dropped), with ``ord`` = position in (rmse, segment)
-    order within the model key."""
+    column (null segments dropped), with ``ord`` = position (from 1) in (rmse,
+    segment) order within the model key."""
     seg = F.col(segment_column).cast("string")
     out = (
         scored.where(F.col(segment_column).isNotNull())
         .groupBy(*keys, seg.alias("segment"))
         .agg(*_metric_aggs(actual, prediction))
     )
-    return out
+    # one row per segment: the window holds a model's segments, not its rows
+    order = Window.partitionBy(*keys).orderBy("rmse", "segment")
+    return out.withColumn("ord", F.row_number().over(order).cast("long"))
 
 
 def evaluate_grouping_sets(

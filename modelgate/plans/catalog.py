@@ -15,15 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelgate.plans.gate import GateJob, champion_alias
-from modelgate.session import size_shuffle_partitions
+from modelgate.session import folder_state, size_shuffle_partitions
 from modelgate.sources import adapters as A
 from modelgate.sources.tables import Tables
 
-_JOBS: dict[tuple[int, str], GateJob] = {}
+_JOBS: dict[tuple, GateJob] = {}
+
+
+def state_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a shared step depends on: the application, the folder and the
+    state of its files."""
+    return spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir)
 
 
 def gate_job(spark: SparkSession, sf_dir: str) -> GateJob:
-    key = (id(spark), sf_dir)
+    key = state_key(spark, sf_dir)
     if key not in _JOBS:
         t = Tables(spark, sf_dir)
         _JOBS[key] = GateJob(
@@ -42,7 +48,7 @@ def r(c: str, digits: int = 6):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-_SIZED: set[tuple[int, str]] = set()
+_SIZED: set[tuple] = set()
 
 
 def query(name: str):
@@ -52,7 +58,7 @@ def query(name: str):
     def deco(fn):
         @functools.wraps(fn)
         def run(spark, sf_dir):
-            key = (id(spark), sf_dir)
+            key = state_key(spark, sf_dir)
             if key not in _SIZED:
                 size_shuffle_partitions(spark, [sf_dir])
                 _SIZED.add(key)
@@ -110,7 +116,7 @@ def q_segment_metrics(spark, sf_dir):
     from modelgate.operators.evaluate import segment_metrics
 
     s = segment_metrics(gate_job(spark, sf_dir).scored, "town")
-    return s.select("model_name", "model_version", "segment", "count", r("rmse", 4), r("mae", 4),
+    return s.select("model_name", "model_version", "segment", "ord", "count", r("rmse", 4), r("mae", 4),
                     r("mean_actual", 4), r("mean_prediction", 4))
 
 

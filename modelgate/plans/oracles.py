@@ -33,7 +33,9 @@ oracle("overall_metrics", ["overall"], """
 SELECT model_name, model_version, count, round(rmse, 4) AS rmse, round(mae, 4) AS mae FROM overall""")
 
 oracle("segment_metrics", ["evaluation"], """
-SELECT model_name, model_version, segment, count, round(rmse, 4) AS rmse, round(mae, 4) AS mae,
+SELECT model_name, model_version, segment,
+       row_number() OVER (PARTITION BY model_name, model_version ORDER BY rmse, segment) AS ord,
+       count, round(rmse, 4) AS rmse, round(mae, 4) AS mae,
        round(mean_actual, 4) AS mean_actual, round(mean_prediction, 4) AS mean_prediction
 FROM evaluation WHERE segment_column = 'town'""")
 

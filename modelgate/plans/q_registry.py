@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from modelgate.operators import registry as R
 from modelgate.plans import registry_flow as RF
-from modelgate.plans.catalog import gate_job, query, r
+from modelgate.plans.catalog import gate_job, query, r, state_key
 from modelgate import fixed as T
 from modelgate.plans.oracle import cte, sql_fill, sql_sanitize, sql_str
 from modelgate.plans.oracles import oracle
@@ -17,7 +17,7 @@ _FLOWS: dict = {}
 
 
 def flow(spark, sf_dir) -> RF.RegistryFlow:
-    key = (id(spark), sf_dir)
+    key = state_key(spark, sf_dir)
     if key not in _FLOWS:
         _FLOWS[key] = RF.RegistryFlow(gate_job(spark, sf_dir))
     return _FLOWS[key]

@@ -31,50 +31,4 @@ PREPARED_SCHEMA = T.StructType(
     ]
 )
 
-SEGMENT_METRICS_SCHEMA = T.StructType(
-    [
-        T.StructField("segment", T.StringType()),
-        T.StructField("count", T.LongType()),
-        T.StructField("rmse", T.DoubleType()),
-        T.StructField("mae", T.DoubleType()),
-        T.StructField("mean_actual", T.DoubleType()),
-        T.StructField("mean_prediction", T.DoubleType()),
-    ]
-)
-
-SEGMENT_DELTA_SCHEMA = T.StructType(
-    [
-        T.StructField("segment_column", T.StringType()),
-        T.StructField("segment_value", T.StringType()),
-        T.StructField("candidate_rmse", T.DoubleType()),
-        T.StructField("champion_rmse", T.DoubleType()),
-        T.StructField("rmse_delta", T.DoubleType()),
-        T.StructField("rmse_delta_pct", T.DoubleType()),
-    ]
-)
-
-DRIFT_ROW_SCHEMA = T.StructType(
-    [
-        T.StructField("column", T.StringType()),
-        T.StructField("drift_type", T.StringType()),
-        T.StructField("statistic", T.DoubleType()),
-        T.StructField("threshold", T.DoubleType()),
-        T.StructField("p_value", T.DoubleType(), True),
-        T.StructField("is_drifted", T.BooleanType()),
-    ]
-)
-
-METRICS_STRUCT = T.StructType(
-    [T.StructField("rmse", T.DoubleType()), T.StructField("mae", T.DoubleType())]
-)
-
-VERDICT_STRUCT = T.StructType(
-    [
-        T.StructField("decision", T.StringType()),
-        T.StructField("reasons", T.ArrayType(T.StringType())),
-        T.StructField("checks_passed", T.ArrayType(T.StringType())),
-        T.StructField("checks_failed", T.ArrayType(T.StringType())),
-    ]
-)
-
 MODEL_KEY = ["model_name", "model_version"]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,33 +72,53 @@ def get_spark(
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    The cluster names the folder; it must be on shared storage so lineage cut
-    there survives the loss of any executor. Only when the setting is unset
-    (local tests) is ``fallback`` used, and then it is also registered.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the session names in
+    ``spark.checkpoint.dir``. It must be on storage that all executors share,
+    so that what is written there survives the loss of any of them; the library
+    never falls back to a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if fallback is None:
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; pass a shared folder for tests"
-            )
-        configured = fallback
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
-def local_fallback(spark: SparkSession) -> str | None:
-    """A scratch folder for local-mode runs only (tests, single machine);
-    on a cluster the shared ``spark.checkpoint.dir`` must be configured."""
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    return os.environ.get("MODELGATE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="modelgate-ckpt-")
+_EXPIRING: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder under the checkpoint folder. Tables in it
+    may feed DataFrames that are still in use, so they live as long as the
+    application and are deleted when it ends."""
+    folder = os.path.join(checkpoint_dir(spark), "modelgate", spark.sparkContext.applicationId)
+    if folder not in _EXPIRING:
+        _EXPIRING.add(folder)
+
+        def expire() -> None:
+            try:
+                files, path = _file_system(spark, folder)
+                files.delete(path, True)
+            except Exception:  # noqa: BLE001 - the JVM may be gone; the folder's retention policy is next
+                pass
+
+        atexit.register(expire)
+    return folder
+
+
+def folder_state(spark: SparkSession, path: str) -> int:
+    """A number that changes when files directly under ``path`` (or the
+    folders there) are written: from the file system's listing, no data is read."""
+    files, target = _file_system(spark, path)
+    found = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(target)]
+    return hash(tuple(sorted(found)))
 
 
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None, name: str = "cut") -> DataFrame:
@@ -113,10 +133,18 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None, name: str = "c
     import uuid
 
     spark = spark or df.sparkSession
-    base = checkpoint_dir(spark, fallback=local_fallback(spark))
-    path = os.path.join(base, "modelgate", name, uuid.uuid4().hex)
+    path = os.path.join(scratch_folder(spark), name, uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._modelgate_path = path
+    return table
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` that nothing reads any more."""
+    for table in tables:
+        files, path = _file_system(table.sparkSession, table._modelgate_path)
+        files.delete(path, True)
 
 
 def scale_conf(
@@ -147,15 +175,13 @@ def scale_conf(
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of the files under ``paths`` (recursively, so tables
-    stored as folders of part files count), from a distributed file listing:
-    the ``binaryFile`` source with only its ``length`` column, so no file
-    content is read."""
-    from pyspark.sql import functions as F
-
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    row = listing.agg(F.sum("length").alias("n")).first()
-    return int(row["n"] or 0)
+    """Total size of the files under ``paths``, folders included, from the
+    file system's own summary: no Spark job, nothing is read."""
+    total = 0
+    for path in paths:
+        files, target = _file_system(spark, path)
+        total += int(files.getContentSummary(target).getLength())
+    return total
 
 
 def size_shuffle_partitions(spark: SparkSession, paths: list[str]) -> int:

@@ -255,7 +255,6 @@ def flatten_struct(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    from modelgate.session import checkpoint_dir, local_fallback
+    from modelgate.session import scratch_folder
 
-    base = checkpoint_dir(spark, fallback=local_fallback(spark))
-    return os.path.join(base, "modelgate", *parts, uuid.uuid4().hex)
+    return os.path.join(scratch_folder(spark), *parts, uuid.uuid4().hex)

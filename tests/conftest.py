@@ -12,10 +12,10 @@ SF0001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    os.environ.setdefault("MODELGATE_CHECKPOINT_DIR", str(tmp_path_factory.mktemp("checkpoints")))
     from modelgate.session import get_spark
 
-    s = get_spark("local[4]", app_name="modelgate-tests", shuffle_partitions=8)
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))}
+    s = get_spark("local[4]", app_name="modelgate-tests", shuffle_partitions=8, extra_conf=shared)
     yield s
 
 

@@ -177,9 +177,10 @@ def test_gate_with_registry_runs_overrides_and_no_drift(spark):
 def test_every_query_plan_stays_small(spark):
     """Guards against expression duplication (a staged parse folded back
     into every consumer makes plans explode and run many times slower)."""
-    import __spark_entry__ as E
+    from modelgate.plans.catalog import QUERIES, _load_all
 
-    for name, fn in E.queries().items():
+    _load_all()
+    for name, fn in QUERIES.items():
         if name in ("train_gbt", "score"):
             continue
         size = len(fn(spark, SF0001)._jdf.queryExecution().optimizedPlan().toString())
