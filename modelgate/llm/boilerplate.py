@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import fresh, quoted
+from modelgate.llm.common import fresh, map_in_arrow, quoted
 
 MIN_RUN = 8
 NEIGHBOURS = 256
@@ -308,4 +308,4 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list
         if group:
             yield finish(group)
 
-    return dealt.mapInArrow(run, schema)
+    return map_in_arrow(dealt, run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgate.session import cut_lineage
+from modelgate.session import cut_lineage, drop_table
 
 #: Text bytes a worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -24,6 +23,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, df.sparkSession, f"llm-{name}")
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    drop_table(*tables)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +46,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def unique_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+def map_in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name (it reads a dot in a name as a
+    field of a struct, so the columns go in under plain names)."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
 
 
 def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import fresh, quoted, text_slices
+from modelgate.llm.common import fresh, map_in_arrow, quoted, text_slices
 
 #: Segmentations per text.
 BEST = 4
@@ -418,7 +418,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", n: int = BEST, ke
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", name: str = "text") -> DataFrame:
@@ -435,4 +435,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", name: str = "text")
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)

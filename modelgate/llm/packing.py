@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import cut, fresh, quoted, text_slices
+from modelgate.llm.common import cut, fresh, map_in_arrow, quoted, text_slices
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -201,7 +201,7 @@ def pieces(df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, schema)
 
 
 class CapacityTree:
@@ -329,4 +329,4 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int =
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in (salt, rank)]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(bins), pa.array(offset)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return map_in_arrow(ranked, run, schema)

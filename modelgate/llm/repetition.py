@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import codes, fresh, quoted, text_slices, word_lists
+from modelgate.llm.common import codes, fresh, map_in_arrow, quoted, text_slices, word_lists
 
 #: Words in the windows of the base rule.
 WINDOW = 3
@@ -169,7 +169,7 @@ def repetition_stats(
                 columns + [pa.array(found[m]) for m in measured], names=labels + names
             )
 
-    out = source.mapInArrow(run, schema)
+    out = map_in_arrow(source, run, schema)
     n_words, n_repeat, cover, longest = (F.col(x) for x in names)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     verdict = ~failed & (cover <= max_covered * n_words) & (longest <= max_longest)

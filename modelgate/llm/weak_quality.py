@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import codes, fresh, quoted, text_slices, word_lists
+from modelgate.llm.common import codes, fresh, map_in_arrow, quoted, text_slices, word_lists
 
 BUCKETS = 1 << 17
 SAMPLE = 8_000
@@ -230,4 +230,4 @@ def score(df: DataFrame, scorer: tuple[np.ndarray, float], text: str = "text", k
                 [*columns, pa.array(score_texts(part.column(body), weights, bias))], names=schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, schema)

@@ -66,7 +66,7 @@ def test_repeated_equals_brute_force():
 def test_unmarked_boilerplate_goes_by_repetition(spark):
     menu = "<ul><li>Home of it</li><li>About us all</li><li>Contact and more</li></ul>"
     offer = "<div>Get all the best offers of this week delivered to you today</div>"
-    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", f"<body>{menu}<p>Page number {i} has its own text.</p>{offer}</body>", "x") for i in range(8)]
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", f"<body>{menu}<p>p{i} q{i} r{i} s{i}.</p>{offer}</body>", "x") for i in range(8)]
     rows += [(100, None, None, "x"), (101, "http://c.org", "", "x"), (None, "http://d.org/", PAGE, "x"), (0, *rows[0][1:])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     out = extract_text(df)
@@ -76,7 +76,7 @@ def test_unmarked_boilerplate_goes_by_repetition(spark):
     for r in got:
         assert r["n_chars"] == len(r["text_"])
         if r["page_id"] is not None and r["page_id"] < 100:
-            assert r["text_"] == f"Page number {r['page_id']} has its own text."
+            assert r["text_"] == "p{0} q{0} r{0} s{0}.".format(r["page_id"])
     assert {r["text_"] for r in got if r["page_id"] in (100, 101)} == {""}
     assert [r["text_"] for r in got if r["page_id"] is None] == [extract([PAGE])[0][0]]
     assert extract_text(df.limit(0)).count() == 0
