@@ -206,3 +206,20 @@ def near_duplicate_vectors(
         F.coalesce("component", "id").cast("long").alias("component_id"),
         F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
     )
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The same rows of ``embeddings`` in DuckDB's SQL, by all pairs."""
+    return f"""
+    WITH RECURSIVE v AS MATERIALIZED (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0),
+    links AS MATERIALIZED (
+      SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.y AS component_id, e.vec_id IS NOT DISTINCT FROM m.y AS kept
+    FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = e.vec_id
+    LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x IS NOT DISTINCT FROM e.vec_id"""

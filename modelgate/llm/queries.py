@@ -139,9 +139,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from modelgate.llm import licences
+    from modelgate.llm import cosine, licences, url_templates
 
+    ORACLES["op2_embedding_dedup"] = cosine.oracle_sql()
     ORACLES["op4_license_scan"] = licences.oracle_sql()
+    ORACLES["op6_url_filters"] = url_templates.oracle_sql()
 
 
 _oracles()

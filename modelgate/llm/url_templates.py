@@ -175,3 +175,67 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES,
         F.col("template__").alias(names["template"]), F.col("purity__").alias(names["purity"]),
     )
     return ruled.unionByName(free)
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The judgement of ``pages`` in DuckDB's SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    ranked = sorted(rules, key=lambda r: (len(r.text), r.verdict == "block", r.text), reverse=True)
+
+    def chosen(value: str) -> str:
+        cases = " ".join(
+            f"WHEN (host = {quote(r.host)} OR ends_with(host, {quote('.' + r.host)})) AND starts_with(path, {quote(r.path)}) "
+            f"THEN {quote(getattr(r, value))}" for r in ranked
+        )
+        return f"CASE {cases} END"
+
+    def wild(s: str) -> str:
+        ending = rf"regexp_extract({s}, '^[0-9]+(\.[A-Za-z]+)$', 1)"
+        return (
+            f"CASE WHEN {s} IS NULL THEN '' WHEN regexp_full_match({s}, '[0-9]+') THEN '{{n}}' "
+            f"WHEN {ending} <> '' THEN '{{n}}' || {ending} "
+            f"WHEN regexp_full_match({s}, '[0-9a-fA-F-]{{8,}}') AND regexp_matches({s}, '[0-9]') THEN '{{x}}' "
+            f"WHEN length({s}) >= 12 AND regexp_matches({s}, '[0-9]') AND regexp_matches({s}, '[A-Za-z]') THEN '{{m}}' ELSE {s} END"
+        )
+
+    def kinds(s: str) -> list[str]:
+        number = f"starts_with({s}, '{{n}}')"
+        return [f"{s} = ''", number, f"starts_with({s}, '{{') AND NOT {number}", f"NOT starts_with({s}, '{{') AND {s} <> ''"]
+
+    steps = []
+    for level in range(1, DEPTH + 1):
+        here, after = f"s{level}", f"s{level + 1}" if level < DEPTH else "tail"
+        weights = ", ".join(f"sum(CASE WHEN {is_} THEN n ELSE 0 END) AS {k}" for k, is_ in zip(KINDS, kinds(after), strict=True))
+        sums = ", ".join(f"sum({c}) AS p_{c}" for c in ("n", "labels", "blocked", *KINDS))
+        chi = " + ".join(
+            f"CASE WHEN p_{k} > 0 THEN ({k} - n * p_{k} / p_n) * ({k} - n * p_{k} / p_n) / (n * p_{k} / p_n) ELSE 0 END" for k in KINDS
+        )
+        spread = "labels * (p_blocked / p_labels) * (1 - p_blocked / p_labels)"
+        gap = "(blocked - labels * (p_blocked / p_labels))"
+        chi += f" + CASE WHEN p_labels > 0 AND {spread} > 0 THEN {gap} * {gap} / ({spread}) ELSE 0 END"
+        steps.append(f"""
+    b{level} AS (SELECT host, template, {here} AS seg, sum(n) AS n, sum(labels) AS labels, sum(blocked) AS blocked, {weights}
+                 FROM t{level - 1} GROUP BY ALL),
+    p{level} AS (SELECT host, template, {sums} FROM b{level} GROUP BY ALL),
+    d{level} AS (SELECT host, template, seg, CASE WHEN seg = '' THEN ''
+                   WHEN {kinds('seg')[3]} AND {chi} <= {CRITICAL} THEN '/{{*}}' ELSE '/' || seg END AS step
+                 FROM b{level} JOIN p{level} USING (host, template)),
+    t{level} AS (SELECT t.* REPLACE (t.template || d.step AS template) FROM t{level - 1} t
+                 JOIN d{level} d ON d.host = t.host AND d.template = t.template AND d.seg = t.{here})""")
+    segments = ", ".join(f"{wild(f'seg[{i}]')} AS s{i}" for i in range(1, DEPTH + 1))
+    key = ", ".join(["host", *[f"s{i}" for i in range(1, DEPTH + 1)], "tail"])
+    return f"""
+    WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+                 regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+    r AS (SELECT page_id, host, path, {chosen('text')} AS rule, {chosen('verdict')} AS mark,
+                 list_filter(string_split(path, '/'), lambda s: s <> '') AS seg FROM h),
+    parts AS (SELECT page_id, path, rule, mark, host, {segments}, CASE WHEN len(seg) > {DEPTH} THEN '{{+}}' ELSE '' END AS tail FROM r),
+    t0 AS (SELECT {key}, '' AS template, count(*)::DOUBLE AS n, count(mark)::DOUBLE AS labels,
+                  count(*) FILTER (mark = 'block')::DOUBLE AS blocked FROM parts GROUP BY {key}),{','.join(steps)},
+    leaf AS (SELECT {key}, template || tail AS template,
+                    (sum(blocked) OVER w + {SMOOTHING / 2}) / (sum(labels) OVER w + {SMOOTHING}) AS purity
+             FROM t{DEPTH} WINDOW w AS (PARTITION BY host, template || tail))
+    SELECT page_id, p.host, path, rule, CASE WHEN mark IS NOT NULL THEN mark WHEN purity >= {PURITY} THEN 'block' ELSE 'allow' END AS verdict,
+           CASE WHEN mark IS NULL THEN l.template END AS template, CASE WHEN mark IS NULL THEN purity END AS purity
+    FROM parts p JOIN leaf l USING ({key})"""
