@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelgate.llm.common import cut
+from modelgate.llm.common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,14 +28,16 @@ def components(links: DataFrame) -> DataFrame:
     # done when every larger end has one link, to a node that is no larger end
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(low, "a").select(
+        near = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(near, "a").select(
             F.col("v").alias("a"), F.col("m").alias("b")
         )
         large = cut(large.where(F.col("a") != F.col("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = edges
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop(old, near, large)
     member = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return member.unionByName(roots)

@@ -12,9 +12,13 @@ Sets for which a coordinate stays empty look twice as far. Two sets agree on a
 coordinate with the probability of their (weighted) Jaccard similarity.
 
 Candidates agree on a whole band of ``ROWS`` coordinates. Texts with equal
-shingle sets are one node from the start. In each band bucket all nodes are
-compared with one pivot; links join components; only nodes of a bucket that
-still lie in different components are then compared with each other, so that
+shingle sets are one node from the start. A node can only have a link if that
+share of its shingles also occurs in other candidates; the others go (shingle
+counts over all candidates, exact). In each band bucket all nodes are compared
+with one pivot, at first the one with the fewest shingles of its own, which
+in a group of edited copies is the copied text; links join components; only
+nodes of a bucket that still lie in different components are then compared with each other, and of those only pairs
+whose shared shingles can be enough, so that
 a large group costs about as many comparisons as it has members, and no
 candidate link between different components is left untested. A link is a pair
 whose exact Jaccard similarity, on the shingle sets of the whole texts, is
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import U64, cut, fresh, mix, quoted, text_slices, uniform, word_hashes, word_lists
+from modelgate.llm.common import U64, cut, drop, fresh, mix, quoted, text_slices, uniform, word_hashes, word_lists
 from modelgate.llm.components import components
 
 SHINGLE = 5
@@ -220,48 +224,76 @@ def near_links(
     member = cut(tied.select("id", "node").distinct(), "member")
     first = tied.where(F.col("id") == F.col("rep")).dropDuplicates(["node"])
     entries = first.select("node", "size", F.explode("bands").alias("key"))
-    entries = cut(entries, "entries")
-    shared = entries.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m != x")
-    entries = cut(entries.join(cut(shared.select("key"), "shared"), "key"), "entries")
+    every = cut(entries, "entries")
+    shared = every.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m != x")
+    shared = cut(shared.select("key"), "shared")
+    several_in = cut(every.join(shared, "key"), "entries")
+    drop(every, shared)
+    entries = several_in
     wanted = nodes.join(entries.select("node").distinct(), "node")
     texts = df.where(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("rep"), quoted(text).alias("text"))
     sets = cut(shingles(texts.join(wanted, "rep").select("node", "set_a", "set_b", "text")), "sets")
 
+    # shingles that no other candidate has; the rest bounds every intersection
+    alone = (
+        sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    )
+    entries = entries.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    entries = cut(entries.where(F.col("shared") >= threshold * F.col("size")).select("node", "key", "size", "shared"), "entries")
+    drop(several_in)
+
     # an id that occurs with several texts is one document: its nodes are linked
     several = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("x")).where("b != x")
     links = member.join(several, "id").select(F.col("node").alias("a"), "b")
-    classes, tested = cut(links.select("a", "b"), "classes"), None
-    classes = components(classes)
+    classes, tested = cut(components(links), "classes"), None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = entries.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = cut(placed, "placed")
+        placed, drop_later = cut(placed, "placed"), []
+        order = [F.xxhash64("node")] if turn else [F.col("size") - F.col("shared"), F.xxhash64("node")]
         pivots = placed.groupBy("key").agg(
-            F.min_by(F.struct("node", "component", "size"), F.xxhash64("node", F.lit(turn))).alias("p"),
+            F.min_by(F.struct("node", "component", "size", "shared"), F.struct(*order)).alias("p"),
             F.min("component").alias("low"), F.max("component").alias("high"),
         ).where("low != high")
-        pivots = cut(
-            pivots.select("key", F.col("p.node").alias("n2"), F.col("p.component").alias("c2"), F.col("p.size").alias("s2")),
-            "pivots",
-        )
+        other = {"node": "n2", "component": "c2", "size": "s2", "shared": "h2"}
+        pivots = chosen = cut(pivots.select("key", *[F.col(f"p.{x}").alias(y) for x, y in other.items()]), "pivots")
         if pivots.isEmpty():
             break
         if turn == PIVOT_ROUNDS:  # buckets still open: every node against those of other components
+            drop_later.append(placed)
             placed = cut(placed.join(pivots.select("key"), "key"), "open")
-            pivots = placed.select("key", F.col("node").alias("n2"), F.col("component").alias("c2"), F.col("size").alias("s2"))
-        apart = F.col("component") != F.col("c2")
-        close = F.least("size", "s2") >= threshold * F.greatest("size", "s2")
-        pairs = placed.join(pivots, "key").where(apart & close).select(
+            pivots = placed.select("key", *[F.col(x).alias(y) for x, y in other.items()])
+        # no more shingles can be common than either side shares with anyone
+        most = F.least("shared", "h2")
+        can = (most >= threshold * (F.col("size") + F.col("s2") - most)) & (
+            F.least("size", "s2") >= threshold * F.greatest("size", "s2")
+        )
+        one_way = F.col("node") < F.col("n2") if turn == PIVOT_ROUNDS else F.lit(True)
+        pairs = placed.join(pivots, "key").where((F.col("component") != F.col("c2")) & can & one_way).select(
             F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
+        drop(placed, chosen, *drop_later)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(cut(_verified(pairs, sets, threshold), "found"))
-        classes = components(links)
+        found = cut(_verified(pairs, sets, threshold), "found")
+        if not found.isEmpty():
+            classes = cut(_joined(classes, found), "classes")
     return member, classes
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, component) after joining the components that
+    ``links`` connect. Only the links' own ends go through the contraction."""
+    at = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    merged = components(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    old = classes.join(renamed, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return old.unionByName(merged.join(classes.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
