@@ -116,6 +116,10 @@ def value_counts(
         F.sum("c").alias("n_current"),
         F.percentile_approx("dval", probs, 2 * (1 << bits)).alias("bounds"),
     )
+    if materialize:  # one row per key and column, from a written table: worth a count
+        from modelgate.operators.common import bounded_broadcast
+
+        stats = bounded_broadcast(stats)
     bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
     return distinct.join(stats, [*keys, "column"]).select(
         *keys, "column", bucket.alias("bucket"), "sval", "dval", "r", "c", "n_reference", "n_current")
@@ -168,14 +172,16 @@ def ks_statistics(
     columns,
     keys: list[str] = (),
     buckets: int = DEFAULT_KS_BUCKETS,
+    materialize: bool = False,
 ) -> DataFrame:
     """(keys, column, statistic, n_reference, n_current): the largest gap
     between the two empirical CDFs, for every column in one job, without a
     global sort (see ``value_counts`` and ``ks_from_counts``). Exact: ties
     are merged before the running sums, and range boundaries only cut
-    between distinct values."""
+    between distinct values. ``materialize`` writes the value counts once, so
+    that each sample is read once."""
     keys = list(keys)
-    counts = value_counts(reference, current, [], list(columns), keys, buckets)
+    counts = value_counts(reference, current, [], list(columns), keys, buckets, materialize)
     return ks_from_counts(counts, keys)
 
 

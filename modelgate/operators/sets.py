@@ -56,9 +56,3 @@ def merge_sources(payloads: DataFrame, keys: list[str], provider_order: str) ->
         F.transform(with_error, lambda x: F.concat(x["provider"], F.lit(": "), x["error"])).alias("errors"),
         F.transform(with_model, lambda x: x["model"]).alias("models"),
     )
-
-
-def merge_results(results: DataFrame, keys: list[str], provider_order: str, result_order: str) -> DataFrame:
-    """Merged result rows keep provider order, then each provider's order:
-    ``merged_order`` is that sort key (no per-query gather)."""
-    return results.withColumn("merged_order", F.struct(F.col(provider_order).alias("provider"), F.col(result_order).alias("result")))

@@ -206,7 +206,7 @@ def q_ks_statistic(spark, sf_dir):
     j = gate_job(spark, sf_dir)
     ref = j.rows_of("train")
     cur = j.rows_of("test")
-    ks = ks_statistics(ref, cur, NUMERIC_FEATURES, ["model_name"])
+    ks = ks_statistics(ref, cur, NUMERIC_FEATURES, ["model_name"], materialize=True)
     return ks.select("model_name", "column", r("statistic", 9), "n_reference", "n_current")
 
 

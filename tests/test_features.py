@@ -173,3 +173,13 @@ def test_number_formats_match_python_on_random_doubles(spark):
             assert tuple(r[1:]) == (f"{v:,.0f}", f"{v:+,.0f}", f"{v:.1%}", f"{v:+.1%}", f"{v:.4f}")
 
     check()
+
+
+def test_split_features_and_target(spark):
+    from modelgate.operators.features import split_features_and_target
+    from modelgate.schema import FEATURE_COLUMNS, TARGET_COLUMN
+
+    df = spark.createDataFrame([tuple(str(i) for i in range(len(FEATURE_COLUMNS) + 2))], ["extra", TARGET_COLUMN, *FEATURE_COLUMNS])
+    features, target = split_features_and_target(df)
+    assert features.columns == list(FEATURE_COLUMNS) and target.columns == [TARGET_COLUMN]
+    assert target.first()[0] == "1"

@@ -277,3 +277,23 @@ def test_registered_query_sizes_the_session_once_per_folder(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_newest_versions_compare_as_numbers(spark):
+    from modelgate.operators.ranking import newest_versions
+
+    runs = spark.createDataFrame([("m", str(v)) for v in (1, 2, 9, 10, 11)], "model_name string, model_version string")
+    got = newest_versions(runs, 3).orderBy("rank").collect()
+    assert [r["model_version"] for r in got] == ["11", "10", "9"]
+
+
+def test_rank_per_group_is_exact(spark):
+    from modelgate.operators.common import rank_per_group
+
+    rows = [(g, i % 7, i) for g in "ab" for i in range(50)] + [(None, 1, 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    got = {(r["g"], r["v"], r["i"]): r["n"] for r in rank_per_group(df, ["g"], "v", [F.col("i")], "n").collect()}
+    for g in ("a", "b"):
+        order = sorted((v, i) for x, v, i in rows if x == g)
+        assert [got[g, v, i] for v, i in order] == list(range(1, 51))
+    assert {got[None, None, 2], got[None, 1, 1]} == {1, 2}
