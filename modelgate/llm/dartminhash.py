@@ -12,17 +12,17 @@ Sets for which a coordinate stays empty look twice as far. Two sets agree on a
 coordinate with the probability of their (weighted) Jaccard similarity.
 
 Candidates agree on a whole band of ``ROWS`` coordinates. Texts with equal
-shingle sets are one node from the start. A node can only have a link if that
-share of its shingles also occurs in other candidates; the others go (shingle
-counts over all candidates, exact). In each band bucket all nodes are compared
-with one pivot, at first the one with the fewest shingles of its own, which
-in a group of edited copies is the copied text; links join components; only
-nodes of a bucket that still lie in different components are then compared with each other, and of those only pairs
-whose shared shingles can be enough, so that
-a large group costs about as many comparisons as it has members, and no
-candidate link between different components is left untested. A link is a pair
-whose exact Jaccard similarity, on the shingle sets of the whole texts, is
-``THRESHOLD`` or more.
+shingle sets are one node from the start. Shingles that only two candidates
+hold give pairs of their own, which are compared; all other pairs can only have
+in common what a node shares with more, so nodes and pairs for which
+that is too little go (shingle counts over all candidates, exact). In each
+band bucket all nodes are compared with one pivot, at first the one with the
+fewest shingles of its own, which in a group of edited copies is the copied
+text; links join components; only nodes of a bucket that still lie in different
+components are then compared with each other. So a large group costs about as
+many comparisons as it has members, and no candidate link between different
+components is left untested. A link is a pair whose exact Jaccard similarity,
+on the shingle sets of the whole texts, is ``THRESHOLD`` or more.
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**32,
 all but 5e-8. Nothing is capped or sampled.
@@ -234,19 +234,24 @@ def near_links(
     texts = df.where(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("rep"), quoted(text).alias("text"))
     sets = cut(shingles(texts.join(wanted, "rep").select("node", "set_a", "set_b", "text")), "sets")
 
-    # shingles that no other candidate has; the rest bounds every intersection
-    alone = (
-        sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    # shingles that one or two candidates have, as counts per node (a = b) or pair
+    rare = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")
     )
-    entries = entries.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    rare = cut(rare.where("n <= 2 or a = b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "rare")
+    mine = rare.select(F.col("a").alias("node"), "n").unionByName(rare.where("a != b").select(F.col("b").alias("node"), "n"))
+    mine = mine.groupBy("node").agg(F.sum("n").alias("own"))
+    # the pairs that share one of those are compared; all others share only the rest
+    tested = rare.where("a != b").select("a", "b")
+    found = cut(_verified(tested, sets, threshold), "found")
+    entries = entries.join(mine, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
     entries = cut(entries.where(F.col("shared") >= threshold * F.col("size")).select("node", "key", "size", "shared"), "entries")
     drop(several_in)
 
     # an id that occurs with several texts is one document: its nodes are linked
     several = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("x")).where("b != x")
-    links = member.join(several, "id").select(F.col("node").alias("a"), "b")
-    classes, tested = cut(components(links), "classes"), None
+    links = member.join(several, "id").select(F.col("node").alias("a"), "b").unionByName(found)
+    classes = cut(components(links), "classes")
     for turn in range(PIVOT_ROUNDS + 1):
         placed = entries.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed, drop_later = cut(placed, "placed"), []
@@ -261,22 +266,23 @@ def near_links(
             break
         if turn == PIVOT_ROUNDS:  # buckets still open: every node against those of other components
             drop_later.append(placed)
-            placed = cut(placed.join(pivots.select("key"), "key"), "open")
-            pivots = placed.select("key", *[F.col(x).alias(y) for x, y in other.items()])
+            placed = placed.join(pivots.select("key"), "key")
+            keys = placed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # one per band at most
+            placed = cut(placed.join(keys, "node"), "open")
+            pivots = placed.select("key", F.col("keys").alias("k2"), *[F.col(x).alias(y) for x, y in other.items()])
         # no more shingles can be common than either side shares with anyone
         most = F.least("shared", "h2")
         can = (most >= threshold * (F.col("size") + F.col("s2") - most)) & (
             F.least("size", "s2") >= threshold * F.greatest("size", "s2")
         )
-        one_way = F.col("node") < F.col("n2") if turn == PIVOT_ROUNDS else F.lit(True)
-        pairs = placed.join(pivots, "key").where((F.col("component") != F.col("c2")) & can & one_way).select(
+        if turn == PIVOT_ROUNDS:  # once, in the first bucket that holds both
+            can = (F.col("node") < F.col("n2")) & can & (F.array_min(F.array_intersect("keys", "k2")) == F.col("key"))
+        pairs = placed.join(pivots, "key").where((F.col("component") != F.col("c2")) & can).select(
             F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")
         ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         drop(placed, chosen, *drop_later)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
         found = cut(_verified(pairs, sets, threshold), "found")
         if not found.isEmpty():
             classes = cut(_joined(classes, found), "classes")
