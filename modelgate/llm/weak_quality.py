@@ -208,8 +208,11 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.nda
     patterns = np.array([r["votes"] for r in counted], dtype=np.int64)
     model = fit_labels(patterns, np.array([r["n"] for r in counted], dtype=np.float64))
     belief = dict(zip(map(tuple, patterns.tolist()), model.posterior(patterns).tolist(), strict=True))
-    some = df.select(quoted(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
-    got = with_votes(some, "text", "votes").toArrow()
+    # the hashes alone are ordered, so that no text is sorted or shuffled
+    hashed = df.select(quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("hash"))
+    last = hashed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    some = hashed.where(F.col("hash") <= last).limit(sample)
+    got = with_votes(some, "text", "votes").toArrow().sort_by("hash")
     votes = got.column("votes").to_pylist()
     return train(got.column("text").combine_chunks(), np.array([belief[tuple(x)] for x in votes]))
 
