@@ -1,4 +1,4 @@
-"""HTML extraction: page structure, and a suffix array per host neighbourhood.
+"""HTML extraction: page structure, and passages repeated over the pages of a host.
 
 A page becomes blocks of text in page order (block tags part them, character
 references are decoded, white space becomes single spaces). Scripts, styles,
@@ -7,18 +7,23 @@ adverts, forms and reader comments are told by their tags, roles and class
 words; what stands in an ``article`` (else ``main``) element is the page's
 declared text.
 
-Menus and notices that carry no such mark are found by repetition: the pages
-of a host are taken ``NEIGHBOURS`` at a time (in the order of a hash, so that
-each neighbourhood is a random draw of the host), the token streams of their blocks
-outside declared text are concatenated, and a suffix array finds all substrings of
-``MIN_RUN`` tokens or more that occur on distinct pages (pages with equal
-streams count as one). In pages without declared text the tokens so
-covered are removed and the unique runs of each block stay; declared text is kept
-whole, since an article may quote or copy another one.
+Menus and notices that carry no such mark are found by repetition over all pages
+of a host. The tokens of a page's blocks outside declared text are one stream; a
+run of ``MIN_RUN`` tokens that occurs in two distinct streams of the host is
+boilerplate (pages with equal streams count as one). In pages without declared
+text the tokens so covered are removed and the unique runs of each block stay.
+Of declared text, whole blocks of ``MIN_RUN`` tokens or more are removed that stand in
+``DECLARED_PAGES`` distinct declared texts of the host, unless such blocks hold half of
+the page's declared tokens or more: then the article itself is a copy, and is
+kept whole. Runs inside a declared block are kept, since an article may quote another.
 
-In Spark, the pages are range-partitioned by (host, hash) and sorted, so a host
-with a third of all pages spreads over as many partitions as its share; tasks
-stream over neighbourhoods and hold one at a time.
+In Spark, each run and declared block is a 64-bit digest with its host. The
+distinct streams per digest are counted by partial aggregation, so a hot host
+spreads over all tasks and a hot run collapses before the shuffle; the
+repeated digests are joined with the pages' digests, and each page gets back those of
+its own. Nothing depends on how the rows are partitioned. The input is read three times
+and must be the same rows each time. ``extract`` is the same for pages in memory, with a
+suffix array in place of the digests.
 
 Edge cases: null and empty html give an empty text; a null url, or one
 without a host, is of the host ''. Null ids pass through; rows that repeat
@@ -37,12 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import fresh, map_in_arrow, quoted
+from modelgate.llm.common import cut, fresh, map_in_arrow, mix, quoted, text_slices, word_hashes
 
 MIN_RUN = 8
-NEIGHBOURS = 256
-#: Characters of html after which a neighbourhood ends early, to bound memory.
-NEIGHBOUR_CHARS = 16 << 20
+#: Distinct declared texts that a declared block must stand in to be boilerplate.
+DECLARED_PAGES = 3
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"""
@@ -229,83 +233,166 @@ def repeated(keys: np.ndarray, pages: np.ndarray, streams: np.ndarray, at_least:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _stream(found: list[tuple[str, int]]) -> list[str]:
+    """The tokens of a page's blocks outside declared text."""
+    return [w for text, kind in found if kind != DECLARED for w in text.split(" ")]
+
+
+def _declared(found: list[tuple[str, int]]) -> list[str]:
+    return [text for text, kind in found if kind == DECLARED]
+
+
+def _long(block: str) -> bool:
+    return block.count(" ") + 1 >= MIN_RUN
+
+
+def _kept(found: list[tuple[str, int]], place: str, boiler: np.ndarray, common: set[str]) -> tuple[str, str, int]:
+    """(text, where it stood, tokens found to be boilerplate) of a page, from the
+    mask of its stream and its declared blocks that are common."""
+    sizes = [(t in common, t.count(" ") + 1) for t in _declared(found)]
+    copied = 2 * sum(n for hit, n in sizes if hit) >= sum(n for _, n in sizes)
+    kept, lost, at = [], 0, 0
+    for text, kind in found:
+        n = text.count(" ") + 1
+        if kind == DECLARED:
+            if text in common and not copied:
+                lost += n
+            else:
+                kept.append(text)
+            continue
+        mask = boiler[at : at + n]
+        at += n
+        lost += int(mask.sum())
+        if kind == TEXT and place == "page" and not mask.all():
+            kept.append(text if not mask.any() else " ".join(w for w, m in zip(text.split(" "), mask, strict=True) if not m))
+    return "\n".join(kept), place, lost
+
+
 def extract(pages: list[str | None]) -> list[tuple[str, str, int]]:
     """(text, where it stood, tokens found to be boilerplate) of each page of
-    one neighbourhood."""
+    one host."""
     parsed = [blocks(p) if p else ([], "page") for p in pages]
     words: list[str] = []
     owner: list[int] = []
     names: dict[tuple, int] = {}
     streams = np.zeros(len(pages), dtype=np.int64)
+    texts: dict[str, set[tuple]] = {}
     for i, (found, _) in enumerate(parsed):
-        mine = [w for text, kind in found if kind != DECLARED for w in text.split(" ")]
+        mine = _stream(found)
         streams[i] = names.setdefault(tuple(mine), len(names))
         words.extend(mine)
         owner.extend([i] * len(mine))
+        declared = tuple(_declared(found))
+        for block in filter(_long, declared):
+            texts.setdefault(block, set()).add(declared)
     coded = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False) if words else np.zeros(0)
     boiler = repeated(coded.astype(np.int64), np.array(owner, dtype=np.int64), streams)
+    common = {block for block, own in texts.items() if len(own) >= DECLARED_PAGES}
     out, at = [], 0
     for found, place in parsed:
-        kept, lost = [], 0
-        for text, kind in found:
-            if kind == DECLARED:
-                kept.append(text)
-                continue
-            n = text.count(" ") + 1
-            mask = boiler[at : at + n]
-            at += n
-            lost += int(mask.sum())
-            if kind == TEXT and place == "page" and not mask.all():
-                kept.append(text if not mask.any() else " ".join(w for w, m in zip(text.split(" "), mask, strict=True) if not m))
-        out.append(("\n".join(kept), place, lost))
+        n = len(_stream(found))
+        out.append(_kept(found, place, boiler[at : at + n], common))
+        at += n
     return out
 
 
+def digests(parsed: list[tuple[list[tuple[str, int]], str]], hosts: list[str]):
+    """For pages of any hosts: per page the digest of its stream, of its declared
+    text, of every run (one per token that starts one) and of every long declared block
+    (by its text). Digests of runs and blocks hold the host."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    streams = [_stream(found) for found, _ in parsed]
+    sizes = np.array([len(s) for s in streams], dtype=np.int64)
+    words = pa.array([w for s in streams for w in s], pa.string())
+    hashes = word_hashes(words) if len(words) else np.zeros(0, dtype=np.uint64)
+    n = max(len(hashes) - MIN_RUN + 1, 0)
+    runs = mix(np.repeat(np.array([digest(h) for h in hosts], dtype=np.uint64), sizes)[:n])
+    for j in range(MIN_RUN):
+        runs = mix(runs ^ hashes[j : j + n])
+    out, at = [], 0
+    for i, (found, _) in enumerate(parsed):
+        own = runs[at : at + max(int(sizes[i]) - MIN_RUN + 1, 0)].view(np.int64)
+        at += int(sizes[i])
+        declared = _declared(found)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        long = {b: signed(digest(f"{hosts[i]}\0{b}")) for b in filter(_long, declared)}
+        out.append((signed(digest(" ".join(streams[i]))), signed(digest("\n".join(declared))), own, long))
+    return out
+
+
+def _parsed(batches):
+    """(batch, parsed pages, digests) of slices of batches with host__ and body__."""
+    for batch in text_slices(batches, "body__"):
+        parsed = [blocks(p) if p else ([], "page") for p in batch.column("body__").to_pylist()]
+        yield batch, parsed, digests(parsed, batch.column("host__").to_pylist())
+
+
+def repeated_digests(source: DataFrame) -> DataFrame:
+    """Per page__ of ``source`` (page__, host__, body__) the digests of its runs
+    and declared blocks that are repeated on its host."""
+    named = T.StructType([T.StructField(c, T.LongType()) for c in ("digest", "block", "stream")])
+
+    def name(batches):
+        for batch, _, found in _parsed(batches):
+            parts = [[np.zeros(0, dtype=np.int64)] * 3]
+            for stream, declared, runs, long in found:
+                runs = np.unique(runs)
+                parts.append([runs, np.zeros(len(runs), dtype=np.int64), np.full(len(runs), stream)])
+                own = np.array(sorted(set(long.values())), dtype=np.int64)
+                parts.append([own, np.full(len(own), declared), np.full(len(own), declared)])
+            digest, block, stream = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(block), pa.array(stream)], names=named.names)
+
+    def place(batches):
+        for batch, _, found in _parsed(batches):
+            own = [np.unique(np.concatenate([runs, np.fromiter(long.values(), np.int64, len(long))])) for _, _, runs, long in found]
+            page = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+            digest = np.concatenate([np.zeros(0, dtype=np.int64), *own])
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(digest)], names=["page__", "digest"])
+
+    # runs: a group per digest; blocks: one per digest and declared text, counted after
+    met = map_in_arrow(source, name, named).groupBy("digest", "block").agg(F.min("stream").alias("low"), F.max("stream").alias("high"))
+    some = met.where((F.col("block") != 0) | (F.col("low") != F.col("high"))).groupBy("digest").agg(
+        F.count_if(F.col("block") != 0).alias("texts"), F.count_if(F.col("block") == 0).alias("runs")
+    )
+    often = cut(some.where((F.col("texts") >= DECLARED_PAGES) | (F.col("runs") > 0)).select("digest"), "repeated")
+    places = map_in_arrow(source, place, T.StructType([T.StructField(c, T.LongType()) for c in ("page__", "digest")]))
+    return cut(places.join(often, "digest").groupBy("page__").agg(F.collect_set("digest").alias("digests__")), "places")
+
+
 def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns but the html, or those in ``keep``) plus text,
     n_chars, place (article, main or page) and n_boilerplate."""
     keep = [c for c in df.columns if c != html] if keep is None else keep
     names = [fresh(df.select(*[quoted(c) for c in keep]), c) for c in ("text", "n_chars", "place", "n_boilerplate")]
-    host, order, body = fresh(df, "host__"), fresh(df, "order__"), fresh(df, "body__")
     site = F.lower(F.regexp_extract(F.coalesce(quoted(url), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
-    columns = [quoted(c) for c in keep]
-    source = df.select(*columns, site.alias(host), F.xxhash64(quoted(url), quoted(html)).alias(order), quoted(html).alias(body))
-    dealt = source.repartitionByRange(F.col(host), F.col(order)).sortWithinPartitions(host, order)
+    page = F.xxhash64(site, quoted(html))  # equal pages of a host get the same answer
+    parts = [page.alias("page__"), site.alias("host__"), quoted(html).alias("body__")]
+    kept = F.struct(*[quoted(c) for c in keep]).alias("kept__")
+    places = repeated_digests(df.select(*parts))
+    source = df.select(kept, *parts).join(places, "page__", "left").select("kept__", "digests__", "host__", "body__")
     made = [(names[0], T.StringType()), (names[1], T.LongType()), (names[2], T.StringType()), (names[3], T.LongType())]
-    kept_fields = [source.schema[i] for i in range(len(keep))]
-    schema = T.StructType(kept_fields + [T.StructField(n, t) for n, t in made])
-
-    def finish(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
-        found = extract(batch.column(len(keep) + 2).to_pylist())
-        text = [t for t, _, _ in found]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in range(len(keep))]
-            + [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()),
-               pa.array([p for _, p, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int64())],
-            names=schema.names,
-        )
+    schema = T.StructType([source.schema["kept__"], *[T.StructField(n, t) for n, t in made]])
 
     def run(batches):
-        group, rows, chars, current = [], 0, 0, None
-        for batch in batches:
-            hosts = batch.column(len(keep)).to_pylist()
-            sizes = [len(x or "") for x in batch.column(len(keep) + 2).to_pylist()]
-            start = 0
-            for i in range(batch.num_rows + 1):
-                end = i == batch.num_rows
-                full = not end and (hosts[i] != current or rows >= NEIGHBOURS or chars >= NEIGHBOUR_CHARS)
-                if (end or full) and i > start:
-                    group.append(batch.slice(start, i - start))
-                    start = i
-                if full and group:
-                    yield finish(group)
-                    group = []
-                if full:
-                    rows = chars = 0
-                if not end:
-                    current, rows, chars = hosts[i], rows + 1, chars + sizes[i]
-        if group:
-            yield finish(group)
-
-    return map_in_arrow(dealt, run, schema)
+        for batch, parsed, found in _parsed(batches):
+            out = []
+            for (own, place), (_, _, runs, long), often in zip(parsed, found, batch.column(1), strict=True):
+                hits = often.values.to_numpy() if often.is_valid else np.zeros(0, dtype=np.int64)
+                size = len(_stream(own))
+                edge = np.zeros(size + 1, dtype=np.int64)
+                starts = np.flatnonzero(np.isin(runs, hits))
+                edge[starts] += 1
+                edge[starts + MIN_RUN] -= 1
+                common = {b for b, d in long.items() if d in set(hits.tolist())}
+                out.append(_kept(own, place, np.cumsum(edge[:-1]) > 0, common))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([t for t, _, _ in out], pa.string()), pa.array([len(t) for t, _, _ in out], pa.int64()),
+                 pa.array([p for _, p, _ in out], pa.string()), pa.array([n for _, _, n in out], pa.int64())],
+                names=schema.names,
+            )
+
+    done = map_in_arrow(source, run, schema)
+    return done.select(*[F.col("kept__").getField(c).alias(c) for c in keep], *[quoted(n) for n in names])

@@ -86,3 +86,22 @@ def test_equal_pages_do_not_make_each_other_boilerplate():
     page = "<p>" + " ".join(f"w{i}" for i in range(40)) + "</p>"
     assert [t for t, _, _ in extract([page, page])] == [" ".join(f"w{i}" for i in range(40))] * 2
     assert blocks(page)[1] == "page"
+
+
+def test_host_is_searched_whole_whatever_its_partitions(spark):
+    rare = "<p>{0}a {0}b {0}c</p><p>all rights of this rare passage belong to the owners of it</p>"
+    pages = [f"<p>u{i} v{i} w{i} x{i} y{i} z{i} k{i} l{i} m{i}</p>" for i in range(600)]
+    pages[3], pages[597] = rare.format("q"), rare.format("r")  # on two pages of 600
+    note = "<p>Read more of our stories every day in the morning paper.</p>"
+    own = "<p>" + " ".join("{0}w%d" % k for k in range(30)) + "</p>"
+    pages += [f"<article>{own.format(f'n{i}')}{note}</article>" for i in range(3)]  # a common block
+    pages += [f"<article>{own.format('copied')}<p>c{i}</p></article>" for i in range(3)]  # a copied article
+    pages += [f"<article>{own.format(f'two{i}')}<p>one quoted block in two of the articles only here</p></article>" for i in range(2)]
+    want = extract(pages)
+    assert want[3][0] == "qa qb qc" and want[597][0] == "ra rb rc" and want[0][2] == 0
+    assert [w[0] for w in want[600:603]] == [" ".join(f"n{i}w{k}" for k in range(30)) for i in range(3)]
+    assert all(t.startswith("copiedw0 ") for t, _, _ in want[603:606]) and all("quoted" in t for t, _, _ in want[606:])
+    df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for n in (1, 7):
+        got = {r["page_id"]: (r["text"], r["place"], r["n_boilerplate"]) for r in extract_text(df.repartition(n), keep=["page_id"]).collect()}
+        assert got == dict(enumerate(want)), n
