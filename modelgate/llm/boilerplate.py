@@ -3,9 +3,13 @@
 A page becomes blocks of text in page order (block tags part them, character
 references are decoded, white space becomes single spaces). Scripts, styles,
 comments and the like are no text. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are told by their tags, roles and class
-words; what stands in an ``article`` (else ``main``) element is the page's
-declared text.
+adverts, forms and reader comments are told by their tags, roles and classes (a
+class or id counts if all its parts are words of furniture: ``cookie-notice``, not
+``has-sidebar``); what stands in ``article`` elements, or in ``main`` if the articles
+hold less than half as much text, is the page's declared text. Classes do not make
+furniture of html, body, main or an outer article, nor of what holds the page's largest
+article or main if that has at least as much text as the rest; a form that holds half of the
+page's text is none either.
 
 Menus and notices that carry no such mark are found by repetition over all pages
 of a host. The tokens of a page's blocks outside declared text are one stream; a
@@ -80,31 +84,47 @@ LOOSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 TEXT, FURNISHED, DECLARED = 0, 1, 2
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> str | None:
-    """What an element is by its tag and attributes: hidden, furniture,
-    article, main or None."""
+def _furnishes(token: str) -> bool:
+    parts = re.findall(r"[a-z0-9]+", token)
+    return bool(parts) and all(x in WORDS for x in parts)
+
+
+def _marks(tag: str, attributes: str, regions: dict[str, int]) -> str | None:
+    """What an element is by its tag and attributes: hidden, furniture, form or words
+    (furniture by a form tag or by classes), article, main or None."""
+    inside = regions["article"] + regions["main"] > 0
     if tag in HIDDEN:
         return "hidden"
-    if tag in FURNITURE or (tag == "header" and not inside):
+    found = {}
+    if tag != "form" and (tag in FURNITURE or (tag == "header" and not inside)):
         return "furniture"
     if attributes and not attributes.isspace():
         found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             return "hidden"
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-        if found.get("role") in ROLES or words & WORDS or ("header" in words and not inside):
-            return "furniture"
-        if found.get("role") == "main":
-            return "main"
+    if tag == "form" or found.get("role") == "form":
+        return "form"
+    if found.get("role") in ROLES:
+        return "furniture"
+    if found.get("role") == "main":
+        return "main"
+    # an article in an article is a comment or a card, as its classes say
+    if found and not (tag in ("html", "body", "main") or (tag == "article" and not regions["article"])):
+        tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+        if any(map(_furnishes, tokens)) or ("header" in tokens and not inside):
+            return "words"
     return tag if tag in ("article", "main") else None
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int]], str]:
     """The page's blocks as (text, kind) and where its declared text stands:
     article, main or page."""
-    out: list[tuple[str, bool, str]] = []  # text, furniture, innermost region
+    out: list[tuple[str, tuple[int, ...], bool, bool, int]] = []  # text, furniture around, in article, in main, outermost region
     stack: list[tuple[str, str | None]] = []
-    hidden = furniture = 0
+    hidden = outermost = 0
+    furniture: list[int] = []  # open elements, by their places in furnished
+    furnished: list[str] = []
+    around: list[tuple[int, ...]] = [()]  # of each outermost region, the furniture it stands in
     regions = {"article": 0, "main": 0}
     parts: list[str] = []
 
@@ -112,17 +132,26 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], str]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, furniture > 0, "article" if regions["article"] else "main" if regions["main"] else ""))
+                out.append((text, tuple(furniture), regions["article"] > 0, regions["main"] > 0, outermost))
             parts.clear()
 
     def count(mark: str | None, by: int) -> None:
-        nonlocal hidden, furniture
+        nonlocal hidden, outermost
         if mark == "hidden":
             hidden += by
-        elif mark == "furniture":
-            furniture += by
+        elif mark in ("furniture", "form", "words"):
+            if by > 0:
+                furniture.append(len(furnished))
+                furnished.append(mark)
+            else:
+                furniture.pop()
         elif mark:
+            if by > 0 and not outermost:
+                outermost = len(around)
+                around.append(tuple(furniture))
             regions[mark] += by
+            if not regions["article"] + regions["main"]:
+                outermost = 0
 
     def pop(to: int) -> None:
         while len(stack) > to:
@@ -166,20 +195,50 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], str]:
         attributes = m[3] or m[6] or ""
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        mark = _marks(tag, attributes, regions["article"] + regions["main"] > 0)
+        mark = _marks(tag, attributes, regions)
         if mark is not None and tag not in BLOCKS:
             close()  # an inline element with a mark is a block of its own
         if mark is not None or tag in BLOCKS:
             stack.append((tag, mark))
             count(mark, 1)
     close()
-    plain = [(region, furnished) for _, furnished, region in out]
-    place = next((r for r in ("article", "main") if (r, False) in plain), "page")
-    kinds = [
-        FURNISHED if furnished else DECLARED if place != "page" and (region == place or (place == "main" and region)) else TEXT
-        for _, furnished, region in out
-    ]
-    return [(text, kind) for (text, _, _), kind in zip(out, kinds, strict=True)], place
+    lifted = _lifted(out, furnished, around)
+    plain = [set(own) <= lifted for _, own, _, _, _ in out]
+    in_article = sum(len(b[0]) for b, ok in zip(out, plain, strict=True) if ok and b[2])
+    in_main = sum(len(b[0]) for b, ok in zip(out, plain, strict=True) if ok and b[3])
+    place = "page" if not in_article + in_main else "article" if 2 * in_article >= in_main else "main"
+    at_place = [place == "article" and b[2] or place == "main" and b[3] for b in out]
+    kinds = [FURNISHED if not ok else DECLARED if here else TEXT for ok, here in zip(plain, at_place, strict=True)]
+    return [(b[0], kind) for b, kind in zip(out, kinds, strict=True)], place
+
+
+def _lifted(out: list[tuple[str, tuple[int, ...], bool, bool, int]], furnished: list[str], around: list[tuple[int, ...]]) -> set[int]:
+    """The elements marked by a form tag or by classes that are no furniture, as
+    they hold the page's text."""
+    lifted: set[int] = set()
+    if not furnished:
+        return lifted
+    forms = {i for i, mark in enumerate(furnished) if mark == "form"}
+    sizes: dict[int, int] = {}
+    total = 0
+    for text, own, _, _, _ in out:
+        if set(own) <= forms:
+            total += len(text)
+            for i in own:
+                sizes[i] = sizes.get(i, 0) + len(text)
+    lifted |= {i for i, n in sizes.items() if 2 * n >= total}
+    held = [0] * len(around)
+    rest = 0
+    for text, own, _, _, region in out:
+        if region and set(own) <= set(around[region]) | lifted:
+            held[region] += len(text)
+        if set(own) <= lifted:
+            rest += len(text)
+    held = [n if all(furnished[i] != "furniture" for i in own) else 0 for n, own in zip(held, around, strict=True)]
+    largest = max(range(len(held)), key=held.__getitem__)
+    if not set(around[largest]) <= lifted and held[largest] >= rest:
+        lifted |= set(around[largest])
+    return lifted
 
 
 def repeated(keys: np.ndarray, pages: np.ndarray, streams: np.ndarray, at_least: int = MIN_RUN) -> np.ndarray:

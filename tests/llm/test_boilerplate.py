@@ -105,3 +105,21 @@ def test_host_is_searched_whole_whatever_its_partitions(spark):
     for n in (1, 7):
         got = {r["page_id"]: (r["text"], r["place"], r["n_boilerplate"]) for r in extract_text(df.repartition(n), keep=["page_id"]).collect()}
         assert got == dict(enumerate(want)), n
+
+
+def test_classes_do_not_empty_pages():
+    long = "a long text of the page that is its whole content"
+    for page, want in [
+        (f'<html class="no-sidebar"><body class="single-post no-sidebar comments"><p>{long}</p></body></html>', (long, "page")),
+        (f'<body><div class="content has-sidebar"><p>{long}</p></div></body>', (long, "page")),
+        (f'<body><article class="post comments comments-open"><p>{long}</p></article></body>', (long, "article")),
+        (f'<body><div class="widget"><article><p>{long}</p></article></div><p>more</p></body>', (long, "article")),
+        (f'<body><form action="x"><div><p>{long}</p></div><div class="menu">Home</div></form></body>', (long, "page")),
+        (f'<body><form><main><p>{long}</p></main></form><p>out</p></body>', (long, "main")),
+        (f'<main><p>{long}</p><article class="card">teaser</article></main>', (f"{long}\nteaser", "main")),
+        (f'<main><p>{long}</p></main><article class="card">teaser</article>', (long, "main")),
+        (f'<p>{long}</p><div class="sidebar"><article>teaser</article></div>', (long, "page")),
+        (f'<article><p>{long}</p><div class="comments"><article>nice</article></div></article>', (long, "article")),
+        (f'<p>{long}</p><div class="cookie-notice">We use</div><div id="ad">Buy</div><form>name</form>', (long, "page")),
+    ]:
+        assert extract([page])[0][:2] == want, page
