@@ -8,6 +8,13 @@ whole: the document, its paragraphs (parted by empty lines) and its lines. The
 known digests are a fixed table, so the join is a broadcast one and the
 documents are not shuffled but for the counts per document.
 
+The known texts are ``NOTICES`` (one-line notices and opening paragraphs) and
+``WHOLE``: whole published licences, with and without header and appendix, as digests
+(``scripts/licence_digests.py`` lists their sources). A whole licence within a longer
+document is found however its lines and paragraphs are parted: where its opening words
+stand in the document's canonical form, as much text as the licence is long is
+digested and compared.
+
 Edge cases: null, empty and wordless texts match nothing; units without a word
 after the steps are not looked up (a known text without words is an error). A
 licence found in several units of a document counts each. Null ids and
@@ -16,6 +23,10 @@ repeated rows are kept: documents are told apart by row, not by id.
 
 from __future__ import annotations
 
+import json
+from itertools import groupby
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +93,12 @@ NOTICES = (
     ),
 )
 
+#: (licence, characters, opening words, digest, searched for within documents) of the
+#: canonical forms of whole licences.
+WHOLE = tuple(map(tuple, json.loads(Path(__file__).with_name("licence_digests.json").read_text(encoding="utf8"))))
+#: Each whole licence holds one of these, so other documents are not searched.
+NEEDED = ("permission", "distribut")
+
 #: Lines dropped: those that start as a copyright notice does.
 COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
 #: Empty lines part paragraphs.
@@ -107,17 +124,47 @@ def units(text: Column) -> Column:
     return F.concat(F.array(text), paragraphs, lines)
 
 
-def known_digests(spark: SparkSession, notices=NOTICES) -> DataFrame:
+def licences_within(form: Column, whole=WHOLE) -> Column:
+    """Those of the whole licences that stand in a canonical form, as words of it."""
+    padded = F.concat(F.lit(" "), form, F.lit(" "))
+
+    def texts_after(mark: str) -> Column:
+        """From every place of the mark on."""
+        pieces = F.split(padded, mark)  # letters, digits and spaces: itself as a pattern
+        return F.transform(
+            F.sequence(F.lit(2), F.size(pieces)),
+            lambda i: F.concat(F.lit(mark[1:]), F.array_join(F.slice(pieces, i, F.size(pieces)), mark)),
+        )
+
+    def stands(after: Column, length: int, digest: str) -> Column:
+        return F.exists(after, lambda x: (F.substring(x, length + 1, 1) == " ") & (F.md5(F.substring(x, 1, length).cast("binary")) == digest))
+
+    found = []
+    for opening, rows in groupby(sorted((r for r in whole if r[4]), key=lambda r: r[2]), key=lambda r: r[2]):
+        after = texts_after(f" {opening} ")
+        met = F.array(*[F.when(stands(after, length, digest), F.lit(licence)) for licence, length, _, digest, _ in rows])
+        found.append(F.when(F.contains(padded, F.lit(f" {opening} ")), F.array_compact(met)).otherwise(F.array().cast("array<string>")))
+    needed = F.contains(form, F.lit(NEEDED[0]))
+    for word in NEEDED[1:]:
+        needed = needed | F.contains(form, F.lit(word))
+    return F.when(needed, F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
+
+
+def known_digests(spark: SparkSession, notices=NOTICES, whole=WHOLE) -> DataFrame:
     """(digest, licence) of the known texts."""
     rows = spark.createDataFrame([(a, b) for a, b in notices], "licence string, body string")
     form = canonical(F.col("body"))
-    return rows.select(F.md5(form.cast("binary")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    known = rows.select(F.md5(form.cast("binary")).alias("digest"), "licence")
+    if whole:
+        known = known.unionByName(spark.createDataFrame([(r[3], r[0]) for r in whole], "digest string, licence string"))
+    return known.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, notices=NOTICES) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, notices=NOTICES, whole=WHOLE) -> DataFrame:
     """``df`` (its columns, or those in ``keep``) plus document_license (of the
-    whole text, else null), licenses (those of any unit, sorted, joined by
-    commas, empty if none) and n_units (the units that matched)."""
+    whole text, else null), licenses (those of any unit or within the text, sorted,
+    joined by commas, empty if none) and n_units (the units that matched and
+    the whole licences within the text)."""
     keep = df.columns if keep is None else keep
     names = [fresh(df.select(*[quoted(c) for c in keep]), c) for c in ("document_license", "licenses", "n_units")]
     row, kept, place, unit = "row__", "kept__", "place__", "unit__"
@@ -128,16 +175,19 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, notic
     every = told.select(row, kept, F.posexplode(units(F.col("body__"))).alias(place, unit))
     formed = every.withColumn("form__", canonical(F.col(unit)))
     digest = F.when(F.col("form__") != "", F.md5(F.col("form__").cast("binary")))
-    hashed = formed.select(row, kept, place, digest.alias("digest"))
-    known = known_digests(df.sparkSession, notices)
+    within = F.when(F.col(place) == 0, licences_within(F.col("form__"), whole)) if whole else F.lit(None).cast("array<string>")
+    hashed = formed.select(row, kept, place, digest.alias("digest"), within.alias("within"))
+    known = known_digests(df.sparkSession, notices, whole)
     met = hashed.join(F.broadcast(known), "digest", "left")  # a fixed table of a few rows
     # a row's units are in one task: the partial aggregate leaves one row of each
     found = met.groupBy(row).agg(
         F.first(kept).alias(kept),
         F.max(F.when(F.col(place) == 0, F.col("licence"))).alias("whole"),
-        F.array_sort(F.collect_set("licence")).alias("some"),
+        F.collect_set("licence").alias("some"),
         F.count(F.when(F.col(place) > 0, F.col("licence"))).alias("n"),
+        F.coalesce(F.first("within", ignorenulls=True), F.array().cast("array<string>")).alias("within"),
     )
+    found = found.withColumn("some", F.array_sort(F.array_union("some", "within"))).withColumn("n", F.col("n") + F.size("within"))
     return found.select(
         *[F.col(kept).getField(c).alias(c) for c in keep], F.col("whole").alias(names[0]),
         F.array_join("some", ",").alias(names[1]), F.col("n").alias(names[2]),
@@ -145,7 +195,8 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, notic
 
 
 def oracle_sql(notices=NOTICES) -> str:
-    """The scan of ``documents`` in DuckDB's SQL."""
+    """The scan of ``documents`` for the notices in DuckDB's SQL (without ``WHOLE``: equal
+    to the scan on documents that hold no whole licence)."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def form(x: str) -> str:

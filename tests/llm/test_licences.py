@@ -1,7 +1,12 @@
+import re
+import sys
+from pathlib import Path
+
 import duckdb
 import pandas as pd
+import pytest
 
-from modelgate.llm.licences import NOTICES, oracle_sql, scan
+from modelgate.llm.licences import NEEDED, NOTICES, WHOLE, oracle_sql, scan
 
 
 def documents():
@@ -36,3 +41,28 @@ def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, licenses string")
     assert scan(df).columns == ["doc_id", "text", "licenses", "document_license", "licenses_", "n_units"]
     assert scan(df.limit(0)).count() == 0
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts here")
+def test_whole_licences_alone_and_within_documents(spark):
+    sys.path.insert(0, str(Path(__file__).parents[2] / "scripts"))
+    from licence_digests import FILES, whole
+
+    assert all(any(word in form for word in NEEDED) for _, form in whole())
+    rows = []
+    for name, (licence, _, _) in FILES.items():
+        text = (COMMON / name).read_text(encoding="utf8", errors="replace")
+        wrapped = " * " + re.sub(r"[ \t]+\n", "\n", text).replace("\n\n", "\n").replace("\n", "\n * ")
+        rows += [(licence, "alone", text), (licence, "in", f"Some project.\n\n{text}\n\nMore of it.\n"), (licence, "comment", wrapped + "\nint x;")]
+        rows.append((licence, "cut", text[: len(text) // 2]))
+    gpl = (COMMON / "GPL-2").read_text()
+    rows.append(("GPL-2.0", "twice", gpl[:3000] + "\n\n" + gpl))  # its opening words stand twice
+    out = scan(spark.createDataFrame(rows, "licence string, how string, text string"), keep=["licence", "how"]).collect()
+    for r in out:
+        names = r["licenses"].split(",")
+        assert (r["licence"] in names) == (r["how"] != "cut"), r
+        assert r["document_license"] == (r["licence"] if r["how"] == "alone" else None), r
+    assert len(out) == len(rows) and len({r[0] for r in WHOLE}) >= 14
