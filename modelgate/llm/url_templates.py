@@ -12,7 +12,8 @@ the labels of the others. Per host, the paths form a tree of segments:
 3. a template (a merged path) is rejected if its share of blocked labels,
    smoothed by ``SMOOTHING`` labels of equal parts, reaches ``PURITY``.
 
-The tree is ``DEPTH`` segments deep; what lies deeper is one wildcard.
+The tree is as deep as the longest path: levels are built until no path has a further
+segment. Paths that have ended stay as they are and are not joined again.
 Everything is built from DataFrame functions. Pages are first reduced to counts per
 (host, generalised path) with partial aggregation, so the tree's joins work on
 distinct generalised paths; only the last join meets the pages, on keys whose
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from modelgate.llm.common import cut, fresh, quoted
 
+#: Segments that the DuckDB oracle reads; equal to the tree on paths that have no more.
 DEPTH = 3
 PURITY = 0.9
 SMOOTHING = 2.0
@@ -88,7 +90,8 @@ def general(segment: Column) -> Column:
 
 
 def _parts(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and host__, path__, rule__, mark__, s1__.. ."""
+    """The columns ``keep`` and host__, path__, rule__, mark__, seg__ (the
+    generalised segments)."""
     named = df.select(*[quoted(c) for c in keep], quoted(url).alias("url__"))
     named = named.withColumn(
         "rest__", F.expr("if(instr(url__, '://') > 0, substring(url__, instr(url__, '://') + 3), '')")
@@ -99,11 +102,10 @@ def _parts(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: list[str]) ->
     )
     text, verdict = fitting_rule(F.col("host__"), F.col("path__"), rules)
     segments = F.filter(F.split("path__", "/"), lambda s: s != "")
-    named = named.withColumn("rule__", text).withColumn("mark__", verdict).withColumn("seg__", segments)
-    for level in range(1, DEPTH + 1):
-        named = named.withColumn(f"s{level}__", F.coalesce(general(F.get("seg__", F.lit(level - 1))), F.lit("")))
-    named = named.withColumn("tail__", F.when(F.size("seg__") > DEPTH, "{+}").otherwise(""))
-    return named.drop("url__", "rest__", "raw__", "seg__")
+    named = named.withColumn("rule__", text).withColumn("mark__", verdict).withColumn(
+        "seg__", F.transform(F.coalesce(segments, F.array().cast("array<string>")), general)
+    )
+    return named.drop("url__", "rest__", "raw__")
 
 
 def _kind(segment: Column) -> list[Column]:
@@ -112,17 +114,20 @@ def _kind(segment: Column) -> list[Column]:
 
 
 def template_tree(paths: DataFrame) -> DataFrame:
-    """``paths`` (host__, s1__.., tail__, n, labels, blocked: counts) with the
+    """``paths`` (host__, seg__, n, labels, blocked: counts) with the
     template__ that each generalised path belongs to."""
+    deepest = paths.agg(F.max(F.size("seg__"))).first()[0] or 0
     tree = paths.withColumn("template__", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        here = F.col(f"s{level}__")
-        after = F.col(f"s{level + 1}__") if level < DEPTH else F.col("tail__")
+    done = []
+    for level in range(1, deepest + 1):
+        # the ends of this level count as siblings, but keep their templates
+        here = F.coalesce(F.get("seg__", F.lit(level - 1)), F.lit(""))
+        after = F.coalesce(F.get("seg__", F.lit(level)), F.lit(""))
         weights = [F.when(is_, F.col("n")).otherwise(0).alias(k) for k, is_ in zip(KINDS, _kind(after), strict=True)]
         sums = ["n", "labels", "blocked", *KINDS]
         branches = (
-            tree.select("host__", "template__", here.alias("seg__"), "n", "labels", "blocked", *weights)
-            .groupBy("host__", "template__", "seg__").agg(*[F.sum(c).alias(c) for c in sums])
+            tree.select("host__", "template__", here.alias("here__"), "n", "labels", "blocked", *weights)
+            .groupBy("host__", "template__", "here__").agg(*[F.sum(c).alias(c) for c in sums])
         )
         branches = cut(branches, "branches")
         parents = branches.groupBy("host__", "template__").agg(*[F.sum(c).alias(f"p_{c}") for c in sums])
@@ -132,19 +137,20 @@ def template_tree(paths: DataFrame) -> DataFrame:
         for k in KINDS:
             expected = F.col("n") * F.col(f"p_{k}") / F.col("p_n")
             statistic = statistic + F.when(expected > 0, (F.col(k) - expected) * (F.col(k) - expected) / expected).otherwise(0.0)
-        share = F.col("p_blocked") / F.col("p_labels")
+        share = F.try_divide("p_blocked", "p_labels")  # null without labels
         spread = F.col("labels") * share * (1 - share)
         gap = F.col("blocked") - F.col("labels") * share
         statistic = statistic + F.when((F.col("p_labels") > 0) & (spread > 0), gap * gap / spread).otherwise(0.0)
         # wildcards and ends stay what they are; words that look like the whole merge
-        is_word = _kind(F.col("seg__"))[3]
-        step = F.when(F.col("seg__") == "", "").when(is_word & (statistic <= CRITICAL), "/{*}").otherwise(F.concat(F.lit("/"), "seg__"))
-        steps = cut(both.select("host__", "template__", F.col("seg__").alias(f"s{level}__"), step.alias("step__")), "steps")
-        tree = tree.join(steps, ["host__", "template__", f"s{level}__"]).withColumn(
-            "template__", F.concat("template__", "step__")
-        ).drop("step__")
-        tree = cut(tree, "tree")
-    return tree.withColumn("template__", F.concat("template__", "tail__"))
+        is_word = _kind(F.col("here__"))[3]
+        step = F.when(is_word & (statistic <= CRITICAL), "/{*}").otherwise(F.concat(F.lit("/"), "here__"))
+        steps = cut(both.where(F.col("here__") != "").select("host__", "template__", "here__", step.alias("step__")), "steps")
+        done.append(tree.where(F.size("seg__") < level))
+        tree = tree.where(F.size("seg__") >= level).withColumn("here__", here).join(steps, ["host__", "template__", "here__"])
+        tree = cut(tree.withColumn("template__", F.concat("template__", "step__")).drop("step__", "here__"), "tree")
+    for ended in done:
+        tree = tree.unionByName(ended)
+    return tree
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
@@ -153,7 +159,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES,
     keep = df.columns if keep is None else keep
     names = {c: fresh(df.select(*[quoted(k) for k in keep]), c) for c in ("host", "path", "rule", "verdict", "template", "purity")}
     parts = _parts(df, url, rules, keep)
-    key = ["host__", *[f"s{i}__" for i in range(1, DEPTH + 1)], "tail__"]
+    key = ["host__", "seg__"]
     paths = cut(
         parts.groupBy(*key).agg(
             F.count(F.lit(1)).alias("n"), F.count("mark__").alias("labels"), F.count_if(F.col("mark__") == "block").alias("blocked")
@@ -178,7 +184,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES,
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The judgement of ``pages`` in DuckDB's SQL."""
+    """The judgement of ``pages`` in DuckDB's SQL, for paths of ``DEPTH`` segments at most."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     ranked = sorted(rules, key=lambda r: (len(r.text), r.verdict == "block", r.text), reverse=True)
 

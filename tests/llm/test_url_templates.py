@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from modelgate.llm.url_templates import CRITICAL, DEPTH, PURITY, RULES, SMOOTHING, judge_urls
+from modelgate.llm.url_templates import CRITICAL, DEPTH, PURITY, RULES, SMOOTHING, Rule, judge_urls
 
 
 def split_url(url):
@@ -105,3 +105,20 @@ def test_empty_table_and_no_python(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_branches_below_the_third_segment(spark):
+    host = "http://b.example.com"
+    block, allow = Rule("block", "b.example.com", "/news/2024/05/ads/one/two/bad/"), Rule("allow", "b.example.com", "/news/2024/05/story/one/two/ok/")
+    rows = [(1000 + i, f"{host}/news/2024/05/ads/one/two/bad/{i}") for i in range(40)]
+    rows += [(2000 + i, f"{host}/news/2024/05/story/one/two/ok/{i}") for i in range(40)]
+    rows += [(3000, f"{host}/news/2024/05/ads/one/two/bad"), (3001, f"{host}/news/2024/05/story/one/two/ok")]
+    rows += [(4000 + i, f"{host}/news/2024/05//ads/one/two/bad/{i}") for i in range(5)]  # fits no rule, same segments
+    rows += [(5000 + i, f"{host}/news/2024/05//story/one/two/ok/{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in judge_urls(df, rules=(block, allow)).collect()}
+    assert len(got) == len(rows)
+    assert {got[4000 + i]["verdict"] for i in range(5)} == {"block"} and {got[5000 + i]["verdict"] for i in range(5)} == {"allow"}
+    assert "/ads/" in got[4000]["template"] and "/story/" in got[5000]["template"]
+    assert got[3000]["verdict"] == "allow" and got[3000]["template"] != got[4000]["template"]
+    assert not any("{+}" in (r["template"] or "") for r in got.values())
