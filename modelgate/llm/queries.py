@@ -138,12 +138,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_stats(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "quality.*")
 
 
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 leading components, scaled to unit variance."""
+    from modelgate.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: counts and digest of the base
+    kinds' spans, and all spans."""
+    from modelgate.llm import pii
+
+    found = pii.find_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op13_collocations")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2 000 collocations of two or three words of each language."""
+    from modelgate.llm.collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
-    from modelgate.llm import cosine, licences, url_templates
+    from modelgate.llm import collocations, cosine, licences, url_templates
 
     ORACLES["op2_embedding_dedup"] = cosine.oracle_sql()
     ORACLES["op4_license_scan"] = licences.oracle_sql()
     ORACLES["op6_url_filters"] = url_templates.oracle_sql()
+    ORACLES["op13_collocations"] = collocations.oracle_sql()
 
 
 _oracles()

@@ -6,7 +6,7 @@ from modelgate.sources.tables import TABLES
 from tests.conftest import SF0001
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op4_license_scan", "op6_url_filters"])
+@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op4_license_scan", "op6_url_filters", "op13_collocations"])
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
