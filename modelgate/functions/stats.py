@@ -34,6 +34,40 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = KS_SERIES_TERMS) ->
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
+def ks_pvalue_exact(d: Column, n: Column, m: Column) -> Column:
+    """Two-sided two-sample KS p-value from the exact distribution of D for
+    samples of n and m values without ties, as a SQL expression.
+
+    The orders of n + m values are the lattice paths from (0, 0) to (n, m); D is
+    below its observed value where a path keeps |i/n - j/m| below it at every
+    step. The paths that do are counted row by row, ``row[j] = above[j] + row[j - 1]``
+    inside and 0 outside, each row divided by the number of all paths to
+    its last place but one, so that the last value is their share. For small
+    samples: it takes n times m steps, and arrays of the smaller size.
+    """
+    n, m = n.cast("long"), m.cast("long")
+    long, short = F.greatest(n, m), F.least(n, m)
+    # D is a multiple of 1 / (n m): whole numbers from here on
+    reach = F.round(d * long * short).cast("long")
+    inside = lambda i, j: F.abs(i * short - j * long) < reach
+    columns = F.sequence(F.lit(0).cast("long"), short)
+    first = F.transform(columns, lambda j: F.when(inside(F.lit(0), j), F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def next_row(above: Column, i: Column) -> Column:
+        scale = i / (short + i)
+
+        def cell(row: Column, j: Column) -> Column:
+            left = F.when(j > 0, F.element_at(row, -1)).otherwise(F.lit(0.0))
+            value = F.get(above, j.cast("int")) * scale + left
+            return F.concat(row, F.array(F.when(inside(i, j), value).otherwise(F.lit(0.0))))
+
+        return F.aggregate(columns, F.array().cast("array<double>"), cell)
+
+    share = F.element_at(F.aggregate(F.sequence(F.lit(1).cast("long"), long), first, next_row), -1)
+    p = F.when(reach <= 0, F.lit(1.0)).when(d > 1.0 + 1e-12, F.lit(0.0)).otherwise(1.0 - share)
+    return F.when(d.isNotNull() & (n > 0) & (m > 0), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+
 def psi_term(ref_pct: Column, cur_pct: Column) -> Column:
     """(cur - ref) * ln(cur / ref) on percentages already floored."""
     return (cur_pct - ref_pct) * F.log(cur_pct / ref_pct)

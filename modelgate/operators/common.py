@@ -82,21 +82,7 @@ def top_k_per_group(
 
 def rank_per_group(df: DataFrame, keys: list[str], first: str, then: list[Column], rank_column: str) -> DataFrame:
     """Exact rank (from 1) of every row in its group by ``first``, then
-    ``then`` (a total order), without gathering a group in one task.
+    ``then`` (a total order), without gathering a group in one task."""
+    from modelgate.operators.ordering import place_in_group
 
-    Rows are numbered inside ``(keys, first)``; the counts of a group's earlier
-    values of ``first`` come from a running sum over one row per value.
-    """
-    from pyspark.sql import Window
-
-    counts = df.groupBy(*keys, F.col(first).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    within = Window.partitionBy(*keys, first).orderBy(*then)
-    numbered = df.withColumn("__within", F.row_number().over(within)).alias("n")
-    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col(f"n.{first}").eqNullSafe(F.col("s.__v"))]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = numbered.join(starts.alias("s"), condition)
-    return joined.select(*[F.col(f"n.{c}") for c in df.columns], (F.col("__before") + F.col("__within")).alias(rank_column))
+    return place_in_group(df, keys, [F.col(first), *then], rank_column)

@@ -11,37 +11,16 @@ single reducer.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelgate.functions.stats import ks_pvalue, psi_term
+from modelgate.functions.stats import ks_pvalue, ks_pvalue_exact, psi_term
 from modelgate.schema import DEFAULT_KS_ALPHA, DEFAULT_PSI_THRESHOLD, PSI_EPSILON
 
 SIDE = "__is_reference"
-KS_BUCKET_BITS = 8
-DEFAULT_KS_BUCKETS = 1 << KS_BUCKET_BITS
-
-
-def ks_buckets_for(rows: int, rows_per_bucket: int = 50_000, min_bits: int = 8) -> int:
-    """Number of KS value ranges for a sample of ``rows`` values: enough that
-    one range's window partition stays around ``rows_per_bucket`` rows, at
-    least 2**min_bits. The statistic does not depend on it."""
-    import math
-
-    bits = math.ceil(math.log2(max(rows, 1) / rows_per_bucket)) if rows > rows_per_bucket else 0
-    return 1 << max(bits, min_bits)
-
-
-def bucket_of(bounds: Column, value: Column, bits: int) -> Column:
-    """Number of ``bounds`` (sorted ascending, at most 2**bits - 1 of them)
-    strictly below ``value``: a binary search in ``bits`` steps, monotone
-    in ``value``."""
-    steps = F.array(*[F.lit(1 << e) for e in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(F.try_element_at(bounds, pos + step) < value, pos + step).otherwise(pos),
-    )
 
 
 def _present(reference: DataFrame, current: DataFrame, columns) -> list[str]:
@@ -85,44 +64,35 @@ def _value_long(reference: DataFrame, current: DataFrame, categorical: list[str]
 
 def value_counts(
     reference: DataFrame, current: DataFrame, categorical: list[str], numeric: list[str], keys: list[str] = (),
-    buckets: int = DEFAULT_KS_BUCKETS, materialize: bool = False,
+    materialize: bool = False,
 ) -> DataFrame:
-    """(keys, column, bucket, sval, dval, r, c, n_reference, n_current).
+    """(keys, column, sval, dval, r, c, n_reference, n_current).
 
     The value-count aggregate is combined map-side, so a value holding a
-    third of all rows is one row per task before the shuffle. Totals and
-    ``buckets`` approximate quantile bounds per column are then taken from
-    those distinct-value counts, and each numeric value gets the index of
-    its value range (binary search; monotone in the value). Categorical
-    values have bucket null. With ``materialize`` the counts are written
-    once and the samples are read once; without it Spark may read the
-    samples a second time for the statistics.
+    third of all rows is one row per task before the shuffle. Totals per
+    column are then taken from those distinct-value counts. With
+    ``materialize`` the counts are written once and the samples are read once;
+    without it Spark may read the samples again for the totals and for the
+    bounds of the value ranges.
     """
     keys = list(keys)
-    bits = max(1, (buckets - 1).bit_length())
     long = _value_long(reference, current, categorical, numeric, keys)
     distinct = long.groupBy(*keys, "column", "sval", "dval").agg(
         F.count_if(F.col(SIDE)).alias("r"), F.count_if(~F.col(SIDE)).alias("c")
     )
     if materialize:
-        # Written once to the shared checkpoint folder: the statistics and the
-        # range windows below both read it, so the samples are read once.
+        # Written once to the shared checkpoint folder: the totals and the
+        # value ranges below both read it, so the samples are read once.
         from modelgate.session import cut_lineage
 
         distinct = cut_lineage(distinct, name="drift_value_counts")
-    probs = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = distinct.groupBy(*keys, "column").agg(
-        F.sum("r").alias("n_reference"),
-        F.sum("c").alias("n_current"),
-        F.percentile_approx("dval", probs, 2 * (1 << bits)).alias("bounds"),
-    )
+    stats = distinct.groupBy(*keys, "column").agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
     if materialize:  # one row per key and column, from a written table: worth a count
         from modelgate.operators.common import bounded_broadcast
 
         stats = bounded_broadcast(stats)
-    bucket = F.when(F.col("dval").isNotNull(), bucket_of(F.col("bounds"), F.col("dval"), bits))
     return distinct.join(stats, [*keys, "column"]).select(
-        *keys, "column", bucket.alias("bucket"), "sval", "dval", "r", "c", "n_reference", "n_current")
+        *keys, "column", "sval", "dval", "r", "c", "n_reference", "n_current")
 
 
 def psi_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,25 +105,73 @@ def psi_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _range_gaps(names: list[str]):
+    """A task's range of value counts, sorted by ``names`` and value, to one row
+    per group in it: the range's number, the largest and smallest gap between
+    the running shares, and the range's totals."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId()
+        group, n_r, n_c, seen_r, seen_c, top, low = None, 0, 0, 0, 0, 0.0, 0.0
+
+        def row():
+            values = [pa.array([number], pa.int32()), [n_r], [n_c], [top], [low], [seen_r], [seen_c]]
+            return pa.RecordBatch.from_arrays(
+                [group.column(c) for c in names] + [v if isinstance(v, pa.Array) else pa.array(v) for v in values],
+                names=[*names, "range", "n_reference", "n_current", "gmax", "gmin", "br", "bc"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in names:
+                code = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            new[0] = group is None or [group.column(c)[0].as_py() for c in names] != [batch.column(c)[0].as_py() for c in names]
+            r, c = (batch.column(x).to_numpy() for x in ("r", "c"))
+            starts = np.unique(np.append(np.flatnonzero(new), 0))
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                if new[start]:
+                    if group is not None:
+                        yield row()
+                    group = batch.slice(start, 1)
+                    n_r, n_c = group.column("n_reference")[0].as_py(), group.column("n_current")[0].as_py()
+                    seen_r, seen_c, top, low = 0, 0, -np.inf, np.inf
+                run_r, run_c = seen_r + np.cumsum(r[start:stop]), seen_c + np.cumsum(c[start:stop])
+                gap = run_r / n_r - run_c / n_c
+                seen_r, seen_c = int(run_r[-1]), int(run_c[-1])
+                top, low = max(top, float(gap.max())), min(low, float(gap.min()))
+        if group is not None:
+            yield row()
+
+    return run
+
+
+def ks_from_counts(counts: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Largest CDF gap per (keys, column) from numeric value counts.
 
-    Within each value range the running counts give the gap up to the
-    range's start; each range reports its largest and smallest in-range gap
-    and its totals (one row per range); the ranges' offsets are prefix sums
-    over those few rows, so no data row is revisited after the window.
+    The counts are spread by ranges of (keys, column, value) whose bounds Spark
+    samples (``buckets`` of them, by default as many as shuffle partitions): a
+    column that holds all rows is spread over all tasks, and nothing in the plan
+    or on the driver grows with the rows. Each task runs through its sorted
+    range once and reports, per column in it, the largest and smallest gap and
+    the totals; the ranges' offsets are prefix sums over these few rows.
     """
     part = [*keys, "column"]
     num = counts.where(F.col("dval").isNotNull() & (F.col("n_reference") > 0) & (F.col("n_current") > 0))
-    within = Window.partitionBy(*part, "bucket").orderBy("dval").rowsBetween(Window.unboundedPreceding, 0)
-    gap = (F.sum("r").over(within) / F.col("n_reference")) - (F.sum("c").over(within) / F.col("n_current"))
-    per_bucket = num.select(*part, "n_reference", "n_current", "bucket", "r", "c", gap.alias("gap")).groupBy(
-        *part, "n_reference", "n_current", "bucket"
-    ).agg(F.max("gap").alias("gmax"), F.min("gap").alias("gmin"), F.sum("r").alias("br"), F.sum("c").alias("bc"))
-    before = Window.partitionBy(*part).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by = [F.col(f"`{c}`") for c in part] + [F.col("dval")]
+    num = num.select(*by, "r", "c", "n_reference", "n_current")
+    ranged = (num.repartitionByRange(buckets, *by) if buckets else num.repartitionByRange(*by)).sortWithinPartitions(*by)
+    schema = num.select(*part).schema
+    for name, kind in (("range", "integer"), ("n_reference", "long"), ("n_current", "long"), ("gmax", "double"),
+                       ("gmin", "double"), ("br", "long"), ("bc", "long")):
+        schema = schema.add(name, kind)
+    per_range = ranged.mapInArrow(_range_gaps(part), schema)
+    before = Window.partitionBy(*part).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offset = (F.coalesce(F.sum("br").over(before), F.lit(0)) / F.col("n_reference")) - (
         F.coalesce(F.sum("bc").over(before), F.lit(0)) / F.col("n_current"))
-    with_offset = per_bucket.select(*part, "n_reference", "n_current", "gmax", "gmin", offset.alias("off"))
+    with_offset = per_range.select(*part, "n_reference", "n_current", "gmax", "gmin", offset.alias("off"))
     return with_offset.groupBy(*part).agg(
         F.max(F.greatest(F.abs(F.col("off") + F.col("gmax")), F.abs(F.col("off") + F.col("gmin")))).alias("statistic"),
         F.first("n_reference").alias("n_reference"),
@@ -161,9 +179,16 @@ def ks_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def with_ks_pvalue(ks: DataFrame) -> DataFrame:
-    """Add ``p_value`` (see ``functions.stats.ks_pvalue``)."""
-    return ks.withColumn("p_value", ks_pvalue(F.col("statistic"), F.col("n_reference"), F.col("n_current")))
+KS_METHODS = {"asymptotic": ks_pvalue, "exact": ks_pvalue_exact}
+
+
+def with_ks_pvalue(ks: DataFrame, method: str = "asymptotic") -> DataFrame:
+    """Add ``p_value`` by ``functions.stats.ks_pvalue`` (the default, for samples
+    of any size) or ``ks_pvalue_exact`` (``exact``, for small ones). The
+    method is the caller's choice and never depends on the rows."""
+    if method not in KS_METHODS:
+        raise ValueError(f"unknown method {method!r}: one of {sorted(KS_METHODS)}")
+    return ks.withColumn("p_value", KS_METHODS[method](F.col("statistic"), F.col("n_reference"), F.col("n_current")))
 
 
 def ks_statistics(
@@ -171,7 +196,7 @@ def ks_statistics(
     current: DataFrame,
     columns,
     keys: list[str] = (),
-    buckets: int = DEFAULT_KS_BUCKETS,
+    buckets: int | None = None,
     materialize: bool = False,
 ) -> DataFrame:
     """(keys, column, statistic, n_reference, n_current): the largest gap
@@ -181,8 +206,8 @@ def ks_statistics(
     between distinct values. ``materialize`` writes the value counts once, so
     that each sample is read once."""
     keys = list(keys)
-    counts = value_counts(reference, current, [], list(columns), keys, buckets, materialize)
-    return ks_from_counts(counts, keys)
+    counts = value_counts(reference, current, [], list(columns), keys, materialize)
+    return ks_from_counts(counts, keys, buckets)
 
 
 def numeric_drift(
@@ -191,11 +216,12 @@ def numeric_drift(
     columns,
     ks_alpha: float = DEFAULT_KS_ALPHA,
     keys: list[str] = (),
-    buckets: int = DEFAULT_KS_BUCKETS,
+    buckets: int | None = None,
+    method: str = "asymptotic",
 ) -> DataFrame:
     """One KS row per column with values on both sides; drifted when
-    p < alpha. ``threshold`` holds alpha."""
-    return drift_report(reference, current, [], columns, ks_alpha=ks_alpha, keys=keys, buckets=buckets)
+    p < alpha. ``threshold`` holds alpha; ``method`` names the p-value's."""
+    return drift_report(reference, current, [], columns, ks_alpha=ks_alpha, keys=keys, buckets=buckets, method=method)
 
 
 def _empty_drift(like: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,8 +241,9 @@ def drift_report(
     psi_threshold: float = DEFAULT_PSI_THRESHOLD,
     ks_alpha: float = DEFAULT_KS_ALPHA,
     keys: list[str] = (),
-    buckets: int = DEFAULT_KS_BUCKETS,
+    buckets: int | None = None,
     materialize: bool = False,
+    method: str = "asymptotic",
 ) -> DataFrame:
     """Categorical (PSI) rows then numeric (KS) rows; ``ord`` gives report
     order. Both come from one shared value-count aggregate. Columns missing
@@ -227,7 +254,7 @@ def drift_report(
     num = _present(reference, current, numeric_columns)
     if not cat and not num:
         return _empty_drift(reference, keys)
-    counts = value_counts(reference, current, cat, num, keys, buckets, materialize)
+    counts = value_counts(reference, current, cat, num, keys, materialize)
     psi = psi_from_counts(counts, keys)
     if cat:
         # every configured column has a row, also one without a single value
@@ -245,7 +272,7 @@ def drift_report(
         F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > psi_threshold).alias("is_drifted"),
         _ordinal(cat).alias("ord") if cat else F.lit(0).alias("ord"),
     )
-    ks = with_ks_pvalue(ks_from_counts(counts, keys))
+    ks = with_ks_pvalue(ks_from_counts(counts, keys, buckets), method)
     ks_rows = ks.select(
         *keys, "column", F.lit("ks").alias("drift_type"), "statistic", F.lit(float(ks_alpha)).alias("threshold"),
         "p_value", (F.col("p_value") < ks_alpha).alias("is_drifted"),

@@ -8,9 +8,10 @@ map-side and never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelgate.operators.ordering import place_in_group
 from modelgate.schema import DEFAULT_SEGMENT_COLUMNS, MODEL_KEY, TARGET_COLUMN
 
 
@@ -63,9 +64,7 @@ def segment_metrics(
         .groupBy(*keys, seg.alias("segment"))
         .agg(*_metric_aggs(actual, prediction))
     )
-    # one row per segment: the window holds a model's segments, not its rows
-    order = Window.partitionBy(*keys).orderBy("rmse", "segment")
-    return out.withColumn("ord", F.row_number().over(order).cast("long"))
+    return place_in_group(out, list(keys), [F.col("rmse"), F.col("segment")], "ord")
 
 
 def evaluate_grouping_sets(

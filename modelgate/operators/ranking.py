@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgate.functions.text import signed_percent
 from modelgate.operators.common import top_k_per_group
+from modelgate.operators.ordering import place_in_group
 from modelgate.schema import MODEL_KEY
 
 
@@ -14,12 +15,12 @@ def worst_segments(deltas: DataFrame, segment_type: str | None = None) -> DataFr
     """Segment deltas of one segment column ranked by relative delta, worst
     first (ties keep comparison order), with display rounding and text."""
     d = deltas if segment_type is None else deltas.where(F.col("segment_column") == segment_type)
-    w = Window.partitionBy(*MODEL_KEY, "segment_column").orderBy(F.col("rmse_delta_pct").desc(), F.col("ord"))
-    return d.select(
+    ranked = place_in_group(d, [*MODEL_KEY, "segment_column"], [F.col("rmse_delta_pct").desc(), F.col("ord")], "rank")
+    return ranked.select(
         *MODEL_KEY, "segment_column", F.col("segment_value").alias("segment"),
         F.bround("candidate_rmse", 2).alias("candidate_rmse"), F.bround("champion_rmse", 2).alias("champion_rmse"),
         signed_percent(F.col("rmse_delta_pct")).alias("delta_pct"),
-        F.row_number().over(w).cast("long").alias("rank"),
+        "rank",
     )
 
 

@@ -24,7 +24,8 @@ from modelgate.fixed import (
 )
 from modelgate.functions.text import fill
 from modelgate.functions.text import review_id as review_id_expr
-from modelgate.operators.common import rank_per_group, top_k_per_group
+from modelgate.operators.common import top_k_per_group
+from modelgate.operators.ordering import place_in_group
 from modelgate.schema import (
     DECISION_REJECT,
     DEFAULT_HISTORY_DEPTH,
@@ -131,7 +132,7 @@ def register_candidates(candidates: DataFrame, runs: DataFrame) -> dict[str, Dat
     (``promotion_status=candidate``).
     """
     base = runs.groupBy("model_name").agg(F.max(F.col("model_version").cast("bigint")).alias("__max"))
-    ranked = rank_per_group(candidates, ["model_name"], "registered_at", [F.col("candidate_id")], "__rank")
+    ranked = place_in_group(candidates, ["model_name"], [F.col("registered_at"), F.col("candidate_id")], "__rank")
     numbered = ranked.join(base, "model_name", "left").withColumn(
         "model_version", (F.coalesce(F.col("__max"), F.lit(0)) + F.col("__rank")).cast("string")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgate.functions.text import strip_text
+from modelgate.operators.ordering import place_in_group
 
 
 def dedupe_urls(results: DataFrame, list_keys: list[str], order: str, url: str = "url") -> DataFrame:
@@ -31,7 +32,22 @@ def unique_lines(lines: DataFrame, keys: list[str], order: str, line: str = "lin
     )
 
 
-def merge_sources(payloads: DataFrame, keys: list[str], provider_order: str) -> DataFrame:
+def merge_results(results: DataFrame, keys: list[str], provider_order: str, position: str) -> DataFrame:
+    """All providers' result rows of each query as one list: every row of
+    ``results`` with its ``place`` (from 1) in the lists joined in provider
+    order, each in its own order (``position``; equal positions of a provider
+    in any order). Nothing is dropped, and no list is gathered."""
+    return place_in_group(results, keys, [F.col(provider_order), F.col(position)], "place")
+
+
+def merged_sources(merged: DataFrame, keys: list[str], url: str = "url") -> DataFrame:
+    """Unique non-blank urls of each query's merged list in first-seen order:
+    ``first_seen`` is the place of a url's first result, ``source_place`` (from
+    1) its place among the unique ones."""
+    return place_in_group(dedupe_urls(merged, keys, "place", url), keys, [F.col("first_seen")], "source_place")
+
+
+def merge_payloads(payloads: DataFrame, keys: list[str], provider_order: str) -> DataFrame:
     """Merge per-provider payload rows of each query.
 
     ``payloads``: keys, provider order, ``provider``, ``summary``, ``error``,

@@ -88,7 +88,7 @@ def q_split_summary(spark, sf_dir):
 # --- B: features ------------------------------------------------------------------
 @query("prepare_features")
 def q_prepare_features(spark, sf_dir):
-    p = gate_job(spark, sf_dir).prepared
+    p = gate_job(spark, sf_dir).prepared_once
     return p.select(
         "sale_month", r("resale_price", 4), "town", "flat_type", "flat_model", "storey_range",
         r("floor_area_sqm", 4), r("flat_age_years"), r("remaining_lease_years"), r("storey_midpoint", 4), "split",

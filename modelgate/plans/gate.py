@@ -27,7 +27,7 @@ from modelgate.operators import policy as P
 from modelgate.operators import registry as R
 from modelgate.operators.common import long_predictions
 from modelgate.functions.parse import parse_month
-from modelgate.operators.features import VALID, typed_features
+from modelgate.operators.features import VALID, prepare_features, typed_features
 from modelgate.operators.splits import split_bounds, split_label, split_predicate
 from modelgate.schema import (
     CATEGORICAL_FEATURES,
@@ -93,16 +93,15 @@ class GateJob:
         typed.sortWithinPartitions(DATE_COLUMN).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    @cached_property
-    def typed_rows(self) -> int:
-        """Row count of the typed table (parquet footers only when written)."""
-        return self.typed.count()
-
     @cached_property
     def bounds(self) -> tuple:
         """(test start, validation start) over the months of all raw rows
-        (rows later dropped by the feature filter still count)."""
-        return split_bounds(self.typed, F.col(DATE_COLUMN))
+        (rows later dropped by the feature filter still count): from the
+        typed table where the gate has written it, else from a scan that is
+        pruned to the month."""
+        if "typed" in self.__dict__:
+            return split_bounds(self.typed, F.col(DATE_COLUMN))
+        return split_bounds(self.raw.select("month"), parse_month(F.col("month")))
 
     @cached_property
     def split(self) -> DataFrame:
@@ -115,6 +114,15 @@ class GateJob:
         valid = self.typed.where(F.col(VALID)).drop(VALID)
         return valid.withColumn("split", split_label(F.col(DATE_COLUMN), self.bounds))
 
+    @property
+    def prepared_once(self) -> DataFrame:
+        """``prepared`` for a single reader: features straight from the source
+        joins, unless the gate has written the typed table already."""
+        if "typed" in self.__dict__ or not self.materialize:
+            return self.prepared
+        valid = prepare_features(self.raw, passthrough=list(self.predictions.values()))
+        return valid.withColumn("split", split_label(F.col(DATE_COLUMN), self.bounds))
+
     def rows_of(self, *splits: str) -> DataFrame:
         """Prepared rows of the given splits, selected by a month range that
         reaches the scan as a pushed filter."""
@@ -176,8 +184,7 @@ class GateJob:
         keys = ["model_name"]
         ref = self.rows_of("train")
         cur = self.rows_of("test")
-        buckets = D.ks_buckets_for(self.typed_rows)
-        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys, buckets=buckets,
+        return self._cut(D.drift_report(ref, cur, CATEGORICAL_FEATURES, NUMERIC_FEATURES, keys=keys,
                                         materialize=self.materialize))
 
     @cached_property

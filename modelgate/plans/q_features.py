@@ -284,32 +284,21 @@ UNPIVOT (value FOR metric IN (rmse, mae))""")
 # --- L1: one-hot encoding ------------------------------------------------------------
 @query("one_hot")
 def q_one_hot(spark, sf_dir):
-    """Category -> one-hot slot learned on the train split (alphabetical;
-    the unknown slot is dropped), applied to every test row; counts rows per
+    """Category -> one-hot slot learned on the train split (alphabetical), applied
+    to every test row by a join with the dictionary; counts rows per
     (column, value, slot) with slot -1 for unseen categories (all zeros)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    from modelgate.operators.train import one_hot_stages
+    from modelgate.operators.encode import category_dictionary, slot_columns
     from modelgate.schema import CATEGORICAL_FEATURES
 
     j = gate_job(spark, sf_dir)
-    stages = one_hot_stages()[:2]
-    train = j.rows_of("train")
-    test = j.rows_of("test")
-    model = Pipeline(stages=stages).fit(train)
-    out = model.transform(test)
-    parts = []
-    for c in CATEGORICAL_FEATURES:
-        arr = vector_to_array(F.col(f"{c}__ohe"))
-        slot = F.coalesce(F.array_position(F.transform(arr, lambda x: x == 1.0), F.lit(True)).cast("int") - 1, F.lit(-1))
-        parts.append(out.select(F.lit(c).alias("column"), F.col(c).alias("value"),
-                                F.when(F.size(arr) > 0, F.when(slot >= 0, slot).otherwise(F.lit(-1))).otherwise(F.lit(-1)).alias("slot"),
-                                F.size(arr).cast("long").alias("width")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return _count(u, "column", "value", "slot", "width")
+    columns = list(CATEGORICAL_FEATURES)
+    dictionary = category_dictionary(j.rows_of("train"), columns)
+    out = slot_columns(j.rows_of("test").select(*columns), dictionary, columns)
+    row = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
+                                       F.coalesce(f"{c}__slot", F.lit(-1)).alias("slot")) for c in columns]))
+    counted = _count(out.select(row.alias("x")).select("x.*"), "column", "value", "slot")
+    width = dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("width"))
+    return counted.join(width, "column", "left").select("column", "value", "slot", F.coalesce("width", F.lit(0)).alias("width"), "rows")
 
 
 def _one_hot_sql() -> str:
@@ -326,3 +315,72 @@ WHERE t.split = 'test'""")
 
 
 oracle("one_hot", ["prepared"], _one_hot_sql())
+
+
+# --- B10, C2, H1 ------------------------------------------------------------------------
+@query("features_and_target")
+def q_features_and_target(spark, sf_dir):
+    """Features without, and target without, the rest of the prepared rows."""
+    from modelgate.operators.features import split_features_and_target
+
+    features, target = split_features_and_target(gate_job(spark, sf_dir).prepared_once)
+    side = lambda df, name: df.unpivot([], [F.col(c).cast("string").alias(c) for c in df.columns], "column", "v").groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("v").alias("distinct_values")).withColumn("side", F.lit(name))
+    return side(features, "features").unionByName(side(target, "target"))
+
+
+def _features_sql() -> str:
+    from modelgate.schema import FEATURE_COLUMNS, TARGET_COLUMN
+
+    part = lambda c, side: (
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, '{side}' AS side FROM prepared")
+    return " UNION ALL ".join([part(c, "features") for c in FEATURE_COLUMNS] + [part(TARGET_COLUMN, "target")])
+
+
+oracle("features_and_target", ["prepared"], _features_sql())
+
+
+@query("holdout_guard")
+def q_holdout_guard(spark, sf_dir):
+    """Whether the months of the raw rows allow a holdout of each length: the
+    guard refuses one as long as the months themselves."""
+    from modelgate.functions.parse import parse_month
+    from modelgate.operators.splits import split_bounds
+
+    raw = gate_job(spark, sf_dir).raw.select("month")
+    months = raw.select("month").distinct()
+    n = months.count()
+    found = []
+    for validation, test in ((12, 12), (1, n - 2), (1, n - 1)):
+        try:
+            bounds = split_bounds(months, parse_month(F.col("month")), validation, test)
+            found.append((validation, test, True, bounds[0].isoformat(), bounds[1].isoformat()))
+        except ValueError:
+            found.append((validation, test, False, None, None))
+    return spark.createDataFrame(found, "validation_months int, test_months int, allowed boolean, test_start string, validation_start string")
+
+
+oracle("holdout_guard", ["months"], """
+SELECT validation_months, test_months, n > validation_months + test_months AS allowed,
+  CASE WHEN n > validation_months + test_months THEN (SELECT strftime(m, '%Y-%m-%d') FROM months WHERE k = test_months) END AS test_start,
+  CASE WHEN n > validation_months + test_months THEN (SELECT strftime(m, '%Y-%m-%d') FROM months WHERE k = validation_months + test_months) END AS validation_start
+FROM (SELECT n, unnest([12, 1, 1]) AS validation_months, unnest([12, n - 2, n - 1]) AS test_months
+      FROM (SELECT CAST(count(*) AS INTEGER) AS n FROM months))""")
+
+
+@query("thresholds")
+def q_thresholds(spark, sf_dir):
+    """Limits of every candidate: a model's own where it has one, else the
+    override, else the default."""
+    from modelgate.operators.policy import THRESHOLD_COLUMNS, with_thresholds
+
+    pairs = gate_job(spark, sf_dir).pairs
+    own = pairs.groupBy("model_name").agg(F.round(F.max("champion_rmse"), 2).alias("max_test_rmse"))
+    out = with_thresholds(pairs.select("model_name", "model_version"), {"max_segment_rmse_regression_pct": 0.3}, own)
+    return out.select("model_name", "model_version", *THRESHOLD_COLUMNS)
+
+
+oracle("thresholds", ["pairs"], """
+SELECT p.model_name, p.model_version, o.own AS max_test_rmse, CAST(170000 AS DOUBLE) AS max_test_mae,
+  CAST(0.1 AS DOUBLE) AS max_rmse_regression_pct, CAST(0.3 AS DOUBLE) AS max_segment_rmse_regression_pct, TRUE AS drift_blocks_promotion
+FROM pairs p JOIN (SELECT model_name, round(max(champion_rmse), 2) AS own FROM pairs GROUP BY model_name) o USING (model_name)""")
