@@ -42,22 +42,38 @@ def pair_with_champion(candidates: DataFrame, champions: DataFrame) -> DataFrame
     return joined.select(*out)
 
 
-def _last_rows(segments: DataFrame) -> DataFrame:
-    """One row per segment: of rows that repeat one, the last in table order
-    (column ``ord``, where the table has it; else as read)."""
+REPEATED_SEGMENT = "A segment has several rows: name the column that holds their load order."
+
+
+def _last_rows(segments: DataFrame, load_order: str | None) -> DataFrame:
+    """One row per segment: of rows that repeat one, the last by ``load_order``.
+    Rows of a DataFrame have no order of their own, so without such a column a
+    repeated segment is refused."""
     keys = ["model_name", "model_version", "segment_column", "segment"]
-    rmse = F.max_by("rmse", "ord") if "ord" in segments.columns else F.last("rmse")
+    if load_order is not None:
+        rmse = F.max_by("rmse", load_order)
+    else:
+        rmse = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(REPEATED_SEGMENT)).cast("double")).otherwise(F.min("rmse"))
     return segments.where(F.col("segment").isNotNull() & F.col("rmse").isNotNull()).groupBy(*keys).agg(rmse.alias("rmse"))
 
 
+def _order_of(segments: DataFrame, load_order: str | None) -> str | None:
+    return load_order or ("ord" if "ord" in segments.columns else None)
+
+
 def segment_deltas(
     candidate_segments: DataFrame,
     champion_segments: DataFrame,
     pairs: DataFrame,
     segment_columns=DEFAULT_SEGMENT_COLUMNS,
+    load_order: str | None = None,
 ) -> DataFrame:
     """Per-segment rmse deltas of each candidate against its champion.
 
+    ``load_order`` names the column that says which of several rows of one
+    segment was loaded last (a column ``ord`` of the table is used by itself);
+    tables without one must have a row per segment.
+
     ``*_segments``: ``(model_name, model_version, segment_column, segment, rmse)``;
     ``pairs``: ``(model_name, model_version, champion_version)``. Segments
     present on one side only are dropped, as are champion rmse <= 0 and rows
@@ -66,13 +82,13 @@ def segment_deltas(
     """
     segment_columns = list(segment_columns)
     cand = (
-        _last_rows(candidate_segments).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
+        _last_rows(candidate_segments, _order_of(candidate_segments, load_order)).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
         .where(F.col("segment_column").isin(segment_columns))
         .select("model_name", "model_version", "segment_column",
                 F.col("segment").cast("string").alias("segment_value"), F.col("rmse").alias("candidate_rmse"))
     )
     champ = (
-        _last_rows(champion_segments).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
+        _last_rows(champion_segments, _order_of(champion_segments, load_order)).where(F.col("segment").isNotNull() & F.col("rmse").isNotNull())
         .select("model_name", F.col("model_version").alias("champion_version"), "segment_column",
                 F.col("segment").cast("string").alias("segment_value"), F.col("rmse").alias("champion_rmse"))
     )

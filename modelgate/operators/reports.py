@@ -9,7 +9,7 @@ than one text per task-row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgate import fixed as T
@@ -23,7 +23,6 @@ from modelgate.functions.text import (
     strip_text,
     thousands,
 )
-from modelgate.functions.parse import WHITESPACE
 from modelgate.operators.common import top_k_per_group
 from modelgate.schema import JUDGE_SCORE_KEYS, SECTION_ALIASES
 
@@ -249,38 +248,49 @@ def _list_items(lines: Column) -> Column:
     )
 
 
-# A heading is a whole line that, stripped, is an alias; or '#'s then an
-# alias; or an alias then ':' (case-insensitive).
-_HWS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE if c != "\n") + "]"
-_ALT = "|".join(sorted(SECTION_ALIASES, key=len, reverse=True))
-HEADING = rf"(?imd)^{_HWS}*(?:#+{_HWS}*(?:{_ALT})|(?:{_ALT}){_HWS}*:|(?:{_ALT})){_HWS}*$"
+def section_of(line: Column) -> Column:
+    """The section that a line is the heading of, else null. A heading is a
+    whole line that, stripped, is an alias; or '#'s then an alias; or an alias
+    then ':' (in any case)."""
+    t = strip_text(line)
+    name = F.when(t.startswith("#"), strip_text(F.regexp_replace(t, "^#+", ""))).when(
+        t.endswith(":"), strip_text(F.substring(t, F.lit(1), F.length(t) - 1))
+    ).otherwise(t)
+    return F.try_element_at(_aliases(), F.lower(name))
 
 
 def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> DataFrame:
     """Markdown report -> struct(summary, evidence[], risk_flags[],
     market_context, recommendation, citations[]) for every row.
 
-    Linear in the text: one regex pass finds the heading lines (section
-    names, in order), one split cuts the bodies between them; each body's
-    lines go to its section. Lines before the first heading become the
-    summary when no summary section exists. Staged columns keep each regex
-    pass to one evaluation per row; no shuffle.
+    The text is cut into lines once, each line is looked up among the headings,
+    and the lines between two headings go to the first one's section. Lines
+    before the first heading become the summary when no summary section
+    exists. Staged columns keep each step to one evaluation per row; no
+    shuffle.
     """
     t = F.col(text_col)
-    # one kind of line end, so that the pattern sees the same lines as split_lines
-    unix = F.regexp_replace(t, LINE_BREAK, "\n")
-    heads = F.transform(
-        F.regexp_extract_all(unix, F.lit(HEADING), 0),
-        lambda h: F.try_element_at(_aliases(), F.lower(strip_text(F.regexp_replace(strip_text(h), r"^#+|:$", "")))),
-    )
-    staged = df.withColumn("__heads", heads).withColumn("__bodies", F.split(unix, HEADING, -1))
-    pairs = F.zip_with("__heads", F.slice("__bodies", 2, 1 << 30), lambda n, b: F.struct(n.alias("n"), b.alias("b")))
+    staged = df.withColumn("__lines", split_lines(t))
+    staged = staged.withColumn("__names", F.transform("__lines", section_of))
+    places = F.filter(
+        F.transform("__names", lambda n, i: F.when(n.isNotNull(), i + 1)), lambda i: i.isNotNull()
+    )
+    staged = staged.withColumn("__heads", places)
+
+    def until_next(start: Column, k) -> Column:
+        """Lines from ``start`` (from 1) to the heading of number ``k`` (from 0)."""
+        end = F.coalesce(F.get("__heads", k), F.size("__lines") + 1)
+        return F.slice("__lines", start, end - start)
+
+    pairs = F.transform(
+        "__heads", lambda h, k: F.struct(F.element_at("__names", h).alias("n"), until_next(h + 1, k + 1).alias("b"))
+    )
     staged = staged.withColumn("__pairs", pairs)
 
     def lines_of(section: str) -> Column:
-        return F.flatten(F.transform(F.filter("__pairs", lambda p: p["n"] == section), lambda p: split_lines(p["b"])))
+        return F.flatten(F.transform(F.filter("__pairs", lambda p: p["n"] == section), lambda p: p["b"]))
 
-    intro = split_lines(F.coalesce(F.element_at("__bodies", 1), F.lit("")))
+    intro = F.coalesce(until_next(F.lit(1), F.lit(0)), _empty())
     staged = staged.select(
         "*",
         *[lines_of(sec).alias(f"__l_{sec}") for sec in _SECTIONS],
@@ -298,7 +308,7 @@ def parse_reports(df: DataFrame, text_col: str, out_col: str = "parsed") -> Data
         strip_text(F.array_join(_stripped_nonempty(F.col("__l_recommendation")), " ")).alias("recommendation"),
         _list_items(F.col("__l_citations")).alias("citations"),
     )
-    helper = ["__heads", "__bodies", "__pairs", "__l_intro", *[f"__l_{sec}" for sec in _SECTIONS]]
+    helper = ["__lines", "__names", "__heads", "__pairs", "__l_intro", *[f"__l_{sec}" for sec in _SECTIONS]]
     return staged.withColumn(out_col, parsed).drop(*helper)
 
 
@@ -315,7 +325,7 @@ def parse_whole(text: Column, schema: str, opening: str = "{", closing: str = "}
     return F.when(alone, F.try_element_at(listed, F.lit(1)))
 
 
-def json_candidates(text: Column, brace_span: bool = False) -> Column:
+def json_candidates(text: Column, brace_span: bool = False) -> list[Column]:
     """Texts to try as a JSON object: the stripped text; the inside of a
     ```json fence (or of a bare ``` fence); optionally first '{' to last '}'."""
     s = strip_text(text)
@@ -334,15 +344,14 @@ def json_candidates(text: Column, brace_span: bool = False) -> Column:
         first = F.instr(s, "{")
         lastb = F.length(s) - F.instr(F.reverse(s), "}") + 1
         items.append(F.when((first > 0) & (F.instr(s, "}") > 0) & (lastb > first), strip_text(F.substring(s, first, lastb - first + 1))))
-    return F.array(*items)
+    return items
 
 
 def extract_json(text: Column, brace_span: bool = False) -> Column:
     """First candidate that parses as a JSON object, as map<string,string>
-    (nested values keep their JSON text); null when none does."""
-    cands = json_candidates(text, brace_span)
-    parsed = F.transform(cands, lambda c: parse_whole(c, "map<string,string>"))
-    return F.try_element_at(F.filter(parsed, lambda m: m.isNotNull()), F.lit(1))
+    (nested values keep their JSON text); null when none does. A candidate is
+    looked for and parsed only if those before it fail."""
+    return F.coalesce(*[parse_whole(c, "map<string,string>") for c in json_candidates(text, brace_span)])
 
 
 def _text_list(raw: Column) -> Column:
@@ -671,35 +680,38 @@ def trace_events(messages: DataFrame) -> DataFrame:
     """Tool-call and tool-result events of every conversation.
 
     ``messages``: ``conv_id, pos, type, content, tool_calls
-    array<struct<id,name>>, tool_call_id, name``. Results without a name
-    take the tool name of the latest earlier call with the same id (an
-    equi-join on (conv_id, call id), then the latest call by position).
+    array<struct<id,name[,args]>>, tool_call_id, name``; ``args`` may be of any
+    type and becomes JSON text (a string stays as it is). Results without a
+    name take the tool name of the latest earlier call with the same id, an
+    as-of look-up: calls and results of a (conversation, call id) run in one
+    stream, in which the last named call is carried forward. So an id that is
+    used a hundred thousand times costs as many rows, not their square.
+    Results without an id have no name to look up and stay out of the stream.
     """
+    element = messages.schema["tool_calls"].dataType.elementType
+    args = F.lit(None).cast("string")
+    if "args" in element.fieldNames():
+        kind = element["args"].dataType
+        args = F.col("call.args") if kind.simpleString() == "string" else F.to_json("call.args")
+    blank = lambda c: F.when(c != "", c)  # noqa: E731 - an empty id or name is none
+    none = F.lit(None).cast("string")
     calls = messages.select("conv_id", "pos", F.posexplode("tool_calls").alias("k", "call")).select(
         F.lit("tool_call").alias("event"), "conv_id", F.col("pos").alias("message_index"), "k",
-        F.col("call.id").alias("tool_call_id"), F.col("call.name").alias("tool_name"), F.lit(None).cast("string").alias("content"),
+        blank(F.col("call.id").cast("string")).alias("tool_call_id"), blank(F.col("call.name").cast("string")).alias("tool_name"),
+        args.alias("tool_args"), none.alias("content"),
     )
     results = messages.where(F.col("type") == "tool").select(
-        "conv_id", "pos", "tool_call_id", "name", message_text(F.col("content")).alias("content")
-    )
-    named_calls = calls.where(F.col("tool_call_id").isNotNull() & F.col("tool_name").isNotNull()).select(
-        F.col("conv_id").alias("call_conv"), F.col("tool_call_id").alias("cid"), F.col("message_index").alias("call_pos"),
-        F.col("k").alias("call_k"), F.col("tool_name").alias("call_name"),
-    )
-    joined = results.join(
-        named_calls,
-        (F.col("conv_id") == F.col("call_conv")) & (F.col("tool_call_id") == F.col("cid")) & (F.col("call_pos") <= F.col("pos")),
-        "left",
-    ).groupBy("conv_id", "pos").agg(
-        # (conv_id, pos) identifies the message; its text is carried, never hashed as a key
-        F.first("tool_call_id").alias("tool_call_id"), F.first("name").alias("name"), F.first("content").alias("content"),
-        F.max_by("call_name", F.struct("call_pos", "call_k")).alias("call_name"),
-    )
-    res_events = joined.select(
         F.lit("tool_result").alias("event"), "conv_id", F.col("pos").alias("message_index"), F.lit(1 << 20).alias("k"),
-        "tool_call_id", F.coalesce("name", "call_name").alias("tool_name"), "content",
-    )
-    return calls.unionByName(res_events)
+        blank(F.col("tool_call_id").cast("string")).alias("tool_call_id"), F.col("name").cast("string").alias("tool_name"),
+        none.alias("tool_args"), message_text(F.col("content")).alias("content"),
+    )
+    events = calls.unionByName(results)
+    looked_up = events.where(F.col("tool_call_id").isNotNull())
+    # a message's calls (k below the results') come before its result
+    so_far = Window.partitionBy("conv_id", "tool_call_id").orderBy("message_index", "k").rowsBetween(Window.unboundedPreceding, 0)
+    called = F.last(F.when(F.col("event") == "tool_call", F.col("tool_name")), ignorenulls=True).over(so_far)
+    named = looked_up.withColumn("tool_name", F.when(F.col("event") == "tool_call", F.col("tool_name")).otherwise(F.coalesce("tool_name", called)))
+    return named.unionByName(events.where(F.col("tool_call_id").isNull()))
 
 
 def trace_stats(events: DataFrame, keys: list[str] = ("conv_id",)) -> DataFrame:

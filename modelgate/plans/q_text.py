@@ -492,7 +492,8 @@ def messages(spark, sf_dir):
         F.when(F.col("role") == "assistant", F.lit("ai")).when(is_tool, F.lit("tool"))
         .when(F.col("role") == "user", F.lit("human")).otherwise(F.col("role")).alias("type"),
         content.alias("content"),
-        F.when(calls, F.array(F.struct(call_id.alias("id"), tool.alias("name")))).alias("tool_calls"),
+        F.when(calls, F.array(F.struct(call_id.alias("id"), tool.alias("name"), F.struct(
+            F.col("turn").cast("long").alias("turn"), F.length("text").cast("long").alias("length")).alias("args")))).alias("tool_calls"),
         F.when(is_tool, F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))).alias("tool_call_id"),
         F.lit(None).cast("string").alias("name"),
     )
@@ -534,14 +535,15 @@ GROUP BY m.conv_id""")
 @query("trace_events")
 def q_trace_events(spark, sf_dir):
     ev = K.trace_events(messages(spark, sf_dir))
-    return ev.select("event", "conv_id", "message_index", "tool_call_id", "tool_name")
+    return ev.select("event", "conv_id", "message_index", "tool_call_id", "tool_name", "tool_args", "content")
 
 
 cte("trace", ["msgs"], """
-  SELECT 'tool_call' AS event, conv_id, pos AS message_index, call_id AS tool_call_id, call_name AS tool_name
+  SELECT 'tool_call' AS event, conv_id, pos AS message_index, call_id AS tool_call_id, call_name AS tool_name,
+    printf('{"turn":%d,"length":%d}', pos, length(text)) AS tool_args, CAST(NULL AS VARCHAR) AS content
   FROM msgs WHERE call_id IS NOT NULL
   UNION ALL
-  SELECT 'tool_result', r.conv_id, r.pos, r.result_of, c.call_name
+  SELECT 'tool_result', r.conv_id, r.pos, r.result_of, c.call_name, NULL, regexp_replace(coalesce(r.text, ''), '^\\s+|\\s+$', '', 'g')
   FROM msgs r LEFT JOIN msgs c ON c.conv_id = r.conv_id AND c.call_id = r.result_of AND c.pos <= r.pos
   WHERE r.type = 'tool'""")
 oracle("trace_events", ["trace"], "SELECT * FROM trace")
@@ -594,33 +596,68 @@ SELECT doc_id, arg_min(line, ord) AS line, min(ord) AS ord FROM (
 WHERE trim(line) <> '' GROUP BY doc_id, lower(trim(line))""")
 
 
-def _payloads(spark, sf_dir):
+def _search_results(spark, sf_dir):
+    """Pages as search results: the language is the query, the scheme the provider."""
     p = Tables(spark, sf_dir).pages
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    scheme = F.regexp_extract("url", "^([a-z]+)://", 1)
-    g = p.select(_lang(F.col("url")).alias("lang"), scheme.alias("provider"), "page_id", title.alias("title"))
-    return g.groupBy("lang", "provider").agg(
-        F.min_by("title", "page_id").alias("summary"), F.count(F.lit(1)).alias("n_results"),
-    ).select("lang", "provider", F.when(F.col("provider") == "http", 0).otherwise(1).alias("provider_order"), "summary",
-             F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("model"))
+    provider = F.regexp_extract("url", "^([a-z]+)://", 1)
+    return p.select(
+        _lang(F.col("url")).alias("lang"), provider.alias("provider"),
+        F.when(provider == "http", 0).otherwise(1).alias("provider_order"), "page_id",
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), "url",
+    )
 
 
 @query("merge_sources")
 def q_merge_sources(spark, sf_dir):
-    m = S.merge_sources(_payloads(spark, sf_dir), ["lang"], "provider_order")
-    return m.select("lang", "n_providers", "provider", F.array_join("providers_used", ",").alias("providers_used"), "summary")
+    """Every page in its place in the merged list of its language; the first
+    result of each url has a place in the list of sources."""
+    merged = S.merge_results(_search_results(spark, sf_dir), ["lang"], "provider_order", "page_id")
+    sources = S.merged_sources(merged, ["lang"]).select("lang", F.col("first_seen").alias("place"), "source_place")
+    return merged.join(sources, ["lang", "place"], "left").select("lang", "place", "provider", "page_id", "title", "url", "source_place")
+
+
+_RESULTS = r"""(
+  SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang, regexp_extract(url, '^([a-z]+)://', 1) AS provider,
+         page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url, trim(url) AS clean FROM pages)"""
+oracle("merge_sources", [], f"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN provider = 'http' THEN 0 ELSE 1 END, page_id) AS place
+           FROM {_RESULTS}),
+f AS (SELECT lang, min(place) AS place FROM m WHERE clean <> '' GROUP BY lang, clean),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY place) AS source_place FROM f)
+SELECT m.lang, m.place, m.provider, m.page_id, m.title, m.url, s.source_place
+FROM m LEFT JOIN s ON s.lang = m.lang AND s.place = m.place""")
+
+
+def _payloads(spark, sf_dir):
+    """A provider's answer to a query: its first title, the results that have none
+    as its error, the host of its first result as its model."""
+    untitled = F.count_if(F.col("title") == "")
+    host = F.min_by(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), "page_id")
+    return _search_results(spark, sf_dir).groupBy("lang", "provider", "provider_order").agg(
+        F.min_by("title", "page_id").alias("summary"),
+        F.when(untitled > 0, F.format_string("%d results without a title", untitled)).alias("error"),
+        host.alias("model"),
+    )
+
+
+@query("merge_payloads")
+def q_merge_payloads(spark, sf_dir):
+    m = S.merge_payloads(_payloads(spark, sf_dir), ["lang"], "provider_order")
+    return m.select("lang", "n_providers", "provider", F.array_join("providers_used", ",").alias("providers_used"), "summary",
+                    F.array_join("errors", " | ").alias("errors"), F.array_join("models", ",").alias("models"))
 
 
-oracle("merge_sources", [], r"""
+oracle("merge_payloads", [], f"""
 SELECT lang, count(*) AS n_providers, CASE WHEN count(*) = 1 THEN any_value(provider) ELSE 'both' END AS provider,
   string_agg(provider, ',' ORDER BY provider_order) AS providers_used,
   CASE WHEN count(*) = 1 THEN any_value(summary)
-       ELSE coalesce(string_agg(CASE WHEN summary <> '' THEN provider || ': ' || summary END, chr(10) || chr(10) ORDER BY provider_order), '') END AS summary
+       ELSE coalesce(string_agg(CASE WHEN summary <> '' THEN provider || ': ' || summary END, chr(10) || chr(10) ORDER BY provider_order), '') END AS summary,
+  coalesce(string_agg(CASE WHEN untitled > 0 THEN provider || ': ' || untitled || ' results without a title' END, ' | ' ORDER BY provider_order), '') AS errors,
+  coalesce(string_agg(CASE WHEN model <> '' THEN model END, ',' ORDER BY provider_order), '') AS models
 FROM (
-  SELECT lang, provider, CASE WHEN provider = 'http' THEN 0 ELSE 1 END AS provider_order, trim(arg_min(title, page_id)) AS summary
-  FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang, regexp_extract(url, '^([a-z]+)://', 1) AS provider,
-               page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)
-  GROUP BY lang, provider)
+  SELECT lang, provider, CASE WHEN provider = 'http' THEN 0 ELSE 1 END AS provider_order, trim(arg_min(title, page_id)) AS summary,
+         count(*) FILTER (WHERE title = '') AS untitled, arg_min(regexp_extract(url, '^[a-z]+://([^/]+)', 1), page_id) AS model
+  FROM {_RESULTS} GROUP BY lang, provider)
 GROUP BY lang""")
 
 
