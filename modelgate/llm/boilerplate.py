@@ -15,7 +15,9 @@ Menus and notices that carry no such mark are found by repetition over all pages
 of a host. The tokens of a page's blocks outside declared text are one stream; a
 run of ``MIN_RUN`` tokens that occurs in two distinct streams of the host is
 boilerplate (pages with equal streams count as one). In pages without declared
-text the tokens so covered are removed and the unique runs of each block stay.
+text the tokens so covered are removed and the unique runs of each block stay; but a
+stretch of ``COPIED_RUN`` tokens or more that makes half of such a page's text is a
+copied body and stays too, with what is repeated right beside it.
 Of declared text, whole blocks of ``MIN_RUN`` tokens or more are removed that stand in
 ``DECLARED_PAGES`` distinct declared texts of the host, unless such blocks hold half of
 the page's declared tokens or more: then the article itself is a copy, and is
@@ -46,11 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import cut, fresh, map_in_arrow, mix, quoted, text_slices, word_hashes
+from modelgate.llm.common import SLICE_BYTES, cut, fresh, map_in_arrow, mix, quoted, text_slices, word_hashes
 
 MIN_RUN = 8
 #: Distinct declared texts that a declared block must stand in to be boilerplate.
 DECLARED_PAGES = 3
+#: A repeated stretch of undeclared text of so many tokens that is half of the page's is a copied body.
+COPIED_RUN = 100
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"""
@@ -305,11 +309,24 @@ def _long(block: str) -> bool:
     return block.count(" ") + 1 >= MIN_RUN
 
 
+def _without_copies(boiler: np.ndarray, size: int) -> np.ndarray:
+    """The mask of a stream without copied bodies: stretches that are too long
+    for a menu or notice and make half of the page's text."""
+    edge = np.diff(np.concatenate([[0], boiler.astype(np.int8), [0]]))
+    out = boiler.copy()
+    for start, stop in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        if stop - start >= COPIED_RUN and 2 * (stop - start) >= size:
+            out[start:stop] = False
+    return out
+
+
 def _kept(found: list[tuple[str, int]], place: str, boiler: np.ndarray, common: set[str]) -> tuple[str, str, int]:
     """(text, where it stood, tokens found to be boilerplate) of a page, from the
     mask of its stream and its declared blocks that are common."""
     sizes = [(t in common, t.count(" ") + 1) for t in _declared(found)]
     copied = 2 * sum(n for hit, n in sizes if hit) >= sum(n for _, n in sizes)
+    if place == "page":
+        boiler = _without_copies(boiler, sum(t.count(" ") + 1 for t, kind in found if kind == TEXT))
     kept, lost, at = [], 0, 0
     for text, kind in found:
         n = text.count(" ") + 1
@@ -421,6 +438,35 @@ def repeated_digests(source: DataFrame) -> DataFrame:
     return cut(places.join(often, "digest").groupBy("page__").agg(F.collect_set("digest").alias("digests__")), "places")
 
 
+def _packed(pages: DataFrame) -> DataFrame:
+    """The pages with their html compressed, to be shuffled."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "body__" else f.dataType) for f in pages.schema.fields])
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            column = batch.schema.get_field_index("body__")
+            body = [None if v is None else pack(v) for v in batch.column(column).cast(pa.binary()).to_pylist()]
+            columns = [pa.array(body, pa.binary()) if i == column else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return map_in_arrow(pages, run, schema)
+
+
+def _unpacked(batches):
+    """Batches with their html as text again, in slices of about the usual size."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in text_slices(batches, "body__", SLICE_BYTES // 8):
+        column = batch.schema.get_field_index("body__")
+        body = [None if v is None else unpack(v) for v in batch.column(column).to_pylist()]
+        columns = [pa.array(body, pa.binary()).cast(pa.string()) if i == column else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns but the html, or those in ``keep``) plus text,
     n_chars, place (article, main or page) and n_boilerplate."""
@@ -431,12 +477,14 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list
     parts = [page.alias("page__"), site.alias("host__"), quoted(html).alias("body__")]
     kept = F.struct(*[quoted(c) for c in keep]).alias("kept__")
     places = repeated_digests(df.select(*parts))
-    source = df.select(kept, *parts).join(places, "page__", "left").select("kept__", "digests__", "host__", "body__")
+    # one way of joining at every size: pages are spread by their key, their html packed
+    packed = _packed(df.select(kept, *parts))
+    source = packed.join(places.hint("merge"), "page__", "left").select("kept__", "digests__", "host__", "body__")
     made = [(names[0], T.StringType()), (names[1], T.LongType()), (names[2], T.StringType()), (names[3], T.LongType())]
     schema = T.StructType([source.schema["kept__"], *[T.StructField(n, t) for n, t in made]])
 
     def run(batches):
-        for batch, parsed, found in _parsed(batches):
+        for batch, parsed, found in _parsed(_unpacked(batches)):
             out = []
             for (own, place), (_, _, runs, long), often in zip(parsed, found, batch.column(1), strict=True):
                 hits = often.values.to_numpy() if often.is_valid else np.zeros(0, dtype=np.int64)
