@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,9 @@ MAX_REPEAT_PERCENT = 50
 MIN_REPEAT = 10
 MAX_COVERED = 0.30
 MAX_LONGEST = 200
+#: Text bytes that a worker sorts at once (a longer text alone): the levels of the
+#: doubling hold four bytes a word each.
+SLICE_BYTES = 2 << 20
 
 #: Fixed by the base rule: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -60,7 +63,7 @@ def common_prefixes(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     new[0] = True
     new[1:] = (rows[order[1:]] != rows[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
     starts = np.flatnonzero(new)
-    group = np.empty(n, dtype=np.int64)
+    group = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     sizes = np.diff(np.append(starts, n))
     group[order] = np.repeat(starts, sizes)
     levels, h = [group], 1
@@ -71,7 +74,7 @@ def common_prefixes(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
         inside = ahead < last[pos]
         nxt = np.full(len(pos), -1, dtype=np.int64)
         nxt[inside] = group[ahead[inside]]
-        own = group[pos]
+        own = group[pos].astype(np.int64)
         by = np.argsort(own * (n + 1) + nxt + 1)
         pos, own, nxt = pos[by], own[by], nxt[by]
         order[active] = pos  # active places are ascending and groups contiguous
@@ -130,66 +133,80 @@ def _measure(text: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
     }
 
 
-def repetition_stats(
-    df: DataFrame,
-    text: str = "text",
-    min_repeat: int = MIN_REPEAT,
-    max_covered: float = MAX_COVERED,
-    max_longest: int = MAX_LONGEST,
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """``df`` (all its columns, or those in ``keep``) plus one struct column
-    ``quality`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, covered_words, longest_repeat, base_failed, kept. A map
-    over the rows: no shuffle."""
-    keep = df.columns if keep is None else keep
-    body = fresh(df, "body__")
-    stats = fresh(df, "quality")
+def _judge(
+    df: DataFrame, text: str, min_repeat: int, max_covered: float, max_longest: int, keep: list[str], kept_only: bool
+) -> tuple[DataFrame, list[Column]]:
+    """``keep`` columns and the measures of every row, or of the kept rows
+    only, under the returned names. The text goes to the worker once, and comes
+    back only if it is one of the ``keep`` columns."""
+    mark = fresh(df, "body__")
     raw = F.coalesce(quoted(text), F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    counts = {
+        "word_chars": F.length(F.translate(raw, SPACES, "")).cast("long"),
+        "n_symbols": (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+    }
+    if kept_only:
+        counts = {}
+    carried = text in keep
     source = df.select(
         *[quoted(c) for c in keep],
-        raw.alias(body),
-        F.length(F.translate(raw, SPACES, "")).cast("long").alias(f"{body}c"),
-        (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long").alias(f"{body}s"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{body}d"),
+        *([] if carried else [quoted(text).alias(mark)]),
+        *[c.alias(f"{mark}{name}") for name, c in counts.items()],
     )
+    body = text if carried else mark
     measured = ["n_words", "n_repeat_words", "covered_words", "longest_repeat"]
-    names = [f"{body}{i}" for i in range(len(measured))]
+    kinds = [] if kept_only else [(m, T.LongType()) for m in measured] + [(m, T.BooleanType()) for m in ("base_failed", "kept")]
     schema = T.StructType(
-        [f for f in source.schema.fields if f.name != body] + [T.StructField(x, T.LongType()) for x in names]
+        [f for f in source.schema.fields if carried or f.name != mark] + [T.StructField(mark + m, t) for m, t in kinds]
     )
 
     def run(batches):
-        for part in text_slices(batches, body):
+        for part in text_slices(batches, body, SLICE_BYTES):
             found = _measure(part.column(body), min_repeat)
-            columns = [part.column(i) for i, c in enumerate(part.schema.names) if c != body]
-            labels = [c for c in part.schema.names if c != body]
+            words = found["n_words"]
+            failed = (words < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
+            fine = ~failed & (found["covered_words"] <= max_covered * words) & (found["longest_repeat"] <= max_longest)
+            if kept_only:
+                if fine.any():
+                    yield part.filter(pa.array(fine))
+                continue
+            found |= {"base_failed": failed, "kept": fine}
+            names = [c for c in part.schema.names if carried or c != mark]
             yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(found[m]) for m in measured], names=labels + names
+                [part.column(c) for c in names] + [pa.array(found[m]) for m, _ in kinds], names=names + [mark + m for m, _ in kinds]
             )
 
-    out = map_in_arrow(source, run, schema)
-    n_words, n_repeat, cover, longest = (F.col(x) for x in names)
-    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-    verdict = ~failed & (cover <= max_covered * n_words) & (longest <= max_longest)
-    return out.select(
-        *[quoted(c) for c in keep],
-        F.struct(
-            n_words.alias("n_words"),
-            F.col(f"{body}c").alias("word_chars"),
-            F.col(f"{body}s").alias("n_symbols"),
-            F.col(f"{body}d").alias("n_dup_lines"),
-            n_repeat.alias("n_repeat_words"),
-            cover.alias("covered_words"),
-            longest.alias("longest_repeat"),
-            failed.alias("base_failed"),
-            verdict.alias("kept"),
-        ).alias(stats),
-    )
+    order = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat",
+             "base_failed", "kept"]
+    return map_in_arrow(source, run, schema), [] if kept_only else [F.col(mark + m).alias(m) for m in order]
 
 
-def keep_quality(df: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """Rows of ``df`` that pass the rules, with the columns of ``df``."""
-    judged = repetition_stats(df, text, **limits)
-    return judged.where(quoted(judged.columns[-1])["kept"]).select(*[quoted(c) for c in df.columns])
+def repetition_stats(
+    df: DataFrame,
+    text: str = "text",
+    min_repeat: int = MIN_REPEAT,
+    max_covered: float = MAX_COVERED,
+    max_longest: int = MAX_LONGEST,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``df`` (all its columns, or those in ``keep``) plus one struct column
+    ``quality`` with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, covered_words, longest_repeat, base_failed, kept. A map
+    over the rows: no shuffle."""
+    keep = df.columns if keep is None else keep
+    out, fields = _judge(df, text, min_repeat, max_covered, max_longest, keep, kept_only=False)
+    return out.select(*[quoted(c) for c in keep], F.struct(*fields).alias(fresh(df, "quality")))
+
+
+def keep_quality(
+    df: DataFrame,
+    text: str = "text",
+    min_repeat: int = MIN_REPEAT,
+    max_covered: float = MAX_COVERED,
+    max_longest: int = MAX_LONGEST,
+) -> DataFrame:
+    """Rows of ``df`` that pass the rules, with the columns of ``df``; the
+    others do not leave the worker."""
+    return _judge(df, text, min_repeat, max_covered, max_longest, df.columns, kept_only=True)[0]
