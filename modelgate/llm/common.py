@@ -46,12 +46,32 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def release() -> None:
+    """Give freed memory back to the system. A Python worker outlives its task and
+    stands beside the executor's heap, which the next stage may need whole."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` for columns of any name (it reads a dot in a name as a
     field of a struct, so the columns go in under plain names)."""
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+    def renamed(batches):
+        try:
+            yield from run(b.rename_columns(names) for b in batches)
+        finally:
+            release()
+
+    return plain.mapInArrow(renamed, schema)
 
 
 def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
