@@ -34,8 +34,11 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in the packed sequences."""
-    return packing.pack(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    """The documents' pieces with their places in the packed sequences. The
+    stages before leave the executors' heaps large, so texts are tokenised
+    in small slices."""
+    documents = docs.select("doc_id", "text")
+    return packing.pack(documents, tokenizer_path("word_bpe_49k.json"), with_ids=False, slice_bytes=2 << 20)
 
 
 STAGES = [

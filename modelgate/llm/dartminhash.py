@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelgate.llm.common import U64, cut, drop, fresh, mix, quoted, text_slices, uniform, word_hashes, word_lists
+from modelgate.llm.common import U64, cut, drop, fresh, map_in_arrow, mix, quoted, text_slices, uniform, word_hashes, word_lists
 from modelgate.llm.components import components
 
 SHINGLE = 5
@@ -180,7 +180,7 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 names=schema.names,
             )
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, schema)
 
 
 def shingles(df: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def shingles(df: DataFrame) -> DataFrame:
             keep = pa.array(same & (sizes > 0))
             yield pa.RecordBatch.from_arrays([part.column("node").filter(keep), lists.filter(keep)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

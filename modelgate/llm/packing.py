@@ -165,7 +165,9 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _WORKER[path]
 
 
-def pieces(df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+def pieces(
+    df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int = SEQUENCE, with_ids: bool = True, slice_bytes: int = SLICE
+) -> DataFrame:
     """Every row of ``df`` without its text, once per piece: columns piece,
     start, length, ids_crc32 and, if asked for, the ids."""
     names = {c: fresh(df, c) for c in ("piece", "start", "length", "ids_crc32", "ids")}
@@ -180,7 +182,7 @@ def pieces(df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int
 
     def run(batches):
         coder = _tokenizer(tokenizer_path)
-        for part in text_slices(batches, body, SLICE):
+        for part in text_slices(batches, body, slice_bytes):
             ids, counts = coder.encode(part.column(body))
             n_pieces = -(-counts // sequence)
             row = np.repeat(np.arange(len(counts)), n_pieces)
@@ -298,11 +300,14 @@ def place(plan: Plan, length: np.ndarray, rank: np.ndarray, sequence: int = SEQU
     return plan.bin[run] + step // plan.per_bin[run], plan.offset[run] + (step % plan.per_bin[run]) * length
 
 
-def pack(df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer_path: str, text: str = "text", sequence: int = SEQUENCE, with_ids: bool = True, slice_bytes: int = SLICE
+) -> DataFrame:
     """The pieces of all rows of ``df`` with two more columns, sequence_id and
-    offset: the place of the piece in the packed sequences."""
+    offset: the place of the piece in the packed sequences. ``slice_bytes`` of
+    text are tokenised at once; fewer take less memory beside the executor's heap."""
     names = {c: fresh(df, c) for c in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")}
-    cut_up = cut(pieces(df, tokenizer_path, text, sequence, with_ids), "pieces")
+    cut_up = cut(pieces(df, tokenizer_path, text, sequence, with_ids, slice_bytes), "pieces")
     length = quoted(names["length"])
     # the salt spreads a length's pieces; the order within it is that of the rows' values
     salt, rank, before = fresh(cut_up, "salt__"), fresh(cut_up, "rank__"), fresh(cut_up, "before__")
