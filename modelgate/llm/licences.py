@@ -128,22 +128,37 @@ def licences_within(form: Column, whole=WHOLE) -> Column:
     """Those of the whole licences that stand in a canonical form, as words of it."""
     padded = F.concat(F.lit(" "), form, F.lit(" "))
 
-    def texts_after(mark: str) -> Column:
-        """From every place of the mark on."""
-        pieces = F.split(padded, mark)  # letters, digits and spaces: itself as a pattern
-        return F.transform(
+    def stands(pieces: Column, mark: str, length: int, digest: str) -> Column:
+        """At some place of the mark the next ``length`` characters have this
+        digest and a word ends there. Only the pieces that so many characters
+        can lie in are put together, one place at a time."""
+        reach = length // len(mark) + 2
+
+        def here(i: Column) -> Column:
+            return F.concat(F.lit(mark[1:]), F.array_join(F.slice(pieces, i, reach), mark))
+
+        return F.exists(
             F.sequence(F.lit(2), F.size(pieces)),
-            lambda i: F.concat(F.lit(mark[1:]), F.array_join(F.slice(pieces, i, F.size(pieces)), mark)),
+            lambda i: (F.substring(here(i), length + 1, 1) == " ") & (F.md5(F.substring(here(i), 1, length).cast("binary")) == digest),
         )
 
-    def stands(after: Column, length: int, digest: str) -> Column:
-        return F.exists(after, lambda x: (F.substring(x, length + 1, 1) == " ") & (F.md5(F.substring(x, 1, length).cast("binary")) == digest))
+    def first(n: int):
+        return lambda x: F.substring(x, 1, n)
+
+    def those_of(mark: str, forms: list):
+        return lambda pieces: F.array(
+            *[F.when(stands(pieces, mark, length, digest), F.lit(licence)) for licence, length, _, digest, _ in forms]
+        )
 
     found = []
     for opening, rows in groupby(sorted((r for r in whole if r[4]), key=lambda r: r[2]), key=lambda r: r[2]):
-        after = texts_after(f" {opening} ")
-        met = F.array(*[F.when(stands(after, length, digest), F.lit(licence)) for licence, length, _, digest, _ in rows])
-        found.append(F.when(F.contains(padded, F.lit(f" {opening} ")), F.array_compact(met)).otherwise(F.array().cast("array<string>")))
+        mark, forms = f" {opening}", list(rows)  # without a blank after it: a repeat may follow
+        longest = max(length for _, length, *_ in forms)
+        # what follows so many characters of a piece is never looked at; letters,
+        # digits and spaces are themselves as a pattern
+        pieces = F.transform(F.split(padded, mark), first(longest + 1))
+        met = F.transform(F.array(pieces), those_of(mark, forms))[0]  # binds the pieces, so that they are made once
+        found.append(F.when(F.contains(padded, F.lit(mark)), F.array_compact(met)).otherwise(F.array().cast("array<string>")))
     needed = F.contains(form, F.lit(NEEDED[0]))
     for word in NEEDED[1:]:
         needed = needed | F.contains(form, F.lit(word))

@@ -66,3 +66,14 @@ def test_whole_licences_alone_and_within_documents(spark):
         assert (r["licence"] in names) == (r["how"] != "cut"), r
         assert r["document_license"] == (r["licence"] if r["how"] == "alone" else None), r
     assert len(out) == len(rows) and len({r[0] for r in WHOLE}) >= 14
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts here")
+def test_opening_words_repeated_many_times(spark):
+    """Memory and time follow the text, not the square of the repeats."""
+    gpl = (COMMON / "GPL-2").read_text()
+    opening = next(r[2] for r in WHOLE if r[0] == "GPL-2.0")
+    many = (opening + " permission ") * (1_500_000 // len(opening))
+    rows = [(1, many), (2, many + "\n\n" + gpl), (3, f"{opening} {gpl}")]
+    got = {r["i"]: r["licenses"] for r in scan(spark.createDataFrame(rows, "i int, text string"), keep=["i"]).collect()}
+    assert got[1] == "" and "GPL-2.0" in got[2].split(",") and "GPL-2.0" in got[3].split(",")
