@@ -92,8 +92,9 @@ def _words(data: bytes, own_bytes: int) -> tuple[pa.Array, np.ndarray, int]:
     raw = np.frombuffer(data, dtype=np.uint8)
     kind = KIND[raw]
     inside = kind == 0
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.zeros(len(raw) + 2, dtype=np.int8)
+    edge[1:-1] = inside
+    starts, ends = np.flatnonzero(edge[1:] > edge[:-1]), np.flatnonzero(edge[1:] < edge[:-1])
     offsets = np.zeros(len(starts) + 1, dtype=np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[inside].tobytes()))

@@ -63,7 +63,7 @@ def test_entry_queries_have_one_name_per_operator():
     import __spark_entry__ as entry
 
     numbers = [int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
