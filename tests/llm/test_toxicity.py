@@ -67,3 +67,42 @@ def test_fit_score_and_flag(spark):
     assert flagged.columns[:-1] == df.columns
     empty = df.limit(0)
     assert X.score(empty, X.fit(empty, labels.limit(0))).count() == 0
+
+
+def test_rows_beyond_the_first_are_learned_from_and_calibrate(spark, monkeypatch):
+    monkeypatch.setattr(X, "RATE", 0.05)
+    rng = np.random.default_rng(5)
+    words = [f"plain{i}" for i in range(150)]
+    rows, marks = [], []
+    for i in range(2400):
+        t = [words[j] for j in rng.integers(0, 150, 20)]
+        toxic = i % 4 == 0
+        if toxic:
+            t[5] = t[9] = ("awful", "horrid")[(i // 4) % 2]
+        rows.append((i, " ".join(t), "en" if i % 2 else "de"))
+        marks.append((i, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    used = X.training_rows(df, labels, None, "doc_id", "text", "lang")
+    assert used.count() == 2400
+    first, rest = X.first_rows(used, 40, 120)
+    assert (used.where(first).count(), used.where(rest).count()) == (160, 2240)
+    calls, calibrated, refine, exact = [], [], X.refine, X.exact_thresholds
+    monkeypatch.setattr(X, "refine", lambda r, m, n: calls.append(r.count()) or refine(r, m, n))
+    monkeypatch.setattr(X, "exact_thresholds", lambda s: calibrated.append(s.count()) or exact(s))
+    model = X.fit(df, labels, max_toxic=40, max_clean=120)
+    # 128 of the first 160 are trained on by the driver, all others by tasks or calibrate
+    assert len(calls) == X.ROUNDS and 128 + sum(calls) + calibrated[0] == 2400
+    got = X.score(df, model, keep=["doc_id"]).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got]) > 0.97
+
+
+def test_exact_thresholds_equal_the_sorted_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [("en" if i % 3 else None, int(i % 7 == 0), float(rng.integers(0, 5000)) / 5000) for i in range(3000)]
+    rows += [("xx", 1, 0.9)]
+    found = X.exact_thresholds(spark.createDataFrame(rows, "lang__ string, label__ int, score__ double").repartition(5))
+    for code in (None, "en", "None", "xx"):
+        own = [(lab, s) for lang, lab, s in rows if code is None or (lang or "None") == code]
+        lab, s = (np.array(v) for v in zip(*own))
+        assert found[code] == (len(own), X.threshold_for(s, lab))
