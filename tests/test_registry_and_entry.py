@@ -297,3 +297,22 @@ def test_rank_per_group_is_exact(spark):
         order = sorted((v, i) for x, v, i in rows if x == g)
         assert [got[g, v, i] for v, i in order] == list(range(1, 51))
     assert {got[None, None, 2], got[None, 1, 1]} == {1, 2}
+
+
+def test_a_tasks_share_does_not_grow_with_the_input(spark, monkeypatch):
+    from modelgate import session
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size in (1 << 30, 6 << 30, 60 << 30):
+            spark.conf.set(names[0], "1")
+            spark.conf.set(names[1], "128m")
+            monkeypatch.setattr(session, "input_bytes", lambda *_, size=size: size)
+            got = session.size_shuffle_partitions(spark, ["any"])
+            assert size / got <= session.PARTITION_INPUT_BYTES == 32 << 20
+            assert session._bytes_of(spark.conf.get(names[1])) == session.ADVISORY_BYTES
+        assert [session._bytes_of(x) for x in ("64MB", "128m", "1024", "2g", "7b")] == [64 << 20, 128 << 20, 1024, 2 << 30, 7]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
