@@ -107,7 +107,7 @@ def q_evaluate(spark, sf_dir):
 def q_overall(spark, sf_dir):
     from modelgate.operators.evaluate import overall_metrics
 
-    o = overall_metrics(gate_job(spark, sf_dir).scored)
+    o = overall_metrics(gate_job(spark, sf_dir).scored_once)
     return o.select("model_name", "model_version", "count", r("rmse", 4), r("mae", 4))
 
 
@@ -115,7 +115,7 @@ def q_overall(spark, sf_dir):
 def q_segment_metrics(spark, sf_dir):
     from modelgate.operators.evaluate import segment_metrics
 
-    s = segment_metrics(gate_job(spark, sf_dir).scored, "town")
+    s = segment_metrics(gate_job(spark, sf_dir).scored_once, "town")
     return s.select("model_name", "model_version", "segment", "ord", "count", r("rmse", 4), r("mae", 4),
                     r("mean_actual", 4), r("mean_prediction", 4))
 

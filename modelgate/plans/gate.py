@@ -123,6 +123,17 @@ class GateJob:
         valid = prepare_features(self.raw, passthrough=list(self.predictions.values()))
         return valid.withColumn("split", split_label(F.col(DATE_COLUMN), self.bounds))
 
+    def rows_once(self, *splits: str) -> DataFrame:
+        """``rows_of`` for a single reader: straight from the source joins with the
+        month range on the raw month, so that it reaches the source of the month
+        and other months' rows are neither joined nor parsed; from the typed
+        table where the gate has written it already."""
+        if "typed" in self.__dict__ or not self.materialize:
+            return self.rows_of(*splits)
+        wanted = split_predicate(parse_month(F.col("month")), self.bounds, splits)
+        valid = prepare_features(self.raw.where(wanted), passthrough=list(self.predictions.values()))
+        return valid.withColumn("split", split_label(F.col(DATE_COLUMN), self.bounds))
+
     def rows_of(self, *splits: str) -> DataFrame:
         """Prepared rows of the given splits, selected by a month range that
         reaches the scan as a pushed filter."""
@@ -133,6 +144,12 @@ class GateJob:
         test = self.rows_of("test")
         return long_predictions(test, self.predictions, self.model_name, [TARGET_COLUMN, *self.segment_columns])
 
+    @property
+    def scored_once(self) -> DataFrame:
+        """``scored`` for a single reader (see ``rows_once``)."""
+        test = self.rows_once("test")
+        return long_predictions(test, self.predictions, self.model_name, [TARGET_COLUMN, *self.segment_columns])
+
     @cached_property
     def evaluation(self) -> DataFrame:
         return self._cut(E.evaluate_grouping_sets(self.scored, self.segment_columns))

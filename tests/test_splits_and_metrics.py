@@ -101,3 +101,22 @@ def test_grouping_sets_equal_separate_passes(spark):
         assert a.keys() == b.keys()
         assert all(a[k] == pytest.approx(b[k]) for k in a)
     assert segs.where("segment IS NULL").count() == 0
+
+
+def test_a_single_reader_gets_the_same_rows_without_the_typed_table(spark):
+    from modelgate.plans.gate import GateJob, champion_alias
+    from modelgate.sources import adapters as A
+    from modelgate.sources.tables import Tables
+    from tests.conftest import SF0001
+
+    raw = A.raw_sales_with_predictions(Tables(spark, SF0001))
+    job = GateJob(raw, A.prediction_columns(), A.MODEL_NAME, champion_alias(spark, A.MODEL_NAME, "1"))
+    once = job.rows_once("test")
+    assert "typed" not in job.__dict__
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    # the month range stands on the orders, below the joins
+    assert any("Filter" in line and "o_orderdate" in line and "yyyy-M" in line for line in plan.split("\n"))
+    columns = [c for c in once.columns if c != "model_name"]
+    got = sorted(map(str, once.select(*columns).collect()))
+    assert got and got == sorted(map(str, job.rows_of("test").select(*columns).collect()))
+    assert job.rows_once("test").columns == job.rows_of("test").columns
