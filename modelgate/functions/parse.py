@@ -63,17 +63,15 @@ def lease_years(c: Column) -> Column:
 
 def lease_years_normalized(text: Column) -> Column:
     """``lease_years`` of text already lower-cased and stripped."""
-    years = F.regexp_extract(text, rf"(\d+){WS_CLASS}+year", 1)
-    months = F.regexp_extract(text, rf"(\d+){WS_CLASS}+month", 1)
-    has_unit = (years != "") | (months != "")
-    by_unit = F.coalesce(F.nullif(years, F.lit("")).try_cast("double"), F.lit(0.0)) + (
-        F.coalesce(F.nullif(months, F.lit("")).try_cast("double"), F.lit(0.0)) / 12.0
-    )
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
-        .when(has_unit, by_unit)
-        .otherwise(to_number(F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")))
-    )
+    # every pattern stands once where it is needed: Spark evaluates a repeated one
+    # again in each branch, and most texts can be told to lack it without a pattern
+    def number_before(unit: str) -> Column:
+        found = F.regexp_extract(text, rf"(\d+){WS_CLASS}+{unit}", 1)
+        return F.when(text.contains(unit), found).try_cast("double")  # not found: "", no double
+
+    months = number_before("month") / 12.0
+    joined = F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+    return F.coalesce(number_before("year") + F.coalesce(months, F.lit(0.0)), months, to_number(joined))
 
 
 def storey_midpoint(c: Column) -> Column:
@@ -84,15 +82,9 @@ def storey_midpoint(c: Column) -> Column:
 
 def storey_midpoint_normalized(text: Column) -> Column:
     """``storey_midpoint`` of text already upper-cased and stripped."""
-    bounds = F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)
-    first = F.try_element_at(bounds, F.lit(1)).try_cast("double")
-    second = F.try_element_at(bounds, F.lit(2)).try_cast("double")
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
-        .when(F.size(bounds) >= 2, (first + second) / 2.0)
-        .when(F.size(bounds) == 1, first)
-        .otherwise(F.lit(None).cast("double"))
-    )
+    first = F.regexp_extract(text, r"(\d+)", 1).try_cast("double")
+    second = F.regexp_extract(text, r"\d+\D+(\d+)", 1).try_cast("double")
+    return F.coalesce((second + first) / 2.0, first)  # no number: "", which is null as a double
 
 
 def year_fraction(month_start: Column) -> Column:

@@ -183,3 +183,38 @@ def test_split_features_and_target(spark):
     features, target = split_features_and_target(df)
     assert features.columns == list(FEATURE_COLUMNS) and target.columns == [TARGET_COLUMN]
     assert target.first()[0] == "1"
+
+
+def test_each_pattern_of_a_text_is_evaluated_once(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from modelgate.functions import parse as P
+
+    lease, storey = (str(f(F.col("t"))).lower() for f in (P.lease_years_normalized, P.storey_midpoint_normalized))
+    assert lease.count("regexp_extract") <= 3  # months stand beside the years and alone
+    assert storey.count("regexp_extract") <= 3 and "regexp_extract_all" not in storey
+    texts = [None, "", " ", "61 years 04 months", "72 years", "5 months", "0 months", "61.5", "6_1", "6__1", "_6", "year", "years 5",
+             "5 year_ 3 monthly", "5\u00a0years", "4 months 2 years", "1e3", "inf", "nan", "x 7 years", "9" * 400 + " years", "3years", "month 3",
+             "04 to 06", "04", "1 2 3", "a1b22c", "7 to", "1\n2", "to"]
+
+    def years(t):
+        if not t:
+            return None
+        y, m = (re.search(rf"([0-9]+)[\s]+{u}", t) for u in ("year", "month"))
+        if y or m:
+            return float(y[1] if y else 0) + float(m[1] if m else 0) / 12
+        try:
+            return float(t)
+        except ValueError:
+            return None
+
+    def middle(t):
+        found = [float(x) for x in re.findall("[0-9]+", t or "")]
+        return (found[0] + found[1]) / 2 if len(found) > 1 else found[0] if found else None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", P.lease_years_normalized(F.col("t")), P.storey_midpoint_normalized(F.col("t"))).collect()
+    for t, a, b in got:
+        assert str(a) == str(years(t)) and b == middle(t), (t, a, b)
