@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 import numpy as np
 
 from modelgate.llm import toxicity as X
@@ -97,6 +100,31 @@ def test_rows_beyond_the_first_are_learned_from_and_calibrate(spark, monkeypatch
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got]) > 0.97
 
 
+def test_the_driver_gets_the_model_but_no_rows(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 60, 12)) + " awful" * (i % 3 == 0), "en" if i % 2 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    got = X.training_rows(df, labels, None, "doc_id", "text", "lang").orderBy("order__").collect()
+    lists, y = [np.array(r["words__"], dtype=np.int64) + (1 << 31) for r in got], np.array([r["label__"] for r in got], dtype=float)
+    held = np.arange(300) % X.CALIBRATION == 0
+    want = X.train([lists[i] for i in np.flatnonzero(~held)], y[~held])
+    scores = X.score_flat(want, want.tables(), *flat([lists[i] for i in np.flatnonzero(held)]))
+    where, train = str(tmp_path / "pids"), X.train
+
+    def told(*args, **kwargs):
+        with open(where, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return train(*args, **kwargs)
+
+    monkeypatch.setattr(X, "train", told)
+    model = X.fit(df, labels)
+    pids = Path(where).read_text().split()
+    assert len(pids) == 1 and int(pids[0]) != os.getpid()
+    assert np.allclose(model.embed, want.embed) and np.allclose(model.out, want.out)
+    assert np.isclose(model.threshold, X.threshold_for(scores, y[held])) and set(model.thresholds) == {"en", "None"}
+
+
 def test_exact_thresholds_equal_the_sorted_ones(spark):
     rng = np.random.default_rng(6)
     rows = [("en" if i % 3 else None, int(i % 7 == 0), float(rng.integers(0, 5000)) / 5000) for i in range(3000)]
