@@ -99,12 +99,15 @@ WHOLE = tuple(map(tuple, json.loads(Path(__file__).with_name("licence_digests.js
 #: Each whole licence holds one of these, so other documents are not searched.
 NEEDED = ("permission", "distribut")
 
-#: Lines dropped: those that start as a copyright notice does.
+#: Lines dropped: those that start as a copyright notice does (and so hold one of its words).
 COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+COPYRIGHT_WORDS = ("copyright", "(c)", "©", "all rights reserved")
 #: Empty lines part paragraphs.
 PARAGRAPH = r"\n[ \t\r]*\n"
 #: Everything but letters, digits and what lies beyond ASCII parts words.
 GAP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+#: The same but for line feeds.
+LINE_GAP = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
@@ -116,12 +119,59 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, VERSION[0], VERSION[1] + "$1"))
 
 
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands anywhere in a text."""
+    found = F.contains(text, F.lit(words[0]))
+    for word in words[1:]:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
 def units(text: Column) -> Column:
-    """The texts of a document that are looked up whole: itself, its
-    paragraphs of several lines, its lines."""
-    lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, PARAGRAPH), lambda x: F.instr(x, "\n") > 0)
-    return F.concat(F.array(text), paragraphs, lines)
+    """The texts of a document that are looked up whole: itself (first), its
+    paragraphs of several lines, its lines; those without a word are left out but for the
+    first. In each the words stand with single spaces between, as in the canonical form before
+    spellings are made one (see ``respelled``): a line goes through these steps once,
+    a paragraph and the document are made of the lines' words."""
+
+    def dropped(x: Column) -> Column:  # parts no paragraphs and has no words
+        return F.when(x.rlike(COPYRIGHT), F.lit("-")).otherwise(x)
+
+    def words(paragraph: Column) -> Column:
+        lines = F.split(F.regexp_replace(paragraph, LINE_GAP, " "), "\n")
+        return F.struct(
+            F.contains(paragraph, F.lit("\n")).alias("several"),
+            F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "").alias("lines"),
+        )
+
+    def joined(found: Column) -> Column:
+        lines = F.flatten(found.getField("lines"))
+        several = F.filter(found, lambda p: p.getField("several") & (F.size(p.getField("lines")) > 0))
+        return F.concat(
+            F.array(F.array_join(lines, " ")), F.transform(several, lambda p: F.array_join(p.getField("lines"), " ")), lines
+        )
+
+    def parted(low: Column) -> Column:
+        kept = F.when(
+            holds_any(low, COPYRIGHT_WORDS), F.array_join(F.transform(F.split(low, "\n"), dropped), "\n")
+        ).otherwise(low)
+        return F.transform(F.split(kept, PARAGRAPH), words)
+
+    # an array of one binds what is used several times, so that it is made once
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.transform(F.transform(low, parted), joined)[0]
+
+
+def respelled(df: DataFrame, words: str, form: str) -> DataFrame:
+    """``df`` plus the canonical form of the column ``words`` (an element of ``units``).
+    Patterns are run on the texts that hold what they need."""
+    spelled = F.col(words)
+    for other, kept in SPELLINGS:
+        spelled = F.regexp_replace(spelled, rf"\b{other}\b", kept)
+    spelled = F.when(holds_any(F.col(words), tuple(other for other, _ in SPELLINGS)), spelled).otherwise(F.col(words))
+    versions = F.regexp_replace(form, VERSION[0], VERSION[1] + "$1")
+    df = df.withColumn(form, spelled)
+    return df.withColumn(form, F.when(F.col(form).rlike(VERSION[0].removeprefix(r"\b")), versions).otherwise(F.col(form)))
 
 
 def licences_within(form: Column, whole=WHOLE) -> Column:
@@ -159,10 +209,7 @@ def licences_within(form: Column, whole=WHOLE) -> Column:
         pieces = F.transform(F.split(padded, mark), first(longest + 1))
         met = F.transform(F.array(pieces), those_of(mark, forms))[0]  # binds the pieces, so that they are made once
         found.append(F.when(F.contains(padded, F.lit(mark)), F.array_compact(met)).otherwise(F.array().cast("array<string>")))
-    needed = F.contains(form, F.lit(NEEDED[0]))
-    for word in NEEDED[1:]:
-        needed = needed | F.contains(form, F.lit(word))
-    return F.when(needed, F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
+    return F.when(holds_any(form, NEEDED), F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
 
 
 def known_digests(spark: SparkSession, notices=NOTICES, whole=WHOLE) -> DataFrame:
@@ -188,7 +235,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, notic
         row, F.monotonically_increasing_id()
     )
     every = told.select(row, kept, F.posexplode(units(F.col("body__"))).alias(place, unit))
-    formed = every.withColumn("form__", canonical(F.col(unit)))
+    formed = respelled(every, unit, "form__")
     digest = F.when(F.col("form__") != "", F.md5(F.col("form__").cast("binary")))
     within = F.when(F.col(place) == 0, licences_within(F.col("form__"), whole)) if whole else F.lit(None).cast("array<string>")
     hashed = formed.select(row, kept, place, digest.alias("digest"), within.alias("within"))

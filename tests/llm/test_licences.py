@@ -1,3 +1,4 @@
+import random
 import re
 import sys
 from pathlib import Path
@@ -6,6 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from modelgate.llm import licences
 from modelgate.llm.licences import NEEDED, NOTICES, WHOLE, oracle_sql, scan
 
 
@@ -77,3 +81,24 @@ def test_opening_words_repeated_many_times(spark):
     rows = [(1, many), (2, many + "\n\n" + gpl), (3, f"{opening} {gpl}")]
     got = {r["i"]: r["licenses"] for r in scan(spark.createDataFrame(rows, "i int, text string"), keep=["i"]).collect()}
     assert got[1] == "" and "GPL-2.0" in got[2].split(",") and "GPL-2.0" in got[3].split(",")
+
+
+def test_forms_made_of_lines_equal_those_of_the_whole_units(spark):
+    """A line goes through the steps once; the forms are those of each unit on its own."""
+    parts = [
+        "\n", "\n\n", "\n \t\r\n", "\r\n", " ", "  ", "-", ".", "\x00", "\x0b", "\u2028", "é", "Σ", "ΑΣ", "İ", "ß", "v", "V 3", "v2", "év 3", "av3",
+        "x", "Copyright (c) 2020 A", "(c) b", " © c", "not copyright", "All Rights Reserved", "copyright owner", "copyright", "owner", "sub", "licence",
+        "Licenced", "sub licence", "SUB license", "non", "commercial", "favour", "disfavour", "judgement", "organisation,", "merchantibility", "3",
+    ]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(parts) + rng.choice(("", " ", "\n")) for _ in range(rng.randrange(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "\n", "\n\n", *texts])], "i int, body string")
+    raw = F.coalesce("body", F.lit(""))
+    every = F.concat(
+        F.array(raw), F.filter(F.split(raw, licences.PARAGRAPH), lambda x: F.instr(x, "\n") > 0), F.split(raw, "\n")
+    )
+    want = df.select("i", F.posexplode(every).alias("at", "unit"))
+    want = want.select("i", (F.col("at") == 0).alias("whole"), licences.canonical(F.col("unit")).alias("form")).where("whole OR form <> ''")
+    got = df.select("i", F.posexplode(licences.units(F.col("body"))).alias("at", "unit"))
+    got = licences.respelled(got, "unit", "form").select("i", (F.col("at") == 0).alias("whole"), "form")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
