@@ -38,6 +38,11 @@ from modelgate.schema import (
 )
 
 
+#: A task of the typed table sorts all its rows, which are wide: so many times as many
+#: partitions as other steps have.
+TYPED_PARTITIONS = 4
+
+
 @dataclass
 class GateJob:
     """Inputs of a fleet gate.
@@ -87,10 +92,12 @@ class GateJob:
         )
         if not self.materialize:
             return typed
+        from modelgate.session import finer_shuffles
         from modelgate.sources.io import scratch_path
 
         path = scratch_path(self.spark, "typed")
-        typed.sortWithinPartitions(DATE_COLUMN).write.mode("overwrite").parquet(path)
+        with finer_shuffles(self.spark, TYPED_PARTITIONS):
+            typed.sortWithinPartitions(DATE_COLUMN).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property

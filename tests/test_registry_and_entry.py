@@ -316,3 +316,26 @@ def test_a_tasks_share_does_not_grow_with_the_input(spark, monkeypatch):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_the_typed_table_is_dealt_to_more_partitions(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameWriter
+
+    from modelgate.plans import gate
+    from modelgate.plans.catalog import gate_job
+    from modelgate.session import _bytes_of
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    job = gate_job(spark, "/root/testdata/sf0.001")
+    job.__dict__.pop("typed", None)
+    before, seen, parquet = [spark.conf.get(n) for n in names], [], DataFrameWriter.parquet
+
+    def told(self, *args, **kwargs):
+        seen.append([spark.conf.get(n) for n in names])
+        return parquet(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", told)
+    rows = job.typed.count()
+    assert int(seen[0][0]) == int(before[0]) * gate.TYPED_PARTITIONS and _bytes_of(seen[0][1]) == _bytes_of(before[1]) // gate.TYPED_PARTITIONS
+    assert [spark.conf.get(n) for n in names] == before
+    assert rows == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
