@@ -14,9 +14,11 @@ In Spark, the texts are tokenised once into a written table of pieces; every
 piece gets its rank among those of its length from counts per (length, salt)
 and a row number within it, and looks its place up in the plan.
 
-Tokenising splits a text at ASCII white space, which the tokenizer drops and
-at which it always splits, and looks every distinct word up once per
-worker (the table of known words is bounded and restarted when full).
+Tokenising splits a text at ASCII white space, which the tokenizer drops, and
+between a letter and closing punctuation; the tokenizer always splits there. Of
+the units left, every distinct one is encoded once per worker (the table of
+known units is bounded and restarted when full): words of plain Latin letters,
+lower-cased, by the tokenizer's model alone, any other by the whole tokenizer.
 
 Edge cases: null and empty texts are one separator. Null ids and repeated rows
 are packed like all others, a row at a time; equal rows are interchangeable.
@@ -40,123 +42,171 @@ SEQUENCE = 2048
 SEPARATOR = 0
 #: Parts that the pieces of one length are ranked in.
 SALTS = 64
-#: Distinct words a worker remembers.
+#: Distinct units a worker remembers.
 KNOWN_WORDS = 1_000_000
 #: Text bytes a worker tokenises at once.
 SLICE = 8 << 20
 #: Fixed by the vocabulary: the special token that keeps joined words apart.
 BOUNDARY = "<|endoftext|>"
 
-#: ASCII punctuation that may close a word (no apostrophe: the tokenizer has
-#: rules for what follows one).
+#: ASCII punctuation that a word is parted from (no apostrophe: the tokenizer
+#: has rules for what follows one).
 CLOSING = ".,;:!?#*$%&()[]"
+BLANKS = b"\t\n\x0b\x0c\r "
+#: Kinds of bytes; only a letter and closing punctuation sum up to PARTED.
+OTHER, CLOSE, LETTER = 0, 1, 2
+PARTED = CLOSE + LETTER
+_IS_BLANK = bytes(i in BLANKS for i in range(256))
+_KIND = bytes(CLOSE if chr(i) in CLOSING else LETTER if chr(i).isalpha() and i < 128 else OTHER for i in range(256))
+_LOWER = bytes(range(256)).lower()
 
 _WORKER: dict = {}
 
 
+def _bytes_of(text: pa.Array) -> tuple[bytes, np.ndarray]:
+    """UTF-8 of all texts and where in it each begins and the last ends."""
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, dtype=np.int64)
+    raw = data.slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+    return raw, at - at[0]
+
+
+def _latin(raw: bytes) -> np.ndarray:
+    """Second bytes of the letters U+00C0 to U+00FF: as they are, or with a
+    mark after them, they are letters in every normal form."""
+    second = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 0xC3) + 1
+    sign = np.frombuffer(raw, dtype=np.uint8)[second]
+    return second[(sign != 0x97) & (sign != 0xB7)]
+
+
+def _kinds(raw: bytes, latin: np.ndarray) -> np.ndarray:
+    kind = np.frombuffer(bytearray(raw.translate(_KIND)), dtype=np.uint8)
+    kind[latin] = kind[latin - 1] = LETTER
+    return kind
+
+
+def kinds(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every byte of the units, and where each unit begins."""
+    raw, at = _bytes_of(units)
+    return _kinds(raw, _latin(raw)), at[:-1]
+
+
+def text_units(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts (null: none), one after another, and how many there
+    are up to the end of each text. Units of letters alone are lower-cased; all
+    others keep their case, which a special token or a mark may depend on."""
+    raw, rows = _bytes_of(pc.fill_null(text, "").cast(pa.large_string()))
+    blank = np.flatnonzero(np.frombuffer(raw.translate(_IS_BLANK), dtype=bool))
+    rows = rows - np.searchsorted(blank, rows)
+    raw = raw.translate(None, BLANKS)
+    latin = _latin(raw)
+    kind = _kinds(raw, latin)
+    body = np.frombuffer(raw, dtype=np.uint8)
+    cuts = np.zeros(len(body) + 1, dtype=bool)  # the last one is the end
+    cuts[1:-1] = kind[:-1] + kind[1:] == PARTED
+    cuts[blank - np.arange(len(blank))] = cuts[rows] = cuts[-1] = True
+    cuts = np.flatnonzero(cuts)
+    begin = cuts[:-1]
+    lower = np.frombuffer(bytearray(raw.translate(_LOWER)), dtype=np.uint8)
+    lower[latin[body[latin] < 0x9F]] += 0x20
+    mixed = np.logical_or.reduceat(kind != LETTER, begin) if len(begin) else np.zeros(0, dtype=bool)
+    np.copyto(lower, body, where=np.repeat(mixed, np.diff(cuts)))
+    units = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(cuts), pa.py_buffer(lower))
+    return units, np.searchsorted(begin, rows[1:])
+
+
 class WordTokenizer:
-    """Token ids of texts, from the ids of their words."""
+    """Token ids of texts, from the ids of their units: words without blanks,
+    cut wherever a letter and closing punctuation meet."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
         self.boundary = self.tokenizer.token_to_id(BOUNDARY)
+        # lower-case letters need no normaliser and no pattern, and each word's last token says so
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
-        # word 0 is the separator; no word has a blank in it
-        self.known: dict[str, int] = {" ": 0}
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.sizes = np.zeros(1 << 16, dtype=np.int64)
-        self.ids = np.zeros(1 << 18, dtype=np.uint32)
-        self.sizes[0], self.ids[0], self.used = 1, SEPARATOR, 1
-
-    @staticmethod
-    def _grown(a: np.ndarray, need: int) -> np.ndarray:
-        if need <= len(a):
-            return a
-        out = np.zeros(max(need, 2 * len(a)), dtype=a.dtype)
-        out[: len(a)] = a
-        return out
-
-    def _append(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
-        first, last = len(self.known), len(self.known) + len(words)
-        self.known.update(zip(words, range(first, last), strict=True))
-        self.starts = self._grown(self.starts, last)
-        self.sizes = self._grown(self.sizes, last)
-        self.ids = self._grown(self.ids, self.used + len(ids))
-        self.sizes[first:last] = size
-        self.starts[first:last] = self.used + np.cumsum(size) - size
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def gather(self, words: np.ndarray) -> np.ndarray:
-        """The ids of known words, one word after another."""
-        size = self.sizes[words]
-        source = np.repeat(self.starts[words] - (np.cumsum(size) - size), size)
-        source += np.arange(len(source))
-        return self.ids[source]
-
-    def _encode_plain(self, words: list[str]) -> None:
-        """Learn words by the tokenizer itself, many at a time: the special
-        token is split off before all else, so joined words stay apart."""
-        joined = [BOUNDARY.join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        # unit 0 is the separator; no unit has a blank in it
+        self.known = pa.array([" "], pa.large_string())
+        self.ends = np.array([0, 1], dtype=np.int64)
+        self.ids = np.array([SEPARATOR], dtype=np.uint32)
+
+    def _encode_letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of units of lower-case letters alone."""
+        joined = [" ".join(units[i : i + 256]) for i in range(0, len(units), 256)]
+        found = self.letters.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(f.ids, dtype=np.uint32) for f in found])
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(units) or ends[-1] != len(ids) - 1:
+            raise ValueError("the tokenizer does not mark the ends of words")
+        return np.diff(ends, prepend=-1), ids
+
+    def _encode_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of any units by the tokenizer itself, many at a time: the
+        special token is split off before all else, so joined units stay apart."""
+        joined = [BOUNDARY.join(units[i : i + 256]) for i in range(0, len(units), 256)]
         parts, sizes = [], []
         for i, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.asarray(found.ids, dtype=np.uint32)
             ends = np.append(np.flatnonzero(ids == self.boundary), len(ids))
-            if len(ends) != min(256, len(words) - 256 * i):
+            if len(ends) != min(256, len(units) - 256 * i):
                 raise ValueError("the tokenizer does not keep the separator token apart")
             sizes.append(np.diff(np.append(-1, ends)) - 1)
             parts.append(ids[ids != self.boundary])
-        if words:
-            self._append(words, np.concatenate(sizes), np.concatenate(parts))
-
-    def _learn(self, words: list[str]) -> None:
-        """Learn words. The tokenizer lower-cases, and parts letters from
-        punctuation; so a word is that of its lower-case letters, which other
-        words may share, and its closing punctuation."""
-        known, plain, split = self.known, dict.fromkeys(("",)), []
-        for w in words:
-            if "<|" in w or "|>" in w:  # perhaps a special token's own string
-                ids = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
-                self._append([w], np.array([len(ids)]), ids)
-                continue
-            stem = w.rstrip(CLOSING)
-            if not stem or not stem[-1].isalpha():
-                stem = w
-            tail = w[len(stem) :]
-            if stem.isascii():
-                stem = stem.lower()
-            plain[stem] = plain[tail] = None
-            if tail or stem != w:
-                split.append((w, stem, tail))
-        self._encode_plain([w for w in plain if w not in known])
-        if split:
-            parts = np.array([(known[stem], known[tail]) for _, stem, tail in split], dtype=np.int64)
-            fresh_ = [i for i, (w, _, _) in enumerate(split) if w not in known]
-            parts = parts[fresh_]
-            if fresh_:
-                self._append([split[i][0] for i in fresh_], self.sizes[parts].sum(axis=1), self.gather(parts.ravel()))
+        return np.concatenate(sizes), np.concatenate(parts)
+
+    def _learned(self, units: pa.Array, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The first ``n`` known units and after them new ones, those of letters
+        alone first; where the ids of each begin and the last's end; the ids."""
+        kind, begin = kinds(units)
+        pure = np.logical_and.reduceat(kind == LETTER, begin)
+        special = pc.or_(pc.match_substring(units, "<|"), pc.match_substring(units, "|>")).to_numpy(zero_copy_only=False)
+        order, sizes, ids = [self.known[:n]], [np.diff(self.ends[: n + 1])], [self.ids[: self.ends[n]]]
+        for mask, encode in ((pure, self._encode_letters), (~pure & ~special, self._encode_plain)):
+            some = units.filter(pa.array(mask))
+            if len(some):
+                size, found = encode(some.to_pylist())
+                order.append(some)
+                sizes.append(size)
+                ids.append(found)
+        some = units.filter(pa.array(special))
+        for unit in some.to_pylist():  # perhaps a special token's own string
+            found = np.asarray(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=np.uint32)
+            sizes.append(np.array([len(found)]))
+            ids.append(found)
+        return pa.concat_arrays([*order, some]), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(ids)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with its separator, and their counts."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(text, ""))
-        enc = lists.flatten().dictionary_encode()
-        distinct = enc.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > KNOWN_WORDS:
+        units, rows = text_units(text)
+        if len(self.known) > KNOWN_WORDS:
             self.reset()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if new:
-            self._learn(new)
-        where = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        ends = lists.offsets.to_numpy(zero_copy_only=False)[1:].astype(np.int64) - lists.offsets[0].as_py()
-        words = np.insert(where[enc.indices.to_numpy(zero_copy_only=False)], ends, 0)
-        # a row's words are followed by its separator, so its tokens end there
-        closing = np.cumsum(self.sizes[words])[ends + np.arange(len(ends))]
-        return self.gather(words), np.diff(closing, prepend=0)
+        # known units are distinct and come first, so a known unit's code is its place;
+        # a small batch does without those learned last, which are the rare ones
+        n = min(len(self.known), max(1, 2 * len(units)))
+        codes = pa.concat_arrays([self.known[:n], units]).dictionary_encode()
+        place = codes.indices.to_numpy(zero_copy_only=False)[n:]
+        new = codes.dictionary[n:]
+        ends, ids = self.ends, self.ids
+        if len(new):
+            known, ends, ids = self._learned(new, n)
+            moved = pc.index_in(new, known[n:]).to_numpy(zero_copy_only=False) + n
+            place = np.append(np.arange(n), moved)[place]
+            if n == len(self.known):
+                self.known, self.ends, self.ids = known, ends, ids
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids)).take(pa.array(np.insert(place, rows, 0)))
+        # a row's units are followed by its separator, so its tokens end there
+        closing = lists.offsets.to_numpy(zero_copy_only=False)[rows + np.arange(1, len(rows) + 1)]
+        return lists.flatten().to_numpy(zero_copy_only=False), np.diff(closing, prepend=0)
 
 
 def _tokenizer(path: str) -> WordTokenizer:

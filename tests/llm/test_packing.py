@@ -63,6 +63,39 @@ def test_word_tokenizer_equals_the_tokenizer():
             assert part.tolist() == whole.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_word_tokenizer_learns_a_word_once_for_all_its_forms():
+    coder = WordTokenizer(PATH)
+    coder.encode(pa.array(["The the THE the, THE. (the) the;the #the The! Été été, ÉTÉ."]))
+    assert len(coder.known) <= len([" ", "the", ",", ".", "(", ")", ";", "#", "!", "été"])
+
+
+def test_word_tokenizer_on_any_characters_and_batches(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    # marks, signs among letters, other scripts and spaces, contractions, special tokens
+    parts = [*"aBsTé.,;'#0(\u0301\u0331\u0338×÷ÀßÞÿœŒİΣςжЖ\u00a0\u0085\u2028\x1c\x00語😀<|>", " ", "\n", "'s", "'LL", "H\u0331", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", " \n "]
+    want = [whole.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+
+    def check(coder, array, first, n):
+        ids, counts = coder.encode(array.slice(first, n))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[first : first + n]
+
+    for kind in (pa.string(), pa.large_string()):
+        array = pa.array(texts, kind)
+        coder = WordTokenizer(PATH)
+        check(coder, array, 0, len(texts))
+        for first in range(0, len(texts), 7):  # batches much smaller than the table of known units
+            check(coder, array, first, min(7, len(texts) - first))
+        check(coder, array, len(texts) - 3, 3)
+    monkeypatch.setattr("modelgate.llm.packing.KNOWN_WORDS", 500)
+    coder = WordTokenizer(PATH)
+    for first in range(0, 3000, 100):  # restarts
+        check(coder, array, first, 100)
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 
